@@ -62,3 +62,14 @@ def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]],
 def fold(column) -> F.Column:
     """``crc32`` of an id as text, which the contracts use to split folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) if isinstance(column, str) else F.crc32(column.cast("string").cast("binary"))
+
+
+def filter_batches(df: DataFrame, keep: Callable[[list], list[bool]], name: str) -> DataFrame:
+    """The rows whose ``name`` column ``keep`` accepts, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+
+    at = df.columns.index(name)
+    return with_sizes(df).mapInArrow(run, df.schema)

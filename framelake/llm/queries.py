@@ -1,8 +1,10 @@
 """The registered queries of this subpackage."""
 
 from framelake.llm.bpe import op7_byte_bpe
+from framelake.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
