@@ -1,11 +1,13 @@
 """The registered queries of this subpackage."""
 
 from framelake.llm.bpe import op7_byte_bpe
+from framelake.llm.jaccard import op9_ngram_jaccard
 from framelake.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
 ORACLE_QUERIES: dict[str, str] = {}
