@@ -7,8 +7,8 @@ Tokens are 64-bit hashes of shingles. Documents of equal sets form one class, wh
 2. The other sets' tokens are ordered by how many of these sets hold them. Tokens up to ``RARE`` index a set by
    themselves, more frequent ones by pairs of the same hash group; the prefix is extended until whatever t tokens a
    linked set lacks, a whole combination remains. Small sets use single tokens throughout.
-3. In each combination's group all members are verified against the one that has fewest tokens of its own; what that
-   links is one component. Pairs across components follow, all that the counts of tokens of their own leave possible.
+3. In each combination's group all members are verified against the one whose tokens are the most frequent; what that
+   links is one component. Pairs across components follow, all that the place of the first shared key leaves possible.
 
 A doc_id names one text: rows that repeat it repeat its text. Empty texts and nulls have no tokens and link with nothing. Repeated rows belong to the same class.
 """
@@ -105,34 +105,43 @@ def _tokens(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, f, "doc_id long, tokens array<long>", ["doc_id", "text"])
 
 
-def signatures(count: np.ndarray, token: np.ndarray, n: int, percent: int) -> list[int]:
-    """Index keys of a set of n tokens, given how many sets hold each (1 for its own), ordered by count and token."""
-    need, out = lacking(n, percent) + 1, set()
+def signatures(count: np.ndarray, token: np.ndarray, n: int, percent: int) -> dict[int, int]:
+    """Index keys of a set of n tokens, given how many sets hold each (1 for its own), ordered by count and token.
+
+    Each key comes with the most tokens that the set has in common with another if this is the first key, in this
+    order, that both have: all tokens from the key on, and before a pair one for each hash group at most.
+    """
+    need, out = lacking(n, percent) + 1, {}
     if n * percent < SMALL * 100:  # as small as half of a pair that has a small set
-        out.update(token[: need][count[: need] > 1].tolist())
+        for k, (c, t) in enumerate(zip(count[:need].tolist(), token[:need].tolist(), strict=True)):
+            if c > 1:
+                out[t] = n - k
     if n * 100 < SMALL * percent:
-        return list(out)
+        return out
     have, groups = 0, {}
-    keys = (token.astype(np.uint64) % np.uint64(GROUPS)).tolist()
-    for c, t, g in zip(count.tolist(), token.tolist(), keys, strict=True):
+    pairs, tops = [], []
+    hashed = (token.astype(np.uint64) % np.uint64(GROUPS)).tolist()
+    for k, (c, t, g) in enumerate(zip(count.tolist(), token.tolist(), hashed, strict=True)):
         if have >= need:
             break
         if c <= RARE:
             have += 1
             if c > 1:
-                out.add(t)
+                out[t] = n - k
             continue
         others = groups.setdefault(g, [])
         have += len(others) > 0
-        others.append(t)
-    pairs = [(a, b) for x in groups.values() for i, a in enumerate(x) for b in x[i + 1 :]]
-    if pairs:
-        a = np.array(pairs, np.int64).view(np.uint64)
-        with np.errstate(over="ignore"):
-            out.update(_mix(np.minimum(a[:, 0], a[:, 1]) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(a[:, 0], a[:, 1]) + np.uint64(1)).view(np.int64).tolist())
+        for first, top in others:
+            pairs.append((first, t))
+            tops.append(top)
+        others.append((t, n - k + len(groups)))
     if have < need:  # at least n - GROUPS of a set's tokens count, which is enough from 60 percent up
         raise ValueError("the threshold is too low for pairs of tokens")
-    return list(out)
+    if pairs:
+        x = np.array(pairs, np.int64).view(np.uint64)
+        with np.errstate(over="ignore"):
+            out.update(zip(_mix(x[:, 0] * np.uint64(0x9E3779B97F4A7C15) + x[:, 1] + np.uint64(1)).view(np.int64).tolist(), tops, strict=True))
+    return out
 
 
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -158,24 +167,26 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     ordered = written(ordered.join(maybe, "doc_id").where(f"n - size(x) <= n * {100 - percent} div 100").select("doc_id", "n", F.col("x.c").alias("c"), F.col("x.t").alias("t")))
 
     def f(batch: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": [], "n": [], "shared": [], "key": []}
+        out = {"doc_id": [], "n": [], "rarity": [], "key": [], "top": []}
         for d, n, c, t in zip(*(batch[k] for k in ("doc_id", "n", "c", "t")), strict=True):
             own = n - len(t)
-            keys = signatures(np.array([1] * own + c, np.int64), np.array([0] * own + t, np.int64), n, percent)
-            for name, x in (("doc_id", [d]), ("n", [n]), ("shared", [len(t)])):
-                out[name].extend(x * len(keys))
+            count = np.array([1] * own + c, np.int64)
+            keys = signatures(count, np.array([0] * own + t, np.int64), n, percent)
+            for name, x in (("doc_id", d), ("n", n), ("rarity", float((1 / count).sum()))):
+                out[name].extend([x] * len(keys))
             out["key"].extend(keys)
+            out["top"].extend(keys.values())
         return out
 
-    keys = written(map_batches(ordered, f, "doc_id long, n long, shared long, key long", ["doc_id", "n", "c", "t"]))
-    # both sizes and tokens held in common with any set leave the link possible
-    possible = F.expr(f"least(a.shared, b.shared) * {100 + percent} >= (a.n + b.n) * {percent}")
-    hubs = keys.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "doc_id", "n", "shared")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    hubs = hubs.select("key", "h.doc_id", "h.n", "h.shared")
+    keys = written(map_batches(ordered, f, "doc_id long, n long, rarity double, key long, top long", ["doc_id", "n", "c", "t"]))
+    # the first key that two linked sets share leaves the link possible
+    possible = F.expr(f"least(a.top, b.top) * {100 + percent} >= (a.n + b.n) * {percent}")
+    hubs = keys.groupBy("key").agg(F.min(F.struct("rarity", "doc_id", "n", "top")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    hubs = hubs.select("key", "h.doc_id", "h.n", "h.top")
     stars = keys.alias("a").join(hubs.alias("b"), "key").where(F.col("a.doc_id") != F.col("b.doc_id")).where(possible)
     sure = written(_verified(stars.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct(), ordered, percent))
     found = components(sure)
-    several = keys.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", "shared", F.coalesce("component", "doc_id").alias("component"))
+    several = keys.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", "top", F.coalesce("component", "doc_id").alias("component"))
     mixed = several.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     left = written(several.join(mixed, "key"))
     rest = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & possible)
