@@ -2,9 +2,11 @@
 
 from framelake.llm.bpe import op7_byte_bpe
 from framelake.llm.jaccard import op9_ngram_jaccard
+from framelake.llm.lines import op3_line_dedup
 from framelake.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
