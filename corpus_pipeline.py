@@ -1,4 +1,55 @@
-"""From raw documents to token ids in five stages."""
+"""From raw documents to token ids: toxicity, line dedup, near duplicates, mixture, byte-level BPE.
 
-QUERIES: dict = {}
-ORACLE_QUERIES: dict = {}
+Each stage works on all that the one before kept; ``run`` writes each stage's result to the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelake.llm.bpe import encoded
+from framelake.llm.common import table, written
+from framelake.llm.jaccard import grouped
+from framelake.llm.lines import BROADCAST_ROWS, line_dedup_stage
+from framelake.llm.mixture import mixture_stage
+from framelake.llm.toxicity import toxicity_stage
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of smallest doc_id; five words, a similarity of 0.8 or more."""
+    gone = written(grouped(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct())
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and checksums of each document of the mix."""
+    import public_tokenizers as P
+
+    return encoded(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicates),
+    ("mixture", mixture_stage),
+    ("token_ids", token_ids),
+]
+
+#: A trained network and learned merges have no SQL; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLE_QUERIES: dict[str, str] = {}

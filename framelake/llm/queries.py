@@ -3,13 +3,17 @@
 from framelake.llm.bpe import op7_byte_bpe
 from framelake.llm.jaccard import op9_ngram_jaccard
 from framelake.llm.lines import op3_line_dedup
+from framelake.llm.mixture import op10_mixture
 from framelake.llm.toxicity import op6_toxicity
+from framelake.llm.webp import op1_webp
 
 QUERIES = {
+    "op1_webp": op1_webp,
     "op3_line_dedup": op3_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_mixture": op10_mixture,
 }
 
 ORACLE_QUERIES: dict[str, str] = {}
