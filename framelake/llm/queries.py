@@ -1,6 +1,7 @@
 """The registered queries of this subpackage."""
 
 from framelake.llm.bpe import op7_byte_bpe
+from framelake.llm.html import op5_html
 from framelake.llm.jaccard import op9_ngram_jaccard
 from framelake.llm.lines import op3_line_dedup
 from framelake.llm.mixture import op10_mixture
@@ -10,6 +11,7 @@ from framelake.llm.webp import op1_webp
 QUERIES = {
     "op1_webp": op1_webp,
     "op3_line_dedup": op3_line_dedup,
+    "op5_html": op5_html,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
