@@ -21,7 +21,7 @@ from framelake.llm.common import table, written
 
 MIN_CHARS, EDITS = 50, 2
 #: Characters counted in each line, to pass over pairs whose counts differ too much.
-COUNTED = "etnirsao"
+COUNTED = "etnirsaoldhucmfg"
 #: Rows of ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -31,11 +31,21 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, no (from 0), line, size, and two hashes a and b of each line that takes part."""
-    every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", F.trim("line"))
-    long = every.where(F.length("line") >= min_chars)
-    return long.select("doc_id", "no", "line", F.length("line").alias("size"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
+def line_rows(docs: DataFrame, min_chars: int, counts: bool = False) -> DataFrame:
+    """doc_id, no (from 0), line, size, and two hashes a and b of each line that takes part; on demand counts of some letters.
+
+    All of a line's values come out of one generator: as plain columns, the optimizer would write the expressions of
+    line and size into each of the many keys made from them.
+    """
+
+    def of(line: Column, no: Column) -> Column:
+        size = F.length(line)
+        values = [no.alias("no"), line.alias("line"), size.alias("size"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b")]
+        return F.struct(*values, *([_counts(line).alias("counts")] if counts else []))
+
+    lines = F.transform(F.split("text", "\n"), lambda line, no: F.struct(F.trim(line).alias("line"), no.alias("no")))
+    long = F.filter(lines, lambda x: F.length(x.line) >= min_chars)
+    return docs.select("doc_id", F.inline(F.transform(long, lambda x: of(x.line, x.no))))
 
 
 def _keys(edits: int) -> tuple[Column, Column]:
@@ -53,16 +63,19 @@ def _keys(edits: int) -> tuple[Column, Column]:
     return F.array(*own), F.array(*probes)
 
 
-def _counts() -> Column:
-    """How often each of COUNTED occurs in the line, modulo 256, in a byte of a long each."""
-    each = [f"shiftleft((octet_length(line) - octet_length(replace(line, '{c}', ''))) % 256L, {8 * i})" for i, c in enumerate(COUNTED)]
-    return F.expr(" | ".join(each))
+def _counts(line: Column) -> Column:
+    """How often each of COUNTED occurs in the line, modulo 16, in four bits of a long each."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(COUNTED):
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16
+        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 4 * i))
+    return out
 
 
 def _apart(one: str, other: str) -> str:
     """A lower bound of twice the edit distance, from two packed counts."""
-    lanes = [f"abs((shiftright({one}, {8 * i}) & 255) - (shiftright({other}, {8 * i}) & 255))" for i in range(len(COUNTED))]
-    return " + ".join(f"least({x}, 256 - {x})" for x in lanes)
+    lanes = [f"abs((shiftright({one}, {4 * i}) & 15) - (shiftright({other}, {4 * i}) & 15))" for i in range(len(COUNTED))]
+    return " + ".join(f"least({x}, 16 - {x})" for x in lanes)
 
 
 def _shared(one: str, other: str, most: str) -> str:
@@ -120,11 +133,11 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     places = written(lines.drop("line"))
     firsts = written(places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("copies")))
     again = firsts.where("copies > 1").select("a", "b", "first")
-    once = lines.join(small(again), ["a", "b"], "left").where(F.col("first").isNull() | (F.struct("doc_id", "no").eqNullSafe(F.col("first")))).drop("first")
+    once = line_rows(docs, min_chars, True).join(small(again), ["a", "b"], "left").where(F.col("first").isNull() | (F.struct("doc_id", "no").eqNullSafe(F.col("first")))).drop("first")
     own, probes = _keys(edits)
-    index = once.select("a", "size", _counts().alias("counts"), F.explode(own).alias("key"))
-    probe = once.select("a", "size", _counts().alias("counts"), F.explode(probes).alias("key"))
-    met = index.alias("i").join(probe.alias("p"), "key").where("i.a <> p.a").where(f"p.size - i.size between 0 and {edits} and {_apart('i.counts', 'p.counts')} <= {2 * edits}")
+    index = once.select("a", "size", "counts", F.explode(own).alias("key"))
+    probe = once.select("a", "size", "counts", F.explode(probes).alias("key"))
+    met = index.alias("i").join(probe.alias("p"), "key").where("i.a < p.a or i.a > p.a and p.size > i.size").where(f"p.size - i.size between 0 and {edits} and {_apart('i.counts', 'p.counts')} <= {2 * edits}")
     pairs = written(met.select(F.least("i.a", "p.a").alias("x"), F.greatest("i.a", "p.a").alias("y")).distinct())
     ids = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
     texts = written(once.join(small(ids), "a", "left_semi").select("a", "b", "line"))
