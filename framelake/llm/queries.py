@@ -1,7 +1,9 @@
 """The registered queries of this subpackage."""
 
+from framelake.llm.additive import op2_additive
 from framelake.llm.bpe import op7_byte_bpe
 from framelake.llm.html import op5_html
+from framelake.llm.huffman import op4_huffman_ids
 from framelake.llm.jaccard import op9_ngram_jaccard
 from framelake.llm.lines import op3_line_dedup
 from framelake.llm.mixture import op10_mixture
@@ -10,7 +12,9 @@ from framelake.llm.webp import op1_webp
 
 QUERIES = {
     "op1_webp": op1_webp,
+    "op2_additive": op2_additive,
     "op3_line_dedup": op3_line_dedup,
+    "op4_huffman_ids": op4_huffman_ids,
     "op5_html": op5_html,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
