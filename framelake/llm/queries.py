@@ -5,6 +5,7 @@ from framelake.llm.bpe import op7_byte_bpe
 from framelake.llm.html import op5_html
 from framelake.llm.huffman import op4_huffman_ids
 from framelake.llm.jaccard import op9_ngram_jaccard
+from framelake.llm.language import op8_language
 from framelake.llm.lines import op3_line_dedup
 from framelake.llm.mixture import op10_mixture
 from framelake.llm.toxicity import op6_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_html": op5_html,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_language": op8_language,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixture": op10_mixture,
 }
