@@ -1,4 +1,6 @@
-"""Registered queries over the given tables, and the DuckDB SQL of their results."""
+"""All registered queries over the given tables; importing the operator modules registers them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from framelake.operators import boxes, dedup, history, joins, plates, serving  # noqa: F401
+from framelake.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
