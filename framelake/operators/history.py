@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from framelake.plans.registry import query
 from framelake.sources.tables import detections
 
-TRACK = Window.partitionBy("camera_id", "track_id").orderBy("ts", "event_id")
 W = "PARTITION BY camera_id, track_id ORDER BY ts, event_id"
 
 
+def by_track():
+    """The window over a track's events in order; made on demand, as it needs a session."""
+    return Window.partitionBy("camera_id", "track_id").orderBy("ts", "event_id")
+
+
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).where("track_id >= 0")
 
 
 @query(f"SELECT event_id, count(*) OVER w AS n, round(avg(confidence) OVER w, 6) AS mean FROM det WHERE track_id >= 0 WINDOW w AS ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def wn1_last_five(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = TRACK.rowsBetween(-4, 0)
+    w = by_track().rowsBetween(-4, 0)
     return tracked(spark, sf_dir).select("event_id", F.count("*").over(w).alias("n"), F.round(F.avg("confidence").over(w), 6).alias("mean"))
 
 
 @query(f"SELECT event_id, arg_max(event_id, sharpness * 10000000 - event_id) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_shot FROM det WHERE track_id >= 0")
 def wn2_best_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sharpest event of the track so far, the earlier id on ties."""
-    best = F.max_by("event_id", F.col("sharpness") * 10000000 - F.col("event_id")).over(TRACK.rowsBetween(Window.unboundedPreceding, 0))
+    best = F.max_by("event_id", F.col("sharpness") * 10000000 - F.col("event_id")).over(by_track().rowsBetween(Window.unboundedPreceding, 0))
     return tracked(spark, sf_dir).select("event_id", best.alias("best_shot"))
 
 
@@ -35,7 +39,7 @@ def wn2_best_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def wn3_damped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence times 0.9 where the plate is one edit from the one before and that was sure."""
-    d = tracked(spark, sf_dir).withColumn("before", F.lag("plate").over(TRACK)).withColumn("sure", F.lag("confidence").over(TRACK) >= 0.85)
+    d = tracked(spark, sf_dir).withColumn("before", F.lag("plate").over(by_track())).withColumn("sure", F.lag("confidence").over(by_track()) >= 0.85)
     near = (F.levenshtein("plate", "before", 1) == 1) & F.col("sure")
     return d.select("event_id", F.when(near, F.col("confidence") * 0.9).otherwise(F.col("confidence")).alias("damped"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from framelake.plans.registry import query
-from framelake.sources.tables import FRAME_HEIGHT, FRAME_WIDTH, cameras, detections
+from framelake.sources.tables import cameras, detections
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -116,7 +116,7 @@ def ag9_ag11_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REASONS = """CASE WHEN event_id % 50 = 0 THEN 'backpressure' WHEN sec < 1704153600 THEN 'age' WHEN x2 <= x1 OR y2 <= y1 THEN 'invalid_bbox'
-  WHEN (x2 - x1) * (y2 - y1) > 0.03 * 2073600 AND confidence < 0.45 THEN 'oversized_bbox' WHEN sharpness < 40 THEN 'blur' ELSE 'kept' END"""
+  WHEN (x2 - x1) * (y2 - y1) > 62208 AND confidence < 0.45 THEN 'oversized_bbox' WHEN sharpness < 40 THEN 'blur' ELSE 'kept' END"""
 
 
 @query(f"SELECT {REASONS} AS reason, count(*) AS n FROM det GROUP BY 1")
@@ -127,7 +127,7 @@ def ag10_st12_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 50 == 0, "backpressure")
         .when(F.col("sec") < 1704153600, "age")
         .when((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")), "invalid_bbox")
-        .when((area > 0.03 * FRAME_WIDTH * FRAME_HEIGHT) & (F.col("confidence") < 0.45), "oversized_bbox")
+        .when((area > 62208) & (F.col("confidence") < 0.45), "oversized_bbox")
         .when(F.col("sharpness") < 40, "blur")
         .otherwise("kept")
     )
