@@ -133,14 +133,20 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     places = written(lines.drop("line"))
     firsts = written(places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("copies")))
     again = firsts.where("copies > 1").select("a", "b", "first")
-    once = line_rows(docs, min_chars, True).join(small(again), ["a", "b"], "left").where(F.col("first").isNull() | (F.struct("doc_id", "no").eqNullSafe(F.col("first")))).drop("first")
+    again = small(again)
+
+    def once(rows: DataFrame) -> DataFrame:
+        """The first row of each different line."""
+        return rows.join(again, ["a", "b"], "left").where(F.col("first").isNull() | F.struct("doc_id", "no").eqNullSafe(F.col("first"))).drop("first")
+
+    each = once(line_rows(docs, min_chars, True))
     own, probes = _keys(edits)
-    index = once.select("a", "size", "counts", F.explode(own).alias("key"))
-    probe = once.select("a", "size", "counts", F.explode(probes).alias("key"))
+    index = each.select("a", "size", "counts", F.explode(own).alias("key"))
+    probe = each.select("a", "size", "counts", F.explode(probes).alias("key"))
     met = index.alias("i").join(probe.alias("p"), "key").where("i.a < p.a or i.a > p.a and p.size > i.size").where(f"p.size - i.size between 0 and {edits} and {_apart('i.counts', 'p.counts')} <= {2 * edits}")
     pairs = written(met.select(F.least("i.a", "p.a").alias("x"), F.greatest("i.a", "p.a").alias("y")).distinct())
     ids = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
-    texts = written(once.join(small(ids), "a", "left_semi").select("a", "b", "line"))
+    texts = written(once(lines).join(small(ids), "a", "left_semi").select("a", "b", "line"))
     both = pairs.join(texts.select(F.col("a").alias("x"), "b", "line"), "x").join(texts.select(F.col("a").alias("y"), F.col("b").alias("b2"), F.col("line").alias("line2")), "y")
     near = with_distance(both, "line", "line2", edits).where(F.col("distance") <= edits)
     return places, firsts, written(near.select(F.col("x").alias("a"), "b", F.col("y").alias("a2"), "b2"))
