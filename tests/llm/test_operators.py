@@ -1,0 +1,265 @@
+"""Operators on small fixtures with nulls, empties, repeats, extra columns and empty tables, against brute force."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from framelake.llm import additive, bpe, html, huffman, jaccard, language, lines, mixture, toxicity, webp
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+BASE = "the quick brown fox jumps over the lazy dog while seven small birds watch from an old stone wall near the river bank at dawn"
+TEXTS = [None, "", " ", "a", "a b", BASE, BASE, BASE + " again", BASE.replace("fox", "cat"), BASE.upper(), "\n".join([BASE, BASE[:-1] + "m", "short"]), "x" * 5000, "é à b c\n\n 日本 <|endoftext|>", "one two\n" * 400, "!!! ??? 123"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, a long, size int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "de", None][i % 3], ["s1", "s2", None][i % 3], len(t or ""), i, "k", 1, 2) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[5]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_bpe(docs, none):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.encoded(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).collect()
+    assert len(got) == len(TEXTS) + 1
+    for r in got:
+        text = TEXTS[r.doc_id] or ""
+        assert r.ids == own.encode_ordinary(text) and bytes(r.decoded) == text.encode()
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() and r.n_tokens == len(r.ids)
+    assert bpe.encoded(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_huffman(docs, none):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in huffman.coded(docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect())
+    at, want = 0, []
+    for i in sorted([*range(len(TEXTS)), 5]):
+        ids = [*own.encode(TEXTS[i] or "", add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
+    assert huffman.coded(none, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 3000])
+def test_code_lengths(n):
+    g = np.random.default_rng(n)
+    counts = np.maximum(1, (1e6 / (1 + np.arange(n)) ** 2).astype(np.int64))
+    sizes = huffman.lengths_of(counts, 12)
+    assert sizes.max() <= 12 and (n == 1 or (2.0 ** -sizes).sum() == 1)
+    book, ids = huffman.Codebook(sizes), g.integers(0, n, 1000)
+    assert (book.decode(book.encode(ids)) == ids).all() and len(book.decode(book.encode(ids[:0]))) == 0
+    damaged = bytearray(book.encode(ids))
+    damaged[-1] ^= 1
+    with pytest.raises(ValueError):
+        book.decode(bytes(damaged))
+
+
+def test_webp_images():
+    g = np.random.default_rng(1)
+    few = 0xFF000000 | g.integers(0, 4, (37, 53)) * 0x402010
+    rich = g.integers(0, 256, (37, 53)) << 24 | np.cumsum(g.integers(0, 3, (37, 53)), 1) % 256 << 16 | np.cumsum(g.integers(0, 3, (37, 53)), 0) % 256 << 8 | g.integers(0, 9, (37, 53))
+    for pixels, transforms in ((few, (3,)), (few, ()), (rich, (2,)), (rich, (0,)), (rich, (1,)), (rich, (0, 1, 2))):
+        for cache in (0, 5):
+            for meta in (0, 3):
+                assert (webp.decode(webp.encode(pixels, transforms, cache, meta=meta)) == pixels).all()
+    for mode in range(14):
+        assert (webp.decode(webp.encode(rich, (0,), mode=mode)) == rich).all()
+    for n in (1, 2, 3, 5, 17, 200):
+        grey = 0xFF000000 | g.integers(0, n, (9, 21)) * 0x10101
+        assert (webp.decode(webp.encode(grey, (3,))) == grey).all()
+    with pytest.raises(ValueError):
+        webp.decode(b"RIFFxxxxWEBPVP8 ")
+
+
+def test_webp(docs, none):
+    for r in webp.media(docs).collect():
+        raw = (TEXTS[r.doc_id] or "").encode()
+        want = raw + b"\0" * (64 - len(raw) if not raw else -len(raw) % 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+    assert webp.media(none).count() == 0
+
+
+def brute_jaccard(texts, width, percent):
+    sets = []
+    for t in texts:
+        w = WORDS((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append(frozenset(zip(*[w[k:] for k in range(width)])) if len(w) >= width else frozenset([tuple(w)] if w else []))
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return [(i, len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_jaccard(spark, none, width, percent):
+    g = np.random.default_rng(percent)
+    vocabulary = [f"w{k}" for k in range(300)]
+    texts = list(TEXTS)
+    for size in (12, 60, 250, 700):
+        base = [vocabulary[k] for k in g.integers(0, 300, size)]
+        texts.append(" ".join(base))
+        for _ in range(40):
+            own = list(base)
+            for k in g.integers(0, size, g.integers(0, 1 + size // 25)):
+                own[k] = vocabulary[g.integers(0, 300)]
+            texts.append(" ".join(own))
+    df = spark.createDataFrame([*enumerate(texts), (5, texts[5])], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.grouped(df, width, percent).collect()}
+    assert got == set(brute_jaccard(texts, width, percent))
+    assert jaccard.grouped(none, width, percent).count() == 0
+
+
+def test_lines(spark, docs, none):
+    g, rows = np.random.default_rng(4), []
+    for _ in range(12):
+        line = "".join(g.choice(list("abcde é"), 60))
+        for _ in range(5):
+            own = list(line)
+            for _ in range(g.integers(0, 4)):
+                k = g.integers(0, len(own))
+                own[k : k + g.integers(0, 2)] = list("xy"[: g.integers(0, 2)])
+            rows.append("".join(own))
+    texts = ["\n".join(g.choice(rows, 3)) for _ in range(40)]
+    df = spark.createDataFrame([*enumerate(texts), (40, None), (41, "")], "doc_id long, text string")
+
+    def near(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1] <= 2
+
+    places = [(d, k, line.strip(" ")) for d, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if len(line.strip(" ")) >= 50]
+    want = {(d, k) for i, (d, k, line) in enumerate(places) if any(near(line, other) for _, _, other in places[:i])}
+    got = {(r.doc_id, r.no) for r in lines.dropped_lines(df).collect()}
+    assert got == want and lines.deduplicated(df).count() == 42
+    assert lines.deduplicated(none).count() == 0
+    kept = lines.line_dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() > 0
+
+
+def test_edit_distance(spark):
+    g = np.random.default_rng(2)
+    pairs = [("".join(g.choice(list("abé"), g.integers(0, 40))), "".join(g.choice(list("abé"), g.integers(0, 40)))) for _ in range(100)]
+    pairs += [(a, a[: len(a) // 2] + "z" + a[len(a) // 2 + 1 :]) for a, _ in pairs]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    for k in (1, 2, 3):
+        for r in lines.with_distance(df, "x", "y", k).withColumn("d", F.levenshtein("x", "y")).collect():
+            assert r.distance == r.d if r.d <= k else r.distance > k
+
+
+def test_mixture(spark, docs, none):
+    assert mixture.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
+    assert mixture.targets([10, 1000, 0], [3, 1, 2]) == [30, 980, 0]
+    for n in (1, 2, 5, 64, 1000):
+        assert sorted(mixture.feistel(np.arange(n), n, 3).tolist()) == list(range(n))
+    got = mixture.mixed(docs).collect()
+    assert len(got) == len(TEXTS) + 1 and all(r.taken <= 3 * r.size for r in got)
+    assert sorted(map(tuple, mixture.mixed(docs).collect())) == sorted(map(tuple, got))
+    assert all(r.size == len(WORDS(TEXTS[r.doc_id] or "")) for r in got)
+    stage = mixture.mixture_stage(spark, docs, "")
+    assert stage.columns == docs.columns and sum(len(WORDS(r.text)) for r in stage.collect()) == sum(r.taken for r in got)
+    assert mixture.mixed(none).count() == 0
+
+
+def test_toxicity(spark, docs, none):
+    g = np.random.default_rng(0)
+    plain = [f"word{k}" for k in range(60)]
+    texts, labels = [], []
+    for i in range(240):
+        w = list(g.choice(plain, 60))
+        if i % 3 == 0:
+            w[g.integers(0, 60)] = f"vile{g.integers(0, 9)}"
+        texts.append(" ".join(w))
+        labels.append(int(i % 3 == 0))
+    net = toxicity.fit(texts[:180], labels[:180], steps=200)
+    p = toxicity.Scorer(net).score(texts[180:])
+    assert ((p >= 0.5) == np.array(labels[180:])).mean() >= 0.9
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, net).collect()}
+    assert got[0] == got[1] == got[2] == 0 and all(0 <= s <= 1 for s in got.values())
+    assert toxicity.scored(none, net).count() == 0
+    no_labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.scored(docs, toxicity.trained(docs, no_labels)).where("predicted = 1").count() == 0
+    assert toxicity.without_toxic(docs, net).columns == docs.columns
+
+
+def test_language(docs, none):
+    g = np.random.default_rng(0)
+    make = {"xx": lambda: "".join(g.choice(["ka", "ro", "mi"], 3)), "yy": lambda: "".join(g.choice(["st", "en", "ung"], 3))}
+    texts, names = zip(*[(" ".join(make[n]() for _ in range(30)), n) for n in ["xx", "yy"] * 60], strict=True)
+    field = language.fit(list(texts[:80]), list(names[:80]))
+    got, scores = language.Labeller(field).label([*texts[80:], "", "12 !", texts[0] + " " + texts[1]])
+    assert got[:-3] == list(names[80:]) and got[-3:-1] == ["und", "und"] and all(0 <= s <= 1 for s in scores)
+    doc, p, _ = language.Labeller(field).words([texts[0] + " " + texts[1]])
+    assert (p[:30, 0] > 0.5).mean() > 0.9 and (p[30:, 1] > 0.5).mean() > 0.9
+    scores3, moves = g.normal(size=(4, 1, 2)), g.normal(size=(2, 2))
+    import itertools
+
+    weights = {y: np.exp(sum(scores3[k, 0, y[k]] for k in range(4)) + sum(moves[y[k - 1], y[k]] for k in range(1, 4))) for y in itertools.product((0, 1), repeat=4)}
+    z = sum(weights.values())
+    p, log_z, _ = language.forward_backward(scores3, np.ones((4, 1), bool), moves)
+    assert np.isclose(log_z[0], np.log(z)) and all(np.isclose(p[k, 0, 1], sum(w for y, w in weights.items() if y[k]) / z) for k in range(4))
+    assert {r.lang_pred for r in language.labelled(docs, field).where("doc_id < 3").collect()} == {"und"}
+    assert language.labelled(none, language.trained(none)).count() == 0
+
+
+def test_html(spark):
+    page = (
+        "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>"
+        "<div class='ad'>Buy now</div><article><h1>Head &amp; tail</h1><p><b>First   line of\nthe text, long enough.<br><p>Second &eacute; line, long enough too.</p>"
+        "<form><input>Name</form></article><div id='comments'><p>What a fine article, I liked it very much indeed.</p></div><footer>&copy; me</footer></body></html>"
+    )
+    want = "Head & tail\nFirst line of the text, long enough.\nSecond é line, long enough too."
+    df = spark.createDataFrame([(1, "u", page, 0), (2, None, None, 0), (3, "u", "", 0), (4, "u", "<p>", 0), (5, "u", "plain", 0)], "page_id long, url string, html string, text long")
+    assert {r.page_id: r.text for r in html.extracted(df).collect()} == {1: want, 2: "", 3: "", 4: "", 5: "plain"}
+    assert html.extracted(df.limit(0)).count() == 0
+
+
+def test_additive(spark):
+    g = np.random.default_rng(3)
+    x = g.normal(size=(900, 16))
+    x[100:140] = x[100]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1100, [1.0] * 15 + [None], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = additive.nearest(df).collect()
+    hits = 0
+    for q in range(0, 900, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(900), d))[:10].tolist()
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, 11)) and all(np.isclose(r.score, d[r.vec_id]) for r in own)
+        hits += len({r.vec_id for r in own} & set(want))
+        if q == 100:
+            assert [r.vec_id for r in own] == want
+    assert hits >= 81
+    assert additive.nearest(df.limit(0)).count() == 0
+    assert sorted(r.vec_id for r in additive.nearest(df.where("vec_id in (0, 1, 2)")).collect()) == [1, 2]
