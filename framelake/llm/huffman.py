@@ -25,8 +25,8 @@ from framelake.llm.common import table, with_sizes, written
 
 BLOCK, STEP, MOST_BITS, END = 1 << 16, 128, 16, 2
 HEADER = struct.Struct("<4sIII")
-#: Pieces of text whose ids a Python worker holds at once, and documents in a batch.
-MEMO = 1_000_000
+#: Pieces of text whose ids a task holds at once.
+MEMO = 600_000
 
 
 def lengths_of(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:

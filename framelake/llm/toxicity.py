@@ -23,7 +23,7 @@ BUCKETS, WIDTH, HIDDEN = 1 << 13, 16, 10
 #: Bounds of the training sample: labelled documents of each class, and words in one of them.
 TRAIN_ROWS, TRAIN_WORDS = (800, 1600), 400
 #: Distinct words whose inputs a task holds at once.
-MEMO = 500_000
+MEMO = 250_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -228,7 +228,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, seed: int = 7) ->
 class Scorer:
     def __init__(self, net: Network):
         self.net, self.known = net, {}
-        self.rows = np.zeros((1 << 16, 6 * HIDDEN), np.float32)  # the last row stays zero
+        self.rows = np.zeros((1 << 15, 6 * HIDDEN), np.float32)  # the last row stays zero
 
     def score(self, texts: list[str]) -> np.ndarray:
         words = [t.split() for t in texts]
