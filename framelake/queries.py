@@ -1,6 +1,6 @@
 """All registered queries over the given tables; importing the operator modules registers them."""
 
-from framelake.operators import boxes, dedup, history, joins, plates, serving  # noqa: F401
+from framelake.operators import boxes, dedup, history, joins, more, plates, serving  # noqa: F401
 from framelake.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
