@@ -126,3 +126,11 @@ def wn5_smoothed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = d.groupBy("camera_id", "track_id", "day").agg(rows.alias("r"))
     last = F.aggregate(F.slice("r", 2, 1_000_000_000), F.col("r")[0], step)
     return got.select("camera_id", "track_id", "day", last.alias("b")).select("camera_id", "track_id", "day", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query()
+def st6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emissions of the consensus state machine over all tracks, with times in days. Tested against its stream and by hand."""
+    from framelake.streaming.consensus import Rules, batch
+
+    return batch(tracked(spark, sf_dir).where("class_name <> 'person'"), Rules(idle=259200, patience=172800))
