@@ -214,3 +214,21 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents"), 3, 90)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: DuckDB SQL for op9_ngram_jaccard: all pairs that share a shingle, then reachability.
+OP9_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM t WHERE len(w) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS same FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM t UNION SELECT r.doc_id, ways.y FROM r JOIN ways ON r.root = ways.x),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, component_id, CASE WHEN n IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY same) END AS class_size
+FROM t JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
