@@ -1,7 +1,7 @@
 """Byte-level BPE by two tiers: a minimal perfect hash for whole pre-tokens, a heap over linked bytes for the rest.
 
 Nulls encode as the empty text. Repeated rows give repeated results. Texts are never cut. A task remembers
-the ids of pre-tokens it has met; the memory is dropped when it holds ``MEMO`` of them.
+the ids of pre-tokens it has met; when it holds ``MEMO`` of them, those of before are dropped.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.common import map_batches, table
 
-#: Pre-tokens whose ids a Python worker holds at once.
-MEMO = 400_000
+#: Pre-tokens whose ids a Python worker holds at once: so many that are in use, and as many from before.
+MEMO = 250_000
 
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings by hash and displace: n keys, n slots.
@@ -136,24 +136,27 @@ class Codec:
     """Encodes texts to ids, packed as little-endian unsigned 32-bit integers, and back."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.v, self.split, self.memo = vocabulary, regex.compile(pattern).findall, {}
+        self.v, self.split, self.memo, self.old = vocabulary, regex.compile(pattern).findall, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, split, out = self.memo, self.split, []
+        split, out = self.split, []
         for text in texts:
-            pieces = split(text)
+            pieces, memo = split(text), self.memo
             try:
                 out.append(b"".join([memo[p] for p in pieces]))
             except KeyError:
                 if len(memo) > MEMO:
-                    memo.clear()
+                    self.old, self.memo = memo, {}
+                    memo = self.memo
                 self._learn([p for p in dict.fromkeys(pieces) if p not in memo])
                 out.append(b"".join([memo[p] for p in pieces]))
         return out
 
     def _learn(self, pieces: list[str]) -> None:
+        memo, old, merged, packed = self.memo, self.old, self.v.merged, self.v.packed
+        memo.update((p, old[p]) for p in pieces if p in old)
+        pieces = [p for p in pieces if p not in old]
         raw = [p.encode() for p in pieces]
-        memo, merged, packed = self.memo, self.v.merged, self.v.packed
         for p, b, k in zip(pieces, raw, self.v.whole(raw), strict=True):
             memo[p] = packed[k] if k >= 0 else b"".join([packed[x] for x in merged(b)])
 

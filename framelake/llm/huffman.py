@@ -25,8 +25,8 @@ from framelake.llm.common import table, with_sizes, written
 
 BLOCK, STEP, MOST_BITS, END = 1 << 16, 128, 16, 2
 HEADER = struct.Struct("<4sIII")
-#: Pieces of text whose ids a task holds at once.
-MEMO = 600_000
+#: Pieces of text whose ids a Python worker holds at once: so many that are in use, and as many from before.
+MEMO = 400_000
 
 
 def lengths_of(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -120,7 +120,7 @@ class Tokenizer:
         self.library = Library.from_str(spec)
         self.library.encode_special_tokens = True
         self.library.no_truncation()
-        self.split, self.memo, self.width = regex.compile(pattern).findall, {}, f"<u{width}"
+        self.split, self.memo, self.old, self.width = regex.compile(pattern).findall, {}, {}, f"<u{width}"
         at = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a vocabulary file
         rest = iter(range(256, 512))
         self.letters = [chr(b if b in at else next(rest)) for b in range(256)]
@@ -138,28 +138,34 @@ class Tokenizer:
             return b"".join([memo[p] for p in pieces])
         except KeyError:
             if len(memo) > MEMO:
-                memo.clear()
+                self.old, self.memo = memo, {}
+                memo = self.memo
+            old = self.old
             for p in pieces:
                 if p not in memo:
-                    memo[p] = self._learn(p)
+                    memo[p] = old[p] if p in old else self._learn(p)
             return b"".join([memo[p] for p in pieces])
 
 
+_tokenizers: dict[str, Tokenizer] = {}
+
+
 def tokenized(docs: DataFrame, spec: str, pattern: str, end: int = END) -> DataFrame:
     """part, seq, doc_id and ids (little-endian, of 2 bytes if the vocabulary allows) of each document, in range parts by doc_id."""
     import json
 
     wide = 2 if max(json.loads(spec)["model"]["vocab"].values()) < 1 << 16 else 4
-    shared, made = docs.sparkSession.sparkContext.broadcast(spec), []
+    shared, key = docs.sparkSession.sparkContext.broadcast(spec), f"{zlib.crc32(spec.encode())} {len(spec)} {pattern} {wide}"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        if not made:
-            made.append(Tokenizer(shared.value, pattern, wide))
+        if key not in _tokenizers:
+            _tokenizers[key] = Tokenizer(shared.value, pattern, wide)
+        own = _tokenizers[key]
         part, seq, tail = TaskContext.get().partitionId(), 0, end.to_bytes(wide, "little")
         for b in batches:
-            ids = [made[0].encode(t or "") + tail for t in b.column(1).to_pylist()]
+            ids = [own.encode(t or "") + tail for t in b.column(1).to_pylist()]
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(seq, seq + n)), b.column(0), pa.array(ids, pa.binary())], names=["part", "seq", "doc_id", "ids"])
             seq += n
