@@ -39,8 +39,8 @@ def written(df: DataFrame) -> DataFrame:
 def with_sizes(df: DataFrame) -> DataFrame:
     """Arrow batches of bounded bytes, so that very long texts don't fill a Python worker."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df
 
 

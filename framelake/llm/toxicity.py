@@ -279,7 +279,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     def f(batch: dict[str, list]) -> dict[str, list]:
         if not made:
             made.append(Scorer(shared.value))
-        s = [x for k in range(0, len(batch["text"]), 500) for x in made[0].score([t or "" for t in batch["text"][k : k + 500]]).tolist()]
+        s = [x for k in range(0, len(batch["text"]), 250) for x in made[0].score([t or "" for t in batch["text"][k : k + 250]]).tolist()]
         return {"doc_id": batch["doc_id"], "score": s, "predicted": [int(x >= 0.5) for x in s]}
 
     out = map_batches(docs, f, "doc_id long, score double, predicted int", ["doc_id", "text"])
@@ -305,6 +305,6 @@ def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
     def keep(texts: list) -> list[bool]:
         if not made:
             made.append(Scorer(shared.value))
-        return [x < 0.5 for k in range(0, len(texts), 500) for x in made[0].score([t or "" for t in texts[k : k + 500]]).tolist()]
+        return [x < 0.5 for k in range(0, len(texts), 250) for x in made[0].score([t or "" for t in texts[k : k + 250]]).tolist()]
 
     return filter_batches(docs, keep, "text")
