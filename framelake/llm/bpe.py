@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from framelake.llm.common import map_batches, table
 
 #: Pre-tokens whose ids a Python worker holds at once: so many that are in use, and as many from before.
-MEMO = 250_000
+MEMO = 150_000
 
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings by hash and displace: n keys, n slots.

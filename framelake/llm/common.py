@@ -52,7 +52,7 @@ def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]],
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(k, 250) for x in batches for k in range(0, x.num_rows, 250)):  # results may be larger than texts
             got = f({n: b.column(i).to_pylist() for i, n in enumerate(names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in arrow], schema=arrow)
 
