@@ -3,7 +3,8 @@
 Tokens are 64-bit hashes of shingles. Documents of equal sets form one class, which its smallest doc_id stands for.
 
 1. Of each set, the 2t+1 tokens of smallest hash are counted over all sets, where t is how many of its tokens a linked
-   set may lack. Over t tokens that no other set has rule out every link; most sets end here.
+   set may lack. Over t+1 tokens that no other set counts rule out every link, over t where t is 0; most sets end here.
+   A linked set may count two tokens fewer, so one more than t can look like own: 10 shingles against 9 of them at 90.
 2. The other sets' tokens are ordered by how many of these sets hold them. Tokens up to ``RARE`` index a set by
    themselves, more frequent ones by pairs of the same hash group; the prefix is extended until whatever t tokens a
    linked set lacks, a whole combination remains. Small sets use single tokens throughout.
@@ -153,7 +154,8 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
         signed.where("n > 0").select("s1", F.explode("head").alias("t")).groupBy("t").agg(F.min("s1").alias("s1"), F.max("s1").alias("last"))
         .where("s1 = last").groupBy("s1").agg(F.count("*").alias("own"))
     )
-    maybe = written(classes.join(own, "s1", "left").where(F.expr(f"coalesce(own, 0) <= n * {100 - percent} div 100")).select(F.col("rep").alias("doc_id"), "n"))
+    most = f"n * {100 - percent} div 100 + least(n * {100 - percent} div 100, 1)"
+    maybe = written(classes.join(own, "s1", "left").where(F.expr(f"coalesce(own, 0) <= {most}")).select(F.col("rep").alias("doc_id"), "n"))
     few = maybe.count() <= BROADCAST_IDS
     ids = maybe.select("doc_id")
     kept = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")

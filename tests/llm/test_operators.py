@@ -135,6 +135,18 @@ def test_jaccard(spark, none, width, percent):
     assert jaccard.grouped(none, width, percent).count() == 0
 
 
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_jaccard_heads_of_different_lengths(spark, width, percent):
+    """Sets of n shingles against n-1 of them, at exactly the threshold for n = 10 at 90 percent and n = 5 at 80."""
+    texts = []
+    for n in range(2, 26):
+        for k in range(4):
+            words = [f"v{n}x{k}x{i}" for i in range(n + width - 1)]
+            texts += [" ".join(words), " ".join(words[:-1])]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.grouped(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), width, percent).collect()}
+    assert got == set(brute_jaccard(texts, width, percent))
+
+
 def test_lines(spark, docs, none):
     g, rows = np.random.default_rng(4), []
     for _ in range(12):
