@@ -1,8 +1,9 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines are what ``\\n`` separates, without spaces around them; those under ``MIN_CHARS`` characters take no part and
-always stay. Two lines link when at most ``edits`` insertions, deletions or substitutions of characters turn one into
-the other. A line goes when an equal or linked line occurs earlier, by doc_id and then line number.
+Lines are what ``\\n`` separates, without spaces around them; blank ones take no part and always stay. Two lines of
+``MIN_CHARS`` characters or more link when at most ``edits`` insertions, deletions or substitutions of characters turn
+one into the other; shorter ones link with none. A line of any length goes when an equal or linked line occurs earlier,
+by doc_id and then line number.
 
 A line is split into edits+1 segments; one of them occurs unchanged in every linked line that is as long or longer, so
 segments are indexed by (length, segment number, characters) and each line probes the places where a line of each
@@ -127,12 +128,12 @@ def with_distance(pairs: DataFrame, one: str, other: str, edits: int) -> DataFra
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(places: doc_id, no, a, b of each line that takes part; firsts: a, b, first place and copies of each different
-    line; links: a, b, a2, b2 of each two different lines that link, once)."""
+    """(places: doc_id, no, a, b of each line but blank ones; firsts: a, b, size, first place and copies of each
+    different line; links: a, b, a2, b2 of each two different lines that link, once)."""
     lines = line_rows(docs, min_chars)
-    places = written(lines.drop("line"))
-    firsts = written(places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("copies")))
-    again = firsts.where("copies > 1").select("a", "b", "first")
+    places = written(line_rows(docs, 1).drop("line"))
+    firsts = written(places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size")))
+    again = firsts.where(f"copies > 1 and size >= {min_chars}").select("a", "b", "first")
     again = small(again)
 
     def once(rows: DataFrame) -> DataFrame:

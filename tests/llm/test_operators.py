@@ -178,6 +178,16 @@ def test_lines(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() > 0
 
 
+def test_short_lines(spark):
+    """Exact repeats go at every length; short lines that only resemble each other, and blank ones, stay."""
+    notice = "All rights reserved."
+    texts = [f"{notice}\n\nx", f" {notice} \n\nAll rights reserved!", "x\ny\ny", notice, None, ""]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.no, r.keeper.doc_id, r.keeper.no) for r in lines.dropped_lines(df).collect()}
+    assert got == {(1, 0, 0, 0), (2, 0, 0, 2), (2, 2, 2, 1), (3, 0, 0, 0)}
+    assert {r.doc_id: r.text for r in lines.line_dedup_stage(spark, df.withColumn("n_chars", F.lit(0)), "").collect()} == {0: texts[0], 1: "\nAll rights reserved!", 2: "y", 4: None, 5: ""}
+
+
 def test_edit_distance(spark):
     g = np.random.default_rng(2)
     pairs = [("".join(g.choice(list("abé"), g.integers(0, 40))), "".join(g.choice(list("abé"), g.integers(0, 40)))) for _ in range(100)]
