@@ -5,6 +5,10 @@ neighbouring lines, and a threshold between their two clusters marks content lin
 nearly all content characters, or the article or main element around it, is the content region. Its lines are the
 text, but for those in elements that are named or labelled as menus, notices, adverts, forms or comments.
 
+A label is a whole class name, id or role, or one made of labels only. It counts for no html, body, main or article, nor
+for what holds most content characters unless an article or main element apart from it has a tenth as many of its own;
+'header' labels nothing in an article or main element.
+
 Null and empty pages, and pages without text, give the empty text. Repeated rows give repeated results. Pages of any
 length are read whole; the parser keeps a page's lines only.
 """
@@ -28,6 +32,7 @@ LABELS = frozenset(
     "navbar navigation newsletter notice notices popup promo promoted promotion related replies reply responses share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget".split()
 )
+WHOLE = frozenset("html body main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIGMA = 1.0
 _parts = re.compile(r"[^a-z0-9]+").split
@@ -40,8 +45,9 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.names: list[str] = []  # of containers, by number
-        self.open: list[tuple[str, bool]] = []  # tags that matter, and whether they are containers
+        self.names: list[str] = []  # of containers and labelled elements, by number
+        self.labelled: set[int] = set()
+        self.open: list[tuple[str, str]] = []  # tags that matter, and their kinds
         self.path: tuple[int, ...] = ()
         self.text: list[str] = []
         self.tags = self.silent = self.boiler = 0
@@ -57,11 +63,16 @@ class Lines(HTMLParser):
     def _kind(self, tag: str, attrs: list) -> str:
         if tag in SILENT:
             return "silent"
-        if tag in BOILER and not (tag == "header" and any(t in ("article", "main") for t, _ in self.open)):
+        inside = any(t in ("article", "main") for t, _ in self.open)
+        if tag in BOILER and not (tag == "header" and inside):
+            return "boiler"
+        if any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs):
             return "boiler"
-        for name, value in attrs:
-            if name == "hidden" or value and (name in ("class", "id", "role") and not LABELS.isdisjoint(_parts(value.lower())) or name == "aria-hidden" and value == "true"):
-                return "boiler"
+        if tag not in WHOLE:
+            labels = LABELS - {"header"} if inside else LABELS
+            for name, value in attrs:
+                if value and name in ("class", "id", "role") and any(labels.issuperset(_parts(x)) for x in value.lower().split()):
+                    return "labelled"
         return "container" if tag in CONTAINERS else ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -78,7 +89,9 @@ class Lines(HTMLParser):
         kind = self._kind(tag, attrs)
         if kind:
             self.open.append((tag, kind))
-            if kind == "container":
+            if kind in ("container", "labelled"):
+                if kind == "labelled":
+                    self.labelled.add(len(self.names))
                 self.path = (*self.path, len(self.names))
                 self.names.append(tag)
             else:
@@ -92,7 +105,7 @@ class Lines(HTMLParser):
         if any(t == tag for t, _ in self.open):
             while self.open:
                 t, kind = self.open.pop()
-                self.path = self.path[:-1] if kind == "container" else self.path
+                self.path = self.path[:-1] if kind in ("container", "labelled") else self.path
                 self.silent -= kind == "silent"
                 self.boiler -= kind == "boiler"
                 if t == tag:
@@ -129,6 +142,23 @@ def threshold(x: np.ndarray) -> float:
     return cut
 
 
+def boiler_labels(parser: Lines, own: list[int], content: list[int], sizes: np.ndarray) -> set[int]:
+    """The labelled elements whose lines go, given the lines that count and those of them that look like content."""
+    total, out, held = sizes[content].sum(), set(), dict.fromkeys(parser.labelled, 0.0)
+    for k in content:
+        for c in [c for c in parser.lines[k][3] if c in parser.labelled]:
+            held[c] += sizes[k]
+    for c, n in held.items():
+        if n * 2 > total:
+            inside = [k for k in content if c in parser.lines[k][3]]
+            around = {a for k in inside for a in parser.lines[k][3]}
+            apart = [k for k in own if any(parser.names[a] in ("article", "main") and a not in around for a in parser.lines[k][3])]
+            if sizes[apart].sum() * 10 < n:
+                continue
+        out.add(c)
+    return out
+
+
 def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html or "")
@@ -141,6 +171,9 @@ def main_text(html: str | None) -> str:
     x = smoothed(sizes / np.maximum(1, [n for _, n, _, _ in lines]))
     cut = threshold(x)
     own = [k for k, line in enumerate(lines) if not line[2]]
+    if parser.labelled:
+        gone = boiler_labels(parser, own, [k for k in own if x[k] >= cut] or own, sizes)
+        own = [k for k in own if gone.isdisjoint(lines[k][3])]
     content = [k for k in own if x[k] >= cut] or own
     if not content:
         return ""
@@ -150,7 +183,7 @@ def main_text(html: str | None) -> str:
             held[c] = held.get(c, 0) + sizes[k]
     total, region = float(sizes[content].sum()), -1
     for c, n in held.items():
-        if n >= 0.9 * total:
+        if n >= 0.9 * total and parser.names[c] in CONTAINERS:
             region = max(region, c)  # containers are numbered as they open: the innermost comes last
     if region >= 0:
         path = next(lines[k][3] for k in content if region in lines[k][3])

@@ -265,6 +265,25 @@ def test_html(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+def test_html_labels():
+    """Labels don't discard what holds the text, nor an article's header; whole names count, not pieces."""
+    text = "".join(f"<p>Paragraph {k} of the text, long enough to be told from a menu.</p>" for k in range(3))
+    want = "\n".join(f"Paragraph {k} of the text, long enough to be told from a menu." for k in range(3))
+    side = "<div class='sidebar'><p>More of this kind</p></div>"
+    for page in (
+        f"<body class='has-sidebar'>{text}{side}</body>",
+        f"<body class='sidebar'>{text}{side}</body>",
+        f"<body><div class='content with-sidebar'>{text}</div>{side}</body>",
+        f"<body><article class='post no-comments'>{text}</article>{side}</body>",
+        f"<body><div class='content widget'>{text}</div>{side}</body>",
+        f"<body><article>{text}</article><div class='cookie-notice'><p>We keep cookies here.</p></div></body>",
+        f"<body><article>{text}</article><div id='comments'>{'<p>A comment that goes on for longer than the text itself does, and on.</p>' * 9}</div></body>",
+    ):
+        assert html.main_text(page) == want
+    for name in ("entry-header", "article-header", "header"):
+        assert html.main_text(f"<body><article><div class='{name}'><h1>Headline</h1></div>{text}</article></body>") == f"Headline\n{want}"
+
+
 def test_additive(spark):
     g = np.random.default_rng(3)
     x = g.normal(size=(900, 16))
