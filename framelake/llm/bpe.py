@@ -1,7 +1,11 @@
 """Byte-level BPE by two tiers: a minimal perfect hash for whole pre-tokens, a heap over linked bytes for the rest.
 
-Nulls encode as the empty text. Repeated rows give repeated results. Texts are never cut. A task remembers
-the ids of pre-tokens it has met; when it holds ``MEMO`` of them, those of before are dropped.
+Texts in which white space is single spaces and line feeds come apart there, and each different piece of a batch is
+matched once; others are matched whole. A worker remembers the ids of pre-tokens it has met; when it holds ``MEMO`` of
+them, those of before are dropped.
+
+Nulls encode as the empty text, to no ids. Repeated rows give repeated results, other columns are ignored, an empty table
+gives none. Texts of any length are encoded whole; a batch ends after 250 texts.
 """
 
 from __future__ import annotations
@@ -16,10 +20,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm.common import map_batches, table
+from framelake.llm.common import SPACED, Memory, encode_spaced, map_batches, spaced, table
 
 #: Pre-tokens whose ids a Python worker holds at once: so many that are in use, and as many from before.
-MEMO = 150_000
+MEMO = 400_000
+
 
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings by hash and displace: n keys, n slots.
@@ -91,7 +96,10 @@ class Vocabulary:
         nothing: dict[int, int] = {}
         self.join = [after.get(a, nothing).get for a in range(max(self.ids) + 1)]
         self.packed = {r: r.to_bytes(4, "little") for r in self.ids}
-        self.text = dict(zip(self.ids, self.tokens, strict=True))
+        sizes = np.zeros(max(self.ids) + 1, np.int64)
+        sizes[self.ids] = [len(t) for t in self.tokens]
+        by_id = b"".join(t for _, t in sorted(zip(self.ids, self.tokens, strict=True)))
+        self.bytes = np.frombuffer(by_id, np.uint8), np.cumsum(sizes) - sizes, sizes
 
     def whole(self, pieces: list[bytes]) -> list[int]:
         """First tier: the id of each piece that is a token itself, else -1."""
@@ -136,32 +144,27 @@ class Codec:
     """Encodes texts to ids, packed as little-endian unsigned 32-bit integers, and back."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.v, self.split, self.memo, self.old = vocabulary, regex.compile(pattern).findall, {}, {}
+        self.v, self.split, self.cut = vocabulary, regex.compile(pattern).findall, pattern == SPACED
+        self.memory = Memory(self._tokens, MEMO)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, out = self.split, []
-        for text in texts:
-            pieces, memo = split(text), self.memo
-            try:
-                out.append(b"".join([memo[p] for p in pieces]))
-            except KeyError:
-                if len(memo) > MEMO:
-                    self.old, self.memo = memo, {}
-                    memo = self.memo
-                self._learn([p for p in dict.fromkeys(pieces) if p not in memo])
-                out.append(b"".join([memo[p] for p in pieces]))
-        return out
+        plain = [self.cut and spaced(t) for t in texts]
+        own = iter(encode_spaced([t for t, p in zip(texts, plain, strict=True) if p], self.split, self.memory, 4))
+        return [next(own) if p else self._whole(t) for t, p in zip(texts, plain, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        tokens = self.split(text)
+        return b"".join(map(self.memory.holding(tokens).__getitem__, tokens))
 
-    def _learn(self, pieces: list[str]) -> None:
-        memo, old, merged, packed = self.memo, self.old, self.v.merged, self.v.packed
-        memo.update((p, old[p]) for p in pieces if p in old)
-        pieces = [p for p in pieces if p not in old]
-        raw = [p.encode() for p in pieces]
-        for p, b, k in zip(pieces, raw, self.v.whole(raw), strict=True):
-            memo[p] = packed[k] if k >= 0 else b"".join([packed[x] for x in merged(b)])
+    def _tokens(self, tokens: list[str]) -> list[bytes]:
+        merged, packed, raw = self.v.merged, self.v.packed, [t.encode() for t in tokens]
+        return [packed[k] if k >= 0 else b"".join([packed[x] for x in merged(b)]) for b, k in zip(raw, self.v.whole(raw), strict=True)]
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.v.text.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        ids, (flat, starts, sizes) = np.frombuffer(packed, "<u4"), self.v.bytes
+        n = sizes[ids]
+        ends = np.cumsum(n)
+        return flat[np.repeat(starts[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 _codecs: dict[str, Codec] = {}
@@ -183,8 +186,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fal
         if key not in _codecs:
             _codecs[key] = Codec(Vocabulary(shared.value), pattern)
         codec, out = _codecs[key], {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-        for text in batch["text"]:
-            (ids,) = codec.encode([text or ""])
+        for ids in codec.encode([t or "" for t in batch["text"]]):
             decoded = codec.decode(ids)
             out["n_tokens"].append(len(ids) // 4)
             out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
@@ -195,7 +197,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fal
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return map_batches(docs, f, schema, ["doc_id", "text"])
+    return map_batches(docs, f, schema, ["doc_id", "text"], 250 if with_ids else 1000)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

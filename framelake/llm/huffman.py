@@ -1,16 +1,18 @@
 """Token ids as canonical length-limited Huffman codes, in independent blocks with bit-offset checkpoints.
 
 Documents in ascending doc_id order (null first, ties by text) are tokenized and each gets an end id. Ids are counted
-over all documents; the code lengths follow from the counts by the coin-collector's method and give the code, as only
-lengths are stored. A block holds whole documents, at least ``BLOCK`` ids unless it is the last of its part, and a
+over all documents; the code lengths follow from the counts by the coin-collector's method and give the code, so that
+the files hold lengths only. A block holds whole documents, at least ``BLOCK`` ids unless it is the last of its part, and a
 checkpoint every ``STEP`` ids, from which all are decoded side by side through one table.
 
 Files are Parquet tables in the shared folder, a row per block, so that Spark's commit decides which exist. Null texts
-are empty and hold the end id only. Repeated rows are documents of their own. Long texts make long blocks.
+are empty and hold the end id only. Repeated rows are documents of their own. Long texts make long blocks. An empty table
+gives no blocks and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -21,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import table, with_sizes, written
+from framelake.llm.common import SPACED, Memory, encode_spaced, spaced, table, with_sizes, written
 
 BLOCK, STEP, MOST_BITS, END = 1 << 16, 128, 16, 2
 HEADER = struct.Struct("<4sIII")
-#: Pieces of text whose ids a Python worker holds at once: so many that are in use, and as many from before.
-MEMO = 400_000
+#: Pre-tokens whose ids a Python worker holds at once: so many that are in use, and as many from before.
+MEMO = 500_000
 
 
 def lengths_of(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -110,62 +112,58 @@ class Codebook:
 
 
 class Tokenizer:
-    """Ids by the tokenizers library; pieces between single spaces are looked up once and remembered."""
+    """Ids by the tokenizers library, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    odd = regex.compile("  | [\\t\\n\\r]|[\\t\\n\\r] |^ | $|[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x85\\xa0\\u0250-\\U0010ffff]").search
+    Where the file splits texts by the byte-level pattern alone, pre-tokens are looked up and only those not met before
+    go to the library's model; texts that hold an added token or other white space, and other files, go to it whole.
+    """
 
-    def __init__(self, spec: str, pattern: str, width: int):
+    def __init__(self, spec: str, pattern: str, width: int, specials_as_text: bool = False):
         from tokenizers import Tokenizer as Library
 
-        self.library = Library.from_str(spec)
-        self.library.encode_special_tokens = True
+        self.library, parts = Library.from_str(spec), json.loads(spec)
+        self.library.encode_special_tokens = specials_as_text
         self.library.no_truncation()
-        self.split, self.memo, self.old, self.width = regex.compile(pattern).findall, {}, {}, f"<u{width}"
+        split, model = parts["pre_tokenizer"] or {}, parts["model"]
+        plain = not parts["normalizer"] and split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"] and model["type"] == "BPE"
+        self.cut = plain and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")) and pattern == SPACED
+        self.added = [t["content"] for t in parts["added_tokens"]]
+        self.split, self.width, self.memory = regex.compile(pattern).findall, width, Memory(self._tokens, MEMO)
+        self.packed = [k.to_bytes(width, "little") for k in range(max(parts["model"]["vocab"].values()) + 1)]
         at = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a vocabulary file
         rest = iter(range(256, 512))
-        self.letters = [chr(b if b in at else next(rest)) for b in range(256)]
-
-    def _learn(self, piece: str) -> bytes:
-        token, letters = self.library.model.tokenize, self.letters
-        ids = [t.id for p in self.split(piece) for t in token("".join([letters[b] for b in p.encode()]))]
-        return np.array(ids, self.width).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if self.odd(text):  # other white space or letters beyond Latin: the library splits the text itself
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        memo, pieces = self.memo, text.replace(" ", "\0 ").split("\0")
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            if len(memo) > MEMO:
-                self.old, self.memo = memo, {}
-                memo = self.memo
-            old = self.old
-            for p in pieces:
-                if p not in memo:
-                    memo[p] = old[p] if p in old else self._learn(p)
-            return b"".join([memo[p] for p in pieces])
+        self.letters = {b: chr(b if b in at else next(rest)) for b in range(256)}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [self.cut and spaced(t) and not any(a in t for a in self.added) for t in texts]
+        own = iter(encode_spaced([t for t, p in zip(texts, plain, strict=True) if p], self.split, self.memory, self.width))
+        return [next(own) if p else self._whole(t) for t, p in zip(texts, plain, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    def _tokens(self, tokens: list[str]) -> list[bytes]:
+        model, letters, packed = self.library.model.tokenize, self.letters, self.packed
+        return [b"".join([packed[t.id] for t in model(p.encode().decode("latin-1").translate(letters))]) for p in tokens]
 
 
 _tokenizers: dict[str, Tokenizer] = {}
 
 
-def tokenized(docs: DataFrame, spec: str, pattern: str, end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, spec: str, pattern: str, end: int = END, specials_as_text: bool = False) -> DataFrame:
     """part, seq, doc_id and ids (little-endian, of 2 bytes if the vocabulary allows) of each document, in range parts by doc_id."""
-    import json
-
     wide = 2 if max(json.loads(spec)["model"]["vocab"].values()) < 1 << 16 else 4
-    shared, key = docs.sparkSession.sparkContext.broadcast(spec), f"{zlib.crc32(spec.encode())} {len(spec)} {pattern} {wide}"
+    shared, key = docs.sparkSession.sparkContext.broadcast(spec), f"{zlib.crc32(spec.encode())} {len(spec)} {pattern} {wide} {specials_as_text}"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         if key not in _tokenizers:
-            _tokenizers[key] = Tokenizer(shared.value, pattern, wide)
+            _tokenizers[key] = Tokenizer(shared.value, pattern, wide, specials_as_text)
         own = _tokenizers[key]
         part, seq, tail = TaskContext.get().partitionId(), 0, end.to_bytes(wide, "little")
         for b in batches:
-            ids = [own.encode(t or "") + tail for t in b.column(1).to_pylist()]
+            ids = [x + tail for x in own.encode([t or "" for t in b.column(1).to_pylist()])]
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(seq, seq + n)), b.column(0), pa.array(ids, pa.binary())], names=["part", "seq", "doc_id", "ids"])
             seq += n
@@ -193,18 +191,19 @@ def counted(ids: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def stored(ids: DataFrame, width: int, counts: np.ndarray) -> DataFrame:
-    """The files' rows: part, seq of the first document, doc_ids, sizes, n_ids and block."""
+def stored(ids: DataFrame, width: int, counts: np.ndarray, path: str | None = None) -> DataFrame:
+    """The files' rows: part, seq of the first document, doc_ids, sizes, n_ids, code (its lengths, packed) and block."""
     lengths = lengths_of(counts)
+    code = zlib.compress(lengths.astype(np.uint8).tobytes())
 
     def run(batches):
         book = Codebook(lengths)
-        names = ["part", "seq", "doc_ids", "sizes", "n_ids", "block"]
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        names = ["part", "seq", "doc_ids", "sizes", "n_ids", "code", "block"]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
 
         def row(own):
             x = np.concatenate([o[3] for o in own])
-            values = [own[0][0], own[0][1], [o[2] for o in own], [len(o[3]) for o in own], len(x), book.encode(x)]
+            values = [own[0][0], own[0][1], [o[2] for o in own], [len(o[3]) for o in own], len(x), code, book.encode(x)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
         own, n = [], 0
@@ -219,39 +218,43 @@ def stored(ids: DataFrame, width: int, counts: np.ndarray) -> DataFrame:
         if own:
             yield row(own)
 
-    return written(with_sizes(ids).mapInArrow(run, "part long, seq long, doc_ids array<long>, sizes array<long>, n_ids long, block binary"))
+    return written(with_sizes(ids).mapInArrow(run, "part long, seq long, doc_ids array<long>, sizes array<long>, n_ids long, code binary, block binary"), path)
 
 
-def read_back(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
-    lengths = lengths_of(counts)
+def read_back(blocks: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone."""
     sizes = blocks.select("part", "seq", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a part
     firsts = sizes.join(parts, "part").withColumn("first", F.col("before") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
 
     def run(batches):
-        book = Codebook(lengths)
+        books = {}  # one: all files have the same code
         for b in batches:
-            for part, seq, docs, own, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for part, seq, docs, own, code, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if code not in books:
+                    books = {code: Codebook(np.frombuffer(zlib.decompress(code), np.uint8))}
+                book = books[code]
                 ids = book.decode(block).astype("<u4")
                 ends = np.cumsum(own)
                 crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), own, strict=True)]
                 k = len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part)), pa.array(np.full(k, seq)), pa.array(docs, pa.int64()), pa.array(ends - own), pa.array(own, pa.int64()), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    decoded = blocks.select("part", "seq", "doc_ids", "sizes", "block").mapInArrow(run, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    decoded = blocks.select("part", "seq", "doc_ids", "sizes", "code", "block").mapInArrow(run, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return decoded.join(firsts.select("part", "seq", "first"), ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def coded(docs: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
-    """Tokenize, count, store and read back ``docs`` (doc_id, text)."""
+def coded(docs: DataFrame, tokenizer_path: str, pattern: str, path: str | None = None, specials_as_text: bool = False) -> DataFrame:
+    """Tokenize, count and store ``docs`` (doc_id, text), in files at ``path`` if it is given, and read the files back.
+
+    With ``specials_as_text`` the strings of added tokens in a text are text; else they are those tokens.
+    """
     spec = open(tokenizer_path, encoding="utf-8").read()
     if len(spec) > 64 << 20:
         raise ValueError("the tokenizer file is too large to be sent to each task")
-    ids, width = tokenized(docs, spec, pattern)
-    counts = counted(ids, width)
-    return read_back(stored(ids, width, counts), counts)
+    ids, width = tokenized(docs, spec, pattern, specials_as_text=specials_as_text)
+    return read_back(stored(ids, width, counted(ids, width), path))
 
 
 def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Operators on small fixtures with nulls, empties, repeats, extra columns and empty tables, against brute force."""
 
+import ast
 import base64
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -30,6 +33,25 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+SPACES = ["a b", "a  b", "a\nb", "a\n\nb", "a\n\n\nb", "a \n b", "\na", "\n\na", "a\n", "a\n\n", "a ", " a", "  a", " ", "\n", "\n\n", "a\tb", "a\r\nb", "it's 'so' \"'s", "x.'s y", "a\u00a0b \u2003c", "12ab3 a1'll", "e\u0301 \u0660\u0661x", "\0 \0a", "a\x1cb", " .\n\n.", "a\n\n b"]
+
+
+def test_pieces_of_spaced_texts():
+    """Every way of white space, against the libraries."""
+    from tokenizers import Tokenizer
+
+    g = np.random.default_rng(8)
+    texts = [*SPACES, *("".join(g.choice(list("ab 's.\n1\u00e9\u00a0\u65e5"), 30)) for _ in range(400))]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    codec = bpe.Codec(bpe.Vocabulary(open(P.path("byte_bpe_50k.tiktoken"), "rb").read()), P.PATTERN)
+    mine = huffman.Tokenizer(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read(), P.PATTERN, 2)
+    for text, one, other in zip(texts, codec.encode(texts), mine.encode(texts), strict=True):
+        assert np.frombuffer(one, "<u4").tolist() == own.encode_ordinary(text) and codec.decode(one) == text.encode()
+        assert np.frombuffer(other, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe(docs, none):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -42,18 +64,29 @@ def test_bpe(docs, none):
     assert bpe.encoded(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
-def test_huffman(docs, none):
+def test_huffman(docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in huffman.coded(docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect())
+    path = f"{tmp_path}/coded"
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in huffman.coded(docs, P.path("byte_bpe_50k.json"), P.PATTERN, path).collect())
     at, want = 0, []
     for i in sorted([*range(len(TEXTS)), 5]):
         ids = [*own.encode(TEXTS[i] or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
+    # the files alone, in another process
+    script = "import sys, zlib, numpy as np, pyarrow.parquet as pq; from framelake.llm.huffman import Codebook\nfor r in pq.read_table(sys.argv[1]).to_pylist(): print(r['doc_ids'], zlib.crc32(Codebook(np.frombuffer(zlib.decompress(r['code']), np.uint8)).decode(r['block']).astype('<u4').tobytes()))"
+    lines_out = subprocess.run([sys.executable, "-c", script, path], capture_output=True, text=True, check=True).stdout.splitlines()
+    ids = {i: [*own.encode(TEXTS[i] or "", add_special_tokens=False).ids, 2] for i in range(len(TEXTS))}
+    for line in lines_out:
+        doc_ids, crc = line.rsplit(" ", 1)
+        assert int(crc) == zlib.crc32(np.array([x for i in ast.literal_eval(doc_ids) for x in ids[i]], "<u4").tobytes())
+    own.encode_special_tokens = True
+    k = next(i for i, t in enumerate(TEXTS) if t and "<|endoftext|>" in t)
+    got = huffman.coded(docs.where(f"doc_id = {k}"), P.path("byte_bpe_50k.json"), P.PATTERN, specials_as_text=True).first()
+    assert got.n_tokens == len(own.encode(TEXTS[k], add_special_tokens=False).ids) + 1
     assert huffman.coded(none, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
