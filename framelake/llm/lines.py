@@ -3,14 +3,18 @@
 Lines are what ``\\n`` separates, without spaces around them; blank ones take no part and always stay. Two lines of
 ``MIN_CHARS`` characters or more link when at most ``edits`` insertions, deletions or substitutions of characters turn
 one into the other; shorter ones link with none. A line of any length goes when an equal or linked line occurs earlier,
-by doc_id and then line number.
-
-A line is split into edits+1 segments; one of them occurs unchanged in every linked line that is as long or longer, so
-segments are indexed by (length, segment number, characters) and each line probes the places where a line of each
-length allows them. Only lines that meet in the index are verified, by edit distance over a band of bits.
-
-Nulls and empty texts have no lines. Rows that repeat a doc_id with its text count as one document. A null doc_id
-comes before all others. Lines of any length are compared whole.
+by doc_id, text (as hashed) and line number.
+
+A line is split into edits+1 segments; one of them occurs unchanged, a few characters off at most, in every linked line.
+Segments have one width for all lengths of a class of three times ``STEP`` characters, so that they are indexed by (width,
+segment number, characters), the first and the last at no offset; lines at the border of a class probe the class below
+too. Keys that one line alone has are dropped by an aggregation that combines before its shuffle, whatever the number of
+copies. Where more than ``HOT`` lines share a key, what is left of them without the shared segment is split in turn,
+up to ``LEVELS`` times. Only lines that meet have letters counted and are verified, by edit distance over a band of bits.
+
+Nulls and empty texts have no lines. Rows that repeat a doc_id with its text count as one document; rows that repeat it
+with other texts are documents of their own. A null doc_id comes before all others. Lines of any length are compared whole.
+An empty table gives none; other columns are kept by the stage and ignored by the query.
 """
 
 from __future__ import annotations
@@ -20,48 +24,59 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import table, written
 
-MIN_CHARS, EDITS = 50, 2
+MIN_CHARS, EDITS, STEP = 50, 2, 8
+#: Lines of one key that are compared at once, and how often a key of more is split.
+HOT, LEVELS = 32, 4
 #: Characters counted in each line, to pass over pairs whose counts differ too much.
 COUNTED = "etnirsaoldhucmfg"
-#: Rows of ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that may be broadcast in one join, as counted; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+PLACE = "doc_id", "t", "no"
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its rows, of a few numbers each, are few; counted first."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows of about ``row_bytes`` are few; counted first."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def line_rows(docs: DataFrame, min_chars: int, counts: bool = False) -> DataFrame:
-    """doc_id, no (from 0), line, size, and two hashes a and b of each line that takes part; on demand counts of some letters.
+def line_rows(docs: DataFrame, min_chars: int, text: bool = True) -> DataFrame:
+    """doc_id, t (hash of its text), no (from 0), size, two hashes a and b, and the line, of each line that takes part.
 
     All of a line's values come out of one generator: as plain columns, the optimizer would write the expressions of
     line and size into each of the many keys made from them.
     """
 
     def of(line: Column, no: Column) -> Column:
-        size = F.length(line)
-        values = [no.alias("no"), line.alias("line"), size.alias("size"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b")]
-        return F.struct(*values, *([_counts(line).alias("counts")] if counts else []))
+        values = [no.alias("no"), F.length(line).alias("size"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b")]
+        return F.struct(*values, *([line.alias("line")] if text else []))
 
     lines = F.transform(F.split("text", "\n"), lambda line, no: F.struct(F.trim(line).alias("line"), no.alias("no")))
     long = F.filter(lines, lambda x: F.length(x.line) >= min_chars)
-    return docs.select("doc_id", F.inline(F.transform(long, lambda x: of(x.line, x.no))))
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), F.inline(F.transform(long, lambda x: of(x.line, x.no))))
+
+
+def segment_keys(rows: DataFrame, keep: list[str], edits: int, line: str = "line", step: int = STEP, prior: str = "0L", bit: int = 1) -> DataFrame:
+    """Columns ``keep`` of each row with key, at and n (the segment's place), and own: ``bit`` is set in own for a
+    line's own segments, not for places where a line may hold those of another.
+
+    Of width w, segment i starts at i*w and is edits//2 shorter, the last one ends the line. An unchanged segment lies up
+    to min(i, edits-i) characters before, or i after, its own place. The former needs no probe between lines of one class:
+    seen from the other line it lies after, and the spare characters are part of what is unchanged.
+    """
+    parts, slack = edits + 1, edits // 2
+    rows = rows.withColumn("_w", F.expr(f"cast({step} * (length({line}) div {parts * step}) as int)"))
+    rows = rows.withColumn("_low", F.expr(f"cast({step} * ((length({line}) - {edits}) div {parts * step}) as int)"))
 
+    def part(w: str, i: int, off: int, flag: int) -> str:
+        n = w if i in (0, edits) else f"greatest({w} - {slack}, 0)"
+        at = f"length({line}) - {w} + 1" if i == edits else f"{w} * {i} + {off + 1}"
+        return f"named_struct('key', xxhash64({prior}, {w}, {i}, substring({line}, {at}, {n})), 'at', {at}, 'n', {n}, 'own', {flag})"
 
-def _keys(edits: int) -> tuple[Column, Column]:
-    """Hashes of a line's own segments, and of the places at which it may hold those of lines at most as long."""
-    own, probes, parts = [], [], edits + 1
-    size = F.col("size")
-    for shorter in range(edits + 1):
-        length = size - shorter
-        for i in range(parts):
-            start, end = F.expr(f"(size - {shorter}) * {i} div {parts}"), F.expr(f"(size - {shorter}) * {i + 1} div {parts}")
-            if not shorter:
-                own.append(F.xxhash64(length, F.lit(i), F.substring("line", start.cast("int") + 1, (end - start).cast("int"))))
-            for off in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                probes.append(F.xxhash64(length, F.lit(i), F.substring("line", start.cast("int") + 1 + off, (end - start).cast("int"))))
-    return F.array(*own), F.array(*probes)
+    own = [part("_w", i, 0, bit) for i in range(parts)]
+    after = [part("_w", i, off, 0) for i in range(1, edits) for off in range(1, i + 1)]
+    below = [part("_low", i, off, 0) for i in range(parts) for off in (range(-min(i, edits - i), i + 1) if i < edits else [0])]
+    every = f"array({', '.join(own + after)})"
+    return rows.select(*keep, F.expr(f"inline(if(_low < _w, concat({every}, array({', '.join(below)})), {every}))"))
 
 
 def _counts(line: Column) -> Column:
@@ -127,34 +142,62 @@ def with_distance(pairs: DataFrame, one: str, other: str, edits: int) -> DataFra
     return written(out.drop("_a", "_b", "_m", "_n", "_rows"))
 
 
+def met(rows: DataFrame) -> DataFrame:
+    """Keys that two different lines have, one of them as its own."""
+    both = rows.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.max("own").alias("own"))
+    return written(both.where("x <> y and own > 0").select("key"))
+
+
+def candidates(lines: DataFrame, texts_of: object, edits: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y: hashes of lines that share a segment and about the same letters, once; the texts of all that met)."""
+    rows = segment_keys(lines, ["a", "size"], edits)
+    members = written(rows.join(small(met(rows)), "key").groupBy("key", "a", "size", "at", "n").agg(F.max("own").alias("own")))
+    texts = texts_of(members.select("a").distinct())
+    letters = written(texts.select("a", _counts(F.col("line")).alias("counts")))
+    out, full = [], 1
+    for level in range(1, LEVELS + 1):
+        hot = written(members.groupBy("key").agg(F.count_distinct("a").alias("k")).where(f"k > {HOT}").select("key"))
+        last = level == LEVELS or hot.isEmpty()
+        few = members if last else members.join(small(hot), "key", "left_anti")
+        few = few.groupBy("key", "a", "size").agg(F.bit_or("own").alias("own")).join(letters, "a")
+        close = f"x.a < y.a and (x.own | y.own) = {full} and abs(x.size - y.size) <= {edits} and {_apart('x.counts', 'y.counts')} <= {2 * edits}"
+        out.append(written(few.alias("x").join(few.alias("y"), "key").where(close).select(F.col("x.a").alias("x"), F.col("y.a").alias("y")).distinct()))
+        if last:
+            break
+        rest = members.join(small(hot), "key")
+        rest = rest.join(texts.select("a", "line"), "a") if level == 1 else rest
+        rest = rest.withColumn("line", F.expr("concat(substring(line, 1, at - 1), substring(line, at + n))")).withColumnsRenamed({"key": "_key", "own": "_own"}).drop("at", "n")
+        full |= 1 << level
+        deeper = written(segment_keys(rest, ["a", "size", "line", "_own"], edits, step=2, prior="_key", bit=1 << level).withColumn("own", F.expr("own | _own")).drop("_own"))
+        keys = written(deeper.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("key"))
+        members = written(deeper.join(small(keys), "key"))
+    pairs = out[0]
+    for more in out[1:]:
+        pairs = pairs.unionByName(more)
+    return written(pairs.distinct()), texts
+
+
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(places: doc_id, no, a, b of each line but blank ones; firsts: a, b, size, first place and copies of each
-    different line; links: a, b, a2, b2 of each two different lines that link, once)."""
+    """(places: doc_id, t, no, a, b of each line but blank ones; firsts: a, b, first place and copies of each different
+    line; links: a, b, a2, b2 of each two different lines that link, once)."""
     lines = line_rows(docs, min_chars)
-    places = written(line_rows(docs, 1).drop("line"))
-    firsts = written(places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size")))
-    again = firsts.where(f"copies > 1 and size >= {min_chars}").select("a", "b", "first")
-    again = small(again)
-
-    def once(rows: DataFrame) -> DataFrame:
-        """The first row of each different line."""
-        return rows.join(again, ["a", "b"], "left").where(F.col("first").isNull() | F.struct("doc_id", "no").eqNullSafe(F.col("first"))).drop("first")
-
-    each = once(line_rows(docs, min_chars, True))
-    own, probes = _keys(edits)
-    index = each.select("a", "size", "counts", F.explode(own).alias("key"))
-    probe = each.select("a", "size", "counts", F.explode(probes).alias("key"))
-    met = index.alias("i").join(probe.alias("p"), "key").where("i.a < p.a or i.a > p.a and p.size > i.size").where(f"p.size - i.size between 0 and {edits} and {_apart('i.counts', 'p.counts')} <= {2 * edits}")
-    pairs = written(met.select(F.least("i.a", "p.a").alias("x"), F.greatest("i.a", "p.a").alias("y")).distinct())
-    ids = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
-    texts = written(once(lines).join(small(ids), "a", "left_semi").select("a", "b", "line"))
+    places = written(line_rows(docs, 1, False).drop("size"))
+    firsts = written(places.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies")))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """a, b and line of the first copies of lines."""
+        first = written(firsts.join(small(written(ids), 16), "a").select("a", "b", "first.*"))
+        same = F.expr(" and ".join(f"l.{c} <=> f.{c}" for c in ("a", *PLACE)))
+        return written(lines.alias("l").join(small(first).alias("f"), same).select("f.a", "f.b", "l.line").distinct())
+
+    pairs, texts = candidates(lines, texts_of, edits)
     both = pairs.join(texts.select(F.col("a").alias("x"), "b", "line"), "x").join(texts.select(F.col("a").alias("y"), F.col("b").alias("b2"), F.col("line").alias("line2")), "y")
     near = with_distance(both, "line", "line2", edits).where(F.col("distance") <= edits)
     return places, firsts, written(near.select(F.col("x").alias("a"), "b", F.col("y").alias("a2"), "b2"))
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, no, of each line that goes, the place (keeper) of the earliest line that it equals or links with, and
+    """doc_id, t, no, of each line that goes, the place (keeper) of the earliest line that it equals or links with, and
     how many other lines (links) it links with."""
     places, firsts, links = line_links(docs, edits, min_chars)
     first = firsts.select("a", "b", "first", "copies")
@@ -162,33 +205,43 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     near = there.join(first.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("first").alias("other")), ["a2", "b2"])
     near = near.groupBy("a", "b").agg(F.min("other").alias("other"), F.count("*").alias("links"))
     of_note = first.join(near, ["a", "b"], "left").where("copies > 1 or other is not null")
-    of_note = of_note.select("a", "b", F.least("first", "other").alias("keeper"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = places.join(small(of_note), ["a", "b"])
-    return out.where(~F.struct("doc_id", "no").eqNullSafe(F.col("keeper"))).select("doc_id", "no", "keeper", "links")
+    of_note = written(of_note.select("a", "b", F.least("first", "other").alias("keeper"), F.coalesce("links", F.lit(0)).alias("links")))
+    out = places.join(small(of_note, 96), ["a", "b"])
+    return out.where(~F.struct(*PLACE).eqNullSafe(F.col("keeper"))).select(*PLACE, "keeper", "links")
 
 
 def by_document(dropped: DataFrame) -> DataFrame:
-    """doc_id and, of its lines that go: numbers, documents of the lines that stay, and links."""
-    return dropped.groupBy("doc_id").agg(
+    """doc_id, t and, of its lines that go: numbers, documents of the lines that stay, and links."""
+    of = dropped.groupBy("doc_id", "t").agg(
         F.array_sort(F.collect_set("no")).alias("dropped_lines"),
         F.array_sort(F.collect_set("keeper.doc_id")).alias("kept_in"),
         F.sum("links").alias("n_links"),
     )
+    return written(of)
+
+
+def with_dropped(docs: DataFrame, by: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as the struct d, with what ``by_document`` says of it as the struct o."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.xxhash64("text").alias("t"))
+    size = by.agg(F.coalesce(F.sum(64 + 4 * F.size("dropped_lines") + 8 * F.size("kept_in")), F.lit(0))).first()[0]
+    o = by.select(F.struct("*").alias("o"))
+    return rows.join(F.broadcast(o) if size <= BROADCAST_BYTES else o, F.expr("d.doc_id <=> o.doc_id and t = o.t"), "left")
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, dropped_lines, kept_in, n_links and kept_chars."""
     by = by_document(dropped_lines(docs, edits, min_chars))
-    found = docs.select("doc_id", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")).alias("lines")).join(small(by), "doc_id", "left")
-    drop = F.coalesce("dropped_lines", F.array().cast("array<int>"))
-    stays = F.filter("lines", lambda line, no: ~F.array_contains(drop, no))
+    found = with_dropped(docs.select("doc_id", "text"), by)
+    lines = F.coalesce(F.split("d.text", "\n"), F.array().cast("array<string>"))
+    drop = F.coalesce("o.dropped_lines", F.array().cast("array<int>"))
+    stays = F.filter(lines, lambda line, no: ~F.array_contains(drop, no))
     return found.select(
-        "doc_id",
-        F.size("lines").alias("n_lines"),
+        "d.doc_id",
+        F.size(lines).alias("n_lines"),
         F.size(drop).alias("n_dropped"),
         drop.alias("dropped_lines"),
-        F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("o.kept_in", F.array().cast("array<bigint>")).alias("kept_in"),
+        F.coalesce("o.n_links", F.lit(0)).alias("n_links"),
         F.length(F.array_join(stays, "\n")).alias("kept_chars"),
     )
 
@@ -199,9 +252,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that go; n_chars follows. A document that loses lines and keeps only blank ones goes with them."""
-    by = by_document(dropped_lines(docs)).select("doc_id", "dropped_lines")
-    found = docs.join(small(by), "doc_id", "left")
-    left = F.array_join(F.expr("filter(split(text, '\n'), (x, i) -> not array_contains(dropped_lines, i))"), "\n")
-    text = F.when(F.col("dropped_lines").isNull(), F.col("text")).otherwise(left)
-    out = found.withColumn("text", text).where(F.col("dropped_lines").isNull() | (F.trim("text") != ""))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    found = with_dropped(docs, by_document(dropped_lines(docs)))
+    left = F.array_join(F.expr("filter(split(d.text, '\n'), (x, i) -> not array_contains(o.dropped_lines, i))"), "\n")
+    found = found.withColumn("left", F.when(F.col("o.t").isNull(), F.col("d.text")).otherwise(left))
+    found = found.where(F.col("o.t").isNull() | (F.trim("left") != ""))
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+    return found.select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))

@@ -211,6 +211,58 @@ def test_lines(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() > 0
 
 
+def edited(g, line, edits):
+    own = list(line)
+    for _ in range(edits):
+        k = int(g.integers(0, len(own) + 1))
+        kind = g.integers(0, 3)
+        own[k : k + (kind > 0)] = ["#"] if kind < 2 else []
+    return "".join(own)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_line_classes_and_hot_segments(spark):
+    """Up to two edits anywhere, over all lengths of several classes; and segments that far more lines share than are compared at once."""
+    g, texts, want = np.random.default_rng(6), [], set()
+    for size in range(50, 128):
+        base = "".join(g.choice(list("abcdefgh "), size - 1)) + "z"
+        for edits in (0, 1, 2, 2, 2):
+            texts.append(edited(g, base, edits).strip(" "))
+    def links(group):
+        return {(i, j) for n, i in enumerate(group) for j in group[:n] if texts[i] != texts[j] and min(len(texts[i]), len(texts[j])) >= 50 and distance(texts[i], texts[j]) <= 2}
+    for k in range(0, len(texts), 5):
+        want |= links(range(k, k + 5))
+    start = len(texts)
+    for _ in range(150):
+        texts.append("the same beginning of a line of a form, then " + "".join(g.choice(list("abcd"), 7)) + " and its very same ending as well")
+    want |= links(range(start, len(texts)))
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, t int, dropped_lines int")
+    _, firsts, found = lines.line_links(df.select("doc_id", "text"))
+    first = {(r.a, r.b): r.first.doc_id for r in firsts.collect()}
+    same = {i: texts.index(t) for i, t in enumerate(texts)}
+    assert {frozenset((first[r.a, r.b], first[r.a2, r.b2])) for r in found.collect()} == {frozenset((same[i], same[j])) for i, j in want}
+    kept = lines.line_dedup_stage(spark, df, "")
+    gone = {max(p) for p in ({same[i], same[j]} for i, j in want)} | {i for i in same if same[i] != i}
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(same) - gone
+
+
+def test_lines_of_odd_ids(spark):
+    """Null ids, and ids that stand for two texts, each lose their own repeated lines only."""
+    rows = [(None, "first\nagain"), (1, "again\nown"), (1, "other\nagain"), (None, "last\nagain"), (1, "again\nown")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.text for r in lines.line_dedup_stage(spark, df, "").collect())
+    assert len(kept) == 5 and sum("again" in t for t in kept) == 1 and sum("own" in t for t in kept) == 2
+
+
 def test_short_lines(spark):
     """Exact repeats go at every length; short lines that only resemble each other, and blank ones, stay."""
     notice = "All rights reserved."
