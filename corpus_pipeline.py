@@ -6,12 +6,11 @@ Each stage works on all that the one before kept; ``run`` writes each stage's re
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from framelake.llm.bpe import encoded
 from framelake.llm.common import table, written
 from framelake.llm.jaccard import grouped
-from framelake.llm.lines import BROADCAST_ROWS, line_dedup_stage
+from framelake.llm.lines import line_dedup_stage, small
 from framelake.llm.mixture import mixture_stage
 from framelake.llm.toxicity import toxicity_stage
 
@@ -19,8 +18,7 @@ from framelake.llm.toxicity import toxicity_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of smallest doc_id; five words, a similarity of 0.8 or more."""
     gone = written(grouped(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct())
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(gone, 16), "doc_id", "left_anti").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
