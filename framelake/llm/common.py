@@ -39,10 +39,10 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_sizes(df: DataFrame) -> DataFrame:
-    """Arrow batches of bounded bytes, so that very long texts don't fill a Python worker."""
+def with_sizes(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Arrow batches of bounded bytes, so that very long texts don't fill a Python worker; set in the session."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df
 

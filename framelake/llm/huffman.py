@@ -168,7 +168,7 @@ def tokenized(docs: DataFrame, spec: str, pattern: str, end: int = END, specials
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(seq, seq + n)), b.column(0), pa.array(ids, pa.binary())], names=["part", "seq", "doc_id", "ids"])
             seq += n
 
-    return written(with_sizes(dealt).mapInArrow(run, "part long, seq long, doc_id long, ids binary")), wide
+    return written(with_sizes(dealt, 4000).mapInArrow(run, "part long, seq long, doc_id long, ids binary")), wide
 
 
 def counted(ids: DataFrame, width: int) -> np.ndarray:
