@@ -3,14 +3,17 @@
 A document's size is its number of words. Sources in code-point order, null last, weigh 1, 2, 3, repeating, and share
 the words of all sources; a target stops at ``MOST`` times its source's words and the excess is shared again by weight.
 
-Each source's words, in an order of hashed doc_ids, form blocks of ``BLOCK`` words (the last one may be shorter). An output shard has
-a fixed number of slots; a multinomial draw gives each source its count of them, and no source more slots in all than
-``MOST`` times its blocks. A source's slots, numbered over all shards, go through the permutation of its block numbers
-that belongs to their round (slot div blocks); in a round each block is taken once. Slots and blocks meet in a
-join on (source, block).
-
-Documents without words are taken 0 times. Rows that repeat a doc_id are documents of their own. Reruns agree: draws
-are seeded by shard. Only one row a source comes to the driver, never a document.
+Each source's words, in an order of hashed doc_ids, form blocks of ``BLOCK`` words (the last one may be shorter), and its
+target over the mean words of its blocks is its goal of slots. An output shard has a fixed number of slots; a multinomial
+draw gives each source its count of them. A source's slots, numbered over all shards, go through the permutation of its
+block numbers that belongs to their round (slot div blocks); in a round each block is taken once. Slots beyond its goal
+don't count, and one more shard draws what sources still lack, so that what is taken strays from a target by less than
+two blocks. Slots and blocks meet in a join on (source, block).
+
+Documents without words, and null texts, are taken 0 times. Rows that repeat a doc_id, and rows with a null doc_id, are
+documents of their own; equal rows are told apart by an arbitrary number. Texts of any length are taken from whole. An
+empty table gives none; other columns, whatever their names, are kept by the stage and ignored by the query. Reruns agree:
+draws are seeded by shard. Only one row a source comes to the driver, never a document.
 """
 
 from __future__ import annotations
@@ -64,36 +67,59 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _slots(spark: SparkSession, sources: DataFrame, shares: list[float], slots: int, seed: int) -> DataFrame:
-    """source and block of every slot. sources: source (its number) and blocks, one row a source."""
-    p = np.array(shares, float)
+def goals(sizes: list[int], aims: list[float]) -> list[int]:
+    """Slots of each source: its target over the mean words of its blocks, to the nearest; MOST times its blocks at most."""
+    blocks = [-(-s // BLOCK) for s in sizes]
+    return [min(MOST * b, int(t * b / s + 0.5)) if s else 0 for s, t, b in zip(sizes, aims, blocks, strict=True)]
+
+
+def drawn_counts(goal: np.ndarray, shard: int, seed: int) -> np.ndarray:
+    """The multinomial draw of a shard: how many of its slots each source has."""
+    slots = int(goal.sum())
+    return np.random.default_rng([seed, shard]).multinomial(min(SHARD_SLOTS, slots - shard * SHARD_SLOTS), goal / slots)
+
+
+def blocks_of_slots(slot: np.ndarray, blocks: int, key: int) -> np.ndarray:
+    """The block of each of a source's slots: each round of ``blocks`` slots has a permutation of its own."""
+    out = np.zeros(len(slot), np.int64)
+    for turn in np.unique(slot // blocks):
+        own = slot // blocks == turn
+        out[own] = feistel(slot[own] % blocks, blocks, key * 8 + int(turn))
+    return out
+
+
+def _slots(spark: SparkSession, sources: DataFrame, goal: list[int], seed: int) -> DataFrame:
+    """source and block of every slot. sources: source (its number), blocks and goal, one row a source.
+
+    Draws that go beyond a source's goal don't count; what sources lack after all shards is the draw of one more shard.
+    """
+    p = np.array(goal, np.int64)
 
     def draw(batches):
         for b in batches:
-            shards = b.column(0).to_numpy()
-            counts = [np.random.default_rng([seed, int(k)]).multinomial(min(SHARD_SLOTS, slots - int(k) * SHARD_SLOTS), p / p.sum()) for k in shards]
-            rows = [(int(k), int(i), int(c[i])) for k, c in zip(shards, counts, strict=True) for i in np.flatnonzero(c)]
+            rows = [(int(k), int(i), int(c[i])) for k in b.column(0).to_numpy() for c in (drawn_counts(p, int(k), seed),) for i in np.flatnonzero(c)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], names=["shard", "source", "n"])
 
+    slots = int(p.sum())
     shards = -(-slots // SHARD_SLOTS)
     drawn = written(spark.range(0, shards, 1, min(max(1, shards // 8), 2000)).mapInArrow(draw, "shard long, source long, n long").withColumn("chunk", F.expr("shard div 1024")))
     # running sums in two steps, so that no source has all its shards in one task
     sums = drawn.groupBy("source", "chunk").agg(F.sum("n").alias("sum"))
     before = sums.withColumn("before", F.sum("sum").over(Window.partitionBy("source").orderBy("chunk")) - F.col("sum")).drop("sum")
     within = F.sum("n").over(Window.partitionBy("source", "chunk").orderBy("shard")) - F.col("n")
-    placed = drawn.withColumn("within", within).join(before, ["source", "chunk"]).join(F.broadcast(sources), "source")
-    placed = placed.select("source", "blocks", (F.col("before") + F.col("within")).alias("first"), "n")
+    placed = drawn.withColumn("within", within).join(before, ["source", "chunk"]).select("source", (F.col("before") + F.col("within")).alias("first"), "n")
+    lacks = sources.join(sums.groupBy("source").agg(F.sum("sum").alias("got")), "source", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    lacks = lacks.where("goal > got").select("source", F.explode(F.expr(f"sequence(got, goal - 1, {SHARD_SLOTS})")).alias("first")).withColumn("n", F.lit(SHARD_SLOTS).cast("long"))
+    placed = placed.unionByName(lacks).join(F.broadcast(sources), "source").withColumn("n", F.least("n", F.col("goal") - F.col("first"))).where("n > 0")
 
     def place(batches):
         for b in batches:
             for source, blocks, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                slot = np.arange(first, min(first + n, MOST * blocks))  # no block more than MOST times
-                block = np.zeros(len(slot), np.int64)
-                for turn in np.unique(slot // blocks):
-                    own = slot // blocks == turn
-                    block[own] = feistel(slot[own] % blocks, blocks, source * 8 + int(turn) + seed)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), source)), pa.array(block)], names=["source", "block"])
+                block = blocks_of_slots(np.arange(first, first + n), blocks, source + seed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, source)), pa.array(block)], names=["source", "block"])
 
+    # a row stands for thousands of slots: by slots, not by rows, are they dealt
+    placed = placed.select("source", "blocks", "first", "n").repartition(max(spark.sparkContext.defaultParallelism, slots >> 18))
     return placed.mapInArrow(place, "source long, block long")
 
 
@@ -110,8 +136,9 @@ def spans(docs: DataFrame, seed: int = 20) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"more than {SOURCES} sources")
     totals.sort(key=lambda r: (r.name is None, r.name or ""))
     aims = targets([r.size for r in totals], [i % 3 + 1 for i in range(len(totals))])
-    schema = "name string, source long, source_size long, target double, blocks long"
-    sources = F.broadcast(spark.createDataFrame([(r.name, i, r.size, aims[i], -(-r.size // BLOCK)) for i, r in enumerate(totals)], schema))  # at most SOURCES rows
+    goal = goals([r.size for r in totals], aims)
+    schema = "name string, source long, source_size long, target double, blocks long, goal long"
+    sources = F.broadcast(spark.createDataFrame([(r.name, i, r.size, aims[i], -(-r.size // BLOCK), goal[i]) for i, r in enumerate(totals)], schema))  # at most SOURCES rows
     parts = max(64, rows.count() // 20_000)
     named = rows.join(sources, rows.name.eqNullSafe(sources.name)).drop(sources.name)
     named = named.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
@@ -120,11 +147,10 @@ def spans(docs: DataFrame, seed: int = 20) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("source", "part").orderBy("doc_id", "digest", "size")
     same = Window.partitionBy("source", "part", "doc_id", "digest").orderBy("size")
     out = named.withColumn("copy", F.row_number().over(same)).withColumn("within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    out = written(out.join(before, ["source", "part"]).withColumn("at", F.col("before") + F.col("within")).drop("part", "before", "within", "blocks"))
-    total = int(round(sum(aims) / BLOCK))
-    if not total:
+    out = written(out.join(before, ["source", "part"]).withColumn("at", F.col("before") + F.col("within")).drop("part", "before", "within", "blocks", "goal"))
+    if not sum(goal):
         return out, spark.createDataFrame([], "source long, block long, times long")
-    slots = _slots(spark, sources.select("source", "blocks").where("blocks > 0"), aims, total, seed)
+    slots = _slots(spark, sources.select("source", "blocks", "goal").where("goal > 0"), goal, seed)
     return out, slots.groupBy("source", "block").agg(F.count("*").alias("times"))
 
 

@@ -297,6 +297,42 @@ def test_mixture(spark, docs, none):
     assert mixture.mixed(none).count() == 0
 
 
+def plain_mix(rows, seed):
+    """taken of each (doc_id, text, source) by loops over words; the hash of ids that orders a source comes from the operator."""
+    names = sorted({r[2] for r in rows}, key=lambda n: (n is None, n or ""))
+    size = [len(WORDS(r[1] or "")) for r in rows]
+    total = [sum(n for n, r in zip(size, rows) if r[2] == name) for name in names]
+    goal = mixture.goals(total, mixture.targets(total, [i % 3 + 1 for i in range(len(names))]))
+    got = [0] * len(names)
+    for shard in range(-(-sum(goal) // mixture.SHARD_SLOTS)):
+        got = [a + int(b) for a, b in zip(got, mixture.drawn_counts(np.array(goal), shard, seed))]
+    times = []
+    for source, (n, words) in enumerate(zip(goal, total)):
+        blocks = -(-words // mixture.BLOCK)
+        count = [0] * blocks
+        for slot in range(n):
+            count[int(mixture.feistel(np.array([slot % blocks]), blocks, (source + seed) * 8 + slot // blocks)[0])] += 1
+        times.append([c for c in count for _ in range(mixture.BLOCK)][:words])
+    return names, total, times
+
+
+def test_mixture_by_loops(spark):
+    g = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(g.integers(0, 400))), ["a", "b", "c", "d", None][min(4, int(g.exponential(1)))]) for i in range(300)] + [(900, "one two three four five six seven eight nine ten", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names, total, times = plain_mix(rows, 20)
+    spans, _ = mixture.spans(df)
+    at = {r.doc_id: r.at for r in spans.collect()}
+    got = {r.doc_id: r for r in mixture.mixed(df).collect()}
+    for i, t, name in rows:
+        n, k = len(WORDS(t)), names.index(name)
+        assert got[i].taken == sum(times[k][at[i] : at[i] + n]) and got[i].source_size == total[k]
+    for k, name in enumerate(names):
+        taken, aim = sum(times[k]), mixture.targets(total, [i % 3 + 1 for i in range(len(names))])[k]
+        assert abs(taken - aim) <= 2 * mixture.BLOCK and sum(got[i].taken for i, _, s in rows if s == name) == taken
+    assert got[900].taken == 30
+
+
 def test_toxicity(spark, docs, none):
     g = np.random.default_rng(0)
     plain = [f"word{k}" for k in range(60)]
