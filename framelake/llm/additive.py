@@ -4,13 +4,13 @@ Codebooks are fitted on the driver on at most ``SAMPLE`` vectors, those of small
 then turns of beam-search encoding and least squares for all codewords at once. Every vector is encoded by beam search
 and stored as its codes, the squared norm of the sum they stand for, and a hash of its values. A query's score is
 looked up: that norm less twice the inner products of the query with the codewords, from one table per query. Blocks
-of queries meet parts of the codes; each part keeps the ``RERANK`` best of a query, which are then reranked by exact
-distance.
+of queries meet chunks of the codes, and the best of a query are reranked by exact distance. How many grows with the table:
+the share of rows that held ``SURE`` of the nearest among the sample, measured after the fit, at least ``RERANK`` rows.
 
 Vectors that are null, zero, of another length than the sample's first, or hold null or non-finite components take no
-part. Of vectors that are equal, only as many as a result can hold compete for a query's places in a part, those of
+part; nor do rows with a null id. Of vectors that are equal, only as many as a result can hold compete for a query's places in a part, those of
 smallest id, which loses no result. Rows that repeat an id are candidates of their own. Fewer candidates than asked
-for give all of them.
+for give all of them. An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from framelake.llm.common import table, written
 
 BOOKS, WORDS, BEAM, SAMPLE, TURNS = 8, 256, 8, 8192, 4
-TOP, RERANK, QUERIES, ROWS = 10, 400, 256, 1 << 16
+TOP, RERANK, QUERIES, ROWS, SURE = 10, 400, 256, 1 << 16, 0.98
+#: Bytes of queries that may be broadcast; more meet the chunks by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -86,6 +88,21 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 5) ->
     return out
 
 
+def depth(x: np.ndarray, books: np.ndarray, top: int = TOP, sure: float = SURE) -> float:
+    """The share of the rows of ``x``, by score, that holds ``sure`` of the ``top`` nearest; over up to 256 of them as queries."""
+    codes, norm = (np.concatenate(p) for p in zip(*(encode(x[k : k + 1024], books) for k in range(0, len(x), 1024)), strict=True))
+    places = []
+    for q in range(0, len(x), max(1, len(x) // 256)):
+        away = ((x - x[q]) ** 2).sum(1)
+        away[q] = np.inf
+        tables = -2 * books @ x[q]
+        score = norm + tables[np.arange(len(books)), codes].sum(1)
+        place = np.empty(len(x), np.int64)
+        place[np.argsort(score, kind="stable")] = np.arange(len(x))
+        places.append(place[np.argsort(away, kind="stable")[: min(top, len(x) - 1)]])
+    return float(np.quantile(np.concatenate(places), sure) + 1) / len(x) if len(x) > 1 else 1.0
+
+
 def _column(batch: pa.RecordBatch, k: int, width: int) -> np.ndarray:
     return batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -104,6 +121,29 @@ def indexed(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     return vectors.select("vec_id", "v", F.xxhash64("v").alias("same")).mapInArrow(run, "vec_id long, code binary, norm double, same long")
 
 
+def packed(index: DataFrame, rows: int = ROWS) -> DataFrame:
+    """vec_ids, codes, norms and sames: each a binary column that holds the values of up to ``rows`` vectors of a task."""
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield row(held)
+                held, n = [], 0
+        if held:
+            yield row(held)
+
+    def row(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        numbers = [t.column(k).to_numpy().tobytes() for k in (0, 2, 3)]
+        values = [numbers[0], b"".join(t.column(1).to_pylist()), *numbers[1:]]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["vec_ids", "codes", "norms", "sames"])
+
+    return index.mapInArrow(run, "vec_ids binary, codes binary, norms binary, sames binary")
+
+
 def nearest(vectors: DataFrame, every: int = 100, top: int = TOP, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id and score: the ``top`` nearest found of each vector whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -114,46 +154,47 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = TOP, rerank: int =
         return spark.createDataFrame([], schema)
     width = len(sample[0].v)
     x = x.where(F.size("v") == width)
-    books = fit(np.array([r.v for r in sample if len(r.v) == width]))
+    own = np.array([r.v for r in sample if len(r.v) == width])
+    books = fit(own)
     index = written(indexed(x, books))
     n = index.count()
+    most = max(rerank, int(np.ceil(depth(own, books, top) * n)))
     queries = written(x.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    blocks, parts = -(-queries.count() // QUERIES), -(-n // ROWS)
-    # a block of queries is one row of bounded size; so is a run of codes; each run meets each block once
-    number = F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).alias("block")
-    packed_queries = queries.groupBy(number).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, parts) * 8)).alias("part")
-    packed_codes = index.groupBy(part).agg(F.collect_list(F.struct("vec_id", "code", "norm", "same")).alias("codes")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
+    asked = queries.count()
+    blocks = max(1, -(-asked // QUERIES))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
+    packed_queries = queries.groupBy(number).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))  # about QUERIES in each
+    if asked * width * 8 <= BROADCAST_BYTES:
+        packed_queries = F.broadcast(packed_queries)
+    chunks = packed(index.repartition(max(spark.sparkContext.defaultParallelism, n // ROWS), "vec_id"))
+    met = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed_queries, "block")
     shared = spark.sparkContext.broadcast(books)
 
     def score(batches):
-        m, k, _ = shared.value.shape
+        m = len(shared.value)
         for b in batches:
-            for qs, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                q = np.array([r["q"] for r in qs])
-                tables = -2 * np.einsum("qd,mkd->qmk", q, shared.value)
-                ids, same = np.array([r["vec_id"] for r in cs]), np.array([r["same"] for r in cs])
-                codes, norm = np.frombuffer(b"".join(r["code"] for r in cs), np.uint8).reshape(-1, m), np.array([r["norm"] for r in cs])
+            for qs, *chunk in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                ids, codes, norm, same = (np.frombuffer(c, t) for c, t in zip(chunk, (np.int64, np.uint8, np.float64, np.int64), strict=True))
+                codes = codes.reshape(-1, m)
                 order = np.lexsort((ids, same))
                 heads = np.flatnonzero(np.diff(same[order], prepend=~same[order][0]) != 0)
                 place = np.arange(len(order)) - np.repeat(heads, np.diff(heads, append=len(order)))
                 keep = np.sort(order[place <= top])  # of equal vectors, a result and the query itself hold no more
-                ids, codes, norm = ids[keep], codes[keep], norm[keep]
-                for r, t in zip(qs, tables, strict=True):
+                ids, codes, norm, same = ids[keep], codes[keep], norm[keep], same[keep]
+                for r in qs:
                     s = norm.copy()
-                    for j in range(m):
-                        s += t[j][codes[:, j]]
-                    some = np.arange(len(s)) if len(s) <= rerank else np.argpartition(s, rerank - 1)[:rerank]
-                    if len(some) < len(s):  # all that tie with the last, then by id
-                        some = np.flatnonzero(s <= s[some].max())
-                    some = some[np.lexsort((ids[some], s[some]))][:rerank]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), r["query_id"])), pa.array(ids[some]), pa.array(s[some]), pa.array(same[keep][some])], names=["query_id", "vec_id", "near", "same"])
-
-    met = packed_codes.join(packed_queries, "block").select("queries", "codes").repartition(max(6, blocks * parts * 8))
-    found = met.mapInArrow(score, "query_id long, vec_id long, near double, same long").where(F.col("query_id") != F.col("vec_id"))
+                    for t, c in zip(-2 * shared.value @ np.array(r["q"]), codes.T, strict=True):
+                        s += t[c]
+                    some = np.arange(len(s))
+                    if len(s) > most:  # all that tie with the last, then by id
+                        some = np.flatnonzero(s <= np.partition(s, most - 1)[most - 1])
+                    some = some[np.lexsort((ids[some], s[some]))][:most]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), r["query_id"])), pa.array(ids[some]), pa.array(s[some]), pa.array(same[some])], names=["query_id", "vec_id", "near", "same"])
+
+    found = met.select("queries", "vec_ids", "codes", "norms", "sames").mapInArrow(score, "query_id long, vec_id long, near double, same long").where(F.col("query_id") != F.col("vec_id"))
     copies = F.row_number().over(Window.partitionBy("query_id", "same").orderBy("vec_id"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "vec_id"))
-    found = found.withColumn("copy", copies).where(F.col("copy") <= top).withColumn("place", best).where(F.col("place") <= rerank)
+    found = found.withColumn("copy", copies).where(F.col("copy") <= top).withColumn("place", best).where(F.col("place") <= most)
     both = found.select("query_id", "vec_id").join(x, "vec_id").join(queries, "query_id")
     distance = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y))
     exact = both.select("query_id", "vec_id", distance.alias("score"))
