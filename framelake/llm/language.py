@@ -2,14 +2,17 @@
 
 Every word is labelled, so that code-switched text gets a language word by word: a word's score for a language is the
 sum of learned weights of its affixes, inner character n-grams and itself (a lexicon), all hashed; transitions between
-languages are learned too. Marginals come from the forward-backward recursion over chains of at most ``CHAIN`` words,
-within a line. A document has the language of the largest sum of marginals, and its share as score.
+languages are learned too. Marginals come from the forward-backward recursion over each line; a line of more than ``CHAIN``
+words goes in pieces that hand their messages on, which gives the same marginals. A document has the language of the
+largest sum of marginals, and its share as score.
 
 Training takes documents with a known language outside the held-out fold, at most ``TRAIN_ROWS`` a language by hashed
-id and ``TRAIN_WORDS`` words of each; every word of a document is labelled with its language.
+id, whole. Texts come apart into runs of a few to ``CHAIN`` words; half of the training chains join runs of several texts, so
+that switches between languages are learned with the rest.
 
-Null and empty texts, and those without a letter, give ``und`` with score 0. Repeated rows score alike. Texts are read
-whole.
+Null and empty texts, and those without a letter, give ``und`` with score 0; so does every text where no language is
+known. Equal sums go to the language that sorts first. Repeated rows score alike. Texts of any length are read whole. An
+empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import fold, map_batches, table
 
-CHAIN, BUCKETS = 64, 1 << 16
-TRAIN_ROWS, TRAIN_WORDS, LANGUAGES = 400, 150, 1000
+CHAIN, BUCKETS = 128, 1 << 16
+#: Training documents of a language.
+TRAIN_ROWS = 100
 MEMO = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,22 +81,25 @@ class Field:
         return out, letters
 
 
-def forward_backward(scores: np.ndarray, live: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(scores: np.ndarray, live: np.ndarray, moves: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals (steps, chains, languages), log partition, and expected transitions of chains laid side by side.
 
-    scores: (steps, chains, languages); live: (steps, chains), a chain's words come first.
+    scores: (steps, chains, languages); live: (steps, chains), a chain's words come first. before: the forward message of
+    what precedes each chain, zeros where nothing does; after: the backward message at its last word.
     """
     steps = len(scores)
     e = np.exp(scores - scores.max(2, keepdims=True))
     t = np.exp(moves)
     a, scale = np.empty_like(e), np.ones(e.shape[:2], e.dtype)
     for k in range(steps):
-        x = e[k] if not k else (a[k - 1] @ t) * e[k]
+        x = (a[k - 1] @ t) * e[k] if k else e[k] if before is None else np.where(before.any(1)[:, None], before @ t, 1) * e[k]
         scale[k] = x.sum(1)
         a[k] = x / scale[k][:, None]
         if k:
             a[k] = np.where(live[k][:, None], a[k], a[k - 1])
     b = np.ones_like(e)
+    if after is not None:
+        b[steps - 1] = after
     pairs = np.zeros((e.shape[2],) * 2)
     for k in range(steps - 1, 0, -1):
         y = e[k] * b[k]
@@ -106,14 +113,56 @@ def forward_backward(scores: np.ndarray, live: np.ndarray, moves: np.ndarray) ->
     return p, log_z, pairs
 
 
-def fit(texts: list[str], labels: list[str], passes: int = 6, seed: int = 3) -> Field:
+def messages(scores: np.ndarray, pieces: np.ndarray, live: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The messages into each piece of lines that are cut, from what precedes it and from what follows.
+
+    scores: (steps, pieces, languages); pieces: the place of each in its line, from 0; a line's pieces stand together. Each
+    piece's product of transfer matrices is worked out over all pieces at once; then lines go on a piece at a time.
+    """
+    t, n = np.exp(moves), scores.shape[2]
+    e = np.exp(scores - scores.max(2, keepdims=True))
+    through = np.broadcast_to(np.eye(n, dtype=e.dtype), (len(pieces), n, n)).copy()
+    for k in range(len(scores)):
+        step = (through @ t if k else np.where((pieces > 0)[:, None, None], through @ t, through)) * e[k][:, None, :]
+        through = np.where(live[k][:, None, None], step / step.sum((1, 2), keepdims=True), through)
+    before, after = np.zeros((len(pieces), n), e.dtype), np.ones((len(pieces), n), e.dtype)
+    for k in range(1, int(pieces.max()) + 1 if len(pieces) else 0):
+        own = np.flatnonzero(pieces == k)
+        x = (before[own - 1] if k > 1 else np.ones((len(own), n), e.dtype))[:, None, :] @ through[own - 1]
+        before[own] = x[:, 0] / x.sum(2)
+    for k in range(int(pieces.max()) - 1 if len(pieces) else -1, -1, -1):
+        own = np.flatnonzero((pieces == k) & (np.append(pieces[1:], 0) == k + 1))
+        x = (through[own + 1] @ after[own + 1][:, :, None])[:, :, 0]
+        after[own] = x / x.sum(1, keepdims=True)
+    return before, after
+
+
+def training_chains(texts: list[str], labels: list[int], g: np.random.Generator) -> list[tuple[list[str], list[int]]]:
+    """Words and labels of chains: runs of a text, by themselves or joined to up to three of others."""
+    runs = []
+    for text, label in zip(texts, labels, strict=True):
+        words, at = text.split(), 0
+        while at < len(words):
+            n = int(g.integers(4, CHAIN + 1))
+            runs.append((words[at : at + n], label))
+            at += n
+    order, out, at = g.permutation(len(runs)), [], 0
+    while at < len(runs):
+        n = int(g.integers(2, 5)) if g.random() < 0.5 else 1
+        own = [runs[i] for i in order[at : at + n]]
+        cut = CHAIN // len(own)
+        for first in range(0, max(len(w) for w, _ in own), cut):  # so that chains stay within CHAIN
+            parts = [(w[first : first + cut], y) for w, y in own]
+            out.append(([x for w, _ in parts for x in w], [y for w, y in parts for _ in w]))
+        at += n
+    return out
+
+
+def fit(texts: list[str], labels: list[str], passes: int = 4, seed: int = 3) -> Field:
     names = sorted(set(labels))
     g, n = np.random.default_rng(seed), len(names)
     field = Field(np.zeros((BUCKETS, n), np.float32), np.zeros((n, n)), names)
-    chains = []
-    for text, label in zip(texts, labels, strict=True):
-        words = text.split()[:TRAIN_WORDS]
-        chains += [(words[k : k + CHAIN], names.index(label)) for k in range(0, len(words), CHAIN)]
+    chains = training_chains(texts, [names.index(x) for x in labels], g)
     if n < 2 or not chains:
         return field
     square, square_moves = np.full((BUCKETS, n), 1e-6, np.float32), np.full((n, n), 1e-6)
@@ -127,14 +176,12 @@ def fit(texts: list[str], labels: list[str], passes: int = 6, seed: int = 3) ->
             size = np.sqrt(np.bincount(owner, minlength=len(words)))
             scores, _ = field.emissions(words)
             steps = max(len(c) for c, _ in own)
-            index = np.full((steps, len(own)), -1)
-            for k, (c, _) in enumerate(own):
-                index[: len(c), k] = [at[w] for w in c]
+            index, gold = np.full((steps, len(own)), -1), np.zeros((steps, len(own)), np.int64)
+            for k, (c, y) in enumerate(own):
+                index[: len(c), k], gold[: len(c), k] = [at[w] for w in c], y
             live = index >= 0
             p, _, pairs = forward_backward(np.where(live[:, :, None], scores[index], 0), live, field.moves)
-            gold = np.array([y for _, y in own])
-            d = p.copy()
-            d[:, np.arange(len(own)), gold] -= 1
+            d = p - np.eye(n)[gold]
             d = np.where(live[:, :, None] & letters[index][:, :, None], d, 0) / len(own)
             by_word = np.zeros((len(words), n))
             np.add.at(by_word, index[live], d[live])
@@ -145,11 +192,10 @@ def fit(texts: list[str], labels: list[str], passes: int = 6, seed: int = 3) ->
             square[rows] += step**2
             field.weights[rows] -= (0.5 * step / np.sqrt(square[rows])).astype(np.float32)
             there = np.zeros((n, n))
-            np.add.at(there, (gold, gold), live[1:].sum(0))
+            np.add.at(there, (gold[:-1][live[1:]], gold[1:][live[1:]]), 1)
             move = (pairs - there) / len(own) + 1e-3 * field.moves
             square_moves += move**2
-            # one language a training text would make switches all but impossible: transitions stay within a bound
-            field.moves = np.clip(field.moves - 0.1 * move / np.sqrt(square_moves), -2, 2)
+            field.moves = field.moves - 0.1 * move / np.sqrt(square_moves)
     return field
 
 
@@ -181,17 +227,29 @@ class Labeller:
         line = np.repeat(np.arange(len(lines)), n)
         k = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
         start, length = (np.cumsum(sizes) - sizes)[line] + k * CHAIN, np.minimum(sizes[line] - k * CHAIN, CHAIN)
-        out = np.zeros((len(ids), len(self.field.names)), np.float32)
+        out, moves = np.zeros((len(ids), len(self.field.names)), np.float32), self.field.moves.astype(np.float32)
+        cut = np.flatnonzero(n[line] > 1)
+        before, after = np.zeros((2, len(line), out.shape[1]), np.float32)
+        after[:] = 1
+        heads = np.flatnonzero(k[cut] == 0)
+        for first, last in zip(heads[::512], [*heads[512::512], len(cut)], strict=False):  # whole lines at a time
+            own = cut[first:last]
+            at, live = self._places(start[own], length[own])
+            before[own], after[own] = messages(self.scores[ids[at]], k[own], live, moves)
         order = np.argsort(length, kind="stable")
         for first in range(0, len(order), 2048):  # chains of like length side by side
             own = order[first : first + 2048]
-            steps = np.arange(int(length[own].max()))[:, None]
-            live = steps < length[own]
-            at = np.where(live, start[own] + steps, 0)
-            p, _, _ = forward_backward(np.where(live[:, :, None], self.scores[ids[at]], 0), live, self.field.moves.astype(np.float32))
+            at, live = self._places(start[own], length[own])
+            p, _, _ = forward_backward(np.where(live[:, :, None], self.scores[ids[at]], 0), live, moves, before[own], after[own])
             out[at[live]] = p[live]
         return np.repeat(np.array([d for d, _ in lines], np.int64), sizes), out, self.letters[ids]
 
+    @staticmethod
+    def _places(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        steps = np.arange(int(length.max()))[:, None]
+        live = steps < length
+        return np.where(live, start + steps, 0), live
+
     def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
         doc, p, letters = self.words(texts)
         total = np.zeros((len(texts), len(self.field.names)))
@@ -203,18 +261,11 @@ class Labeller:
 
 
 def trained(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    """Fit on at most ``rows`` documents a language; only these, at most ``LANGUAGES`` times as many, come to the driver."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") % 4 != 2))
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    own = known.select("doc_id", "lang")
-    ids = None
-    for name in names:
-        some = own.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        ids = some if ids is None else ids.unionByName(some)
-    if ids is None:
-        return fit([], [])
-    words = F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, TRAIN_WORDS + 1))
-    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", words.alias("text")).collect()
+    """Fit on at most ``rows`` documents of each language, whole; only these come to the driver."""
+    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") % 4 != 2))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.withColumn("place", place).where(F.col("place") <= rows).select("doc_id", "lang").distinct()
+    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").collect()
     got = sorted((r.doc_id, r.lang, r.text) for r in got)
     return fit([t for _, _, t in got], [name for _, name, _ in got])
 

@@ -375,6 +375,25 @@ def test_language(docs, none):
     assert language.labelled(none, language.trained(none)).count() == 0
 
 
+def test_language_long_lines():
+    """Marginals of a line in pieces are those of the line whole."""
+    g = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(40)]
+    names = ["aa", "bb", "cc"]
+    field = language.fit([" ".join(g.choice(words[10 * i : 10 * i + 20], 200)) for i in range(3) for _ in range(6)], [n for n in names for _ in range(6)])
+    line = " ".join(g.choice(words, 3 * language.CHAIN + 17))
+    texts = [line, "w1 w2 w3\n" + line, " ".join(g.choice(words, language.CHAIN)), "w5", " ".join(g.choice(words, 2 * language.CHAIN))]
+    labeller = language.Labeller(field)
+    _, p, _ = labeller.words(texts)
+    at = 0
+    for own in [x.split() for t in texts for x in t.split("\n")]:
+        scores, _ = field.emissions(own)
+        want, _, _ = language.forward_backward(scores[:, None, :].astype(np.float64), np.ones((len(own), 1), bool), field.moves)
+        assert np.allclose(p[at : at + len(own)], want[:, 0], atol=1e-4)
+        at += len(own)
+    assert at == len(p) and field.moves[0, 0] > field.moves[0, 1]
+
+
 def test_html(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>"
