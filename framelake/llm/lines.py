@@ -9,8 +9,8 @@ A line is split into edits+1 segments; one of them occurs unchanged, a few chara
 Segments have one width for all lengths of a class of three times ``STEP`` characters, so that they are indexed by (width,
 segment number, characters), the first and the last at no offset; lines at the border of a class probe the class below
 too. Keys that one line alone has are dropped by an aggregation that combines before its shuffle, whatever the number of
-copies. Where more than ``HOT`` lines share a key, what is left of them without the shared segment is split in turn,
-up to ``LEVELS`` times. Only lines that meet have letters counted and are verified, by edit distance over a band of bits.
+copies. Only lines that meet have letters counted. Where more than ``HOT`` of them share a key, they meet by the key and the
+counts of one group of letters in turn. Pairs about equal in all letters are verified, by edit distance over a band of bits.
 
 Nulls and empty texts have no lines. Rows that repeat a doc_id with its text count as one document; rows that repeat it
 with other texts are documents of their own. A null doc_id comes before all others. Lines of any length are compared whole.
@@ -19,18 +19,20 @@ An empty table gives none; other columns are kept by the stage and ignored by th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.common import table, written
 
 MIN_CHARS, EDITS, STEP = 50, 2, 8
-#: Lines of one key that are compared at once, and how often a key of more is split.
-HOT, LEVELS = 32, 4
+#: Lines of one key that are compared at once.
+HOT = 32
 #: Characters counted in each line, to pass over pairs whose counts differ too much.
 COUNTED = "etnirsaoldhucmfg"
 #: Bytes of rows that may be broadcast in one join, as counted; more are joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 PLACE = "doc_id", "t", "no"
 
 
@@ -55,28 +57,26 @@ def line_rows(docs: DataFrame, min_chars: int, text: bool = True) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), F.inline(F.transform(long, lambda x: of(x.line, x.no))))
 
 
-def segment_keys(rows: DataFrame, keep: list[str], edits: int, line: str = "line", step: int = STEP, prior: str = "0L", bit: int = 1) -> DataFrame:
-    """Columns ``keep`` of each row with key, at and n (the segment's place), and own: ``bit`` is set in own for a
-    line's own segments, not for places where a line may hold those of another.
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """a, size, key and own of each segment of a line (own) and of each place where it may hold one of another line.
 
     Of width w, segment i starts at i*w and is edits//2 shorter, the last one ends the line. An unchanged segment lies up
     to min(i, edits-i) characters before, or i after, its own place. The former needs no probe between lines of one class:
     seen from the other line it lies after, and the spare characters are part of what is unchanged.
     """
     parts, slack = edits + 1, edits // 2
-    rows = rows.withColumn("_w", F.expr(f"cast({step} * (length({line}) div {parts * step}) as int)"))
-    rows = rows.withColumn("_low", F.expr(f"cast({step} * ((length({line}) - {edits}) div {parts * step}) as int)"))
+    rows = lines.withColumn("_w", F.expr(f"cast({STEP} * (size div {parts * STEP}) as int)")).withColumn("_low", F.expr(f"cast({STEP} * ((size - {edits}) div {parts * STEP}) as int)"))
 
-    def part(w: str, i: int, off: int, flag: int) -> str:
+    def part(w: str, i: int, off: int, own: bool) -> str:
         n = w if i in (0, edits) else f"greatest({w} - {slack}, 0)"
-        at = f"length({line}) - {w} + 1" if i == edits else f"{w} * {i} + {off + 1}"
-        return f"named_struct('key', xxhash64({prior}, {w}, {i}, substring({line}, {at}, {n})), 'at', {at}, 'n', {n}, 'own', {flag})"
+        at = f"size - {w} + 1" if i == edits else f"{w} * {i} + {off + 1}"
+        return f"named_struct('key', xxhash64({w}, {i}, substring(line, {at}, {n})), 'own', {own})"
 
-    own = [part("_w", i, 0, bit) for i in range(parts)]
-    after = [part("_w", i, off, 0) for i in range(1, edits) for off in range(1, i + 1)]
-    below = [part("_low", i, off, 0) for i in range(parts) for off in (range(-min(i, edits - i), i + 1) if i < edits else [0])]
+    own = [part("_w", i, 0, True) for i in range(parts)]
+    after = [part("_w", i, off, False) for i in range(1, edits) for off in range(1, i + 1)]
+    below = [part("_low", i, off, False) for i in range(parts) for off in (range(-min(i, edits - i), i + 1) if i < edits else [0])]
     every = f"array({', '.join(own + after)})"
-    return rows.select(*keep, F.expr(f"inline(if(_low < _w, concat({every}, array({', '.join(below)})), {every}))"))
+    return rows.select("a", "size", F.expr(f"inline(if(_low < _w, concat({every}, array({', '.join(below)})), {every}))"))
 
 
 def _counts(line: Column) -> Column:
@@ -145,36 +145,30 @@ def with_distance(pairs: DataFrame, one: str, other: str, edits: int) -> DataFra
 def met(rows: DataFrame) -> DataFrame:
     """Keys that two different lines have, one of them as its own."""
     both = rows.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.max("own").alias("own"))
-    return written(both.where("x <> y and own > 0").select("key"))
+    return written(both.where("x <> y and own").select("key"))
+
+
+def by_letters(members: DataFrame, edits: int) -> DataFrame:
+    """Rows of ``members`` with a key for each group of letters that it counts.
+
+    Counts of linked lines differ by 2*edits in all, so of 2*edits+1 groups one has no difference.
+    """
+    groups = 2 * edits + 1
+    masks = [sum(15 << 4 * i for i in range(g, len(COUNTED), groups)) for g in range(groups)]
+    keys = F.array(*[F.xxhash64("key", F.lit(g), F.col("counts").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for g, m in enumerate(masks)])
+    return members.withColumn("key", F.explode(keys))
 
 
-def candidates(lines: DataFrame, texts_of: object, edits: int) -> tuple[DataFrame, DataFrame]:
+def candidates(lines: DataFrame, texts_of: Callable[[DataFrame], DataFrame], edits: int) -> tuple[DataFrame, DataFrame]:
     """(x, y: hashes of lines that share a segment and about the same letters, once; the texts of all that met)."""
-    rows = segment_keys(lines, ["a", "size"], edits)
-    members = written(rows.join(small(met(rows)), "key").groupBy("key", "a", "size", "at", "n").agg(F.max("own").alias("own")))
+    rows = segment_keys(lines, edits)
+    members = written(rows.join(small(met(rows)), "key").groupBy("key", "a", "size").agg(F.max("own").alias("own")))
     texts = texts_of(members.select("a").distinct())
-    letters = written(texts.select("a", _counts(F.col("line")).alias("counts")))
-    out, full = [], 1
-    for level in range(1, LEVELS + 1):
-        hot = written(members.groupBy("key").agg(F.count_distinct("a").alias("k")).where(f"k > {HOT}").select("key"))
-        last = level == LEVELS or hot.isEmpty()
-        few = members if last else members.join(small(hot), "key", "left_anti")
-        few = few.groupBy("key", "a", "size").agg(F.bit_or("own").alias("own")).join(letters, "a")
-        close = f"x.a < y.a and (x.own | y.own) = {full} and abs(x.size - y.size) <= {edits} and {_apart('x.counts', 'y.counts')} <= {2 * edits}"
-        out.append(written(few.alias("x").join(few.alias("y"), "key").where(close).select(F.col("x.a").alias("x"), F.col("y.a").alias("y")).distinct()))
-        if last:
-            break
-        rest = members.join(small(hot), "key")
-        rest = rest.join(texts.select("a", "line"), "a") if level == 1 else rest
-        rest = rest.withColumn("line", F.expr("concat(substring(line, 1, at - 1), substring(line, at + n))")).withColumnsRenamed({"key": "_key", "own": "_own"}).drop("at", "n")
-        full |= 1 << level
-        deeper = written(segment_keys(rest, ["a", "size", "line", "_own"], edits, step=2, prior="_key", bit=1 << level).withColumn("own", F.expr("own | _own")).drop("_own"))
-        keys = written(deeper.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("key"))
-        members = written(deeper.join(small(keys), "key"))
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.unionByName(more)
-    return written(pairs.distinct()), texts
+    members = written(members.join(texts.select("a", _counts(F.col("line")).alias("counts")), "a"))
+    hot = small(written(members.groupBy("key").count().where(f"count > {HOT}").select("key")))
+    members = members.join(hot, "key", "left_anti").unionByName(by_letters(members.join(hot, "key"), edits).select(members.columns))
+    close = f"x.a < y.a and (x.own or y.own) and abs(x.size - y.size) <= {edits} and {_apart('x.counts', 'y.counts')} <= {2 * edits}"
+    return written(members.alias("x").join(members.alias("y"), "key").where(close).select(F.col("x.a").alias("x"), F.col("y.a").alias("y")).distinct()), texts
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
