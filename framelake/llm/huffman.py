@@ -177,10 +177,9 @@ def counted(ids: DataFrame, width: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"), minlength=len(total))
-                n[: len(total)] += total
-                total = n
+            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), f"<u{width}"), minlength=len(total))
+            n[: len(total)] += total
+            total = n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
