@@ -2,10 +2,12 @@
 
 A document is cut into windows of ``WINDOW`` words, one every ``STRIDE``; every window is scored and the document
 has the score of its worst one. Each word enters as a hashed word embedding plus the mean of its hashed character
-n-grams. The network is trained in numpy from documents labelled as a whole: the documents' loss goes to each
-window by its share in the soft maximum of the windows' logits.
+n-grams. The network is trained in numpy from whole documents labelled as a whole: the documents' loss goes to each
+window by its share in the soft maximum of the windows' logits; of clean documents of more windows, each pass takes others.
 
-Null and empty texts, and texts without a word, score 0. Repeated rows score alike. Other columns are ignored.
+Null and empty texts, and texts without a word, score 0. Repeated rows score alike. Texts of any length are scored in all
+their windows. An empty table gives none; without labels, or with labels of one kind only, all texts score alike. Other
+columns are ignored by the query and kept by the stage.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from framelake.llm.common import fold, map_batches, table
 
 WINDOW, STRIDE = 48, 36
 BUCKETS, WIDTH, HIDDEN = 1 << 13, 16, 10
-#: Bounds of the training sample: labelled documents of each class, and words in one of them.
-TRAIN_ROWS, TRAIN_WORDS = (800, 1600), 400
+#: Bounds of the training sample: labelled documents of each class; and windows of a clean one in one pass.
+TRAIN_ROWS, LEARNED = (800, 1600), 8
 #: Distinct words whose inputs a task holds at once.
 MEMO = 250_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -194,6 +196,10 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, seed: int = 7) ->
             used, local = np.unique(flat, return_inverse=True)
             sizes = np.array([len(docs[i]) for i in own])
             start, doc = windows(sizes)
+            some = g.random(len(doc)) * np.bincount(doc)[doc] <= LEARNED
+            some[np.searchsorted(doc, np.arange(len(own))) + (g.random(len(own)) * np.bincount(doc)).astype(np.int64)] = True  # one at least
+            some |= y[own][doc] > 0
+            start, doc = start[some], doc[some]
             at = _positions(start, doc, np.cumsum(sizes))
             at = np.where(at >= 0, local[at], -1)
             spans = [np.arange(bounds[w], bounds[w + 1]) for w in used]
@@ -258,16 +264,16 @@ class Scorer:
         return np.fromiter(map(known.__getitem__, all_words), np.int64, len(all_words))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS, words: int = TRAIN_WORDS) -> Network:
+def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Network:
     """Fit on labelled documents outside the held-out fold: at most ``rows`` (toxic, clean) of them, by hash of their
-    ids, among documents of at most ``words`` words. Only this sample comes to the driver."""
+    ids. Only this sample comes to the driver."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
     for y, n in ((1, rows[0]), (0, rows[1])):
         some = own.where((F.col("toxic") > 0) == bool(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = some if ids is None else ids.unionByName(some)
     # at most sum(rows) ids: small whatever the input
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, 12 * words)).join(F.broadcast(ids), "doc_id").where(F.size(F.split("text", r"\s+")) <= words)
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
     got = sorted((r.doc_id, r.toxic > 0, r.text) for r in texts.collect())
     return fit([t for _, _, t in got], [int(y) for _, y, _ in got])
 

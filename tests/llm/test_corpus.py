@@ -122,6 +122,28 @@ def test_webp_images():
         webp.decode(b"RIFFxxxxWEBPVP8 ")
 
 
+def test_webp_of_another_encoder():
+    """The one-pixel lossless file that web pages use to find out whether a browser reads the format."""
+    pixel = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert pixel.shape == (1, 1) and pixel[0, 0] >> 24 == 0
+
+
+def test_webp_forms():
+    """Each step of the format is met by some text, and what is stored comes back."""
+    seen = set()
+    for text in ("ab" * 40, "ab" * 4000, "ascii text of more than sixteen letters, at length " * 9, "été à Noël, là où ça brûle " * 9, "x", "", "abcdefghijklmnopqrstuvwxyz" * 2, "aaaabbbbccccddddeeeeffffgggg0123456789hhhhiiiijjjjkkkkllllmmmm", "".join(chr(65 + k // 4) for k in range(200))):
+        payload, _ = webp.padded(text)
+        file = webp.stored(payload)
+        assert webp.restored(file, len(payload)) == payload
+        for form in webp.forms(np.frombuffer(payload, np.uint8)):
+            pixels = (0xFF000000 | np.frombuffer(payload, np.uint8).astype(np.int64) * 0x10101).reshape(-1, 64)
+            one = webp.encode(pixels, **form)
+            assert (webp.decode(one) == pixels).all()
+            if one == file:
+                seen |= set(form.get("transforms", ())) | ({"cache"} if form.get("cache_bits") else set())
+    assert {webp.PALETTE, webp.CROSS_COLOUR, webp.SUBTRACT_GREEN} <= seen
+
+
 def test_webp(docs, none):
     for r in webp.media(docs).collect():
         raw = (TEXTS[r.doc_id] or "").encode()
@@ -350,6 +372,8 @@ def test_toxicity(spark, docs, none):
     got = {r.doc_id: r.score for r in toxicity.scored(docs, net).collect()}
     assert got[0] == got[1] == got[2] == 0 and all(0 <= s <= 1 for s in got.values())
     assert toxicity.scored(none, net).count() == 0
+    long = toxicity.fit([" ".join(g.choice(plain, 2000)) + (" vile1" if i % 2 else "") for i in range(20)] + texts[:60], [i % 2 for i in range(20)] + labels[:60], steps=60)
+    assert long.p["word"].shape == net.p["word"].shape  # texts of many windows are learned from whole
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.scored(docs, toxicity.trained(docs, no_labels)).where("predicted = 1").count() == 0
     assert toxicity.without_toxic(docs, net).columns == docs.columns
