@@ -10,7 +10,7 @@ for what holds most content characters unless an article or main element apart f
 'header' labels nothing in an article or main element.
 
 Null and empty pages, and pages without text, give the empty text. Repeated rows give repeated results. Pages of any
-length are read whole; the parser keeps a page's lines only.
+length are read whole; the parser keeps a page's lines only. An empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
 
 
 def threshold(x: np.ndarray) -> float:
-    """Between the means of two clusters of values, moved until it stays."""
+    """Between the means of two clusters of values, moved until it stays; 0 where the higher mean isn't twice the lower."""
     cut = float(x.mean())
     for _ in range(20):
         low, high = x[x < cut], x[x >= cut]
@@ -139,7 +139,8 @@ def threshold(x: np.ndarray) -> float:
         if abs(new - cut) < 1e-6:
             break
         cut = new
-    return cut
+    low, high = x[x < cut], x[x >= cut]
+    return cut if len(low) and len(high) and high.mean() >= 2 * low.mean() else 0.0
 
 
 def boiler_labels(parser: Lines, own: list[int], content: list[int], sizes: np.ndarray) -> set[int]:

@@ -449,6 +449,41 @@ def test_html_labels():
         assert html.main_text(f"<body><article><div class='{name}'><h1>Headline</h1></div>{text}</article></body>") == f"Headline\n{want}"
 
 
+def test_html_of_known_text(spark):
+    """Sixty pages of ten layouts around paragraphs that are known."""
+    g = np.random.default_rng(9)
+
+    def words(n):
+        return " ".join("".join(g.choice(list("aeioulnrst"), g.integers(2, 9))) for _ in range(n)).capitalize() + "."
+
+    def tags(name, texts):
+        return "".join(f"<{name}>{t}</{name}>" for t in texts)
+
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{k}'>Item {k}</a></li>" for k in range(6)) + "</ul></nav>"
+    pages, want = [], []
+    for k in range(60):
+        text = [words(int(g.integers(12, 60))) for _ in range(int(g.integers(2, 7)))]
+        head, side, talk = words(5), words(6), "".join(f"<div class='comment'><p>{words(20)}</p></div>" for _ in range(3))
+        title, body = f"<h1>{head}</h1>", tags("p", text)
+        layouts = [
+            f"<body class='home has-sidebar'>{menu}<article class='post comments-open'>{title}{body}</article><div class='sidebar'>{side}</div></body>",
+            f"<body><header><a href='/'>Site</a></header><main>{title}{body}</main><footer>{side}</footer></body>",
+            f"<body>{menu}<div id='share-page'><div class='entry'>{title}{body}</div></div><aside><p>{side}</p></aside></body>",
+            f"<body>{menu}<div class='content'>{title}{tags('div', text)}</div><footer>{side}</footer></body>",
+            f"<body>{menu}<article>{title}{body}<form><label>{side}</label><input></form></article><section id='comments'>{talk}</section></body>",
+            f"<body><div class='cookie-notice'>{side}</div>{menu}<section>{title}{body}</section><script>var x = '<p>{side}</p>';</script></body>",
+            f"<body>{menu}<article>{title}<section>{tags('p', text[:1])}</section><section>{tags('p', text[1:])}</section></article><div class='related'>{side}</div></body>",
+            f"<body><div class='ad'>{side}</div><article><header>{title}</header>{body}<footer>{side}</footer></article></body>",
+            f"<body>{menu}<main><div>{title}{tags('blockquote', text)}</div></main><aside>{side}</aside></body>",
+            f"{menu}<article>{title}{tags('p', [t.replace(' ', ' <b>&amp;</b> ', 1) for t in text])}</article><footer>{side}</footer>",
+        ]
+        pages.append(layouts[k % 10])
+        want.append("\n".join([head, *(t.replace(" ", " & ", 1) if k % 10 == 9 else t for t in text)]))
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(want))
+    assert html.main_text("<div>First of two blocks, side by side, of one text.</div><div>Second of two blocks, side by side, of one text.</div>").count("\n") == 1
+
+
 def test_additive(spark):
     g = np.random.default_rng(3)
     x = g.normal(size=(900, 16))
