@@ -11,7 +11,10 @@ Tokens are 64-bit hashes of shingles. Documents of equal sets form one class, wh
 3. In each combination's group all members are verified against the one whose tokens are the most frequent; what that
    links is one component. Pairs across components follow, all that the place of the first shared key leaves possible.
 
-A doc_id names one text: rows that repeat it repeat its text. Empty texts and nulls have no tokens and link with nothing. Repeated rows belong to the same class.
+Documents are told apart by their texts' hashes, not by doc_id, which may be null or stand for several texts: a component's
+id is its smallest doc_id, null if it has none. Empty texts and nulls have no tokens, link with nothing and have their own
+doc_id as component. Repeated rows belong to one class. Texts of any length are read whole. An empty table gives none;
+other columns are ignored by the query and kept by the stage.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import map_batches, table, written
+from framelake.llm.common import WORD, map_batches, table, written
 from framelake.llm.components import components
 
 RARE, GROUPS, SMALL = 24, 96, 200
 #: Ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 250_000
 _G = np.random.default_rng(20240229)
 _BYTE = _G.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LANE = _G.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,10 +86,10 @@ def lacking(n, percent: int):
 
 
 def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, set (128 bits of the sorted tokens, as two longs) and the first 2t+1 tokens."""
+    """doc_id, node, n, set (128 bits of the sorted tokens, as two longs) and the first 2t+1 tokens."""
 
     def f(batch: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": batch["doc_id"], "n": [], "s1": [], "s2": [], "head": []}
+        out = {"doc_id": batch["doc_id"], "node": batch["node"], "n": [], "s1": [], "s2": [], "head": []}
         for text in batch["text"]:
             t = np.sort(shingles(text, width))
             a, b = np.frombuffer(hashlib.blake2b(t.tobytes(), digest_size=16).digest(), "<i8").tolist()
@@ -96,7 +99,7 @@ def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
             out["head"].append(t[: 2 * lacking(len(t), percent) + 1])
         return out
 
-    return map_batches(docs, f, "doc_id long, n long, s1 long, s2 long, head array<long>", ["doc_id", "text"])
+    return map_batches(docs, f, "doc_id long, node long, n long, s1 long, s2 long, head array<long>", ["doc_id", "node", "text"])
 
 
 def _tokens(docs: DataFrame, width: int) -> DataFrame:
@@ -146,10 +149,14 @@ def signatures(count: np.ndarray, token: np.ndarray, n: int, percent: int) -> di
 
 
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, n, s1, s2; classes: s1, s2, rep, members; links between representatives: a, b)."""
+    """(rows: doc_id, node, n, s1, s2; classes: s1, s2, rep, members, first; links between representatives: a, b).
+
+    A row's node is its text's hash; the smallest of a class is its rep, and its smallest doc_id is first.
+    """
+    docs = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
     signed = written(_signed(docs, width, percent))
-    rows = signed.select("doc_id", "n", "s1", "s2")
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("members"))
+    rows = signed.select("doc_id", "node", "n", "s1", "s2")
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.count("*").alias("members"), F.min("doc_id").alias("first"))
     own = (
         signed.where("n > 0").select("s1", F.explode("head").alias("t")).groupBy("t").agg(F.min("s1").alias("s1"), F.max("s1").alias("last"))
         .where("s1 = last").groupBy("s1").agg(F.count("*").alias("own"))
@@ -158,11 +165,8 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     maybe = written(classes.join(own, "s1", "left").where(F.expr(f"coalesce(own, 0) <= {most}")).select(F.col("rep").alias("doc_id"), "n"))
     few = maybe.count() <= BROADCAST_IDS
     ids = maybe.select("doc_id")
-    kept = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = _tokens(kept, width)
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["doc_id"])
-    sets = written(sets)
+    kept = docs.select(F.col("node").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = written(_tokens(kept.groupBy("doc_id").agg(F.first("text").alias("text")), width))  # one copy of each text
     each = sets.select("doc_id", F.explode("tokens").alias("t"))
     shared = each.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     ordered = each.join(shared, "t").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("x"))
@@ -205,13 +209,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"k * 100 >= (na + nb - k) * {percent}")).select("a", "b")
 
 
+def membership(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, node, n, members (rows of the same set), component (a node of it) and component_id of each row; the last
+    three are null without tokens."""
+    rows, classes, pairs = links(docs, width, percent)
+    named = classes.join(components(pairs), F.col("rep") == F.col("node"), "left").select("s1", "s2", "members", "first", F.coalesce("component", "rep").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(smallest, "component"), ["s1", "s2"], "left").select("doc_id", "node", "n", "members", "component", "component_id")
+
+
 def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and class_size (rows of the same set) of each row of ``docs`` (doc_id, text)."""
-    rows, classes, pairs = links(docs, width, percent)
-    found = components(pairs)
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "members", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("members", F.lit(1)).alias("class_size"))
+    out = membership(docs, width, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("members", F.lit(1)).alias("class_size"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near copies, the one of smallest doc_id (null first, then by the text's hash).
+
+    Of rows that repeat a doc_id and its text one stays. Documents without words all stay. No rows give none.
+    """
+    of = written(membership(docs.select("doc_id", "text"), width, percent).where("n > 0"))
+    best = of.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("best"), F.count("*").alias("k")).where("k > 1").drop("k")
+    gone = written(of.join(best, "component").where(~F.struct("doc_id", "node").eqNullSafe(F.col("best"))).select(F.struct("doc_id", "node").alias("g")).distinct())
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.struct("doc_id", F.xxhash64("text").alias("node")).alias("g"))
+    same = F.expr("d.g.doc_id <=> gone.g.doc_id and d.g.node = gone.g.node")
+    kept = d.alias("d").join((F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone).alias("gone"), same, "left_anti")
+    if not of.groupBy("doc_id", "node").count().where("count > 1").isEmpty():
+        worded = F.col("d.text").isNotNull() & F.col("d.text").rlike(WORD)
+        kept = kept.where(worded).dropDuplicates(["g"]).unionByName(kept.where(~worded))
+    return kept.select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,20 @@ def test_lines(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() > 0
 
 
+def test_jaccard_of_odd_ids(spark):
+    """Null ids, and ids of several texts: links go by texts."""
+    far = " ".join(f"q{k}" for k in range(40))
+    rows = [(None, BASE), (7, BASE + " again"), (3, far), (3, BASE), (None, far + " q"), (None, "alone in its set"), (9, None), (9, ""), (3, BASE)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, component int, n int")
+    got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.grouped(df).collect()), key=str)
+    n = len(WORDS(BASE)) - 4
+    assert got == sorted([(-1, n, 3), (7, n + 1, 3), (3, 36, 3), (3, n, 3), (-1, 37, 3), (-1, 1, None), (9, 0, 9), (9, 0, 9), (3, n, 3)], key=str)
+    kept = jaccard.near_duplicate_stage(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("None", BASE), ("None", far + " q"), ("None", "alone in its set"), ("9", ""), ("9", "")])
+    assert jaccard.near_duplicate_stage(spark, df.limit(0), "").count() == 0
+
+
 def edited(g, line, edits):
     own = list(line)
     for _ in range(edits):
