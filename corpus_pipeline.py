@@ -9,20 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.bpe import encoded
 from framelake.llm.common import table, written
-from framelake.llm.jaccard import grouped
-from framelake.llm.lines import line_dedup_stage, small
+from framelake.llm.jaccard import near_duplicate_stage
+from framelake.llm.lines import line_dedup_stage
 from framelake.llm.mixture import mixture_stage
 from framelake.llm.toxicity import toxicity_stage
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of smallest doc_id; five words, a similarity of 0.8 or more."""
-    gone = written(grouped(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(small(gone, 16), "doc_id", "left_anti").select(docs.columns)
-
-
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and checksums of each document of the mix."""
+    """doc_id, n_tokens, ids and checksums of each document of the mix; nulls and empty texts have no ids, repeated rows
+    have the same, no rows give none, and other columns are left out."""
     import public_tokenizers as P
 
     return encoded(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).drop("decoded")
@@ -31,7 +26,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity_stage),
     ("line_dedup", line_dedup_stage),
-    ("near_duplicates", near_duplicates),
+    ("near_duplicates", near_duplicate_stage),
     ("mixture", mixture_stage),
     ("token_ids", token_ids),
 ]
