@@ -58,9 +58,9 @@ def pf5_latest_of_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(detections(spark, sf_dir), "CAM-01, cam-02,", 120).select("event_id", "camera_id", "ts")
 
 
-@query("SELECT event_id, plate, camera_id FROM det WHERE class_name <> 'person' AND contains(upper(plate), 'A1') AND camera_id = 'cam-04'")
+@query("SELECT event_id, plate, camera_id FROM det WHERE class_name <> 'person' AND contains(upper(plate), 'A') AND camera_id = 'cam-04'")
 def pf6_plate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plate_search(plates(spark, sf_dir), "a1", "cam-04").select("event_id", "plate", "camera_id")
+    return plate_search(plates(spark, sf_dir), " a", "cam-04").select("event_id", "plate", "camera_id")
 
 
 @query("SELECT event_id, plate FROM det WHERE false")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 CLASSES = {"click": "car", "error": "motorcycle", "signup": "bus", "purchase": "truck", "view": "person"}
 SERIES = "ABCDEFGHJKLMNPRSTUVWXYZ"
 FRAME_WIDTH, FRAME_HEIGHT = 1920, 1080
+COLOURS = ["white", "yellow", "red", "blue", "green"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,33 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detections as they come off a stream: every field is text, some are blank, missing or malformed."""
+    d, i = detections(spark, sf_dir), F.col("event_id")
+
+    def text(c: str) -> Column:
+        return F.col(c).cast("string")
+
+    vehicle, human = F.col("source") == "vehicles", F.col("source") == "humans"
+    thousandths = F.concat(F.lit("0."), F.lpad(F.round(F.col("confidence") * 1000).cast("int").cast("string"), 3, "0"))
+    return d.select(
+        "event_id",
+        F.col("source").alias("stream"),
+        "sec",
+        F.when(i % 17 == 0, " ").otherwise(F.col("camera_id")).alias("camera_id"),
+        F.when(i % 13 != 0, F.col("class_name")).alias("class_name"),
+        F.when(i % 19 == 0, "n/a").when(i % 19 != 1, thousandths).alias("confidence"),
+        F.when(i % 29 == 0, "").when(i % 31 == 0, F.concat(text("track_id"), F.lit(".0"))).otherwise(text("track_id")).alias("global_track_id"),
+        F.when(i % 37 == 0, "").otherwise(F.concat(text("sec"), F.lit(".500"))).alias("timestamp"),
+        F.when(i % 23 == 0, F.concat_ws(",", text("x1"), text("y1"), text("x2"))).otherwise(F.concat_ws(",", text("x1"), text("y1"), text("x2"), text("y2"))).alias("bbox"),
+        F.when(vehicle & (i % 4 != 0), F.concat(F.lit(" "), F.col("plate"), F.lit(" "))).alias("plate_text"),
+        F.when(vehicle, F.concat(F.lit("0."), F.lpad((i % 1000).cast("string"), 3, "0"))).alias("plate_confidence"),
+        F.when(human, F.when(i % 3 == 0, "Unknown").when(i % 3 == 1, F.concat(F.lit("id-"), (i % 10).cast("string"))).otherwise("")).alias("face_identity"),
+        F.when(human, F.when(i % 4 == 0, "0").otherwise("0.6")).alias("face_confidence"),
+        F.when(vehicle, F.element_at(F.array(*[F.lit(c) for c in COLOURS]), (i % 5 + 1).cast("int"))).alias("colour"),
+    )
+
+
 #: The same tables as DuckDB views within a query: ``WITH`` + SQL + the query's own select.
 SQL = f"""
 det0 AS (
@@ -93,4 +121,16 @@ cam AS (
     s_suppkey % 2 = 0 AS plate_ocr
   FROM supplier WHERE s_suppkey < 8),
 face AS (SELECT vec_id, label AS person, label <> 0 AS known, vec_id % 50 = 0 AS deleted, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+, msg AS (
+  SELECT event_id, source AS stream, sec, CASE WHEN event_id % 17 = 0 THEN ' ' ELSE camera_id END AS camera_id, CASE WHEN event_id % 13 <> 0 THEN class_name END AS class_name,
+    CASE WHEN event_id % 19 = 0 THEN 'n/a' WHEN event_id % 19 <> 1 THEN '0.' || lpad(CAST(CAST(round(confidence * 1000) AS INT) AS VARCHAR), 3, '0') END AS confidence,
+    CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 31 = 0 THEN CAST(track_id AS VARCHAR) || '.0' ELSE CAST(track_id AS VARCHAR) END AS global_track_id,
+    CASE WHEN event_id % 37 = 0 THEN '' ELSE CAST(sec AS VARCHAR) || '.500' END AS timestamp,
+    CASE WHEN event_id % 23 = 0 THEN x1 || ',' || y1 || ',' || x2 ELSE x1 || ',' || y1 || ',' || x2 || ',' || y2 END AS bbox,
+    CASE WHEN source = 'vehicles' AND event_id % 4 <> 0 THEN ' ' || plate || ' ' END AS plate_text,
+    CASE WHEN source = 'vehicles' THEN '0.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') END AS plate_confidence,
+    CASE WHEN source = 'humans' THEN CASE event_id % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'id-' || CAST(event_id % 10 AS VARCHAR) ELSE '' END END AS face_identity,
+    CASE WHEN source = 'humans' THEN CASE WHEN event_id % 4 = 0 THEN '0' ELSE '0.6' END END AS face_confidence,
+    CASE WHEN source = 'vehicles' THEN CASE event_id % 5 WHEN 0 THEN 'white' WHEN 1 THEN 'yellow' WHEN 2 THEN 'red' WHEN 3 THEN 'blue' ELSE 'green' END END AS colour
+  FROM det)
 """
