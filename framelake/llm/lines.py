@@ -32,7 +32,7 @@ HOT = 32
 #: Characters counted in each line, to pass over pairs whose counts differ too much.
 COUNTED = "etnirsaoldhucmfg"
 #: Bytes of rows that may be broadcast in one join, as counted; more are joined by a shuffle.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 32 << 20
 PLACE = "doc_id", "t", "no"
 
 
@@ -180,9 +180,9 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """a, b and line of the first copies of lines."""
-        first = written(firsts.join(small(written(ids), 16), "a").select("a", "b", "first.*"))
-        same = F.expr(" and ".join(f"l.{c} <=> f.{c}" for c in ("a", *PLACE)))
-        return written(lines.alias("l").join(small(first).alias("f"), same).select("f.a", "f.b", "l.line").distinct())
+        first = written(firsts.join(small(written(ids), 16), "a").select("a", "first.doc_id", "first.no"))
+        same = F.expr("l.a = f.a and l.no = f.no and l.doc_id <=> f.doc_id")
+        return written(lines.alias("l").join(small(first, 32).alias("f"), same).select("l.a", "l.b", "l.line").distinct())
 
     pairs, texts = candidates(lines, texts_of, edits)
     both = pairs.join(texts.select(F.col("a").alias("x"), "b", "line"), "x").join(texts.select(F.col("a").alias("y"), F.col("b").alias("b2"), F.col("line").alias("line2")), "y")
