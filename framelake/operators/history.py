@@ -69,12 +69,6 @@ def wn9_drop_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("drop_ratio", F.when(F.col("n") > 30, 0.4).when(F.col("n") > 15, 0.15).otherwise(0.0))
 
 
-@query("SELECT camera_id, quantile_cont(sharpness, 0.9) AS p90, median(sharpness) AS middle FROM det GROUP BY camera_id")
-def ag29_brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return detections(spark, sf_dir).groupBy("camera_id").agg(F.percentile("sharpness", F.lit(0.9)).alias("p90"), F.median("sharpness").alias("middle"))
-
-
 @query(
     "SELECT camera_id, track_id, event_id, plate FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY ts DESC, event_id DESC) AS place FROM det) WHERE track_id < 0 OR place = 1"
 )

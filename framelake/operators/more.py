@@ -63,13 +63,6 @@ def j6_best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("event_id").agg(best)
 
 
-@query("SELECT camera_id, count(*) FILTER (WHERE sharpness > 300 AND y1 % 100 < 40) * 1.0 / count(*) AS ratio, count(*) FILTER (WHERE sharpness > 300 AND y1 % 100 < 40) * 1.0 / count(*) > 0.1 AS glare FROM det GROUP BY camera_id")
-def ag30_glare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of bright and pale samples, and whether it is above a tenth."""
-    ratio = F.count_if((F.col("sharpness") > 300) & (F.col("y1") % 100 < 40)).cast("double") / F.count("*")
-    return detections(spark, sf_dir).groupBy("camera_id").agg(ratio.alias("ratio"), (ratio > 0.1).alias("glare"))
-
-
 @query("SELECT track_id, max(sec) AS sec, arg_max(plate, sec * 10000000 + event_id) AS plate FROM det WHERE track_id >= 0 GROUP BY track_id")
 def ag31_sk3_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last write wins per track: the view over appended versions that stands for updates in place."""
@@ -89,16 +82,6 @@ def ag22_ag28_joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.where(F.size("p") > 1).select("camera_id", "slot", F.array_join("p.plate", "").alias("line"), "confidence")
 
 
-@query(
-    "SELECT event_id, least(confidence + weight + bonus, 1) AS score FROM (SELECT *, CASE source WHEN 'vehicles' THEN CAST(0.1 AS DOUBLE) ELSE 0 END AS weight, CASE WHEN length(plate) >= 8 THEN CAST(0.05 AS DOUBLE) ELSE 0 END AS bonus FROM det WHERE class_name <> 'person')"
-)
-def sf23_candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weight = F.when(F.col("source") == "vehicles", 0.1).otherwise(0.0)
-    bonus = F.when(F.length("plate") >= 8, 0.05).otherwise(0.0)
-    d = detections(spark, sf_dir).where("class_name <> 'person'")
-    return d.select("event_id", F.least(F.col("confidence") + weight + bonus, F.lit(1.0)).alias("score"))
-
-
 @query("SELECT event_id, regexp_extract(plate || ' x', '([0-9]{2}[A-Z][0-9]{4,6})', 1) AS found FROM det WHERE class_name <> 'person'")
 def sf32_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).where("class_name <> 'person'").select("event_id", F.regexp_extract(F.concat("plate", F.lit(" x")), "([0-9]{2}[A-Z][0-9]{4,6})", 1).alias("found"))

@@ -67,14 +67,6 @@ def pf22_adaptive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).select("event_id", t.alias("threshold"))
 
 
-@query("""SELECT CASE WHEN x2 <= x1 THEN 'invalid' WHEN x2 - x1 < 60 OR y2 - y1 < 60 THEN 'too_small' WHEN sharpness % 100 < 10 THEN 'too_dark'
-  WHEN sharpness % 100 > 95 THEN 'too_bright' WHEN sharpness < 80 THEN 'blurry' ELSE 'good' END AS quality, count(*) AS n FROM det GROUP BY 1""")
-def pf24_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, w, h = F.col("sharpness"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    q = F.when(w <= 0, "invalid").when((w < 60) | (h < 60), "too_small").when(s % 100 < 10, "too_dark").when(s % 100 > 95, "too_bright").when(s < 80, "blurry").otherwise("good")
-    return detections(spark, sf_dir).groupBy(q.alias("quality")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT event_id, regexp_matches(plain, '^[0-9]{2}[A-Z][0-9]{6}$') AND NOT regexp_matches(plate, '[-/]') AS motorcycle FROM p", P)
 def sf20_motorcycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plates(spark, sf_dir).select("event_id", motorcycle("plate").alias("motorcycle"))

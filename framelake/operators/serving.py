@@ -100,40 +100,6 @@ def ag6_ag7_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(d, F.lit(True)).withColumn("alerts", F.lit(0).cast("long"))  # one row each
 
 
-@query("""SELECT camera_id, count(*) AS frames, count(*) FILTER (WHERE confidence < 0.25) AS dropped,
-  count(*) FILTER (WHERE confidence < 0.25) * 100.0 / greatest(count(*), 1) AS drop_percent, avg(sharpness) AS mean_ms FROM det GROUP BY camera_id""")
-def ag8_camera_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weak = F.count_if(F.col("confidence") < 0.25)
-    return detections(spark, sf_dir).groupBy("camera_id").agg(
-        F.count("*").alias("frames"), weak.alias("dropped"), (weak * 100.0 / F.greatest(F.count("*"), F.lit(1))).cast("double").alias("drop_percent"), F.avg("sharpness").alias("mean_ms")
-    )
-
-
-@query("SELECT coalesce(avg(sharpness), 0) AS mean_ms, count(*) FILTER (WHERE confidence >= 0.75) * 1.0 / nullif(count(*), 0) AS success_rate FROM det")
-def ag9_ag11_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rate = F.count_if(F.col("confidence") >= 0.75).cast("double") / F.nullif(F.count("*"), F.lit(0))
-    return detections(spark, sf_dir).agg(F.coalesce(F.avg("sharpness"), F.lit(0.0)).alias("mean_ms"), rate.alias("success_rate"))
-
-
-REASONS = """CASE WHEN event_id % 50 = 0 THEN 'backpressure' WHEN sec < 1704153600 THEN 'age' WHEN x2 <= x1 OR y2 <= y1 THEN 'invalid_bbox'
-  WHEN (x2 - x1) * (y2 - y1) > 62208 AND confidence < 0.45 THEN 'oversized_bbox' WHEN sharpness < 40 THEN 'blur' ELSE 'kept' END"""
-
-
-@query(f"SELECT {REASONS} AS reason, count(*) AS n FROM det GROUP BY 1")
-def ag10_st12_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First reason that holds, in order: backlog share, age, degenerate box, large and weak box, blur."""
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    reason = (
-        F.when(F.col("event_id") % 50 == 0, "backpressure")
-        .when(F.col("sec") < 1704153600, "age")
-        .when((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")), "invalid_bbox")
-        .when((area > 62208) & (F.col("confidence") < 0.45), "oversized_bbox")
-        .when(F.col("sharpness") < 40, "blur")
-        .otherwise("kept")
-    )
-    return detections(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT camera_id, class_name, count(*) AS attempted, count(*) FILTER (WHERE sharpness >= 100) AS saved,
   count(*) FILTER (WHERE sharpness < 100) AS rejected FROM det GROUP BY ALL""")
 def ag13_collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
