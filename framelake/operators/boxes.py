@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.geometry import box, cosine, inside, iou, suppressed
+from framelake.functions.geometry import box, inside, iou, suppressed
 from framelake.plans.registry import query
 from framelake.sources.tables import FRAME_HEIGHT, FRAME_WIDTH, detections, faces
 
@@ -120,21 +122,48 @@ def sl12_largest_per_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("place", place).where("place <= 3").drop("place")
 
 
+def nearest_faces(probes: DataFrame, faces: DataFrame, block: int = 256) -> DataFrame:
+    """probe, and of the faces (vec_id, known, v) but itself the nearest known one and the nearest of all: match and similarity.
+
+    Probes go in blocks of bounded size to every batch of faces, which are read once; a batch gives each probe's best.
+    """
+    many = max(1, -(-probes.count() // block))
+    own = probes.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(many)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("probes"))
+    packed = faces.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(max(8, many))).alias("part"), (F.spark_partition_id() % 64).alias("piece")).agg(F.collect_list(F.struct("vec_id", "known", "v")).alias("faces"))
+    met = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(own, "block").select("probes", "faces")
+
+    def run(batches):
+        for b in batches:
+            for p, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, known, x = np.array([r["vec_id"] for r in f]), np.array([r["known"] for r in f]), np.array([r["v"] for r in f])
+                who, y = np.array([r["vec_id"] for r in p]), np.array([r["v"] for r in p])
+                nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+                s = np.where((nx[None, :] < 1e-9) | (ny[:, None] < 1e-9), 0.0, y @ x.T / np.maximum(ny[:, None] * nx[None, :], 1e-30)).round(12)
+                s[who[:, None] == ids[None, :]] = -2
+                for kind, some in (("known", known), ("all", np.ones(len(ids), bool))):
+                    t = np.where(some[None, :], s, -2)
+                    best = t.max(1)
+                    match = np.where(t == best[:, None], ids[None, :], np.iinfo(np.int64).max).min(1)
+                    real = best > -2
+                    yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array([kind] * int(real.sum())), pa.array(match[real]), pa.array(best[real])], names=["probe", "kind", "match", "similarity"])
+
+    found = met.mapInArrow(run, "probe long, kind string, match long, similarity double")
+    best = found.groupBy("probe", "kind").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("b"))
+    return best.select("probe", "kind", F.col("b.match").alias("match"), (-F.col("b.s")).alias("similarity"))
+
+
 @query(
-    "SELECT vec_id, match, round(similarity, 6) AS similarity, similarity > 0.35 AS same_person FROM s WHERE place = 1",
-    """s AS (SELECT p.vec_id, f.vec_id AS match, list_cosine_similarity(p.v, f.v) AS similarity,
-  row_number() OVER (PARTITION BY p.vec_id ORDER BY list_cosine_similarity(p.v, f.v) DESC, f.vec_id) AS place
-  FROM face p JOIN face f ON f.known AND NOT f.deleted AND f.vec_id <> p.vec_id WHERE p.vec_id % 10 = 3)""",
+    """SELECT k.vec_id, CASE WHEN k.similarity > 0.35 THEN k.match ELSE a.match END AS match, round(CASE WHEN k.similarity > 0.35 THEN k.similarity ELSE a.similarity END, 6) AS similarity,
+  CASE WHEN k.similarity > 0.35 THEN 'known' WHEN a.similarity > 0.35 THEN 'seen' ELSE 'new' END AS found FROM a LEFT JOIN k ON k.vec_id = a.vec_id""",
+    """m AS (SELECT p.vec_id, f.vec_id AS match, f.known, round(list_cosine_similarity(p.v, f.v), 12) AS similarity FROM face p JOIN face f ON NOT f.deleted AND f.vec_id <> p.vec_id WHERE p.vec_id % 100 = 0),
+  k AS (SELECT vec_id, match, similarity FROM m WHERE known QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, match) = 1), a AS (SELECT vec_id, match, similarity FROM m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, match) = 1)""",
 )
 def j14_ge15_ge16_known_face(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest known face of each probe by cosine, and whether 1 - similarity is under 0.65.
-
-    Probes are a stated set against all faces. Each meets the faces in pieces, of which only the best goes on.
-    """
+    """The nearest known face by cosine where 1 - similarity is under 0.65, else the nearest of all. Probes are the faces whose
+    id is divisible by 100, against all that aren't deleted."""
     f = faces(spark, sf_dir)
-    probes = f.where("vec_id % 10 = 3").select(F.col("vec_id").alias("probe"), F.col("v").alias("p"))
-    known = f.where("known and not deleted").select("vec_id", "v")
-    met = probes.join(known, F.col("probe") != F.col("vec_id"))
-    best = met.groupBy("probe").agg(F.max_by(F.struct("vec_id", cosine("p", "v").alias("similarity")), F.struct(cosine("p", "v"), -F.col("vec_id"))).alias("b"))
-    similarity = F.col("b.similarity")
-    return best.select(F.col("probe").alias("vec_id"), F.col("b.vec_id").alias("match"), F.round(similarity, 6).alias("similarity"), (similarity > 0.35).alias("same_person"))
+    got = nearest_faces(f.where("vec_id % 100 = 0").select("vec_id", "v"), f.where("not deleted").select("vec_id", "known", "v"))
+    by = got.groupBy("probe").agg(*[F.max(F.when(F.col("kind") == k, F.struct("similarity", "match"))).alias(k) for k in ("known", "all")])
+    known, seen = F.col("known.similarity") > 0.35, F.col("all.similarity") > 0.35
+    b = F.when(known, F.col("known")).otherwise(F.col("all"))
+    return by.select(F.col("probe").alias("vec_id"), b["match"].alias("match"), F.round(b["similarity"], 6).alias("similarity"), F.when(known, "known").when(seen, "seen").otherwise("new").alias("found"))

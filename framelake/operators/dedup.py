@@ -23,13 +23,17 @@ def cooled(times: Iterable[float], seconds: float, last: float | None = None, re
 
 
 def cooldown(df: DataFrame, keys: list[str], seconds: int, refresh: bool = False) -> DataFrame:
-    """event_id of the events that pass a cooldown per key; with ``refresh`` a plain comparison with the event before."""
+    """event_id of the events that pass a cooldown per key; with ``refresh`` every event restarts the clock.
+
+    After a gap of more than ``seconds`` an event passes whatever came before, so that keys are cut there.
+    """
+    from framelake.operators.gates import pieces
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sec", "event_id"])
         return pdf.loc[list(cooled(pdf["sec"], seconds, refresh=refresh)), ["event_id"]]
 
-    return df.select("event_id", "sec", *keys).groupBy(*keys).applyInPandas(run, "event_id long")
+    return pieces(df.select("event_id", "sec", *keys), keys, seconds).groupBy(*keys, "piece").applyInPandas(run, "event_id long")
 
 
 @query()

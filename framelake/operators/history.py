@@ -44,6 +44,20 @@ def wn3_damped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", F.when(near, F.col("confidence") * 0.9).otherwise(F.col("confidence")).alias("damped"))
 
 
+def changed(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows whose ``value`` isn't that of the row before, per key; null before the first.
+
+    Windows reach over a day of a key; each day takes the value before its first row from the last day that has rows,
+    which is a window over one row a day.
+    """
+    day = Window.partitionBy(*keys, "_day").orderBy(*order)
+    d = df.withColumn("_day", F.expr("sec div 86400")).withColumn("_before", F.lag(F.struct(F.col(value).alias("x"))).over(day))
+    ends = d.groupBy(*keys, "_day").agg(F.max(F.struct(*order, F.col(value).alias("x"))).alias("e"))
+    ends = ends.withColumn("_last", F.lag(F.struct("e.x")).over(Window.partitionBy(*keys).orderBy("_day"))).drop("e")
+    d = d.join(ends, [*keys, "_day"]).withColumn("_before", F.coalesce("_before", "_last"))
+    return d.where(F.col("_before").isNull() | ~F.col("_before.x").eqNullSafe(F.col(value))).drop("_day", "_before", "_last")
+
+
 @query(
     "SELECT event_id, mode FROM m WHERE before IS NULL OR before <> mode",
     """m AS (SELECT *, lag(mode) OVER (PARTITION BY camera_id ORDER BY ts, event_id) AS before FROM (SELECT *, CASE WHEN sharpness < 120 THEN 'night' WHEN sharpness > 240 THEN 'day'
@@ -51,8 +65,7 @@ def wn3_damped(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def wn8_mode_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("sharpness") < 120, "night").when(F.col("sharpness") > 240, "day").otherwise("transition")
-    before = F.lag("mode").over(Window.partitionBy("camera_id").orderBy("ts", "event_id"))
-    return detections(spark, sf_dir).withColumn("mode", mode).withColumn("before", before).where("before is null or before <> mode").select("event_id", "mode")
+    return changed(detections(spark, sf_dir).withColumn("mode", mode), "mode", ["camera_id"], ["ts", "event_id"]).select("event_id", "mode")
 
 
 @query("SELECT event_id, 0.4 * (1 - 0.3 * (1 - least(greatest((sharpness - 100) / 200.0, 0), 1))) AS threshold FROM det")
@@ -109,17 +122,23 @@ def st10_first_two_of_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wn5_smoothed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential smoothing of a track's boxes, alpha 0.4, rounded half to even at each step; a fold over the track's
-    ordered boxes, day by day, so that state stays bounded. Tested by a plain loop."""
-    d = tracked(spark, sf_dir).withColumn("day", F.expr("sec div 86400"))
-    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])))
-
-    def step(old, new):
-        return F.struct(new.ts.alias("ts"), new.event_id.alias("event_id"), *[F.bround(F.lit(0.4) * new[c] + F.lit(0.6) * old[c], 0).alias(c) for c in ("x1", "y1", "x2", "y2")])
-
-    got = d.groupBy("camera_id", "track_id", "day").agg(rows.alias("r"))
-    last = F.aggregate(F.slice("r", 2, 1_000_000_000), F.col("r")[0], step)
-    return got.select("camera_id", "track_id", "day", last.alias("b")).select("camera_id", "track_id", "day", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    """Exponential smoothing of a track's boxes, alpha 0.4, rounded half to even at each step, each box at least a pixel wide
+    and high; a track begins anew after three days without it. A fold over each such run. Tested by a plain loop."""
+    from framelake.operators.gates import pieces
+
+    sides = ("x1", "y1", "x2", "y2")
+    d = pieces(tracked(spark, sf_dir), ["camera_id", "track_id"], 259200)
+    rows = F.array_sort(F.collect_list(F.struct("sec", "event_id", *[F.col(c).cast("double").alias(c) for c in sides])))
+
+    def step(done, new):
+        old = F.element_at(done, -1)
+        x = {c: F.bround(F.lit(0.4) * new[c] + F.lit(0.6) * old[c], 0) for c in sides}
+        x["x2"], x["y2"] = F.greatest(x["x2"], x["x1"] + 1), F.greatest(x["y2"], x["y1"] + 1)
+        return F.concat(done, F.array(F.struct(new.sec.alias("sec"), new.event_id.alias("event_id"), *[x[c].alias(c) for c in sides])))
+
+    got = d.groupBy("camera_id", "track_id", "piece").agg(rows.alias("r"))
+    every = F.aggregate(F.slice("r", 2, 1_000_000_000), F.slice("r", 1, 1), step)
+    return got.select(F.inline(every)).select("event_id", *[F.col(c).cast("long").alias(c) for c in sides])
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +28,33 @@ def nearest_frame(events: DataFrame, frames: DataFrame, within: int) -> DataFram
     return events.join(best, "event_id", "left").select("event_id", F.col("b.frame_id").alias("frame_id"), F.col("b.gap").alias("gap"))
 
 
+def frame_of(events: DataFrame, frames: DataFrame, within: int = NEAR, fallback: int = FALLBACK) -> DataFrame:
+    """Each event (event_id, camera_id, sec, wanted) with a frame: the one it names, if its camera has it; else the nearest
+    within ``within`` seconds; else the newest not after it, if no more than ``fallback`` seconds old."""
+    named = events.join(frames.select("camera_id", F.col("frame_id").alias("wanted"), F.col("frame_id").alias("named")), ["camera_id", "wanted"], "left")
+    near = nearest_frame(events, frames, within).select("event_id", F.col("frame_id").alias("near"))
+    e = events.withColumn("slot", F.expr(f"sec div {fallback}"))
+    f = frames.withColumn("slot", F.explode(F.array(F.expr(f"frame_sec div {fallback}"), F.expr(f"frame_sec div {fallback} + 1"))))
+    old = e.join(f, ["camera_id", "slot"]).where((F.col("frame_sec") <= F.col("sec")) & (F.col("sec") - F.col("frame_sec") <= fallback))
+    old = old.groupBy("event_id").agg(F.max(F.struct("frame_sec", "frame_id")).alias("o")).select("event_id", F.col("o.frame_id").alias("newest"))
+    got = named.join(near, "event_id", "left").join(old, "event_id", "left")
+    how = F.when(F.col("named").isNotNull(), "named").when(F.col("near").isNotNull(), "near").when(F.col("newest").isNotNull(), "newest")
+    return got.select("event_id", F.coalesce("named", "near", "newest").alias("frame_id"), how.alias("how"))
+
+
+@query(
+    "SELECT e.event_id, coalesce(n.frame_id, g.frame_id, o.frame_id) AS frame_id, CASE WHEN n.frame_id IS NOT NULL THEN 'named' WHEN g.frame_id IS NOT NULL THEN 'near' WHEN o.frame_id IS NOT NULL THEN 'newest' END AS how FROM e LEFT JOIN fr n ON n.frame_id = e.wanted AND n.camera_id = e.camera_id LEFT JOIN g USING (event_id) LEFT JOIN o USING (event_id)",
+    f"""e AS (SELECT event_id, camera_id, sec, CASE WHEN event_id % 3 = 0 THEN event_id - event_id % 4 END AS wanted FROM det WHERE event_id % 4 <> 0), fr AS (SELECT event_id AS frame_id, camera_id, sec AS frame_sec FROM det WHERE event_id % 4 = 0),
+  g AS (SELECT event_id, frame_id FROM e JOIN fr ON e.camera_id = fr.camera_id AND abs(sec - frame_sec) <= {NEAR} QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(sec - frame_sec), frame_id) = 1),
+  o AS (SELECT event_id, frame_id FROM e JOIN fr ON e.camera_id = fr.camera_id AND frame_sec <= sec AND sec - frame_sec <= {FALLBACK} QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY frame_sec DESC, frame_id DESC) = 1)""",
+)
+def j4_j5_frame_of_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = detections(spark, sf_dir)
+    frames = d.where("event_id % 4 = 0").select("camera_id", F.col("event_id").alias("frame_id"), F.col("sec").alias("frame_sec"))
+    wanted = F.when(F.col("event_id") % 3 == 0, F.col("event_id") - F.col("event_id") % 4).alias("wanted")
+    return frame_of(d.where("event_id % 4 <> 0").select("event_id", "camera_id", "sec", wanted), frames)
+
+
 @query(
     "SELECT d.event_id, frame_id, gap FROM det d LEFT JOIN (SELECT * FROM g WHERE place = 1) g USING (event_id) WHERE d.event_id % 4 <> 0",
     f"""g AS (SELECT d.event_id, f.event_id AS frame_id, abs(d.sec - f.sec) AS gap, row_number() OVER (PARTITION BY d.event_id ORDER BY abs(d.sec - f.sec), f.event_id) AS place
@@ -94,32 +121,45 @@ def j2_fusion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion_candidates(detections(spark, sf_dir)).select("camera_id", "slot", "vehicle_id", "person_id", F.round("score", 6).alias("score"))
 
 
-def matched(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy one to one: vehicles by time, each takes the best person left; a track is taken once."""
-    rows, people, tracks = [], set(), set()
-    for vehicle, own in pdf.sort_values(["vehicle_sec", "vehicle_id", "person_id"]).groupby(["vehicle_sec", "vehicle_id"], sort=True):
-        best = None
-        for r in own.itertuples():
-            if r.person_id not in people and not (r.track_id >= 0 and r.track_id in tracks) and (best is None or r.score > best.score):
-                best = r
-        if best is not None:
-            people.add(best.person_id)
-            tracks.add(best.track_id)
-            rows.append((best.camera_id, best.slot, vehicle[1], best.person_id, best.score))
-    return pd.DataFrame(rows, columns=["camera_id", "slot", "vehicle_id", "person_id", "score"])
+def matched(pairs: DataFrame) -> DataFrame:
+    """Greedy one to one within a camera and window: vehicles by time, each takes the best person left; a track is taken once.
+
+    Rows come in order of window, vehicle and score, and one pass goes through them; a task keeps the taken persons and
+    tracks of the window it is in.
+    """
+    order = ["camera_id", "slot", "vehicle_sec", "vehicle_id", F.desc("score"), "person_id"]
+    rows = pairs.repartition("camera_id", "slot").sortWithinPartitions(*order).select("camera_id", "slot", "vehicle_id", "person_id", "track_id", "score")
+
+    def run(batches):
+        window = vehicle = None
+        people, tracks = set(), set()
+        for b in batches:
+            out = []
+            for camera, slot, v, p, t, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (camera, slot) != window:
+                    window, vehicle, people, tracks = (camera, slot), None, set(), set()
+                if v != vehicle and p not in people and (t < 0 or t not in tracks):
+                    vehicle = v
+                    people.add(p)
+                    tracks.add(t)
+                    out.append((v, p, s))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["vehicle_id", "person_id", "score"])
+
+    return rows.mapInArrow(run, "vehicle_id long, person_id long, score double")
 
 
 @query()
 def j2_vehicle_person_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vehicle with its person, if any, and every person left over (J2, J3). Tested by a plain loop.
 
-    Only candidate pairs of one camera and window meet in a task; everything else is joins.
+    Matches come once, as a row for each of the two, and one join gives events theirs.
     """
     d = detections(spark, sf_dir)
-    pairs = fusion_candidates(d).groupBy("camera_id", "slot").applyInPandas(matched, "camera_id string, slot long, vehicle_id long, person_id long, score double")
-    pairs = pairs.select("vehicle_id", "person_id", F.round("score", 6).alias("score"))
-    vehicles = d.where("class_name <> 'person'").select("camera_id", F.col("event_id").alias("vehicle_id"), "class_name", "plate")
-    linked = vehicles.join(pairs, "vehicle_id", "left").select("camera_id", "vehicle_id", "person_id", "class_name", "plate", "score")
-    alone = d.where("class_name = 'person'").join(pairs.select(F.col("person_id").alias("event_id")), "event_id", "left_anti")
-    alone = alone.select("camera_id", F.lit(None).cast("long").alias("vehicle_id"), F.col("event_id").alias("person_id"), "class_name", F.lit(None).cast("string").alias("plate"), F.lit(None).cast("double").alias("score"))
-    return linked.unionByName(alone)
+    score = F.round("score", 6).alias("score")
+    ends = [F.struct(F.col(a).alias("event_id"), F.col(b).alias("partner"), score) for a, b in (("vehicle_id", "person_id"), ("person_id", "vehicle_id"))]
+    both = d.join(matched(fusion_candidates(d)).select(F.inline(F.array(*ends))), "event_id", "left")
+    person = F.col("class_name") == "person"
+    both = both.where(~person | F.col("partner").isNull())
+    return both.select(
+        "camera_id", F.when(~person, F.col("event_id")).alias("vehicle_id"), F.when(person, F.col("event_id")).otherwise(F.col("partner")).alias("person_id"), "class_name", F.when(~person, F.col("plate")).alias("plate"), "score"
+    )

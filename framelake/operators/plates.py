@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.plates import PROVINCES, SERIES, TO_DIGIT, TO_SERIES, basic, collapsed, motorcycle, positional, sampled, valid
+from framelake.functions.plates import PROVINCES, SERIES, TO_DIGIT, TO_SERIES, basic, motorcycle, positional, sampled, valid
 from framelake.plans.registry import query
 from framelake.sources.tables import detections
 
@@ -84,16 +84,15 @@ def j15_sf18_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT camera_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY sec, event_id) AS labels FROM r WHERE (before IS NULL OR before <> label) AND label <> 0 GROUP BY camera_id""",
-    "r AS (SELECT *, event_id % 4 AS label, lag(event_id % 4) OVER (PARTITION BY camera_id ORDER BY sec, event_id) AS before FROM det WHERE sec < 1704326400)",
+    "SELECT camera_id, event_id, label FROM r WHERE (before IS NULL OR before <> label) AND label <> 0",
+    "r AS (SELECT *, event_id % 4 AS label, lag(event_id % 4) OVER (PARTITION BY camera_id ORDER BY sec, event_id) AS before FROM det)",
 )
 def sf26_collapsed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats collapsed and blanks dropped, over each camera's labels of three days."""
-    d = detections(spark, sf_dir).where("sec < 1704326400")
-    rows = F.array_sort(F.collect_list(F.struct("sec", "event_id", (F.col("event_id") % 4).alias("label"))))
-    got = d.groupBy("camera_id").agg(rows.alias("r")).select("camera_id", F.col("r.label").alias("labels"))
-    got = got.withColumn("labels", collapsed("labels")).where(F.size("labels") > 0)
-    return got.select("camera_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+    """Each camera's labels over all events, repeats collapsed and blanks dropped: a row for each that is kept."""
+    from framelake.operators.history import changed
+
+    d = detections(spark, sf_dir).withColumn("label", F.col("event_id") % 4)
+    return changed(d, "label", ["camera_id"], ["sec", "event_id"]).where("label <> 0").select("camera_id", "event_id", "label")
 
 
 @query("SELECT event_id, CAST('0x' || substr(md5(camera_id || ':' || CAST(track_id AS VARCHAR) || ':' || CAST(sec * 2 AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.25 AS dropped FROM det")

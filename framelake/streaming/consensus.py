@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -75,14 +76,27 @@ def _run(key: tuple, rows: pd.DataFrame, track: Track | None, rules: Rules) -> t
 
 
 def batch(events: DataFrame, rules: Rules) -> DataFrame:
-    """Emissions of all tracks of a table (camera_id, track_id, event_id, sec, plate, confidence, sharpness)."""
-    return events.groupBy("camera_id", "track_id").applyInPandas(lambda key, rows: _run(key, rows, None, rules)[0], OUT)
+    """Emissions of all tracks of a table (camera_id, track_id, event_id, sec, plate, confidence, sharpness).
 
+    A track that was idle begins anew, so that histories are cut there.
+    """
+    from framelake.operators.gates import pieces
 
-def stream(events: DataFrame, rules: Rules) -> DataFrame:
-    """The same over a stream; a batch's readings go by time, and readings older than earlier batches count as they come."""
+    cut = pieces(events, ["camera_id", "track_id"], rules.idle)
+    return cut.groupBy("camera_id", "track_id", "piece").applyInPandas(lambda key, rows: _run(key[:2], rows, None, rules)[0], OUT)
+
+
+def stream(events: DataFrame, rules: Rules, late: str = "2 days") -> DataFrame:
+    """The same over a stream; a batch's readings go by time, and readings older than earlier batches count as they come.
+
+    A track is forgotten once the watermark, ``late`` behind the newest reading, is past its last one by ``rules.idle``: it
+    would begin anew. Readings behind the watermark are dropped.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         track = None
         if state.exists:
             first, last, plates, sums, counts, emitted = state.get
@@ -90,6 +104,8 @@ def stream(events: DataFrame, rules: Rules) -> DataFrame:
         out, track = _run(key, pd.concat(list(frames)), track, rules)
         plates = list(track.sums)
         state.update((float(track.first), float(track.last), plates, [float(track.sums[p][0]) for p in plates], [int(track.sums[p][1]) for p in plates], track.emitted))
+        state.setTimeoutTimestamp(max(int((track.last + rules.idle) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield out
 
-    return events.groupBy("camera_id", "track_id").applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
+    timed = events.withColumn("_at", F.timestamp_seconds("sec")).withWatermark("_at", late)
+    return timed.groupBy("camera_id", "track_id").applyInPandasWithState(run, OUT, STATE, "append", "EventTimeTimeout")

@@ -23,21 +23,28 @@ def counts_by_window(events: DataFrame, window: str = "6 hours", late: str = "2
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "camera_id", "class_name").agg(F.count("*").alias("n"))
 
 
-def cooldown(events: DataFrame, seconds: int) -> DataFrame:
-    """Events that pass a cooldown per (camera, track). State is the time of the last that passed.
+def cooldown(events: DataFrame, seconds: int, late: str = "2 days") -> DataFrame:
+    """Events that pass a cooldown per (camera, track). State is the time of the last that passed, and is forgotten once
+    the watermark, ``late`` behind the newest event, is past it by ``seconds``. Events behind the watermark are dropped.
 
     A batch's events of a key go by time; events older than those of earlier batches are judged by the same state.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         own = pd.concat(list(frames)).sort_values(["sec", "event_id"])
         kept = own[list(cooled(own["sec"], seconds, last))]
         if len(kept):
-            state.update((int(kept["sec"].iloc[-1]),))
+            last = int(kept["sec"].iloc[-1])
+            state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"event_id": kept["event_id"]})
 
-    return events.groupBy("camera_id", "track_id").applyInPandasWithState(run, "event_id long", "last long", "append", "NoTimeout")
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("camera_id", "track_id").applyInPandasWithState(run, "event_id long", "last long", "append", "EventTimeTimeout")
 
 
 def first_seen(events: DataFrame, late: str = "2 days") -> DataFrame:

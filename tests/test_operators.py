@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from framelake.functions.geometry import cosine, inside
 from framelake.functions.plates import collapsed, positional, valid
 from framelake.operators.boxes import ge3_suppressed_per_frame
-from framelake.operators.dedup import dd1_person_cooldown
+from framelake.operators.dedup import dd1_person_cooldown, dd2_cell_cooldown
 from framelake.operators.history import wn5_smoothed_boxes
 from framelake.operators.joins import fusion_candidates, j2_vehicle_person_fusion
 from framelake.sources.tables import detections
@@ -50,16 +50,28 @@ def test_cooldown(spark):
 def test_smoothing(spark):
     d = detections(spark, SF).where("track_id >= 0").toPandas()
     want = {}
-    for (cam, track, day), own in d.groupby(["camera_id", "track_id", d.sec // 86400]):
-        box = None
-        for e in own.sort_values(["ts", "event_id"]).itertuples():
+    for _, own in d.groupby(["camera_id", "track_id"]):
+        box = last = None
+        for e in own.sort_values(["sec", "event_id"]).itertuples():
             new = (e.x1, e.y1, e.x2, e.y2)
-            box = new if box is None else tuple(round(0.4 * a + 0.6 * b) for a, b in zip(new, box))
-        want[cam, track, day] = box
-    got = {(r.camera_id, r.track_id, r.day): (r.x1, r.y1, r.x2, r.y2) for r in wn5_smoothed_boxes(spark, SF).collect()}
+            box = new if box is None or e.sec - last > 259200 else tuple(round(0.4 * a + 0.6 * b) for a, b in zip(new, box))
+            box, last = (*box[:2], max(box[2], box[0] + 1), max(box[3], box[1] + 1)), e.sec
+            want[e.event_id] = box
+    got = {r.event_id: (r.x1, r.y1, r.x2, r.y2) for r in wn5_smoothed_boxes(spark, SF).collect()}
     assert got == want
 
 
+def test_cells(spark):
+    d = detections(spark, SF).where("class_name = 'person' and track_id < 0").toPandas()
+    want, last = set(), {}
+    for e in d.sort_values(["sec", "event_id"]).itertuples():
+        key = e.camera_id, (e.x1 + e.x2) // 100, (e.y1 + e.y2) // 100
+        if key not in last or e.sec - last[key] >= 7200:
+            want.add(e.event_id)
+            last[key] = e.sec
+    assert {r.event_id for r in dd2_cell_cooldown(spark, SF).collect()} == want
+
+
 def test_fusion(spark):
     pairs = fusion_candidates(detections(spark, SF)).toPandas()
     want = {}

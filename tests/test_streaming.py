@@ -10,8 +10,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def replayed(spark, tmp_path, df, name, mode):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
-    q.processAllAvailable()
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    q.awaitTermination(120)
     q.stop()
     return spark.table(name)
 
