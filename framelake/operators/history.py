@@ -147,3 +147,36 @@ def st6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.streaming.consensus import Rules, batch
 
     return batch(tracked(spark, sf_dir).where("class_name <> 'person'"), Rules(idle=259200, patience=172800))
+
+
+def decayed(df: DataFrame, tau: float, start: float = 100.0, first: float = 0.05) -> DataFrame:
+    """camera_id, sec and light: the running mean of ``value`` in which a reading fades with the seconds since, by
+    1 - exp(-dt/tau) a step; readings of one second are one. Before the first reading it is ``start``.
+
+    Times are cut into chunks of fifty tau. Within a chunk the mean is a running sum of faded readings; from before, only
+    the chunk that precedes it still counts, as what is older has faded below 1e-21.
+    """
+    span = int(50 * tau)
+    d = df.groupBy("camera_id", "sec").agg(F.avg("value").alias("value")).withColumn("chunk", F.expr(f"sec div {span}"))
+    inside = Window.partitionBy("camera_id", "chunk").orderBy("sec")
+    ends = d.groupBy("camera_id", "chunk").agg(F.max("sec").alias("last"), F.min("sec").alias("begin"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy("camera_id").orderBy("chunk")))
+    d = d.join(ends, ["camera_id", "chunk"]).withColumn("prior", F.coalesce(F.lag("sec").over(inside), "before"))
+    gain = 1 - F.exp(-(F.col("sec") - F.col("prior")) / F.lit(float(tau)))
+    part = F.when(F.col("prior").isNull(), F.lit(first) * F.col("value") + F.lit((1 - first) * start)).otherwise(gain * F.col("value"))
+    d = d.withColumn("faded", part * F.exp((F.col("sec") - F.col("begin")) / F.lit(float(tau)))).withColumn("sum", F.sum("faded").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = d.groupBy("camera_id", "chunk").agg(F.sum("faded").alias("s"), F.first("begin").alias("b")).withColumn("chunk", F.col("chunk") + 1)
+    d = d.join(totals, ["camera_id", "chunk"], "left")
+    light = F.col("sum") * F.exp((F.col("begin") - F.col("sec")) / F.lit(float(tau))) + F.coalesce(F.col("s") * F.exp((F.col("b") - F.col("sec")) / F.lit(float(tau))), F.lit(0.0))
+    return d.select("camera_id", "sec", light.alias("light"))
+
+
+@query(
+    "SELECT a.camera_id, a.sec, round(sum(b.z * exp(-(a.sec - b.sec) / CAST(21600 AS DOUBLE))), 6) AS light FROM z a JOIN z b ON a.camera_id = b.camera_id AND b.sec <= a.sec AND a.sec - b.sec <= 21600 * 60 GROUP BY ALL",
+    """m AS (SELECT camera_id, sec, avg(sharpness) AS x FROM det GROUP BY ALL), p AS (SELECT *, lag(sec) OVER (PARTITION BY camera_id ORDER BY sec) AS before FROM m),
+  z AS (SELECT camera_id, sec, CASE WHEN before IS NULL THEN CAST(95 AS DOUBLE) + CAST(0.05 AS DOUBLE) * x ELSE (1 - exp(-(sec - before) / CAST(21600 AS DOUBLE))) * x END AS z FROM p)""",
+)
+def wn6_faded_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With six hours for tau, over the sharpness of a camera's detections."""
+    got = decayed(detections(spark, sf_dir).select("camera_id", "sec", F.col("sharpness").alias("value")), 21600)
+    return got.select("camera_id", "sec", F.round("light", 6).alias("light"))

@@ -26,3 +26,20 @@ def export_csv(df: DataFrame, path: str) -> None:
 def events_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON text, nulls kept."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def deleted(spark: SparkSession, path: str, key: list[str], version: list[str], tombstone: str = "deleted") -> DataFrame:
+    """``latest`` without the keys whose newest version is a tombstone: what a delete would have left."""
+    return latest(spark, path, key, version).where(~F.coalesce(F.col(tombstone), F.lit(False))).drop(tombstone)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, or no rows of ``schema`` where there is none yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -4,7 +4,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from framelake.sources.files import listed, manifest, paired, payload
-from framelake.sources.sinks import append, events_json, export_csv, latest
+from framelake.sources.sinks import append, deleted, events_json, export_csv, latest, read_or_empty
 from framelake.sources.tables import detections
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +32,12 @@ def test_sinks(spark, tmp_path):
     export_csv(d.limit(3), str(tmp_path / "c"))
     assert all(r.confidence.endswith("%") for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect())
     assert events_json(spark.createDataFrame([(1, None)], "a int, b string")).first().value == '{"a":1,"b":null}'
+
+
+def test_deletes_and_missing_tables(spark, tmp_path):
+    rows = [(1, "2024-01-01", "a", False), (2, "2024-01-01", "b", False), (1, "2024-01-02", "a", True)]
+    schema = "id int, ts string, name string, deleted boolean"
+    append(spark.createDataFrame(rows, schema), str(tmp_path / "t"))
+    assert [(r.id, r.name) for r in deleted(spark, str(tmp_path / "t"), ["id"], ["ts"]).collect()] == [(2, "b")]
+    assert read_or_empty(spark, str(tmp_path / "none"), schema).count() == 0
+    assert read_or_empty(spark, str(tmp_path / "t"), schema).count() == 3
