@@ -14,7 +14,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, dr
 
 
 def rows_of(texts):
-    return [(i, t, "en", ["s1", "s2", None][i % 3], len(t or ""), "x", 1, 2, 3) for i, t in texts]
+    return [(i, t, "en", ["s1", "s2", None][(i or 0) % 3], len(t or ""), "x", 1, 2, 3) for i, t in texts]
 
 
 @pytest.fixture(scope="module")
