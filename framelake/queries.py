@@ -1,6 +1,6 @@
 """All registered queries over the given tables; importing the operator modules registers them."""
 
-from framelake.operators import boxes, correction, dedup, gates, history, joins, more, plates, quality, rows, serving  # noqa: F401
+from framelake.operators import boxes, correction, decoding, dedup, gates, history, joins, more, plates, quality, rows, serving  # noqa: F401
 from framelake.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
