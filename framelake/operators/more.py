@@ -70,16 +70,46 @@ def ag31_sk3_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).where("track_id >= 0").groupBy("track_id").agg(F.max("sec").alias("sec"), last.alias("plate"))
 
 
+FRAME = "SELECT *, sec // 3600 AS slot, (y1 + y2) / CAST(2 AS DOUBLE) AS yc FROM det WHERE class_name <> 'person'"
+
+
+def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings with their frame, here of one camera and hour, and the height of their middle."""
+    d = detections(spark, sf_dir).where("class_name <> 'person'")
+    return d.withColumn("slot", F.expr("sec div 3600")).withColumn("yc", (F.col("y1") + F.col("y2")) / 2.0)
+
+
 @query(
-    """SELECT camera_id, slot, string_agg(plate, '' ORDER BY x1, event_id) AS line, min(confidence) AS confidence FROM (SELECT *, sec // 3600 AS slot, y1 // 200 AS row FROM det WHERE class_name <> 'person')
-  GROUP BY camera_id, slot, row HAVING count(*) > 1"""
+    "SELECT camera_id, slot, string_agg(plate, '' ORDER BY line, x1, event_id) AS text, min(confidence) AS confidence, count(DISTINCT line) AS lines FROM n GROUP BY camera_id, slot",
+    f"""f AS ({FRAME}), g AS (SELECT *, yc - lag(yc) OVER w AS dy, avg(y2 - y1) OVER (PARTITION BY camera_id, slot) AS tall FROM f WINDOW w AS (PARTITION BY camera_id, slot ORDER BY yc, event_id)),
+  n AS (SELECT *, sum(CASE WHEN dy >= 0.5 * tall THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, slot ORDER BY yc, event_id ROWS UNBOUNDED PRECEDING) AS line FROM g)""",
 )
-def ag22_ag28_joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of one frame and row, put together from left to right, with the least of their confidences."""
-    d = detections(spark, sf_dir).where("class_name <> 'person'")
-    parts = F.array_sort(F.collect_list(F.struct("x1", "event_id", "plate")))
-    by = d.groupBy("camera_id", F.expr("sec div 3600").alias("slot"), F.expr("y1 div 200").alias("row")).agg(parts.alias("p"), F.min("confidence").alias("confidence"))
-    return by.where(F.size("p") > 1).select("camera_id", "slot", F.array_join("p.plate", "").alias("line"), "confidence")
+def ag22_joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of a frame from top to bottom; a line ends where the next one lies half a mean height lower. Lines go from
+    left to right, and the least confidence counts."""
+    frame = Window.partitionBy("camera_id", "slot")
+    down = frame.orderBy("yc", "event_id")
+    d = framed(spark, sf_dir).withColumn("dy", F.col("yc") - F.lag("yc").over(down)).withColumn("tall", F.avg(F.col("y2") - F.col("y1")).over(frame))
+    d = d.withColumn("line", F.sum(F.when(F.col("dy") >= F.col("tall") * 0.5, 1).otherwise(0)).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("line", "x1", "event_id", "plate")))
+    by = d.groupBy("camera_id", "slot").agg(parts.alias("p"), F.min("confidence").alias("confidence"), (F.max("line") + 1).alias("lines"))
+    return by.select("camera_id", "slot", F.array_join("p.plate", "").alias("text"), "confidence", "lines")
+
+
+@query(
+    "SELECT camera_id, slot, string_agg(plate, '' ORDER BY two AND yc > middle, x1, event_id) AS text, min(confidence) AS confidence, bool_or(two) AS two FROM t GROUP BY camera_id, slot",
+    f"""f AS ({FRAME}), s AS (SELECT camera_id, slot, max(yc) - min(yc) > 0.2 * (max(y2) - min(y1)) AS two, list_sort(list(yc))[count(*) // 2 + 1] AS middle FROM f GROUP BY ALL), t AS (SELECT * FROM f JOIN s USING (camera_id, slot))""",
+)
+def ag28_two_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lines where the middles spread over a fifth of the frame's height, parted at the upper median; else one."""
+    d = framed(spark, sf_dir)
+    s = d.groupBy("camera_id", "slot").agg(
+        (F.max("yc") - F.min("yc") > F.lit(0.2) * (F.max("y2") - F.min("y1"))).alias("two"), F.sort_array(F.collect_list("yc")).alias("ys"), F.array_sort(F.collect_list(F.struct("x1", "event_id", "yc", "plate"))).alias("p"), F.min("confidence").alias("confidence")
+    )
+    s = s.withColumn("middle", F.get("ys", F.expr("cast(size(ys) div 2 as int)")))
+    low = F.filter("p", lambda q: F.col("two") & (q["yc"] > F.col("middle")))
+    top = F.filter("p", lambda q: ~(F.col("two") & (q["yc"] > F.col("middle"))))
+    return s.select("camera_id", "slot", F.array_join(F.concat(top["plate"], low["plate"]), "").alias("text"), "confidence", "two")
 
 
 @query("SELECT event_id, regexp_extract(plate || ' x', '([0-9]{2}[A-Z][0-9]{4,6})', 1) AS found FROM det WHERE class_name <> 'person'")

@@ -113,19 +113,20 @@ def sf40_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT track_id, fixed AS plate, CAST(n AS BIGINT) AS n, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY round(score, 6) DESC, fixed) AS place FROM s) WHERE place = 1 AND n >= 2",
-    P + f""", a AS (SELECT *, max((x2 - x1) * (y2 - y1)) OVER (PARTITION BY track_id) AS largest FROM p WHERE track_id >= 0),
-  s AS (SELECT track_id, fixed, count(*) AS n, sum(confidence * confidence * (1 + 0.5 * ((x2 - x1) * (y2 - y1)) / largest) * CASE WHEN {VALID.format(p="fixed")} THEN 1.0 ELSE 0.3 END) AS score FROM a GROUP BY ALL)""",
+    "SELECT track_id, plate, n, score, best FROM (SELECT track_id, plain AS plate, n, round(weight, 6) AS score, best, row_number() OVER (PARTITION BY track_id ORDER BY round(weight, 6) DESC, plain) AS place FROM s WHERE n >= 2 AND (top >= 0.65 OR n >= 3)) WHERE place = 1",
+    P + f""", a AS (SELECT *, max((x2 - x1) * (y2 - y1)) OVER w AS largest, count(*) OVER w AS n, max(confidence) OVER w AS top FROM p WHERE track_id >= 0 WINDOW w AS (PARTITION BY track_id)),
+  s AS (SELECT track_id, plain, n, top, max(confidence) AS best, sum(confidence * confidence * (1 + 0.5 * ((x2 - x1) * (y2 - y1)) / largest) * CASE WHEN {VALID.format(p="plain")} THEN 1.0 ELSE 0.3 END) AS weight FROM a GROUP BY ALL)""",
 )
 def ag16_weighted_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per track, the plate of the largest sum of squared confidence, raised by area and lowered for an invalid form; two votes at least."""
+    """Per track of two readings or more, or three where none reaches 0.65: the plate of the largest sum of squared confidence,
+    raised by area and lowered for an invalid form, with its best confidence."""
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     d = plates(spark, sf_dir).where("track_id >= 0").withColumn("area", area)
-    d = d.withColumn("largest", F.max("area").over(Window.partitionBy("track_id")))
-    score = F.col("confidence") * F.col("confidence") * (1 + F.lit(0.5) * F.col("area") / F.col("largest")) * F.when(valid("fixed"), 1.0).otherwise(0.3)
-    votes = d.groupBy("track_id", "fixed").agg(F.count("*").alias("n"), F.sum(score).alias("score")).withColumn("score", F.round("score", 6))
-    place = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("score"), "fixed"))
-    return votes.withColumn("place", place).where("place = 1 and n >= 2").select("track_id", F.col("fixed").alias("plate"), "n", "score")
+    tracks = d.groupBy("track_id").agg(F.max("area").alias("largest"), F.count("*").alias("n"), F.max("confidence").alias("top")).where("n >= 2 and (top >= 0.65 or n >= 3)")
+    score = F.col("confidence") * F.col("confidence") * (1 + F.lit(0.5) * F.col("area") / F.col("largest")) * F.when(valid("plain"), 1.0).otherwise(0.3)
+    votes = d.join(tracks, "track_id").groupBy("track_id", "n", "plain").agg(F.round(F.sum(score), 6).alias("score"), F.max("confidence").alias("best"))
+    first = F.min(F.struct((-F.col("score")).alias("less"), "plain", "best"))
+    return votes.groupBy("track_id", "n").agg(first.alias("f")).select("track_id", F.col("f.plain").alias("plate"), "n", (-F.col("f.less")).alias("score"), F.col("f.best").alias("best"))
 
 
 @query(
