@@ -4,8 +4,9 @@ Codebooks are fitted on the driver on at most ``SAMPLE`` vectors, those of small
 then turns of beam-search encoding and least squares for all codewords at once. Every vector is encoded by beam search
 and stored as its codes, the squared norm of the sum they stand for, and a hash of its values. A query's score is
 looked up: that norm less twice the inner products of the query with the codewords, from one table per query. Blocks
-of queries meet chunks of the codes, and the best of a query are reranked by exact distance. How many grows with the table:
-the share of rows that held ``SURE`` of the nearest among the sample, measured after the fit, at least ``RERANK`` rows.
+of queries meet chunks of the codes, which bring their vectors along: of each chunk the best of a query by score are reranked
+there by exact distance, and ten go on. How many are reranked is the share of rows that held ``SURE`` of the nearest among the
+sample, measured after the fit, at least ``RERANK`` of a chunk.
 
 Vectors that are null, zero, of another length than the sample's first, or hold null or non-finite components take no
 part; nor do rows with a null id. Of vectors that are equal, only as many as a result can hold compete for a query's places in a part, those of
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from framelake.llm.common import table, written
 
 BOOKS, WORDS, BEAM, SAMPLE, TURNS = 8, 256, 8, 8192, 4
-TOP, RERANK, QUERIES, ROWS, SURE = 10, 400, 256, 1 << 16, 0.98
+TOP, RERANK, QUERIES, ROWS, SURE = 10, 400, 256, 1 << 14, 0.98
 #: Bytes of queries that may be broadcast; more meet the chunks by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -108,21 +109,23 @@ def _column(batch: pa.RecordBatch, k: int, width: int) -> np.ndarray:
 
 
 def indexed(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """vec_id, code (binary), norm and same (a hash of the vector) of each vector."""
+    """vec_id, code (binary), norm, same (a hash of the vector) and v (its doubles, binary) of each vector."""
     shared, width = vectors.sparkSession.sparkContext.broadcast(books), books.shape[2]
 
     def run(batches):
         for b in batches:
             x = _column(b, 1, width)
             for k in range(0, len(x), 512):
-                codes, norm = encode(x[k : k + 512], shared.value)
-                yield pa.RecordBatch.from_arrays([b.column(0)[k : k + 512], pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norm), b.column(2)[k : k + 512]], names=["vec_id", "code", "norm", "same"])
+                own = np.ascontiguousarray(x[k : k + 512])
+                codes, norm = encode(own, shared.value)
+                columns = [b.column(0)[k : k + 512], pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norm), b.column(2)[k : k + 512], pa.array([v.tobytes() for v in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "code", "norm", "same", "v"])
 
-    return vectors.select("vec_id", "v", F.xxhash64("v").alias("same")).mapInArrow(run, "vec_id long, code binary, norm double, same long")
+    return vectors.select("vec_id", "v", F.xxhash64("v").alias("same")).mapInArrow(run, "vec_id long, code binary, norm double, same long, v binary")
 
 
 def packed(index: DataFrame, rows: int = ROWS) -> DataFrame:
-    """vec_ids, codes, norms and sames: each a binary column that holds the values of up to ``rows`` vectors of a task."""
+    """vec_ids, codes, norms, sames and vectors: each a binary column that holds the values of up to ``rows`` vectors of a task."""
 
     def run(batches):
         held, n = [], 0
@@ -138,10 +141,10 @@ def packed(index: DataFrame, rows: int = ROWS) -> DataFrame:
     def row(held):
         t = pa.Table.from_batches(held).combine_chunks()
         numbers = [t.column(k).to_numpy().tobytes() for k in (0, 2, 3)]
-        values = [numbers[0], b"".join(t.column(1).to_pylist()), *numbers[1:]]
-        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["vec_ids", "codes", "norms", "sames"])
+        values = [numbers[0], b"".join(t.column(1).to_pylist()), *numbers[1:], b"".join(t.column(4).to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["vec_ids", "codes", "norms", "sames", "vectors"])
 
-    return index.mapInArrow(run, "vec_ids binary, codes binary, norms binary, sames binary")
+    return index.mapInArrow(run, "vec_ids binary, codes binary, norms binary, sames binary, vectors binary")
 
 
 def nearest(vectors: DataFrame, every: int = 100, top: int = TOP, rerank: int = RERANK) -> DataFrame:
@@ -158,7 +161,7 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = TOP, rerank: int =
     books = fit(own)
     index = written(indexed(x, books))
     n = index.count()
-    most = max(rerank, int(np.ceil(depth(own, books, top) * n)))
+    share = depth(own, books, top)
     queries = written(x.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
     asked = queries.count()
     blocks = max(1, -(-asked // QUERIES))
@@ -166,40 +169,36 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = TOP, rerank: int =
     packed_queries = queries.groupBy(number).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))  # about QUERIES in each
     if asked * width * 8 <= BROADCAST_BYTES:
         packed_queries = F.broadcast(packed_queries)
-    chunks = packed(index.repartition(max(spark.sparkContext.defaultParallelism, n // ROWS), "vec_id"))
+    chunks = packed(index.repartition(max(spark.sparkContext.defaultParallelism, n // ROWS), "vec_id"))  # a chunk brings its vectors along
     met = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed_queries, "block")
     shared = spark.sparkContext.broadcast(books)
 
     def score(batches):
         m = len(shared.value)
         for b in batches:
-            for qs, *chunk in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                ids, codes, norm, same = (np.frombuffer(c, t) for c, t in zip(chunk, (np.int64, np.uint8, np.float64, np.int64), strict=True))
-                codes = codes.reshape(-1, m)
+            for qs, *chunk in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                ids, codes, norm, same, x = (np.frombuffer(c, t) for c, t in zip(chunk, (np.int64, np.uint8, np.float64, np.int64, np.float64), strict=True))
+                codes, x = codes.reshape(-1, m), x.reshape(len(ids), -1)
                 order = np.lexsort((ids, same))
                 heads = np.flatnonzero(np.diff(same[order], prepend=~same[order][0]) != 0)
                 place = np.arange(len(order)) - np.repeat(heads, np.diff(heads, append=len(order)))
                 keep = np.sort(order[place <= top])  # of equal vectors, a result and the query itself hold no more
-                ids, codes, norm, same = ids[keep], codes[keep], norm[keep], same[keep]
+                most = max(rerank, int(np.ceil(share * len(keep))))
+                kept, codes, norm, out = ids[keep], codes[keep], norm[keep], []
                 for r in qs:
-                    s = norm.copy()
-                    for t, c in zip(-2 * shared.value @ np.array(r["q"]), codes.T, strict=True):
+                    q, s = np.array(r["q"]), norm.copy()
+                    for t, c in zip(-2 * shared.value @ q, codes.T, strict=True):
                         s += t[c]
-                    some = np.arange(len(s))
-                    if len(s) > most:  # all that tie with the last, then by id
-                        some = np.flatnonzero(s <= np.partition(s, most - 1)[most - 1])
-                    some = some[np.lexsort((ids[some], s[some]))][:most]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), r["query_id"])), pa.array(ids[some]), pa.array(s[some]), pa.array(same[some])], names=["query_id", "vec_id", "near", "same"])
-
-    found = met.select("queries", "vec_ids", "codes", "norms", "sames").mapInArrow(score, "query_id long, vec_id long, near double, same long").where(F.col("query_id") != F.col("vec_id"))
-    copies = F.row_number().over(Window.partitionBy("query_id", "same").orderBy("vec_id"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "vec_id"))
-    found = found.withColumn("copy", copies).where(F.col("copy") <= top).withColumn("place", best).where(F.col("place") <= most)
-    both = found.select("query_id", "vec_id").join(x, "vec_id").join(queries, "query_id")
-    distance = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y))
-    exact = both.select("query_id", "vec_id", distance.alias("score"))
+                    some = np.arange(len(s)) if len(s) <= most else np.flatnonzero(s <= np.partition(s, most - 1)[most - 1])  # all that tie with the last
+                    some = some[kept[some] != r["query_id"]]
+                    away = np.sqrt(((x[keep[some]] - q) ** 2).sum(1))
+                    best = np.lexsort((kept[some], away))[:top]
+                    out.append((np.full(len(best), r["query_id"]), kept[some[best]], away[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    found = met.select("queries", "vec_ids", "codes", "norms", "sames", "vectors").mapInArrow(score, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op2_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
