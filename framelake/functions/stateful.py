@@ -21,6 +21,21 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+@dataclass
+class Cooldown:
+    """Passes ``quiet`` seconds or more after the last that passed, or after the last of all where ``refresh``."""
+
+    quiet: float
+    refresh: bool = False
+    last: float | None = None
+
+    def step(self, e) -> bool:
+        passes = self.last is None or e.sec - self.last >= self.quiet
+        if passes or self.refresh:
+            self.last = e.sec
+        return passes
+
+
 @dataclass
 class Spot:
     """Repeats of one camera and plate: those at the same spot within ``parked`` seconds don't pass and restart the clock;

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.functions.stateful import Cooldown
 from framelake.plans.registry import query
 from framelake.sources.tables import detections
 
@@ -27,13 +27,9 @@ def cooldown(df: DataFrame, keys: list[str], seconds: int, refresh: bool = False
 
     After a gap of more than ``seconds`` an event passes whatever came before, so that keys are cut there.
     """
-    from framelake.operators.gates import pieces
+    from framelake.operators.gates import gated
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sec", "event_id"])
-        return pdf.loc[list(cooled(pdf["sec"], seconds, refresh=refresh)), ["event_id"]]
-
-    return pieces(df.select("event_id", "sec", *keys), keys, seconds).groupBy(*keys, "piece").applyInPandas(run, "event_id long")
+    return gated(df, keys, lambda: Cooldown(seconds, refresh), [])
 
 
 @query()

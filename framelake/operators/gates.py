@@ -7,8 +7,10 @@ a window over the key in order of time, which streams.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
+from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +28,36 @@ def pieces(df: DataFrame, keys: list[str], gap: float) -> DataFrame:
     return df.withColumn("_s", starts).withColumn("piece", F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
+def in_order(df: DataFrame, keys: list[str], gap: float, columns: list[str]) -> DataFrame:
+    """Pieces dealt to tasks and each in order: columns are those of the key and its piece, then event_id, sec and ``columns``."""
+    cut = pieces(df.select(*dict.fromkeys(["event_id", "sec", *keys, *columns])), keys, gap)
+    begins = [F.col("piece.sec").alias("_sec"), F.col("piece.event_id").alias("_id")]
+    cut = cut.select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)], *begins, *dict.fromkeys(["event_id", "sec", *keys, *columns]))
+    names = cut.columns[: len(keys) + 2]
+    return cut.repartition(*names).sortWithinPartitions(*names, "sec", "event_id")
+
+
 def gated(df: DataFrame, keys: list[str], rule: Callable[[], object], columns: list[str]) -> DataFrame:
-    """event_id of the events that pass their key's rule. ``columns`` are what the rule reads besides sec."""
-    cut = pieces(df.select(*dict.fromkeys(["event_id", "sec", *keys, *columns])), keys, rule().quiet)
+    """event_id of the events that pass their key's rule. ``columns`` are what the rule reads besides sec.
+
+    One pass over a task's pieces; it holds the state of one piece at a time.
+    """
+    ordered, width = in_order(df, keys, rule().quiet, columns), len(keys) + 2
+    names = ordered.columns[width:]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = rule()
-        own = pdf.sort_values(["sec", "event_id"])
-        return own.loc[[state.step(e) for e in own.itertuples()], ["event_id"]]
+    def run(batches):
+        last = state = None
+        for b in batches:
+            passed = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:width] != last:
+                    last, state = row[:width], rule()
+                e = SimpleNamespace(zip(names, row[width:], strict=True))
+                if state.step(e):
+                    passed.append(e.event_id)
+            yield pa.RecordBatch.from_arrays([pa.array(passed, pa.int64())], names=["event_id"])
 
-    return cut.groupBy(*keys, "piece").applyInPandas(run, "event_id long")
+    return ordered.mapInArrow(run, "event_id long")
 
 
 def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +116,16 @@ def wn11_still_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ge18_j7_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A camera's boxes of one quarter of an hour are a frame. A track's name is where its piece begins, and its number. Tested by a plain loop."""
     d = detections(spark, sf_dir).withColumn("sec", F.expr("sec div 900 * 900"))
-    cut = pieces(d.select("event_id", "sec", "camera_id", "confidence", *BOX), ["camera_id"], IDLE)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = Tracker(IDLE, 0.2), []
-        start = pdf["sec"].min()
-        for now, own in pdf.sort_values(["sec", "event_id"]).groupby("sec", sort=True):
-            found = state.frame(now, list(own[BOX].itertuples(index=False, name=None)), own["confidence"].tolist())
-            out += [(i, f"{start}-{n}", sure) for i, (n, sure) in zip(own["event_id"], found, strict=True)]
-        return pd.DataFrame(out, columns=["event_id", "track", "confirmed"])
-
-    return cut.groupBy("camera_id", "piece").applyInPandas(run, "event_id long, track string, confirmed boolean")
+    ordered = in_order(d, ["camera_id"], IDLE, ["confidence", *BOX])
+
+    def run(batches):
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (_, start, _), own in groupby(rows, key=lambda r: r[:3]):
+            state, out = Tracker(IDLE, 0.2), []
+            for now, frame in groupby(own, key=lambda r: r[4]):
+                frame = list(frame)  # columns: key and piece, event_id, sec, camera_id, confidence, box
+                found = state.frame(now, [r[7:11] for r in frame], [r[6] for r in frame])
+                out += [(r[3], f"{start}-{n}", sure) for r, (n, sure) in zip(frame, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out]) for k in range(3)], names=["event_id", "track", "confirmed"])
+
+    return ordered.mapInArrow(run, "event_id long, track string, confirmed boolean")
