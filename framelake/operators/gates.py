@@ -60,6 +60,28 @@ def gated(df: DataFrame, keys: list[str], rule: Callable[[], object], columns: l
     return ordered.mapInArrow(run, "event_id long")
 
 
+def stepped(df: DataFrame, keys: list[str], rule: Callable[[], object], columns: list[str], schema: str, row: Callable[[SimpleNamespace, tuple], tuple]) -> DataFrame:
+    """A row of ``schema`` for each event: ``row`` of the event and of what its key's rule gives for it; one pass, as in ``gated``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ordered, width = in_order(df, keys, rule().quiet, columns), len(keys) + 2
+    names, arrow = ordered.columns[width:], to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        last = state = None
+        for b in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:width] != last:
+                    last, state = r[:width], rule()
+                e = SimpleNamespace(zip(names, r[width:], strict=True))
+                out.append(row(e, state.step(e)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).where("class_name <> 'person'").withColumn("head", F.substring(F.upper(F.regexp_replace("plate", "[-. ]", "")), 1, 3))
 

@@ -1,111 +1,65 @@
-"""Plate consensus per track as a state machine over ordered readings.
+"""Plate consensus per camera, over tables and over streams, by the rules of ``functions.consensus``.
 
-A reading is (sec, plate, confidence, sharpness). A track is reset when idle for longer than ``idle`` seconds. A new
-track emits at once when its confidence reaches ``instant``, or comes within 0.1 of it with a sharp picture; else it is
-deferred. Readings add their confidence to their plate; the plate of the largest sum leads. A deferred track emits when
-the leader has ``hits`` readings with a mean of ``sure``, or after ``patience`` seconds. An emitted track emits again
-when another plate leads.
+Readings are camera_id, track_id, event_id, sec, plate, fixed, confidence, sharpness, x1, y1, x2, y2 and written. Tracks of a
+camera share where plates stand, so a camera's readings go together: in order, a pass that holds what can still count.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions.consensus import Camera, Rules
 
-@dataclass
-class Rules:
-    idle: float = 3.0
-    instant: float = 0.75
-    sharp: float = 110
-    sure: float = 0.8
-    hits: int = 2
-    patience: float = 2.5
-
-
-@dataclass
-class Track:
-    first: float
-    last: float
-    sums: dict[str, tuple[float, int]] = field(default_factory=dict)
-    emitted: str | None = None
-
-    def leader(self) -> str:
-        return min(self.sums, key=lambda p: (-self.sums[p][0], p))
-
-
-def advance(track: Track | None, sec: float, plate: str, confidence: float, sharpness: float, rules: Rules) -> tuple[Track, str | None]:
-    """The track after a reading, and what it emits: ``new``, ``confirmed``, ``update`` or nothing."""
-    fresh = track is None or sec - track.last > rules.idle
-    if fresh:
-        track = Track(sec, sec)
-    track.last = sec
-    total, n = track.sums.get(plate, (0.0, 0))
-    track.sums[plate] = (total + confidence, n + 1)
-    leader = track.leader()
-    total, n = track.sums[leader]
-    if track.emitted is not None:
-        if leader != track.emitted:
-            track.emitted = leader
-            return track, "update"
-        return track, None
-    if fresh and (confidence >= rules.instant or confidence >= rules.instant - 0.1 and sharpness >= rules.sharp):
-        track.emitted = leader
-        return track, "new"
-    if n >= rules.hits and total / n >= rules.sure or sec - track.first >= rules.patience:
-        track.emitted = leader
-        return track, "confirmed"
-    return track, None
-
-
-OUT = "camera_id string, track_id long, event_id long, plate string, kind string"
-STATE = "first double, last double, plates array<string>, sums array<double>, counts array<int>, emitted string"
-
-
-def _run(key: tuple, rows: pd.DataFrame, track: Track | None, rules: Rules) -> tuple[pd.DataFrame, Track | None]:
-    out = []
-    for e in rows.sort_values(["sec", "event_id"]).itertuples():
-        track, kind = advance(track, e.sec, e.plate, e.confidence, e.sharpness, rules)
-        if kind:
-            out.append((*key, e.event_id, track.emitted, kind))
-    return pd.DataFrame(out, columns=["camera_id", "track_id", "event_id", "plate", "kind"]), track
-
-
-def batch(events: DataFrame, rules: Rules) -> DataFrame:
-    """Emissions of all tracks of a table (camera_id, track_id, event_id, sec, plate, confidence, sharpness).
-
-    A track that was idle begins anew, so that histories are cut there.
+READ = ["track_id", "plate", "fixed", "confidence", "sharpness", "x1", "y1", "x2", "y2", "written"]
+OUT = "camera_id string, track_id long, event_id long, kind string, plate string, confidence double, shot long, state string, hits long, misses long, doubtful long"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
+
+
+def followed(events: DataFrame, rules: Rules) -> DataFrame:
+    """What each reading of a table leads to: what is stored (``kind``, null for nothing), and the track's state after it.
+
+    A camera begins anew after a pause in which all its state expires, and its readings are cut there.
     """
-    from framelake.operators.gates import pieces
+    from framelake.operators.gates import stepped
 
-    cut = pieces(events, ["camera_id", "track_id"], rules.idle)
-    return cut.groupBy("camera_id", "track_id", "piece").applyInPandas(lambda key, rows: _run(key[:2], rows, None, rules)[0], OUT)
+    return stepped(events, ["camera_id"], lambda: Camera(rules), READ, OUT, lambda e, got: (e.camera_id, e.track_id, e.event_id, *got))
+
+
+def emitted(events: DataFrame, rules: Rules) -> DataFrame:
+    """The readings at which something is stored."""
+    return followed(events, rules).where("kind is not null")
 
 
 def stream(events: DataFrame, rules: Rules, late: str = "2 days") -> DataFrame:
-    """The same over a stream; a batch's readings go by time, and readings older than earlier batches count as they come.
+    """``followed`` over a stream; a batch's readings go by time, and readings older than earlier batches count as they come.
 
-    A track is forgotten once the watermark, ``late`` behind the newest reading, is past its last one by ``rules.idle``: it
-    would begin anew. Readings behind the watermark are dropped.
+    A camera's state goes once the watermark, ``late`` behind the newest reading, is past its last one by ``rules.quiet``: it
+    would begin anew. Within it, tracks and plates go by time and by ``rules.cap``. Readings behind the watermark are dropped.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        track = None
-        if state.exists:
-            first, last, plates, sums, counts, emitted = state.get
-            track = Track(first, last, {p: (s, n) for p, s, n in zip(plates, sums, counts, strict=True)}, emitted)
-        out, track = _run(key, pd.concat(list(frames)), track, rules)
-        plates = list(track.sums)
-        state.update((float(track.first), float(track.last), plates, [float(track.sums[p][0]) for p in plates], [int(track.sums[p][1]) for p in plates], track.emitted))
-        state.setTimeoutTimestamp(max(int((track.last + rules.idle) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield out
+        last, packed = state.get if state.exists else (None, None)
+        camera, out = Camera.of(rules, json.loads(packed)) if packed else Camera(rules), []
+        own = pd.concat(list(frames)).sort_values(["sec", "event_id"])
+        for row in own.to_dict("records"):
+            e = SimpleNamespace(**row)
+            if last is not None and e.sec - last > rules.quiet:
+                camera = Camera(rules)
+            last = e.sec if last is None else max(last, e.sec)
+            out.append((*key, e.track_id, e.event_id, *camera.step(e)))
+        state.update((float(last), json.dumps(camera.packed(), default=lambda x: x.item())))
+        state.setTimeoutTimestamp(max(int((last + rules.quiet) * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=NAMES)
 
     timed = events.withColumn("_at", F.timestamp_seconds("sec")).withWatermark("_at", late)
-    return timed.groupBy("camera_id", "track_id").applyInPandasWithState(run, OUT, STATE, "append", "EventTimeTimeout")
+    return timed.groupBy("camera_id").applyInPandasWithState(run, OUT, "last double, camera string", "append", "EventTimeTimeout")
+

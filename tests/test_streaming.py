@@ -31,31 +31,6 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in n.collect()) == d.count()
 
 
-def test_consensus_by_hand():
-    from framelake.streaming.consensus import Rules, advance
-
-    rules, track, kinds = Rules(), None, []
-    for sec, plate, confidence in ((0, "A", 0.5), (1, "B", 0.85), (2, "B", 0.9), (3, "A", 0.9), (4, "A", 0.9), (9, "C", 0.8)):
-        track, kind = advance(track, sec, plate, confidence, 0, rules)
-        kinds.append(kind)
-    assert kinds == [None, None, "confirmed", None, "update", "new"]
-
-
-def test_consensus_stream(spark, tmp_path):
-    from framelake.streaming.consensus import Rules, batch, stream
-
-    schema = "event_id long, camera_id string, track_id long, sec long, plate string, confidence double, sharpness long"
-    d = detections(spark, SF).where("track_id >= 0 and class_name <> 'person'").select(*[c.split()[0] for c in schema.split(", ")])
-    rows = d.orderBy("sec", "event_id").toPandas()
-    for k in range(3):
-        own = rows.iloc[k * len(rows) // 3 : (k + 1) * len(rows) // 3]
-        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    rules = Rules(idle=259200, patience=172800)
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = replayed(spark, tmp_path, stream(events, rules), "agreed", "append")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch(d, rules).collect())) and got.count()
-
-
 def test_windows_by_hand():
     from framelake.streaming.fusion import step
 
