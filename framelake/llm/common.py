@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise, takewhile
 
@@ -78,6 +79,23 @@ def filter_batches(df: DataFrame, keep: Callable[[list], list[bool]], name: str)
     return with_sizes(df).mapInArrow(run, df.schema)
 
 
+def training_texts(docs: DataFrame, ids: DataFrame, most_bytes: int) -> Iterator[tuple[object, str]]:
+    """(y, text) of the documents of ``ids`` (doc_id, y; few rows), in order of doc_id, whole: one text a doc_id, and of each y
+    as many as fit in its share of ``most_bytes``, by a hash of the ids. The driver holds a size per id, and then one part of
+    what is left at a time."""
+    own = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("text"))
+    sizes = own.groupBy("doc_id", "y").agg(F.min(F.struct("h", F.octet_length("text").alias("n"))).alias("s")).collect()
+    room = dict.fromkeys((r.y for r in sizes), most_bytes // max(1, len({r.y for r in sizes})))
+    chosen = []
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):
+        if r.s.n <= room[r.y]:
+            room[r.y] -= r.s.n
+            chosen.append((r.doc_id, r.s.h))
+    few = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long")
+    rows = own.join(F.broadcast(few), ["doc_id", "h"]).dropDuplicates(["doc_id"]).orderBy("doc_id")
+    return ((r.y, r.text) for r in rows.select("y", "text").toLocalIterator())
+
+
 #: The pre-token pattern for which ``encode_spaced`` holds.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RARE = ("  ", " \n", "\n ", "\n\n\n", *"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f")

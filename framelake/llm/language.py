@@ -23,11 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fold, map_batches, table
+from framelake.llm.common import fold, map_batches, table, training_texts
 
 CHAIN, BUCKETS = 128, 1 << 16
-#: Training documents of a language.
-TRAIN_ROWS = 100
+#: Training documents of a language, and bytes of all their texts.
+TRAIN_ROWS, TRAIN_BYTES = 100, 12 << 20
 MEMO = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -260,14 +260,14 @@ class Labeller:
         return names, np.where(sums > 0, total.max(1) / np.maximum(sums, 1e-9), 0.0).clip(0, 1).tolist()
 
 
-def trained(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    """Fit on at most ``rows`` documents of each language, whole; only these come to the driver."""
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") % 4 != 2))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.withColumn("place", place).where(F.col("place") <= rows).select("doc_id", "lang").distinct()
-    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").collect()
-    got = sorted((r.doc_id, r.lang, r.text) for r in got)
-    return fit([t for _, _, t in got], [name for _, name, _ in got])
+def trained(docs: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Field:
+    """Fit on at most ``rows`` documents of each language, whole, one text each and ``most_bytes`` in all, of which each
+    language has its share; only these come to the driver."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") % 4 != 2)).groupBy("doc_id").agg(F.min("lang").alias("y"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.withColumn("place", place).where(F.col("place") <= rows).select("doc_id", "y")
+    got = list(training_texts(docs, ids, most_bytes))
+    return fit([t for _, t in got], [y for y, _ in got])
 
 
 def labelled(docs: DataFrame, field: Field) -> DataFrame:

@@ -12,18 +12,21 @@ columns are ignored by the query and kept by the stage.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fold, map_batches, table
+from framelake.llm.common import fold, map_batches, table, training_texts
 
 WINDOW, STRIDE = 48, 36
 BUCKETS, WIDTH, HIDDEN = 1 << 13, 16, 10
 #: Bounds of the training sample: labelled documents of each class; and windows of a clean one in one pass.
 TRAIN_ROWS, LEARNED = (800, 1600), 8
+#: Bytes of all texts of the sample; whole texts are taken until each class has its half.
+TRAIN_BYTES = 12 << 20
 #: Distinct words whose inputs a task holds at once.
 MEMO = 250_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -178,17 +181,20 @@ def _positions(start: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> np.ndarr
     return np.where(at < ends[doc][:, None], at, -1)
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 300, seed: int = 7) -> Network:
-    """A network from labelled texts; the same rows give the same network."""
+def fit(examples: Iterable[tuple[int, str]], steps: int = 300, seed: int = 7) -> Network:
+    """A network from texts and their labels, of which it holds the numbers of words; the same rows give the same network."""
     net, g = Network.new(seed), np.random.default_rng(seed)
-    vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t.split()}))}
+    vocabulary: dict[str, int] = {}
+    docs, labels = [], []
+    for label, text in examples:
+        docs.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in text.split()), np.int32))
+        labels.append(label)
     if not vocabulary or len(set(labels)) < 2:
         net.p["out"][:] = 0
         net.p["bias"][:] = 5.0 if labels and all(labels) else -5.0
         return net
     feats = _features(list(vocabulary))
     bounds = np.searchsorted(feats[1], np.arange(len(vocabulary) + 1))
-    docs = [np.fromiter((vocabulary[w] for w in t.split()), np.int32) for t in texts]
     del vocabulary
     y = np.array(labels, np.float32)
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
@@ -271,18 +277,16 @@ class Scorer:
         return np.fromiter(map(known.__getitem__, all_words), np.int64, len(all_words))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Network:
+def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Network:
     """Fit on labelled documents outside the held-out fold: at most ``rows`` (toxic, clean) of them, by hash of their
-    ids. Only this sample comes to the driver."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids, one text each and ``most_bytes`` in all. Only this sample comes to the driver, a part at a time."""
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") % 5 != 0)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     ids = None
     for y, n in ((1, rows[0]), (0, rows[1])):
-        some = own.where((F.col("toxic") > 0) == bool(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        some = own.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = some if ids is None else ids.unionByName(some)
     # at most sum(rows) ids: small whatever the input
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-    got = sorted((r.doc_id, r.toxic > 0, r.text) for r in texts.collect())
-    return fit([t for _, _, t in got], [int(y) for _, y, _ in got])
+    return fit(training_texts(docs, ids, most_bytes))
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:

@@ -380,13 +380,13 @@ def test_toxicity(spark, docs, none):
             w[g.integers(0, 60)] = f"vile{g.integers(0, 9)}"
         texts.append(" ".join(w))
         labels.append(int(i % 3 == 0))
-    net = toxicity.fit(texts[:180], labels[:180], steps=200)
+    net = toxicity.fit(zip(labels[:180], texts[:180], strict=True), steps=200)
     p = toxicity.Scorer(net).score(texts[180:])
     assert ((p >= 0.5) == np.array(labels[180:])).mean() >= 0.9
     got = {r.doc_id: r.score for r in toxicity.scored(docs, net).collect()}
     assert got[0] == got[1] == got[2] == 0 and all(0 <= s <= 1 for s in got.values())
     assert toxicity.scored(none, net).count() == 0
-    long = toxicity.fit([" ".join(g.choice(plain, 2000)) + (" vile1" if i % 2 else "") for i in range(20)] + texts[:60], [i % 2 for i in range(20)] + labels[:60], steps=60)
+    long = toxicity.fit([(i % 2, " ".join(g.choice(plain, 2000)) + (" vile1" if i % 2 else "")) for i in range(20)] + list(zip(labels[:60], texts[:60], strict=True)), steps=60)
     assert long.p["word"].shape == net.p["word"].shape  # texts of many windows are learned from whole
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.scored(docs, toxicity.trained(docs, no_labels)).where("predicted = 1").count() == 0
@@ -534,3 +534,51 @@ def test_additive_recall_at_size(spark):
         d[q] = np.inf
         hits += len(own[q] & set(np.argsort(d)[:10].tolist()))
     assert hits >= 0.9 * 10 * len(own)
+
+
+def test_training_sample_is_bounded(spark):
+    """A doc_id that repeats gives one text; whole texts are taken up to the bytes of their class, the same whatever the order."""
+    from framelake.llm.common import training_texts
+
+    rows = [(1, f"text {k}") for k in range(10_000)] + [(k, f"own {k} " + "x" * 100) for k in range(2, 40)] + [(40, "y" * 5000), (41, None), (None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(k, k % 2) for k in range(1, 42)], "doc_id long, y int")
+    whole = list(training_texts(docs, ids, 1 << 20))
+    assert len(whole) == 40 and sum(t.startswith("text") for _, t in whole) == 1 and ("y" * 5000) in {t for _, t in whole}
+    few = list(training_texts(docs.repartition(7), ids, 4000))
+    assert sum(len(t) for y, t in few if y) <= 2000 and sum(len(t) for y, t in few if not y) <= 2000 and len(few) > 20
+    assert few == list(training_texts(docs.repartition(3), ids, 4000))
+    assert list(training_texts(docs, ids.where("false"), 4000)) == []
+
+
+def test_toxicity_gradients():
+    """Gradients against differences of the loss."""
+    import zlib as z
+
+    g = np.random.default_rng(z.crc32(b"g"))
+    net = toxicity.Network({k: v.astype(np.float64) for k, v in toxicity.Network.new(1).p.items()})
+    x = g.normal(0, 1, (30, toxicity.WIDTH))
+    at = np.where(np.arange(8) < np.array([[8], [5], [3]]), g.integers(0, 30, (3, 8)), -1)
+    weights = np.array([1.0, -2.0, 0.5])
+    loss = lambda: float(net.run(net.inputs(x).astype(np.float64), at) @ weights)
+    rows = net.inputs(x).astype(np.float64)
+    _, kept = net.run(rows, at, keep=True)
+    grads, d_rows = net.grads(rows, at, kept, weights)
+    for name in ("out", "att", "Uf", "Ub", "bias"):
+        flat = net.p[name].reshape(-1)
+        for k in g.integers(0, flat.size, 6):
+            old, eps = flat[k], 1e-2
+            flat[k] = old + eps
+            up = loss()
+            flat[k] = old - eps
+            down = loss()
+            flat[k] = old
+            assert abs((up - down) / (2 * eps) - grads[name].reshape(-1)[k]) < 2e-2 * max(1, abs(grads[name].reshape(-1)[k])), (name, k)
+    part = x.T @ d_rows[:-1, : 3 * toxicity.HIDDEN]
+    k, j = 3, 4
+    old, eps = net.p["Wf"][k, j], 1e-2
+    net.p["Wf"][k, j] = old + eps
+    up = loss()
+    net.p["Wf"][k, j] = old - eps
+    down = loss()
+    assert abs((up - down) / (2 * eps) - part[k, j]) < 2e-2 * max(1, abs(part[k, j]))
