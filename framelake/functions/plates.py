@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Look-alikes of digits and of series letters, province codes that aren't in use, series letters.
+# Look-alikes of digits and of series letters, province codes in use, series letters.
 TO_DIGIT = ("OQDILZSBGTA", "00011258674")
 TO_SERIES = ("85264710", "BSZGATTD")
-UNUSED_PROVINCES = (13, 42, 44, 45, 46, 87, 96)
+PROVINCES = """
+11 12 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 30 31 32 33 34 35 36 37 38 39 40 41 43 47 48 49 50 51 52 53 54 55 56 57 58 59
+60 61 62 63 64 65 66 67 68 69 70 71 72 73 74 75 76 77 78 79 80 81 82 83 84 85 86 88 89 90 91 92 93 94 95 97 98 99
+""".split()
 SERIES = "ABCDEFGHJKLMNPRSTUVWXYZ"
-PROVINCES = [str(p) for p in range(11, 100) if p not in UNUSED_PROVINCES]
 
 
 def basic(c: str | Column) -> Column:

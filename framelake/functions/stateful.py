@@ -7,6 +7,7 @@ A rule forgets everything in ``quiet`` seconds, so that a key's events may be cu
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import exp
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -191,3 +192,46 @@ class Tracker:
                 of[k] = self.made
                 self.tracks[self.made] = [b, now, 1]
         return [(of[k], self.tracks[of[k]][2] >= self.hits) for k in range(len(boxes))]
+
+
+@dataclass
+class Light:
+    """One camera's light: a mean in which a reading counts by the seconds since the one before, its place between a floor and a
+    ceiling that move slowly with what is read, and nothing or all within ``dead`` of either. After ``idle`` seconds it begins anew."""
+
+    idle: float = 120.0
+    tau: float = 2.0
+    slow: float = 0.002
+    span: float = 30.0
+    dead: float = 0.05
+    night: float = 0.20
+    day: float = 0.80
+    mean: float = 100.0
+    floor: float = 40.0
+    ceiling: float = 150.0
+    last: float | None = None
+    mode: str = "transition"
+
+    @property
+    def quiet(self) -> float:
+        return self.idle
+
+    def step(self, e) -> tuple[float, float, str, bool]:
+        """The mean, the share of light, the time of day, and whether that has changed."""
+        if self.last is None:
+            self.mean = e.light
+        else:
+            gap = e.sec - self.last
+            self.mean += (1 - exp(-gap / self.tau) if gap > 0 else 0.05) * (e.light - self.mean)
+        pull = lambda x, beyond: x + self.slow * (e.light - x) if beyond else x
+        relax = lambda x: x + self.slow / 10 * (e.light - x)
+        self.floor, self.ceiling = relax(pull(self.floor, e.light < self.floor)), relax(pull(self.ceiling, e.light > self.ceiling))
+        if self.ceiling - self.floor < self.span:
+            middle = (self.ceiling + self.floor) / 2
+            self.floor, self.ceiling = middle - self.span / 2, middle + self.span / 2
+        self.last = e.sec
+        share = min(1.0, max(0.0, (self.mean - self.floor) / (self.ceiling - self.floor)))
+        share = 0.0 if share < self.dead else 1.0 if share > 1 - self.dead else share
+        mode, before = "night" if share < self.night else "day" if share > self.day else "transition", self.mode
+        self.mode = mode
+        return self.mean, share, mode, mode != before

@@ -208,3 +208,14 @@ def wn6_faded_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With six hours for tau, over the sharpness of a camera's detections."""
     got = decayed(detections(spark, sf_dir).select("camera_id", "sec", F.col("sharpness").alias("value")), 21600)
     return got.select("camera_id", "sec", F.round("light", 6).alias("light"))
+
+
+@query()
+def wn6_light_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detection's light (its sharpness stands for it), with floor and ceiling of its camera; times for sparse events. Tested by a plain loop."""
+    from framelake.functions.stateful import Light
+    from framelake.operators.gates import stepped
+
+    d = detections(spark, sf_dir).withColumn("light", F.col("sharpness") * 0.6)
+    schema = "event_id long, mean double, share double, mode string, changed boolean"
+    return stepped(d, ["camera_id"], lambda: Light(idle=21600, tau=7200, slow=0.05), ["light"], schema, lambda e, got: (e.event_id, *got))

@@ -168,22 +168,24 @@ def ag21_sf24_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT track_id, string_agg(c, '' ORDER BY pos) AS plate FROM (SELECT *, row_number() OVER (PARTITION BY track_id, pos ORDER BY round(weight, 6) DESC, c) AS place
-  FROM v) WHERE place = 1 GROUP BY track_id""",
+    """SELECT track_id, string_agg(c, '' ORDER BY pos) AS plate, count(*) FILTER (WHERE share < 0.6) AS doubtful, count(*) FILTER (WHERE share < 0.6) <= 1 AND count(*) >= 7 AS complete
+  FROM (SELECT *, round(weight / sum(weight) OVER (PARTITION BY track_id, pos), 6) AS share, row_number() OVER (PARTITION BY track_id, pos ORDER BY round(weight, 6) DESC, c) AS place FROM v) WHERE place = 1 GROUP BY track_id""",
     P
     + """, l AS (SELECT track_id, length(fixed) AS n, row_number() OVER (PARTITION BY track_id ORDER BY round(sum(confidence), 6) DESC, length(fixed) DESC) AS place FROM p WHERE track_id >= 0 GROUP BY track_id, length(fixed)),
   v AS (SELECT track_id, pos, substr(fixed, CAST(pos AS INT), 1) AS c, sum(confidence * (0.3 + 0.7 * least(sharpness / 200.0, 1))) AS weight
   FROM (SELECT p.*, unnest(range(1, l.n + 1)) AS pos FROM p JOIN l ON l.track_id = p.track_id AND l.place = 1 AND length(fixed) = l.n) GROUP BY ALL)""",
 )
-def ag18_wn4_positional_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per track, the length of most confidence (longer on ties), then per place the character of most weight."""
+def ag18_wn4_positional_vote(spark: SparkSession, sf_dir: str, coverage: float = 0.6, doubtful: int = 1, shortest: int = 7) -> DataFrame:
+    """Per track, the length of most confidence (longer on ties), then per place the character of most weight; places where it
+    has less than ``coverage`` of the weight are doubtful, and a text with few of them is complete."""
     d = plates(spark, sf_dir).where("track_id >= 0").withColumn("n", F.length("fixed"))
     by = Window.partitionBy("track_id")
     lengths = d.groupBy("track_id", "n").agg(F.round(F.sum("confidence"), 6).alias("s"))
     lengths = lengths.withColumn("place", F.row_number().over(by.orderBy(F.desc("s"), F.desc("n")))).where("place = 1").select("track_id", "n")
     weight = F.col("confidence") * (F.lit(0.3) + F.lit(0.7) * F.least(F.col("sharpness") / 200.0, F.lit(1.0)))
     each = d.join(lengths, ["track_id", "n"]).select("track_id", weight.alias("w"), F.posexplode(F.filter(F.split("fixed", ""), lambda x: x != "")).alias("pos", "c"))
-    votes = each.groupBy("track_id", "pos", "c").agg(F.round(F.sum("w"), 6).alias("w"))
-    best = F.row_number().over(Window.partitionBy("track_id", "pos").orderBy(F.desc("w"), "c"))
-    won = votes.withColumn("place", best).where("place = 1").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("x"))
-    return won.select("track_id", F.array_join("x.c", "").alias("plate"))
+    votes = each.groupBy("track_id", "pos", "c").agg(F.sum("w").alias("w"))
+    place = votes.groupBy("track_id", "pos").agg(F.sum("w").alias("all"), F.min(F.struct((-F.round("w", 6)).alias("less"), "c", "w")).alias("best"))
+    doubt = F.count_if(F.round(F.col("best.w") / F.col("all"), 6) < coverage)
+    won = place.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("pos", "best.c"))).alias("x"), doubt.alias("doubtful"), F.count("*").alias("k"))
+    return won.select("track_id", F.array_join("x.c", "").alias("plate"), "doubtful", ((F.col("doubtful") <= doubtful) & (F.col("k") >= shortest)).alias("complete"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.geometry import iou
 from framelake.functions.plates import basic, valid
 from framelake.operators.plates import BASIC, VALID
 from framelake.plans.registry import query
@@ -306,19 +305,3 @@ def ge12_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = detections(spark, sf_dir).withColumn("c", points).withColumn("o", F.array(first(1, 1), first(1, -1), first(-1, 1), first(-1, -1)))
     return d.select("event_id", F.array_join(F.transform("o", lambda p: F.concat_ws(" ", F.round(p["x"]).cast("long").cast("string"), F.round(p["y"]).cast("long").cast("string"))), ",").alias("corners"))
-
-
-@query(
-    "SELECT event_id FROM det a WHERE class_name <> 'person' AND source <> 'vehicles' OR class_name <> 'person' AND NOT EXISTS (SELECT 1 FROM o WHERE o.event_id = a.event_id AND better)",
-    f"""o AS (SELECT b.event_id, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas,
-    i / CAST(areas - i AS DOUBLE) > 0.3 AS better FROM det a JOIN det b ON a.camera_id = b.camera_id AND a.sec // {SLOT} = b.sec // {SLOT} AND a.source <> 'vehicles' AND b.source = 'vehicles' AND a.class_name <> 'person' AND b.class_name <> 'person')""",
-)
-def so5_merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of a first and a second detector, here of one camera and six hours: a second one that overlaps a first is
-    the same plate and falls into it; all others stay."""
-    d = detections(spark, sf_dir).where("class_name <> 'person'").withColumn("slot", F.expr(f"sec div {SLOT}"))
-    box = ("x1", "y1", "x2", "y2")
-    a = d.where("source <> 'vehicles'").select("camera_id", "slot", *[F.col(c).cast("double").alias(f"a{c}") for c in box])
-    b = d.where("source = 'vehicles'").select("camera_id", "slot", "event_id", *[F.col(c).cast("double").alias(f"b{c}") for c in box])
-    same = b.join(a, ["camera_id", "slot"]).where(iou([F.col(f"a{c}") for c in box], [F.col(f"b{c}") for c in box]) > 0.3).select("event_id").distinct()
-    return d.select("event_id").join(same, "event_id", "left_anti")
