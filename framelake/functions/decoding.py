@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from heapq import heappop, heappush
+
 import numpy as np
 
+from framelake.functions.plates import PROVINCES
+
 
 def beams(probs: np.ndarray, width: int = 10, least: float = 0.25, separated: bool = False) -> list[tuple[tuple[int, ...], float]]:
     """Label sequences and confidences of the ``width`` most probable paths through ``probs`` (frames, labels), best first.
@@ -30,3 +35,58 @@ def beams(probs: np.ndarray, width: int = 10, least: float = 0.25, separated: bo
         if not kept:
             break
     return [(labels, sure) for labels, _, sure, _ in kept]
+
+
+# Forms of the upper and lower line and what they count, and characters put in another's place, one at a time.
+UPPER, LOWER = re.compile("([0-9]{2})[A-Z]{1,2}[0-9]?"), re.compile("[A-Z0-9]{4,6}")
+FIXES = {"B": "8", "8": "B", "D": "0", "0": "D", "I": "1", "1": "I", "L": "1", "S": "5", "5": "S", "O": "0", "Q": "0"}
+
+
+def upper_factor(text: str) -> float:
+    form = UPPER.fullmatch(text)
+    if form:
+        return 1.2 if form[1] in PROVINCES else 0.9
+    return 0.7 if len(text) >= 2 or not text else 0.5
+
+
+def lower_factor(text: str) -> float:
+    return 1.1 if LOWER.fullmatch(text) else 0.8 if text else 0.7
+
+
+def mended(text: str) -> str:
+    """The text with the first single replacement that makes a valid upper line; or as it is."""
+    valid = lambda t: (form := UPPER.fullmatch(t)) is not None and form[1] in PROVINCES
+    for k in [] if valid(text) else range(len(text)):
+        other = text[:k] + FIXES.get(text[k], text[k]) + text[k + 1 :]
+        if valid(other):
+            return other
+    return text
+
+
+def joined(upper: list[tuple[str, float]], lower: list[tuple[str, float]], best: int = 3) -> list[tuple[str, str, float]]:
+    """The ``best`` pairs of an upper and a lower line by the smaller of their confidences, each by its form. An upper line of
+    poor form is mended once, which counts 0.95. Of equal pairs the one with the surer upper line comes first, then the lower.
+
+    Both lists are ranked, and only the pairs next to one already taken are looked at, not all.
+    """
+    tops, lows = [], []
+    for k, (text, sure) in enumerate(upper):
+        factor, other = upper_factor(text), text
+        if factor < 1 and upper_factor(new := mended(text)) > factor:
+            factor, other = upper_factor(new) * 0.95, new
+        tops.append((-sure * factor, k, other))
+    for k, (text, sure) in enumerate(lower):
+        lows.append((-sure * lower_factor(text), k, text))
+    tops.sort()
+    lows.sort()
+    heap, out = [], []
+    if tops and lows:
+        heappush(heap, (max(tops[0][0], lows[0][0]), 0, 0))
+    while heap and len(out) < best:
+        less, a, b = heappop(heap)
+        out.append((tops[a][2], lows[b][2], -less))
+        if b + 1 < len(lows):
+            heappush(heap, (max(tops[a][0], lows[b + 1][0]), a, b + 1))
+        if b == 0 and a + 1 < len(tops):
+            heappush(heap, (max(tops[a + 1][0], lows[0][0]), a + 1, 0))
+    return out

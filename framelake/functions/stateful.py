@@ -162,36 +162,45 @@ def overlap(a: tuple, b: tuple) -> float:
     return both / joint if joint > 0 else 0.0
 
 
+def greedy(tracks: dict, boxes: list[tuple], scores: list[float], least: float) -> dict[int, object]:
+    """Which track each box goes to, of pairs that overlap by ``least`` or more: the largest overlap first, then the highest
+    score, then the places of track and box."""
+    pairs = [(-s, -score, box, k, n) for n, box in tracks.items() for k, (b, score) in enumerate(zip(boxes, scores, strict=True)) if (s := overlap(box, b)) >= least]
+    of: dict[int, object] = {}
+    taken = set()
+    for *_, k, n in sorted(pairs, key=lambda p: p[:4]):
+        if k not in of and n not in taken:
+            of[k] = n
+            taken.add(n)
+    return of
+
+
 @dataclass
 class Tracker:
-    """Boxes of one camera, frame by frame: tracks not seen for ``idle`` seconds end; pairs of a track and a box are joined
-    greedily, the largest overlap first and then the highest score; boxes left over begin tracks."""
+    """Boxes of one camera, frame by frame: pairs of a track and a box are joined greedily, then tracks not seen for ``idle``
+    seconds end, and boxes left over begin tracks. So a track may go on after any pause, if nothing came in between."""
 
     idle: float
     least: float = 0.45
-    hits: int = 2
-    tracks: dict[int, list] = field(default_factory=dict)  # number: box, time, hits
+    tracks: dict[int, list] = field(default_factory=dict)  # number: box, time, boxes so far
     made: int = 0
 
     @property
     def quiet(self) -> float:
         return self.idle
 
-    def frame(self, now: float, boxes: list[tuple], scores: list[float]) -> list[tuple[int, bool]]:
-        """The track of each box, and whether it is confirmed."""
+    def frame(self, now: float, boxes: list[tuple], scores: list[float]) -> list[tuple[int, int]]:
+        """The track of each box, and how many boxes the track has had."""
+        of = greedy({n: t[0] for n, t in self.tracks.items()}, boxes, scores, self.least)
+        for k, n in of.items():
+            self.tracks[n] = [boxes[k], now, self.tracks[n][2] + 1]
         self.tracks = {n: t for n, t in self.tracks.items() if now - t[1] <= self.idle}
-        pairs = [(s, score, n, k) for n, (box, _, _) in self.tracks.items() for k, (b, score) in enumerate(zip(boxes, scores, strict=True)) if (s := overlap(box, b)) >= self.least]
-        of: dict[int, int] = {}
-        for _, _, n, k in sorted(pairs, key=lambda p: (-p[0], -p[1], p[2], p[3])):
-            if k not in of and n not in of.values():
-                of[k] = n
-                self.tracks[n] = [boxes[k], now, self.tracks[n][2] + 1]
         for k, b in enumerate(boxes):
             if k not in of:
                 self.made += 1
                 of[k] = self.made
                 self.tracks[self.made] = [b, now, 1]
-        return [(of[k], self.tracks[of[k]][2] >= self.hits) for k in range(len(boxes))]
+        return [(of[k], self.tracks[of[k]][2]) for k in range(len(boxes))]
 
 
 @dataclass

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.decoding import beams
+from framelake.functions.decoding import beams, joined
 from framelake.plans.registry import query
 from framelake.sources.tables import detections
 
@@ -45,3 +45,42 @@ def decoded(df: DataFrame, letters: str, frames: int, width: int = 10, least: fl
 def sf27_beam_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested by trying all paths."""
     return decoded(probabilities(spark, sf_dir), LETTERS, FRAMES)
+
+
+UPPER_LETTERS, LOWER_LETTERS = "2915AB8", "012345"
+
+
+def two_heads(df: DataFrame, upper: str, lower: str, width: int = 10, least: float = 0.25, best: int = 3) -> DataFrame:
+    """event_id, place (from 1), upper, lower and confidence of the best pairs of both heads' beams, of rows (event_id, upper,
+    lower: frames of blank and letters)."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            heads = []
+            for column, letters in ((b.column(1), upper), (b.column(2), lower)):
+                flat = column.flatten().flatten().to_numpy(zero_copy_only=False)
+                heads.append((flat.reshape(b.num_rows, -1, len(letters) + 1), letters))
+            for k, event in enumerate(b.column(0).to_pylist()):
+                lines = [[("".join(letters[c - 1] for c in labels), sure) for labels, sure in beams(x[k], width, least)] for x, letters in heads]
+                out += [(event, n, *pair) for n, pair in enumerate(joined(*lines, best), 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["event_id", "place", "upper", "lower", "confidence"])
+
+    return df.select("event_id", "upper", "lower").mapInArrow(run, "event_id long, place long, upper string, lower string, confidence double")
+
+
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, upper and lower: probabilities by frame of two heads, derived from the event's id."""
+
+    def probs(letters: str, frames: int, seed: int):
+        weight = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(len(letters))), lambda c: F.pow(F.pmod(F.col("event_id") * (t * 5 + seed) + c * (t + 3) * seed, F.lit(89)) + 1.0, F.lit(4.0))))
+        return F.transform(weight, lambda row: F.transform(row, lambda x: x / F.aggregate(row, F.lit(0.0), lambda s, y: s + y)))
+
+    return detections(spark, sf_dir).where("class_name <> 'person'").select("event_id", probs(UPPER_LETTERS, 4, 13).alias("upper"), probs(LOWER_LETTERS, 5, 17).alias("lower"))
+
+
+@query()
+def sf28_two_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested by trying all pairs."""
+    return two_heads(heads(spark, sf_dir), UPPER_LETTERS, LOWER_LETTERS)

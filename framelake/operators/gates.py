@@ -6,6 +6,7 @@ a window over the key in order of time, which streams.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import groupby
 from types import SimpleNamespace
@@ -14,23 +15,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.stateful import Jitter, Spot, Still, Tracker, Votes
+from framelake.functions.stateful import Jitter, Spot, Still, Tracker, Votes, greedy
 from framelake.plans.registry import query
+from framelake.sources.sinks import kept
 from framelake.sources.tables import detections
 
 TTL, PARKED, IDLE = 86400, 345600, 21600
 
 
-def pieces(df: DataFrame, keys: list[str], gap: float) -> DataFrame:
-    """``df`` with piece: the time at which the run of a key's events, with no more than ``gap`` seconds between two, begins."""
-    w = Window.partitionBy(*keys).orderBy("sec", "event_id")
-    starts = F.when(F.coalesce(F.col("sec") - F.lag("sec").over(w) > gap, F.lit(True)), F.struct("sec", "event_id"))
-    return df.withColumn("_s", starts).withColumn("piece", F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+def pieces(df: DataFrame, keys: list[str], gap: float, by_day: bool = False) -> DataFrame:
+    """``df`` with piece: the time at which the run of a key's events, with no more than ``gap`` seconds between two, begins.
 
-
-def in_order(df: DataFrame, keys: list[str], gap: float, columns: list[str]) -> DataFrame:
+    With ``by_day``, for keys with long histories, windows reach over a day of a key, and what goes from one day to the next
+    is a window over a row a day.
+    """
+    per = [*keys, "_day"] if by_day else keys
+    w = Window.partitionBy(*per).orderBy("sec", "event_id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d, before = df, F.lag("sec").over(w)
+    if by_day:
+        days = Window.partitionBy(*keys).orderBy("_day")
+        d = d.withColumn("_day", F.floor(F.col("sec") / 86400))
+        ends = d.groupBy(*per).agg(F.max("sec").alias("_end")).withColumn("_end", F.lag("_end").over(days))
+        d, before = d.join(ends, per), F.coalesce(before, F.col("_end"))
+    starts = F.when(F.coalesce(F.col("sec") - before > gap, F.lit(True)), F.struct("sec", "event_id"))
+    d = d.withColumn("_s", starts)
+    own = F.last("_s", True).over(so_far)
+    if by_day:
+        last = d.groupBy(*per).agg(F.max("_s").alias("_old"))
+        d = d.join(last.withColumn("_old", F.last("_old", True).over(days.rowsBetween(Window.unboundedPreceding, -1))), per)
+        own = F.coalesce(own, F.col("_old"))
+    return d.withColumn("piece", own).drop("_s", "_day", "_end", "_old")
+
+
+def in_order(df: DataFrame, keys: list[str], gap: float, columns: list[str], by_day: bool = False) -> DataFrame:
     """Pieces dealt to tasks and each in order: columns are those of the key and its piece, then event_id, sec and ``columns``."""
-    cut = pieces(df.select(*dict.fromkeys(["event_id", "sec", *keys, *columns])), keys, gap)
+    cut = pieces(df.select(*dict.fromkeys(["event_id", "sec", *keys, *columns])), keys, gap, by_day)
     begins = [F.col("piece.sec").alias("_sec"), F.col("piece.event_id").alias("_id")]
     cut = cut.select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)], *begins, *dict.fromkeys(["event_id", "sec", *keys, *columns]))
     names = cut.columns[: len(keys) + 2]
@@ -64,7 +84,7 @@ def stepped(df: DataFrame, keys: list[str], rule: Callable[[], object], columns:
     """A row of ``schema`` for each event: ``row`` of the event and of what its key's rule gives for it; one pass, as in ``gated``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    ordered, width = in_order(df, keys, rule().quiet, columns), len(keys) + 2
+    ordered, width = in_order(df, keys, rule().quiet, columns, by_day=keys == ["camera_id"]), len(keys) + 2
     names, arrow = ordered.columns[width:], to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches):
@@ -136,18 +156,53 @@ def wn11_still_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ge18_j7_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A camera's boxes of one quarter of an hour are a frame. A track's name is where its piece begins, and its number. Tested by a plain loop."""
+    """A camera's boxes of one quarter of an hour are a frame. A track's name is where it begins, and its number. Tested by a plain loop."""
     d = detections(spark, sf_dir).withColumn("sec", F.expr("sec div 900 * 900"))
-    ordered = in_order(d, ["camera_id"], IDLE, ["confidence", *BOX])
+    return followed_boxes(d, lambda: Tracker(IDLE, 0.2), hits=2)
+
+
+def followed_boxes(df: DataFrame, rule: Callable[[], Tracker], hits: int) -> DataFrame:
+    """event_id, track and confirmed (it has ``hits`` boxes) of boxes (event_id, sec, camera_id, confidence, x1 to y2), of which those of one second are a frame.
+
+    A camera's frames are cut at pauses, after which only the tracks of the frame before can go on, and only in the first frame.
+    So pieces run apart, each as if nothing came before; then a camera's borders, the live tracks of one piece and the first
+    boxes of the next, are matched in order, which says how tracks that begin a piece are to be called.
+    """
+    ordered = in_order(df, ["camera_id"], rule().quiet, ["confidence", *BOX], by_day=True)
 
     def run(batches):
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for (_, start, _), own in groupby(rows, key=lambda r: r[:3]):
-            state, out = Tracker(IDLE, 0.2), []
+        for (camera, start, event), own in groupby(rows, key=lambda r: r[:3]):
+            state, out, first = rule(), [], None
             for now, frame in groupby(own, key=lambda r: r[4]):
                 frame = list(frame)  # columns: key and piece, event_id, sec, camera_id, confidence, box
-                found = state.frame(now, [r[7:11] for r in frame], [r[6] for r in frame])
-                out += [(r[3], f"{start}-{n}", sure) for r, (n, sure) in zip(frame, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out]) for k in range(3)], names=["event_id", "track", "confirmed"])
-
-    return ordered.mapInArrow(run, "event_id long, track string, confirmed boolean")
+                boxes, scores = [r[7:11] for r in frame], [r[6] for r in frame]
+                found = state.frame(now, boxes, scores)
+                first = first or [[n, box, score] for (n, _), box, score in zip(found, boxes, scores, strict=True)]
+                out += [(camera, start, event, r[3], n, k, None) for r, (n, k) in zip(frame, found, strict=True)]
+            border = json.dumps([first, [[n, t[0]] for n, t in state.tracks.items()]])
+            out.append((camera, start, event, None, None, None, border))
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["camera_id", "start", "head", "event_id", "n", "boxes", "border"])
+
+    pieces_of = kept(ordered.mapInArrow(run, "camera_id string, start long, head long, event_id long, n long, boxes long, border string"))
+    borders = pieces_of.where("border is not null").select("camera_id", "start", "head", "border").repartition("camera_id").sortWithinPartitions("camera_id", "start", "head")
+    least = rule().least
+
+    def named(batches):
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for camera, own in groupby(rows, key=lambda r: r[0]):
+            live: dict[str, tuple] = {}  # names and boxes of the tracks that the piece before has left
+            for _, start, head, border in own:
+                first, left = json.loads(border)
+                of = greedy(live, [tuple(box) for _, box, _ in first], [score for *_, score in first], least)
+                names = {first[k][0]: name for k, name in of.items()}
+                live = {names.get(n, f"{start}-{n}"): tuple(box) for n, box in left}
+                if names:
+                    columns = [pa.array([camera] * len(names)), pa.array([start] * len(names)), pa.array([head] * len(names)), pa.array(list(names)), pa.array(list(names.values()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["camera_id", "start", "head", "n", "name"])
+
+    names = borders.mapInArrow(named, "camera_id string, start long, head long, n long, name string")
+    boxes = pieces_of.where("border is null").join(names, ["camera_id", "start", "head", "n"], "left")
+    own = F.concat(F.col("start").cast("string"), F.lit("-"), F.col("n").cast("string"))
+    return boxes.select("event_id", F.coalesce("name", own).alias("track"), (F.col("name").isNotNull() & F.lit(hits <= 2) | (F.col("boxes") >= hits)).alias("confirmed"))

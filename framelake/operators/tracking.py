@@ -22,7 +22,7 @@ def tracked(df: DataFrame, rule, frame: int) -> DataFrame:
     """event_id, track (null: too unsure, or new) of boxes (event_id, sec, camera_id, confidence, x1 to y2); those of ``frame``
     seconds are one frame. A camera's frames are cut where all its tracks have ended, so that a task holds the live tracks only."""
     d = df.withColumn("sec", (F.floor(F.col("sec") / frame) * frame).cast("long"))
-    ordered = in_order(d, ["camera_id"], rule().quiet, ["confidence", *BOX])
+    ordered = in_order(d, ["camera_id"], rule().quiet, ["confidence", *BOX], by_day=True)
 
     def run(batches):
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))

@@ -1,11 +1,14 @@
 """Beam decoding against all paths."""
 
 import itertools
+import re
 from math import log, prod
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from framelake.functions.decoding import beams
+from framelake.functions.decoding import beams, joined
+from framelake.functions.plates import PROVINCES
 from framelake.operators.decoding import FRAMES, LETTERS, probabilities
 from framelake.queries import QUERIES
 
@@ -57,3 +60,55 @@ def test_query(spark):
             best = max(paths, default=(0, (), 0.0))
             assert ("".join(LETTERS[k - 1] for k in best[1]), best[2]) == (text, sure)
     assert len(got) > 500
+
+
+def plain_pairs(upper, lower):
+    """All pairs with their places by how sure each line is."""
+    valid = lambda t: bool(re.fullmatch("[0-9]{2}[A-Z]{1,2}[0-9]?", t)) and t[:2] in PROVINCES
+
+    def top(text):
+        if re.fullmatch("[0-9]{2}[A-Z]{1,2}[0-9]?", text):
+            return 1.2 if text[:2] in PROVINCES else 0.9
+        return 0.5 if len(text) == 1 else 0.7
+
+    tops, lows = [], []
+    for text, sure in upper:
+        score, use = top(text), text
+        if score < 1.0 and not valid(text):
+            fixes = dict(zip("B8D0I1LS5OQ", "8B0D1I15S00"))
+            for k, c in enumerate(text):
+                if c in fixes and valid(text[:k] + fixes[c] + text[k + 1 :]):
+                    use = text[:k] + fixes[c] + text[k + 1 :]
+                    score = top(use) * 0.95
+                    break
+        tops.append((use, sure * score))
+    for text, sure in lower:
+        lows.append((text, sure * (1.1 if re.fullmatch("[A-Z0-9]{4,6}", text) else 0.8 if text else 0.7)))
+    tops.sort(key=lambda x: -x[1])
+    lows.sort(key=lambda x: -x[1])
+    return sorted([(a, b, min(x, y)) for a, x in tops for b, y in lows], key=lambda r: -r[2])
+
+
+def test_pairs_of_two_heads(spark):
+    from framelake.operators import decoding
+
+    g = np.random.default_rng(2)
+    for _ in range(200):
+        upper = [("".join(g.choice(list("29158BDAQ"), int(g.integers(0, 5)))), float(g.integers(1, 6)) / 5) for _ in range(int(g.integers(0, 7)))]
+        lower = [("".join(g.choice(list("01A"), int(g.integers(0, 8)))), float(g.integers(1, 6)) / 5) for _ in range(int(g.integers(0, 7)))]
+        every = plain_pairs(upper, lower)
+        for best in (1, 3, 100):
+            assert [x[2] for x in joined(upper, lower, best)] == [x[2] for x in every[:best]]
+        assert joined(upper, lower, 3) == every[:3] and sorted(joined(upper, lower, 100)) == sorted(every)
+    assert joined([("8A8", 1.0)], [("1234", 0.9)])[0][:2] == ("8A8", "1234") and joined([("5OA", 1.0)], [("1234", 0.9)])[0][0] == "50A"
+    rows = {r.event_id: r for r in decoding.heads(spark, SF).limit(40).collect()}
+    got = {}
+    for r in QUERIES["sf28_two_heads"](spark, SF).where(F.col("event_id").isin(list(rows))).collect():
+        got.setdefault(r.event_id, []).append((r.place, r.upper, r.lower, r.confidence))
+    for i, r in rows.items():
+        lines = []
+        for probs, letters in ((np.array(r.upper), decoding.UPPER_LETTERS), (np.array(r.lower), decoding.LOWER_LETTERS)):
+            paths = sorted(all_paths(probs, 0.25, False), key=lambda x: -x[0])[:10]
+            lines.append([("".join(letters[k - 1] for k in labels), sure) for _, labels, sure in paths])
+        assert sorted(got.get(i, [])) == [(n, *x) for n, x in enumerate(plain_pairs(*lines)[:3], 1)]
+    assert len(got) > 10
