@@ -65,9 +65,3 @@ def dd3_parked_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dd9_one_per_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.min(F.struct("sec", "event_id")).alias("m")
     return detections(spark, sf_dir).groupBy("camera_id", F.expr("sec div 7200").alias("slot")).agg(first).select("m.event_id")
-
-
-@query("SELECT event_id FROM det WHERE 1706659200 - sec <= 172800")
-def st4_st5_not_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events at most two days older than a given time."""
-    return detections(spark, sf_dir).where("1706659200 - sec <= 172800").select("event_id")

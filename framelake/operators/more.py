@@ -112,11 +112,6 @@ def ag28_two_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("camera_id", "slot", F.array_join(F.concat(top["plate"], low["plate"]), "").alias("text"), "confidence", "two")
 
 
-@query("SELECT event_id, regexp_extract(plate || ' x', '([0-9]{2}[A-Z][0-9]{4,6})', 1) AS found FROM det WHERE class_name <> 'person'")
-def sf32_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).where("class_name <> 'person'").select("event_id", F.regexp_extract(F.concat("plate", F.lit(" x")), "([0-9]{2}[A-Z][0-9]{4,6})", 1).alias("found"))
-
-
 @query("SELECT camera_id, replace(url, 'rtsp://', 'rtsp://user:pass@') AS url FROM cam WHERE regexp_matches(url, '^rtsp://')")
 def sf33_urls_with_login(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cameras(spark, sf_dir).where(F.col("url").rlike("^rtsp://"))

@@ -72,15 +72,6 @@ def sf20_motorcycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plates(spark, sf_dir).select("event_id", motorcycle("plate").alias("motorcycle"))
 
 
-# Labels that stand for a class, in the other language too.
-ALIASES = {"click": "car", "signup": "bus", "purchase": "truck", "error": "motorcycle", "xe may": "motorcycle", "oto": "car", "xe tai": "truck", "xe buyt": "bus"}
-
-
-@query(f"SELECT event_id, coalesce(CASE event_type {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in ALIASES.items())} END, 'unknown') AS class_name FROM events")
-def j15_sf18_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes by alias: trimmed, lower case, unknown where no alias fits."""
-    alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.coalesce(alias[F.lower(F.trim("event_type"))], F.lit("unknown")).alias("class_name"))
 
 
 @query(

@@ -82,11 +82,6 @@ def ag9_ag11_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT camera_id, outcome AS reason, count(*) AS n FROM s WHERE outcome <> 'processed' GROUP BY ALL", S)
-def ag10_st12_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).where("outcome <> 'processed'").groupBy("camera_id", F.col("outcome").alias("reason")).agg(F.count("*").alias("n"))
-
-
 LIGHT = "0.6 * v_centre + 0.4 * v_lower"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.fields import blank, corners, field, number, seconds, whole
+from framelake.functions.plates import motorcycle
 from framelake.plans.registry import query
 from framelake.sources.tables import cameras, detections, messages
 
@@ -267,16 +268,30 @@ def sc11_camera_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cameras(spark, sf_dir).where("camera_id = 'cam-03'")
 
 
-@query("SELECT camera_id FROM cam WHERE status = 'online' AND starts_with(url, 'rtsp')")
-def sc20_synchronised_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The status exactly as written, and an address that starts with rtsp."""
-    return cameras(spark, sf_dir).where((F.col("status") == "online") & F.col("url").startswith("rtsp")).select("camera_id")
+# Labels of each class, without accents, in the other language too.
+ALIASES = {
+    "car": "car, vehicle, auto, automobile, sedan, suv, crossover, hatchback, coupe, mpv, pickup, pickup truck, pickuptruck, jeep, taxi, cab, minivan, station wagon, wagon, van, delivery van, oto, o to, xe hoi, xe oto",
+    "motorcycle": "motorcycle, motorbike, bike, motor, motorcycle rider, moto, scooter, scooty, tricycle, xe may, xe gan may",
+    "truck": "truck, pickuptrucks, xe ben, xe dau keo, container, container truck, tractor truck, semi, semi truck, truck tractor, xe cong, lorry, xe tai",
+    "bus": "bus, coach, minibus, xe buyt, xe buyt nho",
+}
+CLASS_LABELS = ["Xe Tải", "xe máy", "Ô tô", "Pickup_Truck", "Station  Wagon", "bicycle", "XE BUÝT", "minibus", "", "Sedan", "Xe hơi"]
+CLASS_LABEL = "CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(CLASS_LABELS)) + " END"
 
 
-@query("SELECT camera_id, 'table' AS only_in FROM cam WHERE camera_id NOT IN (SELECT camera_id FROM det WHERE event_id % 3 = 0 AND sharpness > 390) UNION ALL SELECT DISTINCT camera_id, 'stream' FROM det WHERE event_id % 3 = 0 AND sharpness > 390 AND camera_id NOT IN (SELECT camera_id FROM cam)")
-def so3_j13_cameras_on_one_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras that the table has and the running captures lack, and the other way round."""
-    c = cameras(spark, sf_dir).select("camera_id")
-    running = detections(spark, sf_dir).where("event_id % 3 = 0 and sharpness > 390").select("camera_id").distinct()
-    one = c.join(F.broadcast(running), "camera_id", "left_anti").withColumn("only_in", F.lit("table"))
-    return one.unionByName(running.join(c, "camera_id", "left_anti").withColumn("only_in", F.lit("stream")))
+def vehicle_class(label: Column, plate: Column) -> Column:
+    """The class a label stands for, without accents and marks; where it is unknown or a car, a motorcycle's plate decides."""
+    of = F.create_map(*[F.lit(x) for name, labels in ALIASES.items() for one in labels.split(", ") for x in (one, name)])
+    named = F.coalesce(of[ascii_key(label)], F.lit("unknown"))
+    return F.when(named.isin("unknown", "car") & F.coalesce(motorcycle(plate), F.lit(False)), "motorcycle").otherwise(named)
+
+
+@query(
+    f"SELECT event_id, CASE WHEN named IN ('unknown', 'car') AND regexp_matches(p, '^[0-9]{{2}}[A-Z][0-9]{{6}}$') THEN 'motorcycle' ELSE named END AS class_name FROM (SELECT event_id, p, CASE {' '.join(f"WHEN key IN ({', '.join(repr(x) for x in labels.split(', '))}) THEN '{name}'" for name, labels in ALIASES.items())} ELSE 'unknown' END AS named FROM k)",
+    f"k AS (SELECT event_id, trim(regexp_replace(strip_accents(lower(trim({CLASS_LABEL}))), '[^a-z0-9]+', ' ', 'g')) AS key, CASE event_id % 3 WHEN 0 THEN plate || '0' WHEN 1 THEN substr(plate, 1, 3) || '-' || substr(plate, 4) || '0' ELSE plate END AS p FROM det WHERE class_name <> 'person')",
+)
+def j15_sf18_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    label = F.element_at(F.array(*[F.lit(x) for x in CLASS_LABELS]), (F.col("event_id") % 11 + 1).cast("int"))
+    plate = F.when(k == 0, F.concat("plate", F.lit("0"))).when(k == 1, F.concat(F.substring("plate", 1, 3), F.lit("-"), F.substring("plate", 4, 100), F.lit("0"))).otherwise(F.col("plate"))
+    return detections(spark, sf_dir).where("class_name <> 'person'").select("event_id", vehicle_class(label, plate).alias("class_name"))

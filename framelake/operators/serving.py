@@ -130,14 +130,6 @@ def sc14_camera_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cameras(spark, sf_dir).where(F.col("url").contains("10.0.0.5")).orderBy("camera_id").limit(1).select("camera_id")
 
 
-@query("""SELECT camera_id, regexp_extract(url, '//([^:/]+)', 1) AS host, CAST(regexp_extract(url, 'channel=([0-9]+)', 1) AS BIGINT) - 1 AS channel
-  FROM cam WHERE status = 'online' AND contains(url, 'realmonitor')""")
-def sc15_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("url")
-    got = cameras(spark, sf_dir).where((F.col("status") == "online") & u.contains("realmonitor"))
-    return got.select("camera_id", F.parse_url(u, F.lit("HOST")).alias("host"), (F.parse_url(u, F.lit("QUERY"), F.lit("channel")).cast("long") - 1).alias("channel"))
-
-
 @query("""SELECT event_id, CASE WHEN source = 'vehicles' THEN class_name || ' · ' || plate ELSE class_name END AS type,
   source || ':' || CAST(event_id AS VARCHAR) AS id FROM det WHERE source <> 'humans'""")
 def so1_pf2_union_of_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,11 +153,6 @@ def so2_distinct_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).where("source = 'vehicles'").select("plate").distinct()
 
 
-@query("SELECT DISTINCT camera_id FROM det EXCEPT SELECT camera_id FROM cam")
-def so3_j13_cameras_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).select("camera_id").distinct().join(cameras(spark, sf_dir), "camera_id", "left_anti")
-
-
 @query("SELECT camera_id, n, name FROM (SELECT camera_id, count(*) AS n FROM det WHERE class_name = 'bus' GROUP BY camera_id) FULL JOIN cam USING (camera_id)")
 def j12_so4_cameras_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = detections(spark, sf_dir).where("class_name = 'bus'").groupBy("camera_id").agg(F.count("*").alias("n"))

@@ -106,3 +106,22 @@ def test_empty(spark):
     d = detections(spark, SF).limit(0)
     assert fusion_candidates(d).count() == 0
     assert isinstance(d.toPandas(), pd.DataFrame)
+
+
+def test_inclusive_suppression(spark):
+    from framelake.queries import QUERIES
+
+    groups, want = {}, set()
+    for e in detections(spark, SF).collect():
+        groups.setdefault((e.camera_id, e.sec // 21600), []).append((e.confidence, -e.event_id, (e.x1 // 100 * 100, e.y1 // 400 * 400)))
+    equal = 0
+    for own in groups.values():
+        kept = []
+        for c, i, (x, y) in sorted(own, reverse=True):
+            inter = [max(0, 300 - abs(x - a)) * max(0, 100 - abs(y - b)) for a, b in kept]
+            ious = [w / (60000 - w) for w in inter]
+            equal += 0.5 in ious
+            if all(v < 0.5 for v in ious):
+                kept.append((x, y))
+                want.add(-i)
+    assert {r.event_id for r in QUERIES["ge4_suppressed_inclusive"](spark, SF).collect()} == want and equal > 0
