@@ -1,12 +1,14 @@
 """Nearest neighbours by additive quantisation: a vector is near a sum of one codeword from each of full-width codebooks.
 
-Codebooks are fitted on the driver on at most ``SAMPLE`` vectors, those of smallest hashed id: k-means on residuals,
+Codebooks are fitted on the driver on half of at most ``SAMPLE`` vectors, those of smallest hashed id: k-means on residuals,
 then turns of beam-search encoding and least squares for all codewords at once. Every vector is encoded by beam search
 and stored as its codes, the squared norm of the sum they stand for, and a hash of its values. A query's score is
-looked up: that norm less twice the inner products of the query with the codewords, from one table per query. Blocks
-of queries meet chunks of the codes, which bring their vectors along: of each chunk the best of a query by score are reranked
-there by exact distance, and ten go on. How many are reranked is the share of rows that held ``SURE`` of the nearest among the
-sample, measured after the fit, at least ``RERANK`` of a chunk.
+looked up: that norm less twice the inner products of the query with the codewords, from one table per query.
+
+The other half of the sample, which the fit has not seen, says how deep a search must go: the share of rows that held ``SURE``
+of the nearest by score. A query's limit is its score at that share of this half, so that about so many of all rows, wherever
+they lie, are reranked by exact distance, with the vectors that the codes bring along. The queries go to all tasks together, a
+pass for so many as ``BROADCAST_BYTES`` hold; a pass reads the index once.
 
 Vectors that are null, zero, of another length than the sample's first, or hold null or non-finite components take no
 part; nor do rows with a null id. Of vectors that are equal, only as many as a result can hold compete for a query's places in a part, those of
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import table, written
+from framelake.llm.common import table, with_sizes, written
 
-BOOKS, WORDS, BEAM, SAMPLE, TURNS = 8, 256, 8, 8192, 4
-TOP, RERANK, QUERIES, ROWS, SURE = 10, 400, 256, 1 << 14, 0.98
-#: Bytes of queries that may be broadcast; more meet the chunks by a shuffle.
-BROADCAST_BYTES = 64 << 20
+BOOKS, WORDS, BEAM, SAMPLE, TURNS = 12, 256, 8, 16384, 4
+#: Vectors a codeword is fitted on at least; fewer words, where the sample is small.
+PER_WORD = 8
+TOP, ROWS, SURE = 10, 1 << 13, 0.98
+#: Bytes of queries that one pass sends to all tasks, through the driver.
+BROADCAST_BYTES = 32 << 20
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 5) -> np.ndarray:
     g, (n, d) = np.random.default_rng(seed), x.shape
-    words = min(words, n)
+    words = max(1, min(words, n // PER_WORD))
     out, rest = np.zeros((books, words, d)), x.copy()
     for j in range(books):
         c = rest[g.choice(n, words, replace=False)]
@@ -85,25 +89,38 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 5) ->
         right = np.zeros((books * words, d))
         for i in range(books):
             np.add.at(right, codes[:, i], x)
-        out = np.linalg.solve(gram + 0.1 * np.eye(books * words), right + 0.1 * out.reshape(-1, d)).reshape(out.shape)
+        gram[np.diag_indices(books * words)] += 0.1
+        out = np.linalg.solve(gram, right + 0.1 * out.reshape(-1, d)).reshape(out.shape)
     return out
 
 
-def depth(x: np.ndarray, books: np.ndarray, top: int = TOP, sure: float = SURE) -> float:
+def depth(x: np.ndarray, codes: np.ndarray, norm: np.ndarray, books: np.ndarray, top: int = TOP, sure: float = SURE) -> float:
     """The share of the rows of ``x``, by score, that holds ``sure`` of the ``top`` nearest; over up to 256 of them as queries."""
-    codes, norm = (np.concatenate(p) for p in zip(*(encode(x[k : k + 1024], books) for k in range(0, len(x), 1024)), strict=True))
     places = []
     for q in range(0, len(x), max(1, len(x) // 256)):
         away = ((x - x[q]) ** 2).sum(1)
         away[q] = np.inf
-        tables = -2 * books @ x[q]
-        score = norm + tables[np.arange(len(books)), codes].sum(1)
         place = np.empty(len(x), np.int64)
-        place[np.argsort(score, kind="stable")] = np.arange(len(x))
+        place[np.argsort(scored(x[q], codes, norm, books), kind="stable")] = np.arange(len(x))
         places.append(place[np.argsort(away, kind="stable")[: min(top, len(x) - 1)]])
     return float(np.quantile(np.concatenate(places), sure) + 1) / len(x) if len(x) > 1 else 1.0
 
 
+def scored(q: np.ndarray, codes: np.ndarray, norm: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Squared distances of a query to the sums that codes stand for, less its own norm, by its tables."""
+    s = norm.copy()
+    for t, c in zip(-2 * books @ q, codes.T, strict=True):
+        s += t[c]
+    return s
+
+
+def encoded(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(x):
+        return np.zeros((0, len(books)), np.uint8), np.zeros(0)
+    codes, norm = (np.concatenate(p) for p in zip(*(encode(x[k : k + 512], books) for k in range(0, len(x), 512)), strict=True))
+    return codes.astype(np.uint8), norm
+
+
 def _column(batch: pa.RecordBatch, k: int, width: int) -> np.ndarray:
     return batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -115,90 +132,86 @@ def indexed(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     def run(batches):
         for b in batches:
             x = _column(b, 1, width)
-            for k in range(0, len(x), 512):
-                own = np.ascontiguousarray(x[k : k + 512])
-                codes, norm = encode(own, shared.value)
-                columns = [b.column(0)[k : k + 512], pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norm), b.column(2)[k : k + 512], pa.array([v.tobytes() for v in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "code", "norm", "same", "v"])
-
-    return vectors.select("vec_id", "v", F.xxhash64("v").alias("same")).mapInArrow(run, "vec_id long, code binary, norm double, same long, v binary")
+            codes, norm = encoded(x, shared.value)
+            columns = [b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), b.column(2), pa.array([v.tobytes() for v in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "code", "norm", "same", "v"])
 
+    return with_sizes(vectors.select("vec_id", "v", F.xxhash64("v").alias("same")), ROWS).mapInArrow(run, "vec_id long, code binary, norm double, same long, v binary")
 
-def packed(index: DataFrame, rows: int = ROWS) -> DataFrame:
-    """vec_ids, codes, norms, sames and vectors: each a binary column that holds the values of up to ``rows`` vectors of a task."""
 
-    def run(batches):
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield row(held)
-                held, n = [], 0
-        if held:
-            yield row(held)
-
-    def row(held):
-        t = pa.Table.from_batches(held).combine_chunks()
-        numbers = [t.column(k).to_numpy().tobytes() for k in (0, 2, 3)]
-        values = [numbers[0], b"".join(t.column(1).to_pylist()), *numbers[1:], b"".join(t.column(4).to_pylist())]
-        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["vec_ids", "codes", "norms", "sames", "vectors"])
+class Search:
+    """What a pass sends to all tasks: codebooks, queries, and each query's limit."""
 
-    return index.mapInArrow(run, "vec_ids binary, codes binary, norms binary, sames binary, vectors binary")
+    def __init__(self, books: np.ndarray, ids: np.ndarray, queries: np.ndarray, limits: np.ndarray, top: int):
+        self.books, self.ids, self.queries, self.limits, self.top = books, ids, queries, limits, top
 
-
-def nearest(vectors: DataFrame, every: int = 100, top: int = TOP, rerank: int = RERANK) -> DataFrame:
+    def run(self, batches):
+        """query_id, vec_id and score: of each batch of the index, the nearest of those that each query's limit leaves."""
+        m, width, top = len(self.books), self.books.shape[2], self.top
+        for b in batches:
+            ids, same = b.column(0).to_numpy(), b.column(3).to_numpy()
+            if not len(ids):
+                continue
+            order = np.lexsort((ids, same))
+            heads = np.flatnonzero(np.diff(same[order], prepend=~same[order][0]) != 0)
+            place = np.arange(len(order)) - np.repeat(heads, np.diff(heads, append=len(order)))
+            keep = np.sort(order[place <= top])  # of equal vectors, a result and the query itself hold no more
+            codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, m)[keep]
+            x = np.frombuffer(b"".join(b.column(4).to_pylist()), np.float64).reshape(-1, width)[keep]
+            ids, norm, out = ids[keep], b.column(2).to_numpy()[keep], []
+            for who, q, limit in zip(self.ids, self.queries, self.limits, strict=True):
+                s = scored(q, codes, norm, self.books)
+                least = np.partition(s, top)[top] if len(s) > top else np.inf  # enough for a result, whatever the limit
+                some = np.flatnonzero(s <= max(limit, least))
+                some = some[ids[some] != who]
+                away = np.sqrt(((x[some] - q) ** 2).sum(1))
+                best = np.lexsort((ids[some], away))[:top]
+                out.append((np.full(len(best), who), ids[some[best]], away[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+
+def fitted(x: DataFrame, top: int, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
+    """Codebooks, the codes and norms of vectors they were not fitted on, and the share of rows to be reranked; of one sample,
+    by hash. None where there are no vectors."""
+    rows = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow().column("v").to_pylist()
+    if not rows:
+        return None
+    own = np.array([v for v in rows if len(v) == len(rows[0])])
+    half = -(-len(own) // 2)
+    books = fit(own[:half])
+    unseen = own[half:] if len(own) > 1 else own
+    codes, norm = encoded(unseen, books)
+    return books, codes, norm, depth(unseen, codes, norm, books, top)
+
+
+def limits(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norm: np.ndarray, share: float) -> np.ndarray:
+    """Each query's score at ``share`` of the given codes."""
+    k = min(len(norm), int(np.ceil(share * len(norm)))) - 1
+    return np.array([np.partition(scored(q, codes, norm, books), k)[k] for q in queries])
+
+
+def nearest(vectors: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id and score: the ``top`` nearest found of each vector whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     x = written(usable(vectors))
-    sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], schema)
-    width = len(sample[0].v)
+    found = fitted(x, top)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    books, codes, norm, share = found
+    width = books.shape[2]
     x = x.where(F.size("v") == width)
-    own = np.array([r.v for r in sample if len(r.v) == width])
-    books = fit(own)
     index = written(indexed(x, books))
-    n = index.count()
-    share = depth(own, books, top)
-    queries = written(x.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    asked = queries.count()
-    blocks = max(1, -(-asked // QUERIES))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-    packed_queries = queries.groupBy(number).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))  # about QUERIES in each
-    if asked * width * 8 <= BROADCAST_BYTES:
-        packed_queries = F.broadcast(packed_queries)
-    chunks = packed(index.repartition(max(spark.sparkContext.defaultParallelism, n // ROWS), "vec_id"))  # a chunk brings its vectors along
-    met = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed_queries, "block")
-    shared = spark.sparkContext.broadcast(books)
-
-    def score(batches):
-        m = len(shared.value)
-        for b in batches:
-            for qs, *chunk in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                ids, codes, norm, same, x = (np.frombuffer(c, t) for c, t in zip(chunk, (np.int64, np.uint8, np.float64, np.int64, np.float64), strict=True))
-                codes, x = codes.reshape(-1, m), x.reshape(len(ids), -1)
-                order = np.lexsort((ids, same))
-                heads = np.flatnonzero(np.diff(same[order], prepend=~same[order][0]) != 0)
-                place = np.arange(len(order)) - np.repeat(heads, np.diff(heads, append=len(order)))
-                keep = np.sort(order[place <= top])  # of equal vectors, a result and the query itself hold no more
-                most = max(rerank, int(np.ceil(share * len(keep))))
-                kept, codes, norm, out = ids[keep], codes[keep], norm[keep], []
-                for r in qs:
-                    q, s = np.array(r["q"]), norm.copy()
-                    for t, c in zip(-2 * shared.value @ q, codes.T, strict=True):
-                        s += t[c]
-                    some = np.arange(len(s)) if len(s) <= most else np.flatnonzero(s <= np.partition(s, most - 1)[most - 1])  # all that tie with the last
-                    some = some[kept[some] != r["query_id"]]
-                    away = np.sqrt(((x[keep[some]] - q) ** 2).sum(1))
-                    best = np.lexsort((kept[some], away))[:top]
-                    out.append((np.full(len(best), r["query_id"]), kept[some[best]], away[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = met.select("queries", "vec_ids", "codes", "norms", "sames", "vectors").mapInArrow(score, "query_id long, vec_id long, score double")
+    queries = written(x.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v"))
+    passes = max(1, -(-queries.count() * width * 8 // BROADCAST_BYTES))
+    every_pass = None
+    for k in range(passes):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k).toArrow()
+        q = own.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        shared = spark.sparkContext.broadcast(Search(books, own.column("query_id").to_numpy(), q, limits(q, books, codes, norm, share), top))
+        met = with_sizes(index, ROWS).mapInArrow(lambda batches, shared=shared: shared.value.run(batches) if len(shared.value.ids) else iter(()), "query_id long, vec_id long, score double")
+        every_pass = met if every_pass is None else every_pass.unionByName(met)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return every_pass.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op2_additive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -534,6 +534,17 @@ def test_additive_recall_at_size(spark):
         d[q] = np.inf
         hits += len(own[q] & set(np.argsort(d)[:10].tolist()))
     assert hits >= 0.9 * 10 * len(own)
+    # fewer than half of the rows are compared exactly; the share is measured on vectors the codebooks were not fitted on
+    assert additive.fitted(additive.usable(df), 10)[3] < 0.5
+
+
+def test_additive_passes(spark, monkeypatch):
+    """Queries that need several passes, and an index in many batches, give the same."""
+    x = np.random.default_rng(6).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    own = sorted(map(tuple, additive.nearest(df, every=10).collect()))
+    monkeypatch.setattr(additive, "BROADCAST_BYTES", 1000)
+    assert sorted(map(tuple, additive.nearest(df.repartition(9), every=10).collect())) == own and len(own) == 600
 
 
 def test_training_sample_is_bounded(spark):
