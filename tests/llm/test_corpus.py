@@ -463,6 +463,35 @@ def test_html_labels():
         assert html.main_text(f"<body><article><div class='{name}'><h1>Headline</h1></div>{text}</article></body>") == f"Headline\n{want}"
 
 
+def test_html_of_odd_pages():
+    """Names by their first or last word, comments inside the article that outweigh it, menus without a name, elements never closed."""
+    text = "".join(f"<p>Paragraph {k} of the text, long enough to be told from a menu.</p>" for k in range(3))
+    want = "\n".join(f"Paragraph {k} of the text, long enough to be told from a menu." for k in range(3))
+    says = "<p>A comment that goes on for longer than a paragraph of the text does, and on and on.</p>"
+    links = "".join(f"<li><a href='/{k}'>Item number {k}</a></li>" for k in range(5))
+    for page in (
+        f"<body><main>{text}<ol class='comment-list'>{''.join(f'<li>{says}</li>' for _ in range(6))}</ol></main></body>",
+        f"<body><article>{text}<section class='post-comments'>{says * 2}</section></article></body>",
+        f"<body><article>{text}<div id='comments-area'><div class='comment-body'>{says}</div></div></article></body>",
+        f"<body><article><p>Paragraph 0 of the text, long enough to be told from a menu.</p><div class='ad-slot'>{says}</div>{text[len(text) // 3 :]}</article></body>",
+        f"<body><div class='top-menu'>{links}</div>{text}<div class='site-footer'><p>All of it is ours, and none of it is yours, whoever you are.</p></div></body>",
+        f"<body><nav><ul>{links}</ul>{text}</body>",
+        f"<body><nav><ul>{links}</ul><article>{text}</article></body>",
+        f"<body><nav><ul>{links}</ul><main>{text}</main></nav></body>",
+        f"<body><header><p>Site of all kinds of things</p><article>{text}</article><footer>All of it is ours.</footer></body>",
+        f"<body><div>{links}</div>{text}</body>",
+        f"<body><article>{text}<ul>{links}</ul></article></body>",
+        f"<form id='page'><main>{text}</main></form>",
+    ):
+        assert html.main_text(page) == want, page
+    # one link on a line of its own is text in an article, and names that say otherwise label nothing
+    assert html.main_text(f"<body><article>{text}<p><a href='/'>See also</a></p></article></body>") == want + "\nSee also"
+    for name in ("no-comments", "comments-open", "with-sidebar", "has-footer"):
+        assert html.main_text(f"<body><div class='{name}'>{text[: len(text) // 3]}</div><div>{text[len(text) // 3 :]}</div></body>") == want
+    long = "<p>" + "word " * 200_000 + "</p>"
+    assert len(html.main_text(f"<article>{long}</article>")) == 5 * 200_000 - 1 and html.main_text("<div>" * 5000 + text) == want
+
+
 def test_html_of_known_text(spark):
     """Sixty pages of ten layouts around paragraphs that are known."""
     g = np.random.default_rng(9)
