@@ -6,6 +6,7 @@ A rule forgets everything in ``quiet`` seconds, so that a key's events may be cu
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, field
 from math import exp
 
@@ -75,32 +76,62 @@ class Jitter:
     """Repeats of plates that share a camera and their first three characters, up to one edit apart.
 
     With ``by_track`` an equal reading of the same track within ``ttl`` doesn't pass and leaves the clock; else, and for
-    readings of six characters or more, the earliest remembered one within an edit restarts its clock.
+    readings of six characters or more, the earliest remembered one within an edit restarts its clock: by when it was first
+    read, or, without ``by_track``, by its clock and text.
+
+    Readings are found by what is left of them without a character, which texts an edit apart share; what expires is at the head of a queue.
     """
 
     ttl: float
     by_track: bool = True
-    seen: dict[tuple, float] = field(default_factory=dict)
+    seen: dict[tuple, list] = field(default_factory=dict)  # clock and number of a reading
+    near: dict[str, dict[tuple, None]] = field(default_factory=dict)
+    queue: deque = field(default_factory=deque)
+    made: int = 0
 
     @property
     def quiet(self) -> float:
         return self.ttl
 
+    @staticmethod
+    def _parts(text: str) -> set[str]:
+        return {text, *(text[:k] + text[k + 1 :] for k in range(len(text)))}
+
+    def _expire(self, now: float) -> None:
+        over = (lambda t: now - t > self.ttl) if self.by_track else (lambda t: now - t >= self.ttl)
+        while self.queue and over(self.queue[0][0]):
+            at, key = self.queue.popleft()
+            if key in self.seen and self.seen[key][0] == at:  # its clock has not been restarted
+                del self.seen[key]
+                for part in self._parts(letters(key[-1])):
+                    own = self.near[part]
+                    del own[key]
+                    if not own:
+                        del self.near[part]
+
+    def _mark(self, key: tuple, now: float) -> None:
+        if key in self.seen:
+            self.seen[key][0] = now
+        else:
+            self.made += 1
+            self.seen[key] = [now, self.made]
+            for part in self._parts(letters(key[-1])):
+                self.near.setdefault(part, {})[key] = None
+        self.queue.append((now, key))
+
     def step(self, e) -> bool:
         now, own = e.sec, letters(e.plate)
-        self.seen = {k: t for k, t in self.seen.items() if (now - t <= self.ttl if self.by_track else now - t < self.ttl)}
+        self._expire(now)
         key = (e.track_id, e.plate) if self.by_track else (e.plate,)
-        if self.by_track and key in self.seen and now - self.seen[key] < self.ttl:
+        if self.by_track and key in self.seen and now - self.seen[key][0] < self.ttl:
             return False
         if len(own) >= 6:
-            # the order in which readings came first, or of their last times and texts
-            order = self.seen if self.by_track else sorted(self.seen, key=lambda k: (self.seen[k], k))
-            for k in order:
-                other = letters(k[-1])
-                if now - self.seen[k] < self.ttl and len(other) >= 6 and own[:3] == other[:3] and edits(own, other, 1) <= 1:
-                    self.seen[k] = now
-                    return False
-        self.seen[key] = now
+            some = {k for part in self._parts(own) for k in self.near.get(part, ())}
+            alike = [k for k in some if now - self.seen[k][0] < self.ttl and len(o := letters(k[-1])) >= 6 and own[:3] == o[:3] and edits(own, o, 1) <= 1]
+            if alike:
+                self._mark(min(alike, key=(lambda k: self.seen[k][1]) if self.by_track else (lambda k: (self.seen[k][0], k))), now)
+                return False
+        self._mark(key, now)
         return True
 
 
@@ -244,3 +275,24 @@ class Light:
         mode, before = "night" if share < self.night else "day" if share > self.day else "transition", self.mode
         self.mode = mode
         return self.mean, share, mode, mode != before
+
+
+@dataclass
+class Smoothed:
+    """One track's box: ``alpha`` of what is read and the rest of the box before, whole pixels by rounding half to even, at least one wide and high."""
+
+    idle: float
+    alpha: float = 0.4
+    box: tuple[int, ...] | None = None
+
+    @property
+    def quiet(self) -> float:
+        return self.idle
+
+    def step(self, e) -> tuple[int, ...]:
+        new = (e.x1, e.y1, e.x2, e.y2)
+        if self.box is not None:
+            x1, y1, x2, y2 = (round(self.alpha * n + (1 - self.alpha) * o) for n, o in zip(new, self.box, strict=True))
+            new = (x1, y1, max(x2, x1 + 1), max(y2, y1 + 1))
+        self.box = new
+        return new

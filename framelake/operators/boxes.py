@@ -23,10 +23,11 @@ IOU = """CASE WHEN (x2 - x1) * (y2 - y1) + (px2 - px1) * (py2 - py1) - greatest(
   FROM det WINDOW w AS (PARTITION BY camera_id ORDER BY ts, event_id))""",
 )
 def ge1_iou_with_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("camera_id").orderBy("ts", "event_id")
-    d = detections(spark, sf_dir)
-    d = d.select("event_id", *box_names(), *[F.lag(c).over(w).alias(f"p{c}") for c in box_names()])
-    return d.where("px1 is not null").select("event_id", iou(box(), box("p")).alias("iou"))
+    from framelake.operators.history import with_previous
+
+    d = with_previous(detections(spark, sf_dir), box_names(), ["camera_id"], ["ts", "event_id"]).where("_before is not null")
+    d = d.select("event_id", *box_names(), *[F.col("_before")[c].alias(f"p{c}") for c in box_names()])
+    return d.select("event_id", iou(box(), box("p")).alias("iou"))
 
 
 def box_names() -> list[str]:
@@ -122,22 +123,25 @@ def sl12_largest_per_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("place", place).where("place <= 3").drop("place")
 
 
-def nearest_faces(probes: DataFrame, faces: DataFrame, block: int = 256) -> DataFrame:
-    """probe, and of the faces (vec_id, known, v) but itself the nearest known one and the nearest of all: match and similarity.
+#: Bytes of probes that one pass over the faces sends to all tasks, through the driver.
+PASS_BYTES = 32 << 20
 
-    Probes go in blocks of bounded size to every batch of faces, which are read once; a batch gives each probe's best.
-    """
-    many = max(1, -(-probes.count() // block))
-    own = probes.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(many)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("probes"))
-    packed = faces.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(max(8, many))).alias("part"), (F.spark_partition_id() % 64).alias("piece")).agg(F.collect_list(F.struct("vec_id", "known", "v")).alias("faces"))
-    met = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(own, "block").select("probes", "faces")
 
-    def run(batches):
+class Probes:
+    """What a pass sends to all tasks: probes with their norms; ``run`` gives each its best known face and its best of all of a batch."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, block: int):
+        self.ids, self.vectors, self.norms, self.block = ids, vectors, np.linalg.norm(vectors, axis=1), block
+
+    def run(self, batches):
         for b in batches:
-            for p, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, known, x = np.array([r["vec_id"] for r in f]), np.array([r["known"] for r in f]), np.array([r["v"] for r in f])
-                who, y = np.array([r["vec_id"] for r in p]), np.array([r["v"] for r in p])
-                nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+            ids, known = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            if not len(ids) or not len(self.ids):
+                continue
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            nx = np.linalg.norm(x, axis=1)
+            for k in range(0, len(self.ids), self.block):
+                who, y, ny = self.ids[k : k + self.block], self.vectors[k : k + self.block], self.norms[k : k + self.block]
                 s = np.where((nx[None, :] < 1e-9) | (ny[:, None] < 1e-9), 0.0, y @ x.T / np.maximum(ny[:, None] * nx[None, :], 1e-30)).round(12)
                 s[who[:, None] == ids[None, :]] = -2
                 for kind, some in (("known", known), ("all", np.ones(len(ids), bool))):
@@ -147,7 +151,23 @@ def nearest_faces(probes: DataFrame, faces: DataFrame, block: int = 256) -> Data
                     real = best > -2
                     yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array([kind] * int(real.sum())), pa.array(match[real]), pa.array(best[real])], names=["probe", "kind", "match", "similarity"])
 
-    found = met.mapInArrow(run, "probe long, kind string, match long, similarity double")
+
+def nearest_faces(probes: DataFrame, faces: DataFrame, block: int = 256) -> DataFrame:
+    """probe, and of the faces (vec_id, known, v; vectors of one length) but itself the nearest known one and the nearest of all:
+    match and similarity.
+
+    All tasks have the probes, and each batch of faces meets them in blocks; a batch gives each probe's best. Of more probes
+    than ``PASS_BYTES`` hold some go in another pass, so that faces are read once a pass and never copied.
+    """
+    spark, found = probes.sparkSession, None
+    width = probes.select(F.size("v").alias("n")).first()
+    passes = max(1, -(-probes.count() * 8 * (width.n if width else 1) // PASS_BYTES))
+    for k in range(passes):
+        own = probes.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == k).select("vec_id", "v").toArrow().combine_chunks()
+        vectors = np.array(own.column("v").to_pylist(), float).reshape(own.num_rows, -1)
+        shared = spark.sparkContext.broadcast(Probes(own.column("vec_id").to_numpy(), vectors, block))
+        met = faces.select("vec_id", "known", "v").mapInArrow(lambda batches, shared=shared: shared.value.run(batches), "probe long, kind string, match long, similarity double")
+        found = met if found is None else found.unionByName(met)
     best = found.groupBy("probe", "kind").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("b"))
     return best.select("probe", "kind", F.col("b.match").alias("match"), (-F.col("b.s")).alias("similarity"))
 

@@ -45,18 +45,24 @@ def wn3_damped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", F.when(near, F.col("confidence") * 0.9).otherwise(F.col("confidence")).alias("damped"))
 
 
-def changed(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The rows whose ``value`` isn't that of the row before, per key; null before the first.
+def with_previous(df: DataFrame, values: list[str], keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` (with sec) and ``_before``: a struct of ``values`` in the row before, per key; null before the first.
 
-    Windows reach over a day of a key; each day takes the value before its first row from the last day that has rows,
-    which is a window over one row a day.
+    Windows reach over a day of a key; each day takes the row before its first from the last day that has rows, which is a
+    window over one row a day.
     """
-    day = Window.partitionBy(*keys, "_day").orderBy(*order)
-    d = df.withColumn("_day", F.expr("sec div 86400")).withColumn("_before", F.lag(F.struct(F.col(value).alias("x"))).over(day))
-    ends = d.groupBy(*keys, "_day").agg(F.max(F.struct(*order, F.col(value).alias("x"))).alias("e"))
-    ends = ends.withColumn("_last", F.lag(F.struct("e.x")).over(Window.partitionBy(*keys).orderBy("_day"))).drop("e")
-    d = d.join(ends, [*keys, "_day"]).withColumn("_before", F.coalesce("_before", "_last"))
-    return d.where(F.col("_before").isNull() | ~F.col("_before.x").eqNullSafe(F.col(value))).drop("_day", "_before", "_last")
+    own = F.struct(*[F.col(v).alias(v) for v in values])
+    d = df.withColumn("_day", F.expr("sec div 86400"))
+    d = d.withColumn("_before", F.lag(own).over(Window.partitionBy(*keys, "_day").orderBy(*order)))
+    ends = d.groupBy(*keys, "_day").agg(F.max(F.struct(*order, own.alias("own"))).alias("e"))
+    ends = ends.withColumn("_last", F.lag("e.own").over(Window.partitionBy(*keys).orderBy("_day"))).drop("e")
+    return d.join(ends, [*keys, "_day"]).withColumn("_before", F.coalesce("_before", "_last")).drop("_day", "_last")
+
+
+def changed(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows whose ``value`` isn't that of the row before, per key, and the first."""
+    d = with_previous(df, [value], keys, order)
+    return d.where(F.col("_before").isNull() | ~F.col("_before")[value].eqNullSafe(F.col(value))).drop("_before")
 
 
 @query(
@@ -123,23 +129,12 @@ def st10_first_two_of_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wn5_smoothed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential smoothing of a track's boxes, alpha 0.4, rounded half to even at each step, each box at least a pixel wide
-    and high; a track begins anew after three days without it. A fold over each such run. Tested by a plain loop."""
-    from framelake.operators.gates import pieces
-
-    sides = ("x1", "y1", "x2", "y2")
-    d = pieces(tracked(spark, sf_dir), ["camera_id", "track_id"], 259200)
-    rows = F.array_sort(F.collect_list(F.struct("sec", "event_id", *[F.col(c).cast("double").alias(c) for c in sides])))
-
-    def step(done, new):
-        old = F.element_at(done, -1)
-        x = {c: F.bround(F.lit(0.4) * new[c] + F.lit(0.6) * old[c], 0) for c in sides}
-        x["x2"], x["y2"] = F.greatest(x["x2"], x["x1"] + 1), F.greatest(x["y2"], x["y1"] + 1)
-        return F.concat(done, F.array(F.struct(new.sec.alias("sec"), new.event_id.alias("event_id"), *[x[c].alias(c) for c in sides])))
-
-    got = d.groupBy("camera_id", "track_id", "piece").agg(rows.alias("r"))
-    every = F.aggregate(F.slice("r", 2, 1_000_000_000), F.slice("r", 1, 1), step)
-    return got.select(F.inline(every)).select("event_id", *[F.col(c).cast("long").alias(c) for c in sides])
+    """A track begins anew after three days without it. Tested by a plain loop."""
+    from framelake.functions.stateful import Smoothed
+    from framelake.operators.gates import BOX, stepped
+
+    schema = "event_id long, x1 long, y1 long, x2 long, y2 long"
+    return stepped(tracked(spark, sf_dir), ["camera_id", "track_id"], lambda: Smoothed(259200), BOX, schema, lambda e, got: (e.event_id, *got))
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,47 @@ def test_tracks(spark, events, idle, least):
             last[want[i][0]] = at[i]
     assert over > 0 or idle == gates.IDLE  # tracks that went on over a pause
     assert {r.event_id for r in QUERIES["ge18_j7_tracks"](spark, SF).collect()} == set(got)
+
+
+class PlainJitter:
+    """The rule over a list of what is remembered, looked through at each event."""
+
+    def __init__(self, ttl, by_track):
+        self.ttl, self.by_track, self.memory = ttl, by_track, []
+
+    def step(self, e):
+        plain = e.plate.upper().replace("-", "").replace(".", "").replace(" ", "")
+        self.memory = [m for m in self.memory if (e.sec - m["t"] <= self.ttl if self.by_track else e.sec - m["t"] < self.ttl)]
+        for m in self.memory:
+            if self.by_track and (m["track"], m["raw"]) == (e.track_id, e.plate) and e.sec - m["t"] < self.ttl:
+                return False
+        order = self.memory if self.by_track else sorted(self.memory, key=lambda m: (m["t"], m["raw"]))
+        if len(plain) >= 6:
+            for m in order:
+                if e.sec - m["t"] < self.ttl and len(m["p"]) >= 6 and m["p"][:3] == plain[:3] and edits(m["p"], plain, 9) <= 1:
+                    m["t"] = e.sec
+                    return False
+        for m in self.memory:
+            if m["raw"] == e.plate and (not self.by_track or m["track"] == e.track_id):
+                m["t"] = e.sec
+                return True
+        self.memory.append({"raw": e.plate, "p": plain, "track": e.track_id, "t": e.sec})
+        return True
+
+
+@pytest.mark.parametrize("by_track", [True, False])
+def test_jitter_queue(by_track):
+    import random
+
+    g = random.Random(by_track)
+    for ttl in (5, 30, 200):
+        rule, plain, sec, out = Jitter(ttl, by_track), PlainJitter(ttl, by_track), 0, []
+        for _ in range(3000):
+            sec += g.choice([0, 0, 1, 1, 2, 7])
+            base = g.choice(["51A12345", "51A-1234", "51A99", "51A99999", "51B12345"])
+            k = g.randrange(len(base) + 1)
+            plate = g.choice([base, base[:k] + base[k + 1 :], base[:k] + g.choice("015-") + base[k:], base[:k] + g.choice("015") + base[k + 1 :]])
+            e = E(sec=sec, plate=plate, track_id=g.randrange(3))
+            out.append(rule.step(e))
+            assert out[-1] == plain.step(e)
+        assert True in out and False in out and len(rule.near) < 400
