@@ -25,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path under the folder that ``spark.checkpoint.dir`` names; a temporary one where that is unset."""
+    """A new path under the folder that ``spark.checkpoint.dir`` names. Where that is unset a temporary one is used, if Spark
+    runs on one machine; on a cluster its executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/framelake-{uuid.uuid4().hex}"

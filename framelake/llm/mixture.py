@@ -3,7 +3,7 @@
 A document's size is its number of words. Sources in code-point order, null last, weigh 1, 2, 3, repeating, and share
 the words of all sources; a target stops at ``MOST`` times its source's words and the excess is shared again by weight.
 
-Each source's words, in an order of hashed doc_ids, form blocks of ``BLOCK`` words (the last one may be shorter), and its
+Each source's words, in an order of hashed doc_ids and texts, form blocks of ``BLOCK`` words (the last one may be shorter), and its
 target over the mean words of its blocks is its goal of slots. An output shard has a fixed number of slots; a multinomial
 draw gives each source its count of them. A source's slots, numbered over all shards, go through the permutation of its
 block numbers that belongs to their round (slot div blocks); in a round each block is taken once. Slots beyond its goal
@@ -141,7 +141,7 @@ def spans(docs: DataFrame, seed: int = 20) -> tuple[DataFrame, DataFrame]:
     sources = F.broadcast(spark.createDataFrame([(r.name, i, r.size, aims[i], -(-r.size // BLOCK), goal[i]) for i, r in enumerate(totals)], schema))  # at most SOURCES rows
     parts = max(64, rows.count() // 20_000)
     named = rows.join(sources, rows.name.eqNullSafe(sources.name)).drop(sources.name)
-    named = named.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    named = named.withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(parts)))
     sums = named.groupBy("source", "part").agg(F.sum("size").alias("sum"))
     before = sums.withColumn("before", F.sum("sum").over(Window.partitionBy("source").orderBy("part")) - F.col("sum")).drop("sum")
     order = Window.partitionBy("source", "part").orderBy("doc_id", "digest", "size")

@@ -5,8 +5,8 @@ cross-colour and subtract-green transforms. Where one group of prefix codes and
 looked up at once, and only the chain of offsets at which symbols really begin is followed one by one.
 
 Texts are padded with zero bytes to a positive multiple of 64 and stored as grey images 64 wide, or wider if they would
-be taller than the format allows; beyond one image's size as several files one after another. Each file has the shortest of
-a few forms, chosen by its samples. Nulls are empty texts; an empty table gives no rows; repeated rows give equal values;
+be taller than the format allows; beyond one image's size as several files one after another. Each file has a
+form that its samples alone decide. Nulls are empty texts; an empty table gives no rows; repeated rows give equal values;
 texts of any length are stored whole; other columns are ignored.
 """
 
@@ -27,8 +27,8 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 CACHE_FACTOR = 0x1E35A7BD
 LARGEST = 1 << 14
-#: Multipliers by which green predicts equal red and blue, for values below 128; and samples that are few.
-GREY, FEW = 0x2020, 256
+#: Multipliers by which green predicts equal red and blue, for values below 128; and one file in so many has the predictor.
+GREY, SHARE = 0x2020, 64
 #: Near places by distance code: nearest first, then by |x|, right before left.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
@@ -666,23 +666,25 @@ def stored(payload: bytes) -> bytes:
             width *= 2
         grey = np.frombuffer(part + b"\0" * (-len(part) % width), np.uint8).astype(np.int64)
         pixels = (0xFF000000 | grey * 0x10101).reshape(-1, width)
-        files = [encode(pixels, **form) for form in forms(grey)]
-        out.append(min(files, key=len))
+        out.append(encode(pixels, **form_of(grey)))
     return b"".join(out)
 
 
-def forms(grey: np.ndarray) -> list[dict]:
-    """Ways to store grey samples, of which the shortest file is taken.
+def form_of(grey: np.ndarray) -> dict:
+    """How grey samples are stored, by their content alone, whatever their number.
 
-    Samples of at most 16 values are indexes of a palette, several to a pixel. Where all are below 128, as in ASCII, green
-    predicts red and blue by the colour transform; else green is subtracted. Few samples are also tried with the
-    predictor and the colour cache.
+    Samples of at most 16 values are indexes of a palette, several to a pixel. Of the others one file in SHARE, by checksum,
+    has the predictor and one the colour cache, which take longer and seldom less room for text. The rest leave one channel:
+    where all samples are below 128, as in ASCII, green predicts red and blue by the colour transform; else it is subtracted.
     """
-    ascii_only = grey.max() < 128
-    out = [{"transforms": (PALETTE,)}] if len(np.unique(grey)) <= 16 else [{"transforms": (CROSS_COLOUR,), "cross": GREY} if ascii_only else {"transforms": (SUBTRACT_GREEN,)}]
-    if len(grey) <= FEW:
-        out += [{"transforms": (PREDICTOR, SUBTRACT_GREEN), "mode": 1}, {"transforms": (SUBTRACT_GREEN,), "cache_bits": 4}]
-    return out
+    if len(np.unique(grey)) <= 16:
+        return {"transforms": (PALETTE,)}
+    kind = zlib.crc32(grey.astype(np.uint8).tobytes())
+    if kind % SHARE == 0:
+        return {"transforms": (PREDICTOR, SUBTRACT_GREEN), "mode": 1 + kind // SHARE % 2}
+    if kind % SHARE == 1:
+        return {"transforms": (SUBTRACT_GREEN,), "cache_bits": 4}
+    return {"transforms": (CROSS_COLOUR,), "cross": GREY} if grey.max() < 128 else {"transforms": (SUBTRACT_GREEN,)}
 
 
 def restored(media: bytes, size: int) -> bytes:
