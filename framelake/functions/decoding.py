@@ -11,30 +11,40 @@ from framelake.functions.plates import PROVINCES
 
 
 def beams(probs: np.ndarray, width: int = 10, least: float = 0.25, separated: bool = False) -> list[tuple[tuple[int, ...], float]]:
-    """Label sequences and confidences of the ``width`` most probable paths through ``probs`` (frames, labels), best first.
+    """``beams_of`` one matrix of probabilities (frames, labels)."""
+    return beams_of(probs[None], width, least, separated)[0]
+
+
+def beams_of(probs: np.ndarray, width: int = 10, least: float = 0.25, separated: bool = False) -> list[list[tuple[tuple[int, ...], float]]]:
+    """Of each row of ``probs`` (rows, frames, labels), the label sequences and confidences of its ``width`` most probable paths, best first.
 
     A label like the last one of its sequence repeats it; with ``separated`` it begins a new one after a blank. Labels under
     ``least`` are passed over, and so is a blank where ``separated``. A confidence is the least probability of the labels
     that a path adds, or of all its steps where ``separated``. Equal paths go by the order of their beams and labels.
+
+    All rows go forward together: a frame is one array of rows, beams and labels.
     """
-    kept: list[tuple[tuple[int, ...], int, float, float]] = [((), 0, 1.0, 0.0)]  # labels, label of the last frame, confidence, log probability
-    for frame in probs:
-        some = np.flatnonzero((frame >= least) | (not separated and np.arange(len(frame)) == 0))
-        logs = np.log(np.maximum(frame[some], 1e-8))
-        total = np.array([b[3] for b in kept])[:, None] + logs[None, :]
-        best = np.argsort(-total.reshape(-1), kind="stable")[:width]
-        new = []
-        for k in best.tolist():
-            (labels, last, sure, _), j = kept[k // len(some)], k % len(some)
-            label, p = int(some[j]), float(frame[some[j]])
-            adds = label and not (labels and labels[-1] == label and (not separated or last))
-            if adds or separated:
-                sure = min(sure, p)
-            new.append(((*labels, label) if adds else labels, label, sure, float(total.reshape(-1)[k])))
-        kept = new
-        if not kept:
-            break
-    return [(labels, sure) for labels, _, sure, _ in kept]
+    rows, frames, labels = probs.shape
+    at = np.arange(rows)[:, None]
+    text = np.zeros((rows, 1, frames), np.int32)
+    size, tail, last = (np.zeros((rows, 1), np.int64) for _ in range(3))  # of a sequence: its length, its last label, the label of the last frame
+    sure, total = np.ones((rows, 1)), np.zeros((rows, 1))
+    for t in range(frames):
+        p = probs[:, t]
+        some = (p >= least) | (not separated and np.arange(labels) == 0)
+        step = total[:, :, None] + np.where(some, np.log(np.maximum(p, 1e-8)), -np.inf)[:, None, :]
+        step = step.reshape(rows, -1)
+        best = np.argsort(-step, axis=1, kind="stable")[:, :width]
+        beam, label = best // labels, best % labels
+        total, size, tail, last, sure, text = np.take_along_axis(step, best, 1), size[at, beam], tail[at, beam], last[at, beam], sure[at, beam], text[at, beam]
+        adds = (label > 0) & ~((tail == label) & ((last > 0) | (not separated)))
+        own = p[at, label]
+        sure = np.where(adds | separated, np.minimum(sure, own), sure)
+        r, k = np.nonzero(adds)
+        text[r, k, size[r, k]] = label[r, k]
+        size, tail, last = size + adds, np.where(adds, label, tail), label
+    real = np.isfinite(total)
+    return [[(tuple(text[r, k, : size[r, k]].tolist()), float(sure[r, k])) for k in np.flatnonzero(real[r])] for r in range(rows)]
 
 
 # Forms of the upper and lower line and what they count, and characters put in another's place, one at a time.

@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.decoding import beams, joined
+from framelake.functions.decoding import beams_of, joined
 from framelake.plans.registry import query
 from framelake.sources.tables import detections
 
 LETTERS, FRAMES = "0159AB", 6
+#: Rows whose beams go forward together.
+ROWS = 512
 
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,14 +30,12 @@ def decoded(df: DataFrame, letters: str, frames: int, width: int = 10, least: fl
     """event_id, text and confidence by either rule of repeats, of rows (event_id, probs: frames of blank and letters)."""
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             x = b.column(1).flatten().flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, frames, len(letters) + 1)
-            out = {"joined": [], "separated": []}
-            for probs in x:
-                for name, own in out.items():
-                    found = beams(probs, width, least, name == "separated")
-                    own.append(("".join(letters[k - 1] for k in found[0][0]), found[0][1]) if found else ("", 0.0))
-            columns = [b.column(0), *(pa.array([v[i] for v in out[n]]) for n in out for i in (0, 1))]
+            columns = [b.column(0)]
+            for separated in (False, True):
+                found = [own[0] if own else ((), 0.0) for own in beams_of(x, width, least, separated)]
+                columns += [pa.array(["".join(letters[k - 1] for k in labels) for labels, _ in found]), pa.array([sure for _, sure in found])]
             yield pa.RecordBatch.from_arrays(columns, names=["event_id", "text", "confidence", "text_separated", "confidence_separated"])
 
     return df.select("event_id", "probs").mapInArrow(run, "event_id long, text string, confidence double, text_separated string, confidence_separated double")
@@ -55,15 +55,12 @@ def two_heads(df: DataFrame, upper: str, lower: str, width: int = 10, least: flo
     lower: frames of blank and letters)."""
 
     def run(batches):
-        for b in batches:
-            out = []
-            heads = []
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
+            lines = []
             for column, letters in ((b.column(1), upper), (b.column(2), lower)):
-                flat = column.flatten().flatten().to_numpy(zero_copy_only=False)
-                heads.append((flat.reshape(b.num_rows, -1, len(letters) + 1), letters))
-            for k, event in enumerate(b.column(0).to_pylist()):
-                lines = [[("".join(letters[c - 1] for c in labels), sure) for labels, sure in beams(x[k], width, least)] for x, letters in heads]
-                out += [(event, n, *pair) for n, pair in enumerate(joined(*lines, best), 1)]
+                x = column.flatten().flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1, len(letters) + 1)
+                lines.append([[("".join(letters[c - 1] for c in labels), sure) for labels, sure in own] for own in beams_of(x, width, least)])
+            out = [(event, n, *pair) for event, a, c in zip(b.column(0).to_pylist(), *lines, strict=True) for n, pair in enumerate(joined(a, c, best), 1)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["event_id", "place", "upper", "lower", "confidence"])
 

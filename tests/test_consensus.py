@@ -217,3 +217,47 @@ def test_rules_by_hand():
     # deferred, then its mean is 0.775; confirmed with the third; the new track of the fifth stands where the plate was stored
     assert [x.kind for x in got] == [None, None, "confirmed", None, None] and got[2].state == "CONFIRMED" and rules.hits == 2
     assert Camera.of(rules, camera.packed()) == camera
+
+
+def test_stored_once(spark, tmp_path, monkeypatch):
+    """A stream that fails in the middle of a batch, is started again and gets more files stores what the whole table leads to, once."""
+    from framelake.streaming import storing
+    from framelake.streaming.consensus import emitted
+
+    names = [c.split()[0] for c in storing.READINGS.split(", ")]
+    d = readings(spark, SF).select(*names)
+    rows, rules, out = d.orderBy("sec", "event_id").toPandas(), Rules(**SPARSE), str(tmp_path / "out")
+
+    def more(k):
+        spark.createDataFrame(rows.iloc[k * len(rows) // 4 : (k + 1) * len(rows) // 4], storing.READINGS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        q = storing.store_plates(storing.readings(spark, str(tmp_path / "in"), 1), out, str(tmp_path / "c"), rules)
+        q.awaitTermination(180)
+
+    more(0)
+    run()
+    more(1)
+    more(2)
+    real, calls = storing.events, []
+
+    def failing(batch):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("the second table can't be written")
+        return real(batch)
+
+    monkeypatch.setattr(storing, "events", failing)
+    with pytest.raises(Exception, match="second table"):
+        run()
+    half = storing.stored_plates(spark, out).count()
+    assert half == storing.stored_events(spark, out).count()
+    monkeypatch.setattr(storing, "events", real)
+    more(3)
+    run()
+    run()  # nothing new
+    want = sorted((r.event_id, r.camera_id, r.track_id, r.plate, r.confidence, r.shot) for r in emitted(d, rules).collect())
+    assert sorted(map(tuple, storing.stored_plates(spark, out).collect())) == want and half < len(want)
+    assert sorted(r.event_id for r in storing.stored_events(spark, out).collect()) == [w[0] for w in want]
+    newest = {(r.camera_id, r.track_id): r.event_id for r in storing.newest_plates(spark, out).where("track_id >= 0").collect()}
+    assert newest == {(c, t): max(w[0] for w in want if w[1:3] == (c, t)) for _, c, t, *_ in want if t >= 0}
