@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import box, iou
 from framelake.plans.registry import query
-from framelake.sources.tables import detections
+from framelake.sources.tables import detections, messages
 
 WINDOW = 6 * 3600
 NEAR, FALLBACK = 1800, 7200
@@ -163,3 +163,18 @@ def j2_vehicle_person_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(
         "camera_id", F.when(~person, F.col("event_id")).alias("vehicle_id"), F.when(person, F.col("event_id")).otherwise(F.col("partner")).alias("person_id"), "class_name", F.when(~person, F.col("plate")).alias("plate"), "score"
     )
+
+
+def has_face() -> Column:
+    """Does a person's message name someone, or say how sure a face is?"""
+    named = (F.coalesce(F.trim("face_identity"), F.lit("")) != "") & (F.trim("face_identity") != "Unknown")
+    return F.coalesce(named | (F.col("face_confidence").try_cast("double") > 0), F.lit(False))
+
+
+@query()
+def j3_standalone_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons that no vehicle has and of whose face something is known. Tested by a plain loop."""
+    people = detections(spark, sf_dir).where("class_name = 'person'").select("event_id", "camera_id")
+    taken = matched(fusion_candidates(detections(spark, sf_dir))).select(F.col("person_id").alias("event_id"))
+    faces = messages(spark, sf_dir).where(has_face()).select("event_id", "face_identity", "face_confidence")
+    return people.join(taken, "event_id", "left_anti").join(faces, "event_id").select("event_id", "camera_id", "face_identity", F.col("face_confidence").try_cast("double").alias("face_confidence"))

@@ -42,8 +42,8 @@ def sf3_sf4_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN length(fixed) <= 6 THEN confidence * 0.72 WHEN length(fixed) > 12 THEN confidence * 0.9 ELSE confidence END AS adjusted FROM p""",
     P,
 )
-def sf7_sf29_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Penalties in hundredths for grammar, province and length; confidence with the length penalty."""
+def sf29_length_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Penalties in hundredths for form, province and length alone; confidence with the length penalty. The whole score is ``sf7`` in ``correction``."""
     f = F.col("fixed")
     penalty = (
         F.when(f.rlike("^[0-9]{2}[A-Z]{1,2}[0-9]+$"), 0).otherwise(20)
@@ -151,7 +151,7 @@ def ag19_winner_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT track_id, plate, n * 1.0 / records AS ratio FROM (SELECT *, sum(n) OVER (PARTITION BY track_id) AS records, row_number() OVER (PARTITION BY track_id ORDER BY n DESC, plate) AS place FROM m) WHERE place = 1",
     P + ", m AS (SELECT track_id, fixed AS plate, count(*) AS n FROM p WHERE track_id >= 0 GROUP BY ALL)",
 )
-def ag21_sf24_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ag21_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = plates(spark, sf_dir).where("track_id >= 0").groupBy("track_id", F.col("fixed").alias("plate")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("track_id")
     m = m.withColumn("records", F.sum("n").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), "plate")))

@@ -167,3 +167,49 @@ def test_jitter_queue(by_track):
             out.append(rule.step(e))
             assert out[-1] == plain.step(e)
         assert True in out and False in out and len(rule.near) < 400
+
+
+def plain_gates(events):
+    """The parked-or-waiting, voting and standing rules with dictionaries over all events, nothing forgotten."""
+    spots, votes, stored, still, out = {}, {}, {}, {}, {"dd4_spot_or_ttl": set(), "dd8_votes": set(), "wn11_still_tracks": set()}
+    for e in events:
+        if e.class_name != "person":
+            x, y, key = int((e.x1 + e.x2) / 2), int((e.y1 + e.y2) / 2), (e.camera_id, e.plate)
+            old = spots.get(key)
+            if old is None:
+                passes, renew = True, True
+            else:
+                gap, far = e.sec - old[0], ((x - old[1]) ** 2 + (y - old[2]) ** 2) ** 0.5
+                if far <= 140 and gap < 345600:
+                    passes, renew = False, True
+                elif gap < 86400:
+                    passes = renew = far > 200
+                else:
+                    passes, renew = True, True
+            if renew:
+                spots[key] = (e.sec, x, y)
+            if passes:
+                out["dd4_spot_or_ttl"].add(e.event_id)
+            key = (e.camera_id, e.track_id, e.plate)
+            votes.setdefault(key, []).append(e.sec)
+            if key not in stored or e.sec - stored[key] >= 86400:
+                if e.confidence >= 0.85 or sum(e.sec - t <= 86400 for t in votes[key]) >= 2:
+                    stored[key] = e.sec
+                    out["dd8_votes"].add(e.event_id)
+        if e.track_id >= 0:
+            key, x, y = (e.camera_id, e.track_id), (e.x1 + e.x2) / 2, (e.y1 + e.y2) / 2
+            t = still.get(key)
+            if t is None or e.sec - t["seen"] > 345600:
+                t = still[key] = {"x": None, "n": 0, "passed": 0, "seen": e.sec}
+            far = t["x"] is None or ((x - t["x"]) ** 2 + (y - t["y"]) ** 2) ** 0.5 > 400
+            t["n"] = 0 if far else t["n"] + 1
+            t.update(x=x, y=y, seen=e.sec)
+            if far or t["n"] < 2 or e.sec - t["passed"] >= 86400:
+                t["passed"] = e.sec
+                out["wn11_still_tracks"].add(e.event_id)
+    return out
+
+
+def test_gates_from_the_rules(spark, events):
+    for name, want in plain_gates(events).items():
+        assert {r.event_id for r in QUERIES[name](spark, SF).collect()} == want, name

@@ -8,7 +8,7 @@ from framelake.functions.plates import collapsed, positional, valid
 from framelake.operators.boxes import ge3_suppressed_per_frame
 from framelake.operators.dedup import dd1_person_cooldown, dd2_cell_cooldown
 from framelake.operators.history import wn5_smoothed_boxes
-from framelake.operators.joins import fusion_candidates, j2_vehicle_person_fusion
+from framelake.operators.joins import fusion_candidates, j2_vehicle_person_fusion, j3_standalone_persons
 from framelake.sources.tables import detections
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +88,12 @@ def test_fusion(spark):
     both = got.dropna(subset=["vehicle_id", "person_id"])
     assert dict(zip(both.vehicle_id.astype(int), both.person_id.astype(int))) == want
     assert len(got) == detections(spark, SF).count() - len(want)
+    d = detections(spark, SF).collect()
+    left = {e.event_id for e in d if e.class_name == "person"} - set(want.values())
+    assert set(got[got.vehicle_id.isna()].person_id.astype(int)) == left
+    # persons left over of whose face something is known: named in two of three ids, or sure in three of four
+    known = {i: ["Unknown", f"id-{i % 10}", ""][i % 3] for i in left if i % 3 == 1 or i % 4}
+    assert {r.event_id: r.face_identity for r in j3_standalone_persons(spark, SF).collect()} == known and len(known) < len(left)
 
 
 def test_golden(spark):
