@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.geometry import box, iou
 from framelake.plans.registry import query
+from framelake.sources.sinks import kept
 from framelake.sources.tables import detections, messages
 
 WINDOW = 6 * 3600
@@ -32,12 +33,13 @@ def frame_of(events: DataFrame, frames: DataFrame, within: int = NEAR, fallback:
     """Each event (event_id, camera_id, sec, wanted) with a frame: the one it names, if its camera has it; else the nearest
     within ``within`` seconds; else the newest not after it, if no more than ``fallback`` seconds old."""
     named = events.join(frames.select("camera_id", F.col("frame_id").alias("wanted"), F.col("frame_id").alias("named")), ["camera_id", "wanted"], "left")
-    near = nearest_frame(events, frames, within).select("event_id", F.col("frame_id").alias("near"))
-    e = events.withColumn("slot", F.expr(f"sec div {fallback}"))
+    near = nearest_frame(named.where("named is null").select("event_id", "camera_id", "sec"), frames, within).select("event_id", F.col("frame_id").alias("near"))
+    got = kept(named.join(near, "event_id", "left").select("event_id", "camera_id", "sec", "named", "near"))
+    e = got.where("named is null and near is null").withColumn("slot", F.expr(f"sec div {fallback}"))
     f = frames.withColumn("slot", F.explode(F.array(F.expr(f"frame_sec div {fallback}"), F.expr(f"frame_sec div {fallback} + 1"))))
     old = e.join(f, ["camera_id", "slot"]).where((F.col("frame_sec") <= F.col("sec")) & (F.col("sec") - F.col("frame_sec") <= fallback))
     old = old.groupBy("event_id").agg(F.max(F.struct("frame_sec", "frame_id")).alias("o")).select("event_id", F.col("o.frame_id").alias("newest"))
-    got = named.join(near, "event_id", "left").join(old, "event_id", "left")
+    got = got.join(old, "event_id", "left")
     how = F.when(F.col("named").isNotNull(), "named").when(F.col("near").isNotNull(), "near").when(F.col("newest").isNotNull(), "newest")
     return got.select("event_id", F.coalesce("named", "near", "newest").alias("frame_id"), how.alias("how"))
 

@@ -115,6 +115,24 @@ def coloured(pixels: DataFrame, key: str) -> DataFrame:
 )
 def sf37_vehicle_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over crops of 12 by 10 pixels that are derived from events, five in six with a plate in them."""
+    return coloured(crops(spark, sf_dir), "event_id")
+
+
+@query(
+    """SELECT event_id, CASE WHEN v < 50 THEN 'black' WHEN v > 200 AND s < 40 THEN 'white' WHEN s < 40 THEN 'gray' WHEN h < 15 OR h >= 165 THEN 'red' WHEN h < 35 THEN 'yellow' WHEN h < 85 THEN 'green' WHEN h < 130 THEN 'blue' ELSE 'purple' END AS colour FROM (SELECT event_id, avg(hue) AS h, avg(sat) AS s, avg(val) AS v FROM px GROUP BY event_id)""",
+    """px AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN (event_id * 7 + x * 3) % 180 ELSE (event_id * 37 + x * 2 + y) % 180 END AS hue, CASE event_id % 3 WHEN 0 THEN (event_id + x * 5 + y * 7) % 60 ELSE (event_id * 3 + x * 11 + y) % 256 END AS sat,
+    (event_id * 13 + x * 3 + y * 5) % CASE event_id % 5 WHEN 0 THEN 60 ELSE 256 END AS val FROM det, range(12) a(x), range(10) b(y) WHERE class_name <> 'person')""",
+)
+def sf37_colours_by_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older rule: mean hue, saturation and value of the whole crop."""
+    d = crops(spark, sf_dir).groupBy("event_id").agg(F.avg("hue").alias("h"), F.avg("sat").alias("s"), F.avg("val").alias("v"))
+    h, s, v = F.col("h"), F.col("s"), F.col("v")
+    colour = F.when(v < 50, "black").when((v > 200) & (s < 40), "white").when(s < 40, "gray").when((h < 15) | (h >= 165), "red").when(h < 35, "yellow").when(h < 85, "green").when(h < 130, "blue").otherwise("purple")
+    return d.select("event_id", colour.alias("colour"))
+
+
+def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of crops, derived from events."""
     i, x, y = F.col("event_id"), F.col("x"), F.col("y")
     d = detections(spark, sf_dir).where("class_name <> 'person'").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(9))))
     hue = F.when(i % 4 == 0, (i * 7 + x * 3) % 180).otherwise((i * 37 + x * 2 + y) % 180)
@@ -122,5 +140,4 @@ def sf37_vehicle_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     val = (i * 13 + x * 3 + y * 5) % F.when(i % 5 == 0, 60).otherwise(256)
     p = (i % 6).cast("int")
     plate = F.when(p != 0, F.struct(p.alias("x1"), F.lit(4).alias("y1"), (p + 4).alias("x2"), F.lit(7).alias("y2")))
-    d = d.select("event_id", "x", "y", F.lit(12).alias("width"), F.lit(10).alias("height"), hue.alias("hue"), sat.alias("sat"), val.alias("val"), plate.alias("plate"))
-    return coloured(d, "event_id")
+    return d.select("event_id", "x", "y", F.lit(12).alias("width"), F.lit(10).alias("height"), hue.alias("hue"), sat.alias("sat"), val.alias("val"), plate.alias("plate"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.kalman import Boxes
+from framelake.functions.kalman import Boxes, overlaps
 from framelake.functions.stateful import overlap
 from framelake.operators.gates import BOX, in_order
 from framelake.plans.registry import query
@@ -45,6 +45,43 @@ def ge19_filtered_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracked(d, lambda: Boxes(rate=1 / 3600, lost=43200, gate=1e9), FRAME)
 
 
+class Argmax:
+    """One camera's tracks, counted in frames: while any overlap reaches ``least``, the greatest one (the first box, then the first
+    track, of equals) joins a box and a track; boxes left over begin tracks; a track ends once more than ``age`` frames in a row
+    lack it, frames without a box included."""
+
+    def __init__(self, frame: float, least: float = 0.3, age: int = 30):
+        self.frame_seconds, self.least, self.age, self.made, self.tracks = frame, least, age, 0, {}
+
+    @property
+    def quiet(self) -> float:
+        return (self.age + 1) * self.frame_seconds
+
+    def frame(self, now: float, boxes: np.ndarray, scores: np.ndarray) -> list[int]:
+        self.tracks = {n: t for n, t in self.tracks.items() if now - t[1] <= self.quiet}
+        names, of = list(self.tracks), {}
+        if names:
+            near = overlaps(boxes, np.array([self.tracks[n][0] for n in names])).astype(np.float32)
+            while (best := near.max()) >= self.least:
+                k, t = np.unravel_index(int(near.argmax()), near.shape)
+                of[int(k)] = names[t]
+                near[k, :], near[:, t] = -1, -1
+        for k in range(len(boxes)):
+            if k not in of:
+                self.made += 1
+                of[k] = self.made
+            self.tracks[of[k]] = (boxes[k], now)
+        return [of[k] for k in range(len(boxes))]
+
+
+@query()
+def j8_argmax_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a quarter of an hour; boxes are drawn near their vehicle's usual place. Tested by a plain loop."""
+    d = detections(spark, sf_dir).where("track_id >= 0")
+    x, y = F.col("track_id") * 173 % 1500 + F.col("event_id") * 13 % 120, F.col("track_id") * 97 % 700 + F.col("event_id") * 7 % 60
+    return tracked(d.withColumns({"x1": x, "y1": y, "x2": x + 200, "y2": y + 150}), lambda: Argmax(FRAME), FRAME)
+
+
 def merged(first: list[tuple], second: list[tuple], same: float = 0.55, most: float = 0.45) -> list[tuple]:
     """Candidates (id, confidence, box or none) of two detectors as one list. A second one that overlaps a kept one by more than
     ``same`` takes its place if it is surer, else goes; then, surest first, those that overlap a kept one by more than ``most``

@@ -241,3 +241,40 @@ def test_batches_are_stored_once(spark, tmp_path):
         q = source.writeStream.foreachBatch(store_once(str(tmp_path / "s"), {"plates": lambda df: df, "events": events_of})).option("checkpointLocation", str(tmp_path / f"c{_}")).trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert stored(spark, str(tmp_path / "s"), "plates", "event_id long, plate string").count() == 2
+
+
+def test_argmax_tracks(spark, events):
+    """The tracker over every frame of a camera, frames without a box too."""
+    got = {r.event_id: r.track for r in QUERIES["j8_argmax_tracks"](spark, SF).collect()}
+    own, ended = [e for e in events if e.track_id >= 0], 0
+    for camera in sorted({e.camera_id for e in own}):
+        by_frame = {}
+        for e in own:
+            if e.camera_id == camera:
+                by_frame.setdefault(e.sec // 900, []).append(e)
+        tracks, made, names = {}, 0, {}
+        for f in range(min(by_frame), max(by_frame) + 1):
+            boxes = []
+            for e in sorted(by_frame.get(f, []), key=lambda e: e.event_id):
+                x, y = e.track_id * 173 % 1500 + e.event_id * 13 % 120, e.track_id * 97 % 700 + e.event_id * 7 % 60
+                boxes.append((e.event_id, [x, y, x + 200, y + 150]))
+            table = [(np.float32(plain_overlap(b, tracks[n]["box"])), -k, -t, n) for k, (_, b) in enumerate(boxes) for t, n in enumerate(tracks)]
+            of, used = {}, set()
+            for iou, k, _, n in sorted(table, reverse=True):
+                if iou >= np.float32(0.3) and -k not in of and n not in used:
+                    of[-k] = n
+                    used.add(n)
+            for n in list(tracks):
+                if n not in used:
+                    tracks[n]["age"] += 1
+                    if tracks[n]["age"] > 30:
+                        del tracks[n]
+                        ended += 1
+            for k, (event, b) in enumerate(boxes):
+                if k not in of:
+                    made += 1
+                    of[k] = made
+                tracks[of[k]] = {"box": b, "age": 0}
+                assert names.setdefault(of[k], got[event]) == got[event]
+        assert len(set(names.values())) == len(names)
+    assert ended > 10 and len(set(got.values())) < len(got)
