@@ -34,7 +34,14 @@ def box_names() -> list[str]:
     return ["x1", "y1", "x2", "y2"]
 
 
-@query()
+@query(
+    'SELECT camera_id, hour, event_id, CAST(confidence AS DOUBLE) AS score FROM r WHERE ok',
+    """n AS (SELECT *, row_number() OVER (PARTITION BY camera_id, hour ORDER BY confidence DESC, event_id) AS k FROM (SELECT *, sec // 3600 AS hour FROM det)),
+  r AS (SELECT camera_id, hour, k, event_id, confidence, true AS ok, [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept FROM n WHERE k = 1
+    UNION ALL SELECT camera_id, hour, k, event_id, confidence, ok, CASE WHEN ok THEN kept || [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] ELSE kept END FROM (
+      SELECT n.*, r.kept, NOT EXISTS (SELECT 1 FROM unnest(r.kept) u(q) WHERE (CASE WHEN greatest(least(q.x2, n.x2) - greatest(q.x1, n.x1), 0) * greatest(least(q.y2, n.y2) - greatest(q.y1, n.y1), 0) > 0 THEN CAST(greatest(least(q.x2, n.x2) - greatest(q.x1, n.x1), 0) * greatest(least(q.y2, n.y2) - greatest(q.y1, n.y1), 0) AS DOUBLE) / ((q.x2 - q.x1) * (q.y2 - q.y1) + (n.x2 - n.x1) * (n.y2 - n.y1) - greatest(least(q.x2, n.x2) - greatest(q.x1, n.x1), 0) * greatest(least(q.y2, n.y2) - greatest(q.y1, n.y1), 0)) ELSE 0 END) > 0.45) AS ok FROM r JOIN n ON n.camera_id = r.camera_id AND n.hour = r.hour AND n.k = r.k + 1))""",
+    recursive=True,
+)
 def ge3_suppressed_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of non-maximum suppression in each camera and hour; a frame's boxes are few. Tested by a plain loop."""
     d = detections(spark, sf_dir).withColumn("hour", F.floor(F.col("sec") / 3600))

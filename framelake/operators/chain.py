@@ -264,7 +264,14 @@ def st4_st5_not_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).where(NOW - F.col("sec") <= F.when(F.col("class_name") == "person", 172800).otherwise(345600)).select("event_id")
 
 
-@query()
+@query(
+    'SELECT event_id FROM r WHERE ok',
+    """n AS (SELECT *, row_number() OVER (PARTITION BY camera_id, slot ORDER BY confidence DESC, event_id) AS k FROM (SELECT camera_id, event_id, confidence, sec // 21600 AS slot, x1 // 100 * 100 AS x1, y1 // 400 * 400 AS y1, x1 // 100 * 100 + 300 AS x2, y1 // 400 * 400 + 100 AS y2 FROM det)),
+  r AS (SELECT camera_id, slot, k, event_id, confidence, true AS ok, [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept FROM n WHERE k = 1
+    UNION ALL SELECT camera_id, slot, k, event_id, confidence, ok, CASE WHEN ok THEN kept || [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] ELSE kept END FROM (
+      SELECT n.*, r.kept, NOT EXISTS (SELECT 1 FROM unnest(r.kept) u(q) WHERE (CASE WHEN greatest(least(q.x2, n.x2) - greatest(q.x1, n.x1), 0) * greatest(least(q.y2, n.y2) - greatest(q.y1, n.y1), 0) > 0 THEN CAST(greatest(least(q.x2, n.x2) - greatest(q.x1, n.x1), 0) * greatest(least(q.y2, n.y2) - greatest(q.y1, n.y1), 0) AS DOUBLE) / ((q.x2 - q.x1) * (q.y2 - q.y1) + (n.x2 - n.x1) * (n.y2 - n.y1) - greatest(least(q.x2, n.x2) - greatest(q.x1, n.x1), 0) * greatest(least(q.y2, n.y2) - greatest(q.y1, n.y1), 0)) ELSE 0 END) >= 0.5) AS ok FROM r JOIN n ON n.camera_id = r.camera_id AND n.slot = r.slot AND n.k = r.k + 1))""",
+    recursive=True,
+)
 def ge4_suppressed_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors in each camera and hour where an overlap of just as much suppresses too; boxes lie on a coarse grid, so that
     there are such. Tested by a plain loop."""

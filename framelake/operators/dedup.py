@@ -32,13 +32,25 @@ def cooldown(df: DataFrame, keys: list[str], seconds: int, refresh: bool = False
     return gated(df, keys, lambda: Cooldown(seconds, refresh), [])
 
 
-@query()
+@query(
+    'SELECT event_id FROM r WHERE ok',
+    """n AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY sec, event_id) AS k FROM (SELECT *, (x1 + x2) // 100 AS cx, (y1 + y2) // 100 AS cy FROM det) WHERE class_name = 'person' AND track_id >= 0),
+  r AS (SELECT camera_id, track_id, k, event_id, sec AS last, true AS ok FROM n WHERE k = 1
+    UNION ALL SELECT n.camera_id, n.track_id, n.k, n.event_id, CASE WHEN n.sec - r.last >= 7200 THEN n.sec ELSE r.last END, n.sec - r.last >= 7200 FROM r JOIN n ON n.camera_id = r.camera_id AND n.track_id = r.track_id AND n.k = r.k + 1)""",
+    recursive=True,
+)
 def dd1_person_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(camera, track), two hours. Tested by a plain loop."""
     return cooldown(detections(spark, sf_dir).where("class_name = 'person' and track_id >= 0"), ["camera_id", "track_id"], 7200)
 
 
-@query()
+@query(
+    'SELECT event_id FROM r WHERE ok',
+    """n AS (SELECT *, row_number() OVER (PARTITION BY camera_id, cx, cy ORDER BY sec, event_id) AS k FROM (SELECT *, (x1 + x2) // 100 AS cx, (y1 + y2) // 100 AS cy FROM det) WHERE class_name = 'person' AND track_id < 0),
+  r AS (SELECT camera_id, cx, cy, k, event_id, sec AS last, true AS ok FROM n WHERE k = 1
+    UNION ALL SELECT n.camera_id, n.cx, n.cy, n.k, n.event_id, CASE WHEN n.sec - r.last >= 7200 THEN n.sec ELSE r.last END, n.sec - r.last >= 7200 FROM r JOIN n ON n.camera_id = r.camera_id AND n.cx = r.cx AND n.cy = r.cy AND n.k = r.k + 1)""",
+    recursive=True,
+)
 def dd2_cell_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Untracked persons by camera and cell of 50 pixels."""
     d = detections(spark, sf_dir).where("class_name = 'person' and track_id < 0")

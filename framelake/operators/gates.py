@@ -124,7 +124,15 @@ def dd3_ge10_parked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.col("before").isNull() | (F.col("sec") - F.col("before") >= PARKED) | (far > 140)).select("event_id")
 
 
-@query()
+@query(
+    'SELECT event_id FROM r WHERE passes',
+    """n AS (SELECT *, (x1 + x2) // 2 AS cx, (y1 + y2) // 2 AS cy, row_number() OVER (PARTITION BY camera_id, plate ORDER BY sec, event_id) AS k FROM det WHERE class_name <> 'person'),
+  r AS (SELECT camera_id, plate, k, event_id, true AS passes, sec AS ls, cx AS lx, cy AS ly FROM n WHERE k = 1
+    UNION ALL SELECT camera_id, plate, k, event_id, passes, CASE WHEN renew THEN sec ELSE ls END, CASE WHEN renew THEN cx ELSE lx END, CASE WHEN renew THEN cy ELSE ly END FROM (
+      SELECT *, CASE WHEN far <= 140 AND gap < 345600 THEN false WHEN gap < 86400 THEN far > 200 ELSE true END AS passes, CASE WHEN far <= 140 AND gap < 345600 THEN true WHEN gap < 86400 THEN far > 200 ELSE true END AS renew FROM (
+        SELECT n.*, r.ls, r.lx, r.ly, n.sec - r.ls AS gap, sqrt(CAST((n.cx - r.lx) * (n.cx - r.lx) + (n.cy - r.ly) * (n.cy - r.ly) AS DOUBLE)) AS far FROM r JOIN n ON n.camera_id = r.camera_id AND n.plate = r.plate AND n.k = r.k + 1)))""",
+    recursive=True,
+)
 def dd4_spot_or_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested by a plain loop."""
     return gated(vehicles(spark, sf_dir), ["camera_id", "plate"], lambda: Spot(TTL, PARKED), BOX)
@@ -142,13 +150,29 @@ def dd6_jitter_of_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(vehicles(spark, sf_dir), ["camera_id", "head"], lambda: Jitter(TTL, by_track=False), ["plate"])
 
 
-@query()
+@query(
+    'SELECT event_id FROM r WHERE ok',
+    """m AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id, plate ORDER BY sec, event_id) AS k FROM det WHERE class_name <> 'person'),
+  n2 AS (SELECT camera_id, track_id, plate, k, event_id, sec, confidence >= 0.85 OR (SELECT count(*) FROM m b WHERE a.camera_id = b.camera_id AND a.track_id = b.track_id AND a.plate = b.plate AND b.k <= a.k AND a.sec - b.sec <= 86400) >= 2 AS can FROM m a),
+  r AS (SELECT camera_id, track_id, plate, k, event_id, can AS ok, CASE WHEN can THEN sec END AS last FROM n2 WHERE k = 1
+    UNION ALL SELECT n.camera_id, n.track_id, n.plate, n.k, n.event_id, n.can AND (r.last IS NULL OR n.sec - r.last >= 86400), CASE WHEN n.can AND (r.last IS NULL OR n.sec - r.last >= 86400) THEN n.sec ELSE r.last END
+      FROM r JOIN n2 n ON n.camera_id = r.camera_id AND n.track_id = r.track_id AND n.plate = r.plate AND n.k = r.k + 1)""",
+    recursive=True,
+)
 def dd8_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested by a plain loop."""
     return gated(vehicles(spark, sf_dir), ["camera_id", "track_id", "plate"], lambda: Votes(TTL), ["confidence"])
 
 
-@query()
+@query(
+    'SELECT event_id FROM r WHERE ok',
+    """n AS (SELECT *, (x1 + x2) / CAST(2 AS DOUBLE) AS cx, (y1 + y2) / CAST(2 AS DOUBLE) AS cy, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY sec, event_id) AS k FROM det WHERE track_id >= 0),
+  r AS (SELECT camera_id, track_id, k, event_id, true AS ok, cx AS lx, cy AS ly, sec AS seen, CAST(0 AS BIGINT) AS stood, sec AS passed FROM n WHERE k = 1
+    UNION ALL SELECT camera_id, track_id, k, event_id, far OR stands < 2 OR sec - passed >= 86400, cx, cy, sec, stands, CASE WHEN far OR stands < 2 OR sec - passed >= 86400 THEN sec ELSE passed END FROM (
+      SELECT *, CASE WHEN far THEN 0 ELSE stood + 1 END AS stands FROM (
+        SELECT n.*, r.stood, r.passed, n.sec - r.seen > 345600 OR sqrt((n.cx - r.lx) * (n.cx - r.lx) + (n.cy - r.ly) * (n.cy - r.ly)) > 400 AS far FROM r JOIN n ON n.camera_id = r.camera_id AND n.track_id = r.track_id AND n.k = r.k + 1)))""",
+    recursive=True,
+)
 def wn11_still_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movements and numbers of frames that suit sparse events. Tested by a plain loop."""
     return gated(detections(spark, sf_dir).where("track_id >= 0"), ["camera_id", "track_id"], lambda: Still(PARKED, 400, 2, TTL), BOX)

@@ -127,7 +127,14 @@ def st10_first_two_of_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("place", place).where("place <= 2").select("event_id")
 
 
-@query()
+@query(
+    'SELECT event_id, x1, y1, x2, y2 FROM r',
+    """n AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY sec, event_id) AS k FROM det WHERE track_id >= 0),
+  r AS (SELECT camera_id, track_id, k, event_id, sec, x1, y1, x2, y2 FROM n WHERE k = 1
+    UNION ALL SELECT camera_id, track_id, k, event_id, sec, x1, y1, CASE WHEN fresh THEN x2 ELSE greatest(x2, x1 + 1) END, CASE WHEN fresh THEN y2 ELSE greatest(y2, y1 + 1) END FROM (
+      SELECT n.camera_id, n.track_id, n.k, n.event_id, n.sec, n.sec - r.sec > 259200 AS fresh, CASE WHEN n.sec - r.sec > 259200 THEN n.x1 ELSE CAST(round_even(CAST(0.4 AS DOUBLE) * n.x1 + CAST(0.6 AS DOUBLE) * r.x1, 0) AS BIGINT) END AS x1, CASE WHEN n.sec - r.sec > 259200 THEN n.y1 ELSE CAST(round_even(CAST(0.4 AS DOUBLE) * n.y1 + CAST(0.6 AS DOUBLE) * r.y1, 0) AS BIGINT) END AS y1, CASE WHEN n.sec - r.sec > 259200 THEN n.x2 ELSE CAST(round_even(CAST(0.4 AS DOUBLE) * n.x2 + CAST(0.6 AS DOUBLE) * r.x2, 0) AS BIGINT) END AS x2, CASE WHEN n.sec - r.sec > 259200 THEN n.y2 ELSE CAST(round_even(CAST(0.4 AS DOUBLE) * n.y2 + CAST(0.6 AS DOUBLE) * r.y2, 0) AS BIGINT) END AS y2 FROM r JOIN n ON n.camera_id = r.camera_id AND n.track_id = r.track_id AND n.k = r.k + 1))""",
+    recursive=True,
+)
 def wn5_smoothed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A track begins anew after three days without it. Tested by a plain loop."""
     from framelake.functions.stateful import Smoothed
@@ -205,7 +212,18 @@ def wn6_faded_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("camera_id", "sec", F.round("light", 6).alias("light"))
 
 
-@query()
+@query(
+    'SELECT event_id, round(mn, 6) AS mean, round(share, 6) AS share, mode, changed FROM r',
+    """n AS (SELECT camera_id, event_id, sec, sharpness * CAST(0.6 AS DOUBLE) AS b, row_number() OVER (PARTITION BY camera_id ORDER BY sec, event_id) AS k FROM det),
+  r AS (SELECT camera_id, k, event_id, sec, mn, fl, ce, share, CASE WHEN share < 0.2 THEN 'night' WHEN share > 0.8 THEN 'day' ELSE 'transition' END AS mode, CASE WHEN share < 0.2 THEN 'night' WHEN share > 0.8 THEN 'day' ELSE 'transition' END <> mode AS changed FROM (
+      SELECT *, CASE WHEN raw < 0.05 THEN 0 WHEN raw > 0.95 THEN 1 ELSE raw END AS share FROM (SELECT *, least(greatest((mn - fl) / (ce - fl), 0), CAST(1 AS DOUBLE)) AS raw FROM (SELECT camera_id, k, event_id, sec, b, mn, CASE WHEN ce2 - fl2 < 30 THEN (ce2 + fl2) / 2 - 15 ELSE fl2 END AS fl, CASE WHEN ce2 - fl2 < 30 THEN (ce2 + fl2) / 2 + 15 ELSE ce2 END AS ce, mode FROM (
+      SELECT *, fl1 + CAST(0.005 AS DOUBLE) * (b - fl1) AS fl2, ce1 + CAST(0.005 AS DOUBLE) * (b - ce1) AS ce2 FROM (SELECT *, CASE WHEN b < fl0 THEN fl0 + CAST(0.05 AS DOUBLE) * (b - fl0) ELSE fl0 END AS fl1, CASE WHEN b > ce0 THEN ce0 + CAST(0.05 AS DOUBLE) * (b - ce0) ELSE ce0 END AS ce1 FROM (SELECT camera_id, k, event_id, sec, b, b AS mn, CAST(40 AS DOUBLE) AS fl0, CAST(150 AS DOUBLE) AS ce0, 'transition' AS mode FROM n WHERE k = 1))))))
+    UNION ALL SELECT camera_id, k, event_id, sec, mn, fl, ce, share, CASE WHEN share < 0.2 THEN 'night' WHEN share > 0.8 THEN 'day' ELSE 'transition' END AS mode, CASE WHEN share < 0.2 THEN 'night' WHEN share > 0.8 THEN 'day' ELSE 'transition' END <> mode AS changed FROM (
+      SELECT *, CASE WHEN raw < 0.05 THEN 0 WHEN raw > 0.95 THEN 1 ELSE raw END AS share FROM (SELECT *, least(greatest((mn - fl) / (ce - fl), 0), CAST(1 AS DOUBLE)) AS raw FROM (SELECT camera_id, k, event_id, sec, b, mn, CASE WHEN ce2 - fl2 < 30 THEN (ce2 + fl2) / 2 - 15 ELSE fl2 END AS fl, CASE WHEN ce2 - fl2 < 30 THEN (ce2 + fl2) / 2 + 15 ELSE ce2 END AS ce, mode FROM (
+      SELECT *, fl1 + CAST(0.005 AS DOUBLE) * (b - fl1) AS fl2, ce1 + CAST(0.005 AS DOUBLE) * (b - ce1) AS ce2 FROM (SELECT *, CASE WHEN b < fl0 THEN fl0 + CAST(0.05 AS DOUBLE) * (b - fl0) ELSE fl0 END AS fl1, CASE WHEN b > ce0 THEN ce0 + CAST(0.05 AS DOUBLE) * (b - ce0) ELSE ce0 END AS ce1 FROM (SELECT n.camera_id, n.k, n.event_id, n.sec, n.b, CASE WHEN n.sec - r.sec > 21600 THEN n.b ELSE r.mn + CASE WHEN n.sec > r.sec THEN 1 - exp(-(n.sec - r.sec) / CAST(7200 AS DOUBLE)) ELSE CAST(0.05 AS DOUBLE) END * (n.b - r.mn) END AS mn,
+        CASE WHEN n.sec - r.sec > 21600 THEN CAST(40 AS DOUBLE) ELSE r.fl END AS fl0, CASE WHEN n.sec - r.sec > 21600 THEN CAST(150 AS DOUBLE) ELSE r.ce END AS ce0, CASE WHEN n.sec - r.sec > 21600 THEN 'transition' ELSE r.mode END AS mode FROM r JOIN n ON n.camera_id = r.camera_id AND n.k = r.k + 1)))))))""",
+    recursive=True,
+)
 def wn6_light_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each detection's light (its sharpness stands for it), with floor and ceiling of its camera; times for sparse events. Tested by a plain loop."""
     from framelake.functions.stateful import Light
@@ -213,4 +231,4 @@ def wn6_light_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = detections(spark, sf_dir).withColumn("light", F.col("sharpness") * 0.6)
     schema = "event_id long, mean double, share double, mode string, changed boolean"
-    return stepped(d, ["camera_id"], lambda: Light(idle=21600, tau=7200, slow=0.05), ["light"], schema, lambda e, got: (e.event_id, *got))
+    return stepped(d, ["camera_id"], lambda: Light(idle=21600, tau=7200, slow=0.05), ["light"], schema, lambda e, got: (e.event_id, round(got[0], 6), round(got[1], 6), *got[2:]))

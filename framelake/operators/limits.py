@@ -94,7 +94,15 @@ def limited(calls: DataFrame, rule: Callable[[], Limiter], span: int) -> DataFra
     return _run(calls, done.select("slot", "entry"), span, rule, "event_id long", lambda slot, left, passed: (pa.array(passed, pa.int64()),))
 
 
-@query()
+@query(
+    'SELECT event_id FROM r WHERE ok',
+    """n AS (SELECT event_id, sec, CAST(substr(camera_id, 5) AS INT) AS c, row_number() OVER (ORDER BY sec, event_id) AS k FROM det),
+  r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, false AS ok, CAST(-100000 AS BIGINT) AS began, CAST(0 AS BIGINT) AS passed, list_value(-100000, -100000, -100000, -100000, -100000, -100000, -100000, -100000)::BIGINT[] AS last
+    UNION ALL SELECT k, event_id, ok, began, CASE WHEN ok THEN so_far + 1 ELSE so_far END, CASE WHEN ok THEN last[:c] || [sec] || last[c + 2:] ELSE last END FROM (
+      SELECT *, so_far < 12 AND sec - last[c + 1] >= 3600 AS ok FROM (
+        SELECT n.k, n.event_id, n.sec, n.c, r.last, CASE WHEN n.sec - r.began > 10800 THEN n.sec ELSE r.began END AS began, CASE WHEN n.sec - r.began > 10800 THEN 0 ELSE r.passed END AS so_far FROM r JOIN n ON n.k = r.k + 1)))""",
+    recursive=True,
+)
 def dd10_limited_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most twelve calls in a window of three hours, and one an hour of a camera, in slots of a day. Tested by a plain loop."""
     return limited(detections(spark, sf_dir), lambda: Limiter(10800, 12, 3600), 86400)
