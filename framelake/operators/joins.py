@@ -150,7 +150,24 @@ def matched(pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vehicle_id long, person_id long, score double")
 
 
-@query()
+#: Pairs in the order in which they are looked at, and what is taken so far.
+MATCHED = (
+    CANDIDATES
+    + """, n AS (SELECT s.camera_id, s.slot, s.vehicle_id, s.person_id, s.score, p.track_id, row_number() OVER (PARTITION BY s.camera_id, s.slot ORDER BY v.sec, s.vehicle_id, s.score DESC, s.person_id) AS k
+    FROM s JOIN det v ON v.event_id = s.vehicle_id JOIN det p ON p.event_id = s.person_id WHERE s.score > 0),
+  r AS (SELECT camera_id, slot, k, vehicle_id, person_id, score, true AS ok, vehicle_id AS served, [person_id] AS people, [track_id] AS tracks FROM n WHERE k = 1
+    UNION ALL SELECT camera_id, slot, k, vehicle_id, person_id, score, ok, CASE WHEN ok THEN vehicle_id ELSE served END, CASE WHEN ok THEN people || [person_id] ELSE people END, CASE WHEN ok THEN tracks || [track_id] ELSE tracks END FROM (
+      SELECT n.*, r.served, r.people, r.tracks, n.vehicle_id <> r.served AND NOT list_contains(r.people, n.person_id) AND (n.track_id < 0 OR NOT list_contains(r.tracks, n.track_id)) AS ok FROM r JOIN n ON n.camera_id = r.camera_id AND n.slot = r.slot AND n.k = r.k + 1)),
+  matched AS (SELECT vehicle_id, person_id, score FROM r WHERE ok)"""
+)
+
+
+@query(
+    """SELECT d.camera_id, d.event_id AS vehicle_id, m.person_id, d.class_name, d.plate, round(m.score, 6) AS score FROM det d LEFT JOIN matched m ON m.vehicle_id = d.event_id WHERE d.class_name <> 'person'
+  UNION ALL SELECT camera_id, NULL, event_id, class_name, NULL, NULL FROM det WHERE class_name = 'person' AND event_id NOT IN (SELECT person_id FROM matched)""",
+    MATCHED,
+    recursive=True,
+)
 def j2_vehicle_person_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vehicle with its person, if any, and every person left over (J2, J3). Tested by a plain loop.
 
@@ -173,7 +190,11 @@ def has_face() -> Column:
     return F.coalesce(named | (F.col("face_confidence").try_cast("double") > 0), F.lit(False))
 
 
-@query()
+@query(
+    "SELECT d.event_id, d.camera_id, m.face_identity, TRY_CAST(m.face_confidence AS DOUBLE) AS face_confidence FROM det d JOIN msg m USING (event_id) WHERE d.class_name = 'person' AND d.event_id NOT IN (SELECT person_id FROM matched) AND (trim(coalesce(m.face_identity, '')) NOT IN ('', 'Unknown') OR coalesce(TRY_CAST(m.face_confidence AS DOUBLE) > 0, false))",
+    MATCHED,
+    recursive=True,
+)
 def j3_standalone_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons that no vehicle has and of whose face something is known. Tested by a plain loop."""
     people = detections(spark, sf_dir).where("class_name = 'person'").select("event_id", "camera_id")
