@@ -102,7 +102,20 @@ def merged(first: list[tuple], second: list[tuple], same: float = 0.55, most: fl
     return out
 
 
-@query()
+@query(
+    "SELECT camera_id, slot, b.id AS event_id, place FROM (SELECT camera_id, slot, unnest(kept) AS b, unnest(range(len(kept))) AS place FROM z)",
+    """d AS (SELECT camera_id, sec // 21600 AS slot, event_id, source = 'vehicles' AS second, {'id': event_id, 'c': CAST(confidence AS DOUBLE), 'x': x1 // 600 * 600 + event_id % 40, 'y': y1 // 300 * 300 + event_id % 30, 'boxed': event_id % 29 <> 0} AS b FROM det WHERE class_name <> 'person'),
+  g AS (SELECT camera_id, slot, coalesce(list(b ORDER BY event_id) FILTER (WHERE NOT second), []) AS f, coalesce(list(b ORDER BY event_id) FILTER (WHERE second), []) AS s FROM d GROUP BY ALL),
+  m AS (SELECT camera_id, slot, f AS kept, s, 0 AS k FROM g WHERE len(f) > 0 AND len(s) > 0
+    UNION ALL SELECT camera_id, slot, CASE WHEN pos IS NULL OR pos = 0 THEN kept || [c] WHEN c.c > kept[pos].c THEN kept[:pos - 1] || [c] || kept[pos + 1:] ELSE kept END, s, k + 1 FROM (
+      SELECT *, list_position(list_transform(kept, lambda o: o.boxed AND c.boxed AND (greatest(least(o.x + 150, c.x + 150) - greatest(o.x, c.x), 0) * greatest(least(o.y + 120, c.y + 120) - greatest(o.y, c.y), 0) / CAST(36000 - greatest(least(o.x + 150, c.x + 150) - greatest(o.x, c.x), 0) * greatest(least(o.y + 120, c.y + 120) - greatest(o.y, c.y), 0) AS DOUBLE)) > 0.55), true) AS pos FROM (SELECT *, s[k + 1] AS c FROM m WHERE k < len(s)))),
+  w AS (SELECT camera_id, slot, unnest(kept) AS b, unnest(range(len(kept))) AS i FROM m WHERE k = len(s)),
+  n AS (SELECT camera_id, slot, b, row_number() OVER (PARTITION BY camera_id, slot ORDER BY b.c DESC, i) AS k FROM w WHERE b.boxed),
+  r AS (SELECT camera_id, slot, k, [b] AS kept FROM n WHERE k = 1
+    UNION ALL SELECT n.camera_id, n.slot, n.k, CASE WHEN len(list_filter(r.kept, lambda o: (greatest(least(o.x + 150, n.b.x + 150) - greatest(o.x, n.b.x), 0) * greatest(least(o.y + 120, n.b.y + 120) - greatest(o.y, n.b.y), 0) / CAST(36000 - greatest(least(o.x + 150, n.b.x + 150) - greatest(o.x, n.b.x), 0) * greatest(least(o.y + 120, n.b.y + 120) - greatest(o.y, n.b.y), 0) AS DOUBLE)) > 0.45)) = 0 THEN r.kept || [n.b] ELSE r.kept END FROM r JOIN n ON n.camera_id = r.camera_id AND n.slot = r.slot AND n.k = r.k + 1),
+  z AS (SELECT camera_id, slot, arg_max(kept, k) AS kept FROM r GROUP BY ALL UNION ALL SELECT camera_id, slot, f || s FROM g WHERE len(f) = 0 OR len(s) = 0)""",
+    recursive=True,
+)
 def so5_merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of one camera and six hours; what lies in one of nine fields of the picture is moved together, so that boxes
     overlap. One group's lists are in memory at a time. Tested by a plain loop."""
