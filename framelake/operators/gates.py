@@ -138,13 +138,31 @@ def dd4_spot_or_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(vehicles(spark, sf_dir), ["camera_id", "plate"], lambda: Spot(TTL, PARKED), BOX)
 
 
-@query()
+@query(
+    "SELECT event_id FROM r WHERE ok",
+    """n AS (SELECT *, row_number() OVER (PARTITION BY camera_id, head ORDER BY sec, event_id) AS k FROM (SELECT *, substr(l, 1, 3) AS head FROM (SELECT event_id, sec, camera_id, track_id, plate, upper(regexp_replace(plate, '[-. ]', '', 'g')) AS l FROM det WHERE class_name <> 'person'))),
+  r AS (SELECT camera_id, head, k, event_id, true AS ok, [{'track': track_id, 'plate': plate, 'l': l, 't': sec}] AS seen FROM n WHERE k = 1
+    UNION ALL SELECT camera_id, head, k, event_id, NOT same AND coalesce(pos, 0) = 0, CASE WHEN same THEN live WHEN coalesce(pos, 0) > 0 THEN live[:pos - 1] || [{'track': live[pos].track, 'plate': live[pos].plate, 'l': live[pos].l, 't': sec}] || live[pos + 1:]
+        WHEN coalesce(old, 0) > 0 THEN live[:old - 1] || [{'track': track_id, 'plate': plate, 'l': l, 't': sec}] || live[old + 1:] ELSE live || [{'track': track_id, 'plate': plate, 'l': l, 't': sec}] END FROM (
+      SELECT *, len(list_filter(live, lambda x: x.track = track_id AND x.plate = plate AND sec - x.t < 86400)) > 0 AS same, list_position(list_transform(live, lambda x: x.track = track_id AND x.plate = plate), true) AS old,
+        list_position(list_transform(live, lambda x: length(l) >= 6 AND length(x.l) >= 6 AND sec - x.t < 86400 AND levenshtein(x.l, l) <= 1), true) AS pos FROM (
+        SELECT n.*, list_filter(r.seen, lambda x: n.sec - x.t <= 86400) AS live FROM r JOIN n ON n.camera_id = r.camera_id AND n.head = r.head AND n.k = r.k + 1)))""",
+    recursive=True,
+)
 def dd5_jitter_of_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested by a plain loop."""
     return gated(vehicles(spark, sf_dir), ["camera_id", "head"], lambda: Jitter(TTL), ["plate", "track_id"])
 
 
-@query()
+@query(
+    "SELECT event_id FROM r WHERE ok",
+    """n AS (SELECT *, row_number() OVER (PARTITION BY camera_id, head ORDER BY sec, event_id) AS k FROM (SELECT *, substr(l, 1, 3) AS head FROM (SELECT event_id, sec, camera_id, track_id, plate, upper(regexp_replace(plate, '[-. ]', '', 'g')) AS l FROM det WHERE class_name <> 'person'))),
+  r AS (SELECT camera_id, head, k, event_id, true AS ok, [{'t': sec, 'plate': plate, 'l': l}] AS seen FROM n WHERE k = 1
+    UNION ALL SELECT camera_id, head, k, event_id, near IS NULL, list_filter(live, lambda x: x.plate <> CASE WHEN near IS NULL THEN plate ELSE near.plate END) || [CASE WHEN near IS NULL THEN {'t': sec, 'plate': plate, 'l': l} ELSE {'t': sec, 'plate': near.plate, 'l': near.l} END] FROM (
+      SELECT *, list_sort(list_filter(live, lambda x: length(l) >= 6 AND length(x.l) >= 6 AND levenshtein(x.l, l) <= 1))[1] AS near FROM (
+        SELECT n.*, list_filter(r.seen, lambda x: n.sec - x.t < 86400) AS live FROM r JOIN n ON n.camera_id = r.camera_id AND n.head = r.head AND n.k = r.k + 1)))""",
+    recursive=True,
+)
 def dd6_jitter_of_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested by a plain loop."""
     return gated(vehicles(spark, sf_dir), ["camera_id", "head"], lambda: Jitter(TTL, by_track=False), ["plate"])
