@@ -28,7 +28,7 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 CACHE_FACTOR = 0x1E35A7BD
 LARGEST = 1 << 14
 #: Multipliers by which green predicts equal red and blue, for values below 128; and one file in so many has the predictor.
-GREY, SHARE = 0x2020, 64
+GREY, SHARE = 0x2020, 256
 #: Near places by distance code: nearest first, then by |x|, right before left.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 

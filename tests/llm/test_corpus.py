@@ -131,7 +131,7 @@ def test_webp_of_another_encoder():
 def test_webp_forms():
     """Each step of the format is met by some text, short or long, and what is stored comes back."""
     texts = ["ab" * 40, "ab" * 4000, "ascii text of more than sixteen letters, at length " * 9, "été à Noël, là où ça brûle " * 9, "x", "", "abcdefghijklmnopqrstuvwxyz" * 2]
-    texts += [f"text {k} of some length, with more than sixteen letters " * (1 + k % 40) for k in range(400)]
+    texts += [f"text {k} of some length, with more than sixteen letters " * (1 + k % 40) for k in range(2000)]
     seen = {}
     for text in texts:
         payload, _ = webp.padded(text)
