@@ -171,10 +171,9 @@ _PROVINCES = ", ".join(f"'{p}'" for p in PROVINCES)
 _NOTES = "list_transform(list_filter(range(0, length({a})), lambda i: substr({a}, i + 1, 1) <> substr({b}, i + 1, 1)), lambda i: '{n} ' || i || ': ' || substr({a}, i + 1, 1) || ' to ' || substr({b}, i + 1, 1))"
 
 
-@query(
-    "SELECT event_id, text, round(CASE WHEN regexp_matches(text, '^[1-9][0-9][A-Z]{1,2}[0-9]?[0-9]{4,6}$') AND length(text) BETWEEN 7 AND 10 THEN least(1, c + CAST(0.1 AS DOUBLE)) ELSE c END, 9) AS confidence, array_to_string(notes, '; ') AS notes FROM (SELECT *, greatest(0, confidence - len(notes) * CAST(0.05 AS DOUBLE)) AS c FROM s6)",
-    NOISY
-    + f""", s0 AS (SELECT event_id, CAST(confidence AS DOUBLE) AS confidence, regexp_replace(upper(noisy), '[^A-Z0-9]', '', 'g') AS t FROM y WHERE length(noisy) >= 7),
+def _corrected_sql(src: str) -> str:
+    """Views up to ``fixed`` (event_id, text, notes, confidence): what ``corrected`` makes of ``noisy`` and confidence in ``src``."""
+    return f""", s0 AS (SELECT event_id, CAST(confidence AS DOUBLE) AS confidence, regexp_replace(upper(noisy), '[^A-Z0-9]', '', 'g') AS t FROM {src} WHERE length(noisy) >= 7),
   s1 AS (SELECT *, CASE WHEN regexp_matches(t, '^[0-9]{{2}}[A-Z][0-9]{{4,6}}$') THEN 3 WHEN regexp_matches(t, '^[0-9]{{2}}[A-Z]{{2}}[0-9]{{4,6}}$') OR regexp_matches(t, '^[0-9]{{2}}[A-Z][0-9]{{5,7}}$') OR regexp_matches(substr(t, 4, 1), '[A-Z]') OR (length(t) >= 8 AND regexp_matches(substr(t, 4, 1), '[0-9]')) THEN 4 ELSE 3 END AS fin,
     length(t) >= 8 AND NOT regexp_matches(substr(t, 4, 1), '[A-Z]') AND NOT regexp_matches(t, '^[0-9]{{2}}[A-Z][0-9]{{4,6}}$') AS digits, NOT (regexp_matches(t, '^[0-9]{{2}}[A-Z]{{1,2}}[0-9]{{4,6}}$') OR regexp_matches(t, '^[0-9]{{2}}[A-Z][0-9]{{5,7}}$')) AS unsure FROM s0),
   s2 AS (SELECT *, substr(t, 1, 2) AS p0, translate(substr(t, 1, 2), {_DIGITS}) AS p1 FROM s1),
@@ -186,8 +185,11 @@ _NOTES = "list_transform(list_filter(range(0, length({a})), lambda i: substr({a}
     unsure AND fin = 4 AND length(regexp_replace(d4, '[^0-9]', '', 'g')) = 4 AND length(c4) > 0 AS brief FROM s4),
   s6 AS (SELECT event_id, confidence, CASE WHEN brief AND digit IS NOT NULL THEN substr(t3, 1, 2) || substr(b4, 1, 1) || digit || d4 WHEN fin = 4 AND b4 IN ('RL', 'RN', 'RI') AND regexp_matches(d4, '^[0-9]+$') THEN substr(t3, 1, 2) || 'R1' || d4 ELSE substr(t3, 1, 2) || b4 || d4 END AS text,
     CASE WHEN brief AND digit IS NOT NULL THEN n5 || ['short serial: ' || last || ' to ' || digit] WHEN fin = 4 AND b4 IN ('RL', 'RN', 'RI') AND regexp_matches(d4, '^[0-9]+$') THEN n5 || ['series ' || b4 || ' to R1'] ELSE n5 END AS notes FROM s5
-    UNION ALL SELECT event_id, 0, noisy, [] FROM y WHERE length(noisy) < 7)""",
-)
+    UNION ALL SELECT event_id, 0, noisy, [] FROM {src} WHERE length(noisy) < 7),
+  fixed AS (SELECT event_id, text, notes, round(CASE WHEN regexp_matches(text, '^[1-9][0-9][A-Z]{{1,2}}[0-9]?[0-9]{{4,6}}$') AND length(text) BETWEEN 7 AND 10 THEN least(1, c + CAST(0.1 AS DOUBLE)) ELSE c END, 9) AS confidence FROM (SELECT *, greatest(0, confidence - len(notes) * CAST(0.05 AS DOUBLE)) AS c FROM s6))"""
+
+
+@query("SELECT event_id, text, confidence, array_to_string(notes, '; ') AS notes FROM fixed", NOISY + _corrected_sql("y"))
 def sf14_corrected_by_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = noisy(spark, sf_dir).select("event_id", corrected(F.col("noisy"), F.col("confidence")).alias("c"))
     return d.select("event_id", "c.text", "c.confidence", F.array_join("c.notes", "; ").alias("notes"))
@@ -288,7 +290,25 @@ class Arbiter:
         return best[1]["source"], best[1]["text"], best[1]["confidence"], round(best[0], 9)
 
 
-@query()
+@query(
+    "SELECT event_id, got.source AS source, got.text AS text, got.c AS confidence, round(got.score, 9) AS score FROM r WHERE k > 0",
+    NOISY
+    + """, q AS (SELECT *, CAST(confidence AS DOUBLE) AS sure, length(noisy) < 8 AS brief FROM y),
+  src AS (SELECT event_id * 10 AS event_id, sure AS confidence, noisy FROM q WHERE length(noisy) > 0 UNION ALL SELECT event_id * 10 + 1, sure * CAST(0.9 AS DOUBLE), substr(plate_clean, 1, 3) || substr(plate, 4) FROM q WHERE brief OR sure < 0.7
+    UNION ALL SELECT event_id * 10 + 2, sure * CAST(0.95 AS DOUBLE), substr(plate_clean, 1, 2) || substr(noisy, 3) FROM q UNION ALL SELECT event_id * 10 + 3, CAST(0.4 AS DOUBLE) + (event_id % 5) / CAST(10 AS DOUBLE), translate(plate_clean, '5', 'S') FROM q WHERE brief OR sure < 0.85
+    UNION ALL SELECT event_id * 10 + 4, CAST(0.3 AS DOUBLE) + (event_id % 7) / CAST(10 AS DOUBLE), plate FROM q WHERE (brief OR sure < 0.85) AND length(plate) >= 7)"""
+    + _corrected_sql("src")
+    + f""", c AS (SELECT event_id // 10 AS event_id, list({{'source': ['first', 'two_lines', 'rescue', 'second', 'augmented'][event_id % 10 + 1], 'text': text, 'p': regexp_replace(upper(text), '[^A-Z0-9]', '', 'g'), 'c': confidence, 'b': CAST({_BOOST.format(t="text")} AS DOUBLE)}} ORDER BY event_id) AS own FROM fixed WHERE length(text) > 0 GROUP BY event_id // 10),
+  n AS (SELECT c.event_id, own, camera_id, sec, row_number() OVER (PARTITION BY camera_id ORDER BY sec, c.event_id) AS k FROM c JOIN det USING (event_id)),
+  r AS (SELECT DISTINCT camera_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS event_id, CAST(NULL AS STRUCT(source VARCHAR, "text" VARCHAR, p VARCHAR, c DOUBLE, b DOUBLE, score DOUBLE)) AS got, CAST([] AS STRUCT(t BIGINT, p VARCHAR)[]) AS chosen FROM n
+    UNION ALL SELECT camera_id, k, event_id, got, list_filter(past || [{{'t': sec, 'p': got.p}}], lambda x: x.t > sec - 86400) FROM (
+      SELECT *, scored[list_position(list_transform(scored, lambda x: x.score), list_max(list_transform(scored, lambda x: x.score)))] AS got FROM (
+        SELECT *, list_transform(own, lambda x: {{'source': x.source, 'text': x.text, 'p': x.p, 'c': x.c, 'b': x.b, 'score': CAST(0.6 AS DOUBLE) * x.c + CAST(0.25 AS DOUBLE) * x.b + CAST(0.15 AS DOUBLE) * CASE WHEN x.p = leader THEN share ELSE 0 END}}) AS scored FROM (
+          SELECT *, past[list_position(counts, list_max(counts))].p AS leader, coalesce(list_max(counts) / CAST(len(past) AS DOUBLE), 0) AS share FROM (
+            SELECT *, list_transform(past, lambda x: len(list_filter(past, lambda o: o.p = x.p))) AS counts FROM (
+              SELECT n.*, CASE WHEN len(r.chosen) > 0 AND n.sec - r.chosen[-1].t > 172800 THEN [] ELSE r.chosen END AS past FROM r JOIN n ON n.camera_id = r.camera_id AND n.k = r.k + 1))))))""",
+    recursive=True,
+)
 def ag34_sf25_arbitrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Choices of one day count, and a camera forgets after two. Tested by a plain loop."""
     d = candidates(noisy(spark, sf_dir)).where("size(candidates) > 0")
