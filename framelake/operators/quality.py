@@ -237,11 +237,11 @@ def ag23_pf25_largest_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT camera_id, slot, substr(string_agg(line, chr(10) ORDER BY event_id), 1, 12000) AS context FROM (SELECT camera_id, sec // {4 * SLOT} AS slot, event_id, class_name || ' ' || CAST(CAST(round(confidence * 1000) AS INT) AS VARCHAR) || ' [' || x1 || ', ' || y1 || ', ' || x2 || ', ' || y2 || ']' AS line FROM det) GROUP BY ALL""",
 )
 def ag25_context(spark: SparkSession, sf_dir: str, most: int = 12_000) -> DataFrame:
-    """A camera's detections of a day as lines of text, cut at a number of characters. Lines that begin beyond it aren't collected."""
+    """A camera's detections of a day as lines of text, cut at a number of characters. Lines whose break lies beyond it aren't collected."""
     line = F.concat(F.col("class_name"), F.lit(" "), F.round(F.col("confidence") * 1000).cast("int").cast("string"), F.lit(" ["), F.concat_ws(", ", *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")]), F.lit("]"))
     d = detections(spark, sf_dir).select("camera_id", F.expr(f"sec div {4 * SLOT}").alias("slot"), "event_id", line.alias("line"))
     before = F.sum(F.length("line") + 1).over(Window.partitionBy("camera_id", "slot").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
-    by = d.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).groupBy("camera_id", "slot").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("l"))
+    by = d.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= most).groupBy("camera_id", "slot").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("l"))
     return by.select("camera_id", "slot", F.substring(F.array_join("l.line", "\n"), 1, most).alias("context"))
 
 
