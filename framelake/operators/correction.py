@@ -55,10 +55,11 @@ def corrected(df: DataFrame) -> DataFrame:
     t = t.withColumn("fixes", F.col("n") + C.changes(F.col("clean"), F.col("text")) + (F.col("best") != F.col("text")).cast("int"))
     # an extra first character: drop one of the first two and set what is left right by place
     two = F.col("best").rlike("^..[A-Z][A-Z]")
-    may = (F.length("clean") >= 9) & F.col("clean").rlike(f"^[0-9]{{2}}[{C.DIGITS[0]}]") & (~F.col("_sure") | (F.col("best_score") < WEAK))
+    # a column, as the first cut changes best_score
+    t = t.withColumn("may", (F.length("clean") >= 9) & F.col("clean").rlike(f"^[0-9]{{2}}[{C.DIGITS[0]}]") & (~F.col("_sure") | (F.col("best_score") < WEAK)))
     for k, cut in (("a", F.substring("clean", 2, 1000)), ("b", F.concat(F.substring("clean", 1, 1), F.substring("clean", 3, 1000)))):
         t = t.withColumn(f"cut_{k}", cut).withColumn(f"fix_{k}", C.placed(F.col(f"cut_{k}"))).withColumn(f"score_{k}", C.score(F.col(f"fix_{k}")))
-        fits = may & F.col(f"fix_{k}").rlike(C.FORM) & F.col(f"fix_{k}").rlike("^..[A-Z][0-9]") & F.substring(f"fix_{k}", 1, 2).isin(PROVINCES)
+        fits = F.col("may") & F.col(f"fix_{k}").rlike(C.FORM) & F.col(f"fix_{k}").rlike("^..[A-Z][0-9]") & F.substring(f"fix_{k}", 1, 2).isin(PROVINCES)
         better = (F.col(f"score_{k}") > F.col("best_score")) | ((F.col(f"score_{k}") == F.col("best_score")) & two)
         t = t.withColumn(f"take_{k}", fits & better)
         fixes = F.col("n") + C.changes(F.col(f"cut_{k}"), F.col(f"fix_{k}")) + 1

@@ -1,7 +1,6 @@
 """Small cases of what only larger tables showed."""
 
-import pytest
-
+from framelake.operators.correction import corrected
 from framelake.operators.quality import ag25_context
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +11,8 @@ def test_context_cut_after_a_line_break(spark):
     most = min(len(t.split("\n")[0]) for t in whole.values() if "\n" in t) + 1
     got = {(r.camera_id, r.slot): r.context for r in ag25_context(spark, SF, most).collect()}
     assert got == {k: t[:most] for k, t in whole.items()} and any(t.endswith("\n") for t in got.values())
+
+
+def test_second_cut_after_a_first_one_that_fits(spark):
+    d = spark.createDataFrame([("13IE20663", 0.999), ("13IE20663", 0.5)], "raw string, confidence double")
+    assert [r.plate for r in corrected(d).collect()] == ["11E20663"] * 2
