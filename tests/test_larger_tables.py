@@ -1,6 +1,8 @@
 """Small cases of what only larger tables showed."""
 
-from framelake.operators.correction import corrected
+from datetime import datetime
+
+from framelake.operators.correction import corrected, wn10_forgiven
 from framelake.operators.quality import ag25_context
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +18,9 @@ def test_context_cut_after_a_line_break(spark):
 def test_second_cut_after_a_first_one_that_fits(spark):
     d = spark.createDataFrame([("13IE20663", 0.999), ("13IE20663", 0.5)], "raw string, confidence double")
     assert [r.plate for r in corrected(d).collect()] == ["11E20663"] * 2
+
+
+def test_forgiven_readings_have_the_second_cut(spark, tmp_path):
+    e = spark.createDataFrame([(148297, datetime(2024, 1, 15), 1177, "error", 500.0, "{}")], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in wn10_forgiven(spark, str(tmp_path)).collect()] == [(148297, "11E20663", True)]
