@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.geometry import box, iou
+from framelake.functions.fusion import People
 from framelake.plans.registry import query
 from framelake.sources.sinks import kept
 from framelake.sources.tables import detections, messages
@@ -95,19 +96,55 @@ def j10_dd7_fuzzy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(detections(spark, sf_dir).where("class_name <> 'person'"), 86400, 2)
 
 
+#: Pairs that go out together.
+PAIRS = 65_536
+
+
+def _by_window(df: DataFrame, window: int) -> DataFrame:
+    """Events dealt by camera and window; of each its persons, then its vehicles by time."""
+    box_of = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    d = df.select("camera_id", F.expr(f"sec div {window}").alias("slot"), (F.col("class_name") != "person").alias("vehicle"), "sec", "event_id", "track_id", (F.col("class_name") == "motorcycle").alias("motorcycle"), *box_of)
+    return d.dropna().repartition("camera_id", "slot").sortWithinPartitions("camera_id", "slot", "vehicle", "sec", "event_id")
+
+
+def _vehicles(batches):
+    """camera_id, slot, sec, event_id, box and kind of each vehicle, with the ``People`` of its window."""
+    window, people, rows = None, None, []
+    for b in batches:
+        for camera, slot, vehicle, sec, event, track, motorcycle, *corners in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (camera, slot) != window:
+                window, people, rows = (camera, slot), None, []
+            if not vehicle:
+                rows.append((event, track, *corners))
+            elif rows:
+                people = people or People(rows)
+                yield camera, slot, sec, event, (*corners, motorcycle), people
+
+
 def fusion_candidates(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Pairs of a vehicle and a person of one camera and window, with a score above 0.
+    """Pairs of a vehicle and a person of one camera and window, with a score above 0, by ``People``: vehicles meet the persons
+    of their height in the picture, so that the work goes with the pairs there are. A task holds one window's persons."""
+    names = ["camera_id", "slot", "vehicle_id", "vehicle_sec", "person_id", "track_id", "score"]
 
-    On a motorcycle the overlap counts, above 0.3; else the person's centre must lie over the vehicle, and higher is better.
-    """
-    d = df.withColumn("slot", F.expr(f"sec div {window}"))
-    v = d.where("class_name <> 'person'").select("camera_id", "slot", F.col("event_id").alias("vehicle_id"), F.col("sec").alias("vehicle_sec"), "class_name", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    p = d.where("class_name = 'person'").select("camera_id", "slot", F.col("event_id").alias("person_id"), "track_id", *[F.col(c).cast("double").alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")])
-    cx, cy, h = (F.col("px1") + F.col("px2")) / 2, (F.col("py1") + F.col("py2")) / 2, F.col("y2") - F.col("y1")
-    over = iou(box(), box("p"))
-    within = cx.between(F.col("x1"), F.col("x2")) & cy.between(F.col("y1") - F.lit(0.15) * h, F.col("y1") + F.lit(0.3) * h)
-    score = F.when(F.col("class_name") == "motorcycle", F.when(over > 0.3, over)).otherwise(F.when(within, 1 - (cy - F.col("y1")) / (F.lit(0.3) * h + 1e-9)))
-    return v.join(p, ["camera_id", "slot"]).withColumn("score", score).where("score > 0").select("camera_id", "slot", "vehicle_id", "vehicle_sec", "person_id", "track_id", "score")
+    def batch(out):
+        n = [len(r[-1]) for r in out]
+        whole = [pa.array(np.repeat(np.array([r[k] for r in out]), n)) for k in range(4)]
+        return pa.RecordBatch.from_arrays([whole[0].cast(pa.string()), *whole[1:], *[pa.array(np.concatenate([r[k] for r in out])) for k in (4, 5, 6)]], names=names)
+
+    def run(batches):
+        out, size = [], 0
+        for camera, slot, sec, event, seen, people in _vehicles(batches):
+            at, score = people.near(*seen)
+            if len(at):
+                out.append((camera, slot, event, sec, people.ids[at], people.tracks[at], score))
+                size += len(at)
+            if size >= PAIRS:
+                yield batch(out)
+                out, size = [], 0
+        if out:
+            yield batch(out)
+
+    return _by_window(df, window).mapInArrow(run, "camera_id string, slot long, vehicle_id long, vehicle_sec long, person_id long, track_id long, score double")
 
 
 CANDIDATES = f"""pairs AS (SELECT v.camera_id, v.sec // {WINDOW} AS slot, v.event_id AS vehicle_id, p.event_id AS person_id, v.class_name, v.x1, v.y1, v.x2, v.y2, p.x1 AS px1, p.y1 AS py1, p.x2 AS px2, p.y2 AS py2
@@ -123,31 +160,26 @@ def j2_fusion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion_candidates(detections(spark, sf_dir)).select("camera_id", "slot", "vehicle_id", "person_id", F.round("score", 6).alias("score"))
 
 
-def matched(pairs: DataFrame) -> DataFrame:
+def matched(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """Greedy one to one within a camera and window: vehicles by time, each takes the best person left; a track is taken once.
 
-    Rows come in order of window, vehicle and score, and one pass goes through them; a task keeps the taken persons and
-    tracks of the window it is in.
+    One pass goes through the events, without the pairs: a task keeps the persons that are left in the window it is in.
     """
-    order = ["camera_id", "slot", "vehicle_sec", "vehicle_id", F.desc("score"), "person_id"]
-    rows = pairs.repartition("camera_id", "slot").sortWithinPartitions(*order).select("camera_id", "slot", "vehicle_id", "person_id", "track_id", "score")
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["vehicle_id", "person_id", "score"])
 
     def run(batches):
-        window = vehicle = None
-        people, tracks = set(), set()
-        for b in batches:
-            out = []
-            for camera, slot, v, p, t, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (camera, slot) != window:
-                    window, vehicle, people, tracks = (camera, slot), None, set(), set()
-                if v != vehicle and p not in people and (t < 0 or t not in tracks):
-                    vehicle = v
-                    people.add(p)
-                    tracks.add(t)
-                    out.append((v, p, s))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["vehicle_id", "person_id", "score"])
-
-    return rows.mapInArrow(run, "vehicle_id long, person_id long, score double")
+        out = []
+        for _, _, _, event, seen, people in _vehicles(batches):
+            if found := people.take(*seen):
+                out.append((event, *found))
+            if len(out) >= PAIRS:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    return _by_window(df, window).mapInArrow(run, "vehicle_id long, person_id long, score double")
 
 
 #: Pairs in the order in which they are looked at, and what is taken so far.
@@ -176,7 +208,7 @@ def j2_vehicle_person_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detections(spark, sf_dir)
     score = F.round("score", 6).alias("score")
     ends = [F.struct(F.col(a).alias("event_id"), F.col(b).alias("partner"), score) for a, b in (("vehicle_id", "person_id"), ("person_id", "vehicle_id"))]
-    both = d.join(matched(fusion_candidates(d)).select(F.inline(F.array(*ends))), "event_id", "left")
+    both = d.join(matched(d).select(F.inline(F.array(*ends))), "event_id", "left")
     person = F.col("class_name") == "person"
     both = both.where(~person | F.col("partner").isNull())
     return both.select(
@@ -198,6 +230,6 @@ def has_face() -> Column:
 def j3_standalone_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons that no vehicle has and of whose face something is known. Tested by a plain loop."""
     people = detections(spark, sf_dir).where("class_name = 'person'").select("event_id", "camera_id")
-    taken = matched(fusion_candidates(detections(spark, sf_dir))).select(F.col("person_id").alias("event_id"))
+    taken = matched(detections(spark, sf_dir)).select(F.col("person_id").alias("event_id"))
     faces = messages(spark, sf_dir).where(has_face()).select("event_id", "face_identity", "face_confidence")
     return people.join(taken, "event_id", "left_anti").join(faces, "event_id").select("event_id", "camera_id", "face_identity", F.col("face_confidence").try_cast("double").alias("face_confidence"))

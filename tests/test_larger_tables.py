@@ -1,9 +1,14 @@
 """Small cases of what only larger tables showed."""
 
+import random
 from datetime import datetime
 
+from framelake.functions.fusion import People
+from framelake.functions.stateful import overlap
 from framelake.operators.correction import corrected, wn10_forgiven
+from framelake.operators.joins import fusion_candidates, matched
 from framelake.operators.quality import ag25_context
+from framelake.sources.tables import detections
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +29,34 @@ def test_forgiven_readings_have_the_second_cut(spark, tmp_path):
     e = spark.createDataFrame([(148297, datetime(2024, 1, 15), 1177, "error", 500.0, "{}")], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     e.write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in wn10_forgiven(spark, str(tmp_path)).collect()] == [(148297, "11E20663", True)]
+
+
+def test_people_of_a_crowded_window_by_a_plain_loop():
+    rng = random.Random(3)
+    box = lambda: (x := float(rng.randrange(1600)), y := float(rng.randrange(800)), x + rng.randrange(40, 320), y + rng.randrange(40, 280))
+    rows = [(k, rng.choice([-1, k % 150]), *box()) for k in range(400)]
+    cars = [(*box(), rng.random() < 0.3) for _ in range(600)]
+
+    def score(v, p):
+        (x1, y1, x2, y2, bike), (px1, py1, px2, py2) = v, p[2:]
+        if bike:
+            s = overlap(v[:4], p[2:])
+            return s if s > 0.3 else 0
+        cx, cy, h = (px1 + px2) / 2, (py1 + py2) / 2, y2 - y1
+        return 1 - (cy - y1) / (0.3 * h + 1e-9) if x1 <= cx <= x2 and y1 - 0.15 * h <= cy <= y1 + 0.3 * h else 0
+
+    people, left = People(rows), list(rows)
+    for v in cars:
+        at, got = People(rows).near(*v)
+        assert {int(k): float(s) for k, s in zip(People(rows).ids[at], got, strict=True)} == {p[0]: s for p in rows if (s := score(v, p)) > 0}
+        best = max(((s, -p[0]) for p in left if (s := score(v, p)) > 0), default=None)
+        assert people.take(*v) == (best and (-best[1], best[0]))
+        if best:
+            track = rows[-best[1]][1]
+            left = [p for p in left if p[0] != -best[1] and (track < 0 or p[1] != track)]
+
+
+def test_fusion_meets_no_vehicle_with_all_persons_of_its_window(spark):
+    d = detections(spark, SF)
+    for got in (fusion_candidates(d), matched(d)):
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
