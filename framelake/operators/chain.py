@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.plates import valid
-from framelake.operators.joins import nearest_frame
+from framelake.operators.joins import around
 from framelake.operators.plates import VALID
 from framelake.operators.quality import S, samples
 from framelake.plans.registry import query
@@ -20,8 +20,7 @@ def dropped(events: DataFrame, frames: DataFrame, now: int, old: int, near: int,
     """event_id, camera_id and reason (null: read) of events as they come (messages with sharpness and ratio, the share to be
     dropped): the first that holds of a share that is dropped under load, a time that has passed, no frame near, a box that is
     none, one too large for its confidence, and a blurred picture."""
-    found = nearest_frame(events.select("event_id", "camera_id", "sec"), frames, near).select("event_id", F.col("frame_id").isNotNull().alias("framed"))
-    d = events.join(found, "event_id")
+    d = around(events, frames, near).withColumn("framed", F.col("near").isNotNull())
     part = lambda k: F.try_element_at(F.split("bbox", ","), F.lit(k)).try_cast("double")
     at, (x1, y1, x2, y2) = F.col("timestamp").try_cast("double"), (part(k) for k in (1, 2, 3, 4))
     boxed = F.coalesce((F.size(F.split("bbox", ",")) == 4) & (x2 > x1) & (y2 > y1), F.lit(False))

@@ -4,43 +4,51 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.fusion import People
 from framelake.plans.registry import query
-from framelake.sources.sinks import kept
 from framelake.sources.tables import detections, messages
 
 WINDOW = 6 * 3600
 NEAR, FALLBACK = 1800, 7200
 
 
-def nearest_frame(events: DataFrame, frames: DataFrame, within: int) -> DataFrame:
-    """Each event (event_id, camera_id, sec) with its camera's frame (frame_id, frame_sec) nearest in time, the earlier
-    id on ties, if it is within so many seconds.
+def around(events: DataFrame, frames: DataFrame, within: int, fallback: int = 0) -> DataFrame:
+    """``events`` (event_id, camera_id, sec and more) with near and gap, of its camera's frame (frame_id, frame_sec) nearest in
+    time, the earlier id on ties, if it is within so many seconds; and newest, the last one not after it, the later id on ties,
+    if no more than ``fallback`` seconds old.
 
-    Frames go to their own and both neighbouring slots of that length, so the join is on equal keys and a hot camera
-    splits by time.
+    Frames of one second are one row. Events and frames of a camera and slot go by in order of time, there and back, so an event
+    meets the frame before it and the one after it only. A slot is eight times as long as what is looked for, and frames near
+    its border go to the neighbour too, so that a hot camera splits by time.
     """
-    e = events.withColumn("slot", F.expr(f"sec div {within}"))
-    f = frames.withColumn("slot", F.explode(F.array(*[F.expr(f"frame_sec div {within} + {d}") for d in (-1, 0, 1)])))
-    gap = F.abs(F.col("sec") - F.col("frame_sec"))
-    best = e.join(f, ["camera_id", "slot"]).where(gap <= within).groupBy("event_id").agg(F.min(F.struct(gap.alias("gap"), "frame_id")).alias("b"))
-    return events.join(best, "event_id", "left").select("event_id", F.col("b.frame_id").alias("frame_id"), F.col("b.gap").alias("gap"))
+    reach = max(within, fallback)
+    slot = lambda at: f"({at}) div {8 * reach}"
+    f = frames.where("camera_id is not null and frame_sec is not null").groupBy("camera_id", F.col("frame_sec").alias("sec")).agg(F.min("frame_id").alias("_low"), F.max("frame_id").alias("_high"))
+    f = f.withColumn("_slot", F.explode(F.expr(f"array_distinct(array({slot(f'sec - {within}')}, {slot('sec')}, {slot(f'sec + {reach}')}))")))
+    f = f.select("camera_id", "sec", "_slot", F.struct("sec", "_low", "_high").alias("_f"))
+    both = events.withColumn("_slot", F.expr(slot("sec"))).unionByName(f, allowMissingColumns=True).withColumn("_event", F.col("_f").isNull())
+    passed = lambda *order: F.last("_f", True).over(Window.partitionBy("camera_id", "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"_a": passed("sec", "_event"), "_b": passed(F.desc("sec"), "_event")}).where("_event")
+    gaps = [F.struct(gap.alias("gap"), F.col(c)["_low"].alias("id")) for c, gap in (("_a", F.col("sec") - F.col("_a.sec")), ("_b", F.col("_b.sec") - F.col("sec")))]
+    best = F.least(*[F.when(g["gap"] <= within, g) for g in gaps])
+    newest = F.when(F.col("sec") - F.col("_a.sec") <= fallback, F.col("_a._high"))
+    return met.withColumn("_best", best).select(*events.columns, F.col("_best.id").alias("near"), F.col("_best.gap").alias("gap"), newest.alias("newest"))
+
+
+def nearest_frame(events: DataFrame, frames: DataFrame, within: int) -> DataFrame:
+    """Each event (event_id, camera_id, sec) with its camera's frame (frame_id, frame_sec) nearest in time, the earlier
+    id on ties, if it is within so many seconds."""
+    return around(events, frames, within).select("event_id", F.col("near").alias("frame_id"), "gap")
 
 
 def frame_of(events: DataFrame, frames: DataFrame, within: int = NEAR, fallback: int = FALLBACK) -> DataFrame:
     """Each event (event_id, camera_id, sec, wanted) with a frame: the one it names, if its camera has it; else the nearest
     within ``within`` seconds; else the newest not after it, if no more than ``fallback`` seconds old."""
-    named = events.join(frames.select("camera_id", F.col("frame_id").alias("wanted"), F.col("frame_id").alias("named")), ["camera_id", "wanted"], "left")
-    near = nearest_frame(named.where("named is null").select("event_id", "camera_id", "sec"), frames, within).select("event_id", F.col("frame_id").alias("near"))
-    got = kept(named.join(near, "event_id", "left").select("event_id", "camera_id", "sec", "named", "near"))
-    e = got.where("named is null and near is null").withColumn("slot", F.expr(f"sec div {fallback}"))
-    f = frames.withColumn("slot", F.explode(F.array(F.expr(f"frame_sec div {fallback}"), F.expr(f"frame_sec div {fallback} + 1"))))
-    old = e.join(f, ["camera_id", "slot"]).where((F.col("frame_sec") <= F.col("sec")) & (F.col("sec") - F.col("frame_sec") <= fallback))
-    old = old.groupBy("event_id").agg(F.max(F.struct("frame_sec", "frame_id")).alias("o")).select("event_id", F.col("o.frame_id").alias("newest"))
-    got = got.join(old, "event_id", "left")
+    asked = events.where("wanted is not null").join(frames.select("camera_id", F.col("frame_id").alias("wanted"), F.col("frame_id").alias("named")), ["camera_id", "wanted"], "left")
+    got = around(asked.unionByName(events.where("wanted is null"), allowMissingColumns=True), frames, within, fallback)
     how = F.when(F.col("named").isNotNull(), "named").when(F.col("near").isNotNull(), "near").when(F.col("newest").isNotNull(), "newest")
     return got.select("event_id", F.coalesce("named", "near", "newest").alias("frame_id"), how.alias("how"))
 

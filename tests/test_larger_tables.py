@@ -6,7 +6,7 @@ from datetime import datetime
 from framelake.functions.fusion import People
 from framelake.functions.stateful import overlap
 from framelake.operators.correction import corrected, wn10_forgiven
-from framelake.operators.joins import fusion_candidates, matched
+from framelake.operators.joins import around, fusion_candidates, matched
 from framelake.operators.quality import ag25_context
 from framelake.sources.tables import detections
 
@@ -60,3 +60,17 @@ def test_fusion_meets_no_vehicle_with_all_persons_of_its_window(spark):
     d = detections(spark, SF)
     for got in (fusion_candidates(d), matched(d)):
         assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_around_by_a_plain_loop(spark):
+    rng = random.Random(5)
+    events = [(k, f"c{k % 3}", rng.randrange(-3000, 6000)) for k in range(300)] + [(900, None, 5), (901, "c0", None)]
+    frames = [(1000 + k, f"c{k % 2}", rng.randrange(-300, 600) * 10) for k in range(120)] + [(2000, None, 5), (2001, "c0", None)]
+    got = around(spark.createDataFrame(events, "event_id long, camera_id string, sec long"), spark.createDataFrame(frames, "frame_id long, camera_id string, frame_sec long"), 60, 200)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for e, camera, sec in events:
+        own = [(f, at) for f, c, at in frames if camera and c == camera and sec is not None and at is not None]
+        near = min(((abs(sec - at), f) for f, at in own if abs(sec - at) <= 60), default=(None, None))
+        want[e] = (near[1], near[0], max(((at, f) for f, at in own if 0 <= sec - at <= 200), default=(None, None))[1])
+    assert {r.event_id: (r.near, r.gap, r.newest) for r in got.collect()} == want
