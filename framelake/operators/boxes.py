@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.geometry import box, inside, iou, suppressed
+from framelake.functions.boxes import Survivors
+from framelake.functions.geometry import box, inside, iou
 from framelake.plans.registry import query
 from framelake.sources.tables import FRAME_HEIGHT, FRAME_WIDTH, detections, faces
 
@@ -43,11 +44,28 @@ def box_names() -> list[str]:
     recursive=True,
 )
 def ge3_suppressed_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survivors of non-maximum suppression in each camera and hour; a frame's boxes are few. Tested by a plain loop."""
+    """Survivors of non-maximum suppression in each camera and hour. Tested by a plain loop."""
     d = detections(spark, sf_dir).withColumn("hour", F.floor(F.col("sec") / 3600))
-    boxes = F.collect_list(F.struct(F.col("confidence").alias("score"), F.col("event_id").alias("id"), *box_names()))
-    kept = d.groupBy("camera_id", "hour").agg(boxes.alias("boxes")).select("camera_id", "hour", F.explode(suppressed("boxes", 0.45)).alias("b"))
-    return kept.select("camera_id", "hour", F.col("b.id").alias("event_id"), F.col("b.score").alias("score"))
+    return survivors(d.withColumn("score", F.col("confidence")), ["camera_id", "hour"], 0.45).select("camera_id", "hour", "event_id", "score")
+
+
+def survivors(df: DataFrame, frame: list[str], most: float, inclusive: bool = False) -> DataFrame:
+    """The rows of ``df`` (``frame``: a text and a number, event_id, score, x1 to y2) that survive suppression in their frame. They
+    come by score and id, and a task keeps the survivors of the frame it is in, which are as many as fit into a picture."""
+    box_of = [F.col(c).cast("double").alias(c) for c in box_names()]
+    rows = df.select(*frame, "event_id", "score", *box_of).repartition(*frame).sortWithinPartitions(*frame, F.desc("score"), "event_id")
+
+    def run(batches):
+        last = state = None
+        for b in batches:
+            stay = []
+            for first, second, *corners in zip(*(b.column(k).to_pylist() for k in (0, 1, 4, 5, 6, 7)), strict=True):
+                if (first, second) != last:
+                    last, state = (first, second), Survivors(most, inclusive)
+                stay.append(state.keep(*corners))
+            yield b.filter(pa.array(stay, pa.bool_())).select([0, 1, 2, 3])
+
+    return rows.mapInArrow(run, rows.select(*frame, "event_id", "score").schema)
 
 
 @query(

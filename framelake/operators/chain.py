@@ -274,9 +274,8 @@ def st4_st5_not_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ge4_suppressed_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors in each camera and hour where an overlap of just as much suppresses too; boxes lie on a coarse grid, so that
     there are such. Tested by a plain loop."""
-    from framelake.functions.geometry import suppressed
+    from framelake.operators.boxes import survivors
     d = detections(spark, sf_dir).withColumn("slot", F.expr("sec div 21600"))
     x, y = F.floor(F.col("x1") / 100) * 100, F.floor(F.col("y1") / 400) * 400
-    own = F.struct(F.col("confidence").alias("score"), F.col("event_id").alias("id"), x.alias("x1"), y.alias("y1"), (x + 300).alias("x2"), (y + 100).alias("y2"))
-    kept = d.groupBy("camera_id", "slot").agg(F.collect_list(own).alias("boxes")).select(F.explode(suppressed("boxes", 0.5, inclusive=True)).alias("b"))
-    return kept.select(F.col("b.id").alias("event_id"))
+    d = d.select("camera_id", "slot", "event_id", F.col("confidence").alias("score"), x.alias("x1"), y.alias("y1"), (x + 300).alias("x2"), (y + 100).alias("y2"))
+    return survivors(d, ["camera_id", "slot"], 0.5, inclusive=True).select("event_id")

@@ -3,10 +3,16 @@
 import random
 from datetime import datetime
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from framelake.functions.boxes import Overlapped, Survivors
 from framelake.functions.fusion import People
 from framelake.functions.stateful import overlap
 from framelake.operators.correction import corrected, wn10_forgiven
 from framelake.operators.joins import around, fusion_candidates, matched
+from framelake.operators.limits import Limiter
+from framelake.operators.pixels import greys, inked, otsu
 from framelake.operators.quality import ag25_context
 from framelake.sources.tables import detections
 
@@ -74,3 +80,37 @@ def test_frames_around_by_a_plain_loop(spark):
         near = min(((abs(sec - at), f) for f, at in own if abs(sec - at) <= 60), default=(None, None))
         want[e] = (near[1], near[0], max(((at, f) for f, at in own if 0 <= sec - at <= 200), default=(None, None))[1])
     assert {r.event_id: (r.near, r.gap, r.newest) for r in got.collect()} == want
+
+
+def test_survivors_and_best_overlaps_by_plain_loops():
+    rng = random.Random(7)
+    box = lambda: (x := float(rng.randrange(400)), y := float(rng.randrange(300)), x + rng.randrange(40, 320), y + rng.randrange(40, 280))
+    boxes = [box() for _ in range(300)]
+    for inclusive in (False, True):
+        state, held = Survivors(0.45, inclusive), []
+        for b in boxes:
+            stays = not any(overlap(b, a) >= 0.45 if inclusive else overlap(b, a) > 0.45 for a in held)
+            held += [b] * stays
+            assert state.keep(*b) == stays
+    others = Overlapped([(k, *b) for k, b in enumerate(boxes[:200])])
+    for b in boxes[200:]:
+        every = {k: overlap(a, b) for k, a in enumerate(boxes[:200])}
+        ids, got = others.best(*b, 0.1)
+        assert dict(zip(ids.tolist(), got.tolist(), strict=True)) == {k: s for k, s in every.items() if s >= max(0.1, max(every.values()) - 1e-8)}
+
+
+def test_limiter_from_one_call_that_passes_to_the_next():
+    rng = random.Random(1)
+    for _ in range(100):
+        n = rng.randrange(1, 200)
+        secs, cameras = np.array(sorted(rng.randrange(400) for _ in range(n))), np.array([f"c{rng.randrange(5)}" for _ in range(n)])
+        a, b, cut = Limiter(50, 4, 13), Limiter(50, 4, 13), rng.randrange(n + 1)
+        want = [k for k in range(n) if a.step(int(secs[k]), str(cameras[k]))]
+        assert b.passing(secs[:cut], cameras[:cut]) + [cut + k for k in b.passing(secs[cut:], cameras[cut:])] == want
+        assert a.left(400) == b.left(400)
+
+
+def test_thresholds_of_many_crops_are_those_of_each(spark):
+    d = greys(spark, SF).limit(60).unionByName(spark.createDataFrame([(-1, [[7] * 12] * 24)], "event_id long, grey array<array<int>>"))
+    want = {r.event_id: (r.t, [sum(v <= r.t for v in row) for row in r.grey]) for r in d.select("event_id", "grey", otsu(F.flatten(F.col("grey").cast("array<array<long>>"))).alias("t")).collect()}
+    assert {r.event_id: (r.threshold, r.ink) for r in inked(d).collect()} == want
