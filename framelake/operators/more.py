@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.geometry import box, iou
+from framelake.functions.boxes import Overlapped
+from framelake.functions.geometry import box
 
 from framelake.plans.registry import query
 from framelake.sources.tables import FRAME_HEIGHT, FRAME_WIDTH, cameras, detections
@@ -54,13 +56,27 @@ def ge11_refined_class(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM det a JOIN det b ON a.camera_id = b.camera_id AND a.sec // 21600 = b.sec // 21600 AND a.event_id % 2 = 0 AND b.event_id % 2 = 1)""",
 )
 def j6_best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each even event with the odd one of its camera and window that it overlaps most, 0.1 at least."""
-    d = detections(spark, sf_dir).withColumn("slot", F.expr("sec div 21600"))
-    a = d.where("event_id % 2 = 0").select("camera_id", "slot", "event_id", "x1", "y1", "x2", "y2")
-    b = d.where("event_id % 2 = 1").select("camera_id", "slot", F.col("event_id").alias("other"), *[F.col(c).alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")])
-    met = a.join(b, ["camera_id", "slot"]).withColumn("score", iou(box(), box("p"))).where("score >= 0.1")
+    """Each even event with the odd one of its camera and window that it overlaps most, 0.1 at least. A task holds one window's
+    odd boxes; those as good as equal go on, and their rounded overlaps and ids decide."""
+    d = detections(spark, sf_dir).select("camera_id", F.expr("sec div 21600").alias("slot"), (F.col("event_id") % 2 == 0).alias("even"), "event_id", *[c.alias(n) for c, n in zip(box(), ("x1", "y1", "x2", "y2"), strict=True)])
+    rows = d.dropna().repartition("camera_id", "slot").sortWithinPartitions("camera_id", "slot", "even")
+
+    def run(batches):
+        window, odd, others = None, [], None
+        for b in batches:
+            out = []
+            for camera, slot, even, event, *corners in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (camera, slot) != window:
+                    window, odd, others = (camera, slot), [], None
+                if not even:
+                    odd.append((event, *corners))
+                elif odd:
+                    others = others or Overlapped(odd)
+                    out += [(event, int(o), float(s)) for o, s in zip(*others.best(*corners, 0.1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["event_id", "other", "score"])
+
     best = F.max_by("other", F.struct(F.round("score", 9), -F.col("other"))).alias("best")
-    return met.groupBy("event_id").agg(best)
+    return rows.mapInArrow(run, "event_id long, other long, score double").groupBy("event_id").agg(best)
 
 
 @query("SELECT track_id, max(sec) AS sec, arg_max(plate, sec * 10000000 + event_id) AS plate FROM det WHERE track_id >= 0 GROUP BY track_id")
