@@ -10,8 +10,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +42,32 @@ class Limiter:
         self.last[camera] = sec
         return True
 
+    def passing(self, secs: np.ndarray, cameras: np.ndarray) -> list[int]:
+        """Places of the calls that pass, as ``step`` would tell, of calls in order: goes from one that passes to the next."""
+        out, i, n = [], 0, len(secs)
+        own = {c: np.flatnonzero(cameras == c) for c in np.unique(cameras)}
+
+        def upcoming(c) -> int:
+            k, t = own[c].searchsorted(i), self.last.get(str(c))
+            if t is not None:
+                k = max(k, np.searchsorted(secs[own[c]] - t >= self.gap, True))
+            return int(own[c][k]) if k < len(own[c]) else n
+
+        nearest = [(upcoming(c), c) for c in own]
+        while i < n:
+            if self.began is None or secs[i] - self.began > self.window:
+                self.began, self.passed = secs[i].item(), 0
+            end = i + int(np.searchsorted(secs[i:] - self.began > self.window, True))
+            while self.passed < self.most and i < end:
+                nearest = [(k if k >= i else upcoming(c), c) for k, c in nearest]
+                k, c = min(nearest)
+                if k >= end:
+                    break
+                out.append(k)
+                self.passed, self.last[str(c)], i = self.passed + 1, secs[k].item(), k + 1
+            i = end
+        return out
+
     def left(self, now: float) -> str:
         """What still counts at ``now``, when a slot ends."""
         window = [self.began, self.passed] if self.began is not None and now - self.began <= self.window else None
@@ -60,14 +86,24 @@ def _run(calls: DataFrame, entries: DataFrame, span: int, rule: Callable[[], Lim
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for slot, calls in groupby(every, key=lambda r: r[0]):
-            state, passed = None, []
-            for _, entry, sec, event, camera in calls:
-                state = state or rule().resume(entry)
-                if state.step(sec, camera):
-                    passed.append(event)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows(slot, state.left((slot + 1) * span), passed)], names=names)
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in rows(now, state.left((now + 1) * span), passed)], names=names)
+
+        now = state = None
+        for b in batches:
+            slots = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)]
+            for start, end in zip(cuts, cuts[1:]):
+                part = b.slice(start, end - start)
+                if not part.num_rows:
+                    continue
+                if now != slots[start].item():
+                    if state:
+                        yield done()
+                    now, state, passed = slots[start].item(), rule().resume(part.column(1)[0].as_py()), []
+                passed += part.column(3).take(pa.array(state.passing(part.column(2).to_numpy(), np.array(part.column(4).to_pylist())), pa.int64())).to_pylist()
+        if state:
+            yield done()
 
     return own.mapInArrow(run, schema)
 
