@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,26 @@ def otsu(pixels: Column) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["at"])
 
 
+def inked(df: DataFrame) -> DataFrame:
+    """event_id, threshold (as of ``otsu``) and ink, the pixels up to it a row, of crops of one size (event_id, grey: rows of values 0 to 255);
+    a batch's crops are counted together."""
+
+    def run(batches):
+        for b in (x.slice(k, 1024) for x in batches for k in range(0, x.num_rows, 1024)):
+            n = b.num_rows
+            x = b.column(1).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, -1)
+            size = x.shape[1]
+            own = np.bincount((x + np.arange(n)[:, None] * 256).ravel(), minlength=n * 256).reshape(n, 256)
+            k, s = own.cumsum(1), (own * np.arange(256)).cumsum(1)
+            apart = (s * size - s[:, -1:] * k).astype(float)
+            parts = (k * (size - k)).astype(float)
+            best = np.divide(apart * apart, parts, out=np.zeros_like(apart), where=parts > 0).argmax(1)
+            ink = (x <= best[:, None]).reshape(n, ROWS, -1).sum(2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best), pa.array(list(ink), pa.list_(pa.int64()))], names=["event_id", "threshold", "ink"])
+
+    return df.select("event_id", "grey").mapInArrow(run, "event_id long, threshold long, ink array<long>")
+
+
 def valley(projection: Column, depth: float = 0.3, first: float = 0.3, last: float = 0.7, shortest: int = 20) -> Column:
     """The row of least ink in the middle of a crop, if it is ``depth`` below the fullest one there; the first of equals."""
     n = F.size(projection)
@@ -55,8 +77,7 @@ def valley(projection: Column, depth: float = 0.3, first: float = 0.3, last: flo
 )
 def ge20_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels up to the best threshold are ink; the valley of ink a row parts two lines."""
-    d = greys(spark, sf_dir).withColumn("threshold", otsu(F.flatten("grey")))
-    d = d.withColumn("ink", F.transform("grey", lambda row: F.size(F.filter(row, lambda v: v <= F.col("threshold"))).cast("long")))
+    d = inked(greys(spark, sf_dir))
     return d.select("event_id", "threshold", F.array_join(F.transform("ink", lambda k: k.cast("string")), " ").alias("ink"), valley(F.col("ink")).cast("long").alias("split"))
 
 
