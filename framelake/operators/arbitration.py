@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from framelake.functions.plates import PROVINCES, SERIES, basic, valid
 from framelake.operators.gates import stepped
 from framelake.operators.plates import VALID
 from framelake.plans.registry import query
+from framelake.sources.sinks import kept
 from framelake.sources.tables import detections
 
 # What a character is read as, and how often.
@@ -64,61 +66,73 @@ def _meant(read: str, among: str) -> tuple[str, float] | None:
 _READ = sorted({c for p in READ_AS.values() for c in p})
 DIGIT_FOR = {c: m for c in _READ if c.isalpha() and (m := _meant(c, "0123456789"))}
 LETTER_FOR = {c: m[0] for c in _READ if c not in SERIES and (m := _meant(c, SERIES))}
+DIGITS = {c: d for c, (d, _) in DIGIT_FOR.items()}
 #: The nearest province in use, five codes away at most; the smaller of two.
 NEAR = {f"{k:02}": near for k in range(100) if f"{k:02}" not in PROVINCES and abs(int(near := min(PROVINCES, key=lambda p: abs(int(p) - k))) - k) <= 5}
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
     """``f`` of a value that is computed once."""
-    return F.transform(F.array(x), f)[0]
+    return F.transform(F.array(x), lambda v: f(v))[0]
 
 
 def lookup(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
-def _changed(name: str, text: Column, to: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """The text with each character replaced, and a note of each change."""
-    each = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("i"), c.alias("c"), to(c).alias("to")))
-    notes = F.transform(F.filter(each, lambda x: x["c"] != x["to"]), lambda x: F.concat(F.lit(f"{name} "), x["i"].cast("string"), F.lit(": "), x["c"], F.lit(" to "), x["to"]))
-    return F.array_join(F.transform(each, lambda x: x["to"]), ""), notes
+def _changed(name: str, text: Column, table: dict[str, str], written: bool) -> tuple[Column, Column]:
+    """The text with each character of ``table`` replaced, and a note of each change, or, unless ``written``, their number."""
+    new = F.translate(text, "".join(table), "".join(table.values()))
+    if not written:
+        return new, F.length(text) - F.length(F.translate(text, "".join(table), ""))
+    each = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("i"), c.alias("c"), F.substring(new, i + 1, F.lit(1)).alias("to")))
+    return new, F.transform(F.filter(each, lambda x: x["c"] != x["to"]), lambda x: F.concat(F.lit(f"{name} "), x["i"].cast("string"), F.lit(": "), x["c"], F.lit(" to "), x["to"]))
 
 
-def _step(s: Column, text: Column, notes: Column, end: Column | None = None) -> Column:
-    return F.struct(text.alias("text"), (s["end"] if end is None else end).alias("end"), s["digits"].alias("digits"), s["sure"].alias("sure"), F.concat(s["notes"], notes).alias("notes"))
+def _added(notes: Column, more: Column, written: bool) -> Column:
+    return F.concat(notes, more) if written else notes + more
 
 
-def _note(applies: Column, text: Column) -> Column:
-    return F.when(applies, F.array(text)).otherwise(F.array().cast("array<string>"))
+def _step(s: Column, text: Column, notes: Column, written: bool, end: Column | None = None) -> Column:
+    return F.struct(text.alias("text"), (s["end"] if end is None else end).alias("end"), s["digits"].alias("digits"), s["sure"].alias("sure"), _added(s["notes"], notes, written).alias("notes"))
 
 
-def _structure(t: Column) -> Column:
+def _none(written: bool) -> Column:
+    return F.array().cast("array<string>") if written else F.lit(0)
+
+
+def _note(text: Column, written: bool) -> Column:
+    return F.array(text) if written else F.lit(1)
+
+
+def _structure(t: Column, written: bool) -> Column:
     fourth, n = F.substring(t, 4, 1), F.length(t)
     other = F.when(fourth.rlike("[A-Z]"), F.struct(F.lit(4).alias("end"), F.lit(False).alias("digits"), F.lit(0.5).alias("sure")))
     other = other.when((n >= 8) & fourth.rlike("[0-9]"), F.struct(F.lit(4).alias("end"), F.lit(True).alias("digits"), F.lit(0.5).alias("sure")))
     out = other.otherwise(F.struct(F.lit(3).alias("end"), F.lit(False).alias("digits"), F.lit(0.5).alias("sure")))
     for form, end, digits, sure in reversed(STRUCTURES):
         out = F.when(t.rlike(form), F.struct(F.lit(end).alias("end"), F.lit(digits).alias("digits"), F.lit(sure).alias("sure"))).otherwise(out)
-    return let(out, lambda o: F.struct(t.alias("text"), o["end"].alias("end"), o["digits"].alias("digits"), o["sure"].alias("sure"), F.array().cast("array<string>").alias("notes")))
+    return let(out, lambda o: F.struct(t.alias("text"), o["end"].alias("end"), o["digits"].alias("digits"), o["sure"].alias("sure"), _none(written).alias("notes")))
 
 
-def _province(s: Column) -> Column:
-    text, notes = _changed("province", F.substring(s["text"], 1, 2), lambda c: F.coalesce(lookup({c: d for c, (d, _) in DIGIT_FOR.items()})[c], c))
+def _province(s: Column, written: bool) -> Column:
+    text, notes = _changed("province", F.substring(s["text"], 1, 2), DIGITS, written)
     near = lambda t: lookup(NEAR)[t]
-    note = lambda t: _note(near(t).isNotNull(), F.concat(F.lit("province "), t, F.lit(" to "), near(t)))
-    return let(F.struct(text.alias("t"), notes.alias("n")), lambda x: _step(s, F.concat(F.coalesce(near(x["t"]), x["t"]), F.substring(s["text"], 3, 1000)), F.concat(x["n"], note(x["t"]))))
+    note = lambda t: F.when(near(t).isNotNull(), _note(F.concat(F.lit("province "), t, F.lit(" to "), near(t)), written)).otherwise(_none(written))
+    return let(F.struct(text.alias("t"), notes.alias("n")), lambda x: _step(s, F.concat(F.coalesce(near(x["t"]), x["t"]), F.substring(s["text"], 3, 1000)), _added(x["n"], note(x["t"]), written), written))
 
 
-def _series(s: Column) -> Column:
+def _series(s: Column, written: bool) -> Column:
     own = F.substring(s["text"], F.lit(3), s["end"] - 2)
-    text, notes = _changed("series", own, lambda c: F.when(s["digits"] & c.rlike("[0-9]"), c).otherwise(F.coalesce(lookup(LETTER_FOR)[c], c)))
-    new = _step(s, F.concat(F.substring(s["text"], 1, 2), text, F.substring(s["text"], s["end"] + 1, F.lit(1000))), notes)
+    every, letters = (_changed("series", own, table, written) for table in (LETTER_FOR, {c: x for c, x in LETTER_FOR.items() if c.isalpha()}))
+    text, notes = (F.when(s["digits"], b).otherwise(a) for a, b in zip(every, letters, strict=True))
+    new = _step(s, F.concat(F.substring(s["text"], 1, 2), text, F.substring(s["text"], s["end"] + 1, F.lit(1000))), notes, written)
     return F.when(F.length(s["text"]) >= s["end"], new).otherwise(s)
 
 
-def _serial(s: Column) -> Column:
+def _serial(s: Column, written: bool) -> Column:
     """Digits after the series; four of them in an unsure structure take the last of two series characters, if that was read for a digit."""
-    text, notes = _changed("serial", F.substring(s["text"], s["end"] + 1, F.lit(1000)), lambda c: F.coalesce(lookup({c: d for c, (d, _) in DIGIT_FOR.items()})[c], c))
+    text, notes = _changed("serial", F.substring(s["text"], s["end"] + 1, F.lit(1000)), DIGITS, written)
     read_for = {c: m for c in _READ if (m := _meant(c, "0123456789")) and m[1] >= 0.3}
 
     def rescued(x: Column) -> Column:
@@ -126,33 +140,33 @@ def _serial(s: Column) -> Column:
         digit = lookup({c: d for c, (d, _) in read_for.items()})[last]
         serial = F.substring(x["text"], x["end"] + 1, F.lit(1000))
         ok = (F.length(F.regexp_replace(serial, "[^0-9]", "")) == 4) & (x["sure"] < 0.8) & (x["end"] == 4) & digit.isNotNull()
-        new = _step(x, F.concat(F.substring(x["text"], 1, 3), digit, serial), F.array(F.concat(F.lit("short serial: "), last, F.lit(" to "), digit)), x["end"] - 1)
+        new = _step(x, F.concat(F.substring(x["text"], 1, 3), digit, serial), _note(F.concat(F.lit("short serial: "), last, F.lit(" to "), digit), written), written, x["end"] - 1)
         return F.when(ok, new).otherwise(x)
 
-    new = let(_step(s, F.concat(F.substring(s["text"], F.lit(1), s["end"]), text), notes), rescued)
+    new = let(_step(s, F.concat(F.substring(s["text"], F.lit(1), s["end"]), text), notes, written), rescued)
     return F.when(F.length(s["text"]) > s["end"], new).otherwise(s)
 
 
-def _pattern(s: Column) -> Column:
+def _pattern(s: Column, written: bool) -> Column:
     own, rest = F.substring(s["text"], F.lit(3), s["end"] - 2), F.substring(s["text"], s["end"] + 1, F.lit(1000))
-    new = _step(s, F.concat(F.substring(s["text"], 1, 2), F.lit("R1"), rest), F.array(F.concat(F.lit("series "), own, F.lit(" to R1"))), F.lit(3))
+    new = _step(s, F.concat(F.substring(s["text"], 1, 2), F.lit("R1"), rest), _note(F.concat(F.lit("series "), own, F.lit(" to R1")), written), written, F.lit(3))
     return F.when((s["end"] == 4) & own.isin(R1) & rest.rlike("^[0-9]+$"), new).otherwise(s)
 
 
-def corrected(raw: Column, confidence: Column) -> Column:
+def corrected(raw: Column, confidence: Column, written: bool = True) -> Column:
     """text, confidence and notes: digits of the province and its nearest code in use, letters of the series, digits of the
     serial, by what each character is likeliest read for; less by 0.05 a correction, more by 0.1 for a final form. Texts under
-    seven characters stay, without confidence."""
-    steps = let(basic(raw), _structure)
+    seven characters stay, without confidence. Unless ``written``, notes is only their number."""
+    steps = let(basic(raw), lambda t: _structure(t, written))
     for f in (_province, _series, _serial, _pattern):
-        steps = let(steps, f)
+        steps = let(steps, lambda s, f=f: f(s, written))
     fits = lambda t: t.rlike(FORM) & F.length(t).between(7, 10)
 
     def closed(s: Column) -> Column:
-        c = F.greatest(F.lit(0.0), confidence - F.size(s["notes"]) * F.lit(0.05))
+        c = F.greatest(F.lit(0.0), confidence - (F.size(s["notes"]) if written else s["notes"]) * F.lit(0.05))
         return F.struct(s["text"].alias("text"), F.round(F.when(fits(s["text"]), F.least(F.lit(1.0), c + 0.1)).otherwise(c), 9).alias("confidence"), s["notes"].alias("notes"))
 
-    short = F.struct(raw.alias("text"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("notes"))
+    short = F.struct(raw.alias("text"), F.lit(0.0).alias("confidence"), _none(written).alias("notes"))
     return F.when(F.length(F.coalesce(raw, F.lit(""))) < 7, short).otherwise(let(steps, closed))
 
 
@@ -253,7 +267,7 @@ def candidates(df: DataFrame) -> DataFrame:
         ("rescue", F.lit(True), F.concat(F.substring("plate_clean", 1, 2), F.substring("noisy", 3, 100)), c * 0.95),
         ("second", short | (c < 0.85), F.translate("plate_clean", "5", "S"), F.lit(0.4) + (k % 5) / 10.0), ("augmented", (short | (c < 0.85)) & (F.length("plate") >= 7), F.col("plate"), F.lit(0.3) + (k % 7) / 10.0),
     ]
-    rows = F.array(*[F.when(asked, F.struct(F.lit(name).alias("source"), corrected(text, sure).alias("c"))) for name, asked, text, sure in sources])
+    rows = F.array(*[F.when(asked, F.struct(F.lit(name).alias("source"), corrected(text, sure, written=False).alias("c"))) for name, asked, text, sure in sources])
     found = F.filter(rows, lambda x: x.isNotNull() & (F.length(x["c"]["text"]) > 0))
     return df.withColumn("candidates", F.transform(found, lambda x: F.struct(x["source"].alias("source"), x["c"]["text"].alias("text"), basic(x["c"]["text"]).alias("plain"), x["c"]["confidence"].alias("confidence"), boost(x["c"]["text"]).alias("boost"))))
 
@@ -266,19 +280,50 @@ class Arbiter:
 
     window: float = 10.0
     idle: float = 60.0
-    chosen: list[tuple[float, str]] = field(default_factory=list)
+    chosen: deque[tuple[float, str]] = field(default_factory=deque)
+    places: dict[str, deque[int]] = field(default_factory=dict)  # of each plate among all choices made
+    lead: list[tuple[int, int, str]] = field(default_factory=list)  # a heap of counts and first places, old ones among them
+    made: int = 0
 
     @property
     def quiet(self) -> float:
         return self.idle
 
+    def _counted(self, plate: str) -> None:
+        own = self.places[plate]
+        if not own:
+            del self.places[plate]
+            return
+        heappush(self.lead, (-len(own), own[0], plate))
+        if len(self.lead) > 4 * len(self.places) + 64:
+            self.lead = [(-len(x), x[0], p) for p, x in self.places.items()]
+            heapify(self.lead)
+
+    def _leader(self) -> tuple[str, int]:
+        """The plate chosen most often, of equals the one chosen first, and how often."""
+        while self.lead:
+            n, first, plate = self.lead[0]
+            own = self.places.get(plate)
+            if own and (-len(own), own[0]) == (n, first):
+                return plate, -n
+            heappop(self.lead)
+        return "", 0
+
+    def _choose(self, now: float, plate: str) -> None:
+        self.made += 1
+        self.chosen.append((now, plate))
+        self.places.setdefault(plate, deque()).append(self.made)
+        self._counted(plate)
+        while self.chosen and self.chosen[0][0] <= now - self.window:
+            _, old = self.chosen.popleft()
+            self.places[old].popleft()
+            self._counted(old)
+
     def step(self, e) -> tuple | None:
         if self.chosen and e.sec - self.chosen[-1][0] > self.idle:
-            self.chosen = []
-        leader, share = "", 0.0
-        if self.chosen:
-            leader, n = Counter(p for _, p in self.chosen).most_common(1)[0]
-            share = n / len(self.chosen)
+            self.chosen, self.places, self.lead = deque(), {}, []
+        leader, n = self._leader()
+        share = n / len(self.chosen) if self.chosen else 0.0
         best = None
         for c in e.candidates:
             score = 0.6 * c["confidence"] + 0.25 * c["boost"] + 0.15 * (share if c["plain"] == leader else 0.0)
@@ -286,7 +331,7 @@ class Arbiter:
                 best = score, c
         if best is None:
             return None
-        self.chosen = [x for x in [*self.chosen, (e.sec, best[1]["plain"])] if x[0] > e.sec - self.window]
+        self._choose(e.sec, best[1]["plain"])
         return best[1]["source"], best[1]["text"], best[1]["confidence"], round(best[0], 9)
 
 
@@ -310,7 +355,8 @@ class Arbiter:
     recursive=True,
 )
 def ag34_sf25_arbitrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Choices of one day count, and a camera forgets after two. Tested by a plain loop."""
-    d = candidates(noisy(spark, sf_dir)).where("size(candidates) > 0")
+    """Choices of one day count, and a camera forgets after two. Candidates are made once and by all tasks, before a camera's readings go in order.
+    Tested by a plain loop."""
+    d = kept(candidates(noisy(spark, sf_dir).repartition("event_id")).select("event_id", "camera_id", "sec", "candidates")).where("size(candidates) > 0")
     schema = "event_id long, source string, text string, confidence double, score double"
     return stepped(d, ["camera_id"], lambda: Arbiter(86400, 172800), ["candidates"], schema, lambda e, got: (e.event_id, *got))

@@ -1,7 +1,9 @@
 """Small cases of what only larger tables showed."""
 
 import random
+import time
 from datetime import datetime
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from framelake.functions.boxes import Overlapped, Survivors
 from framelake.functions.fusion import People
 from framelake.functions.stateful import overlap
+from framelake.operators.arbitration import Arbiter
 from framelake.operators.correction import corrected, wn10_forgiven
 from framelake.operators.joins import around, fusion_candidates, matched
 from framelake.operators.limits import Limiter
@@ -114,3 +117,23 @@ def test_thresholds_of_many_crops_are_those_of_each(spark):
     d = greys(spark, SF).limit(60).unionByName(spark.createDataFrame([(-1, [[7] * 12] * 24)], "event_id long, grey array<array<int>>"))
     want = {r.event_id: (r.t, [sum(v <= r.t for v in row) for row in r.grey]) for r in d.select("event_id", "grey", otsu(F.flatten(F.col("grey").cast("array<array<long>>"))).alias("t")).collect()}
     assert {r.event_id: (r.threshold, r.ink) for r in inked(d).collect()} == want
+
+
+def test_a_choice_does_not_count_the_whole_window_again():
+    rng, now, start = random.Random(2), 0, time.process_time()
+    rule, history = Arbiter(40, 60), []
+    step = lambda rule, now, plates: rule.step(SimpleNamespace(sec=now, candidates=[{"source": "s", "text": p, "plain": p, "confidence": 0.5, "boost": 0.0} for p in plates]))
+    for _ in range(3000):
+        now += rng.choice([0, 1, 3, 39, 41, 61]) if rng.random() < 0.3 else 0
+        plates = rng.sample("ABCDEF", 2)
+        if history and now - history[-1][0] > 60:
+            history = []
+        past = [p for _, p in history]
+        leader = max(past, key=past.count, default=None)
+        best = plates[1] if leader == plates[1] else plates[0]
+        assert step(rule, now, plates)[3] == round(0.3 + (0.15 * past.count(best) / len(past) if leader == best else 0), 9)
+        history = [h for h in [*history, (now, best)] if h[0] > now - 40]
+    rule = Arbiter(86400, 172800)
+    for k in range(60000):
+        step(rule, k, [f"P{k % 900}"])
+    assert time.process_time() - start < 30
