@@ -10,6 +10,11 @@ from collections import deque
 from dataclasses import dataclass, field
 from math import exp
 
+import numpy as np
+
+# Pairs that are looked at without a search, and the overlaps down to which more are settled at a time.
+FEW, BANDS = 4096, (0.98, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)
+
 
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance, or most+1 where it is larger."""
@@ -193,16 +198,51 @@ def overlap(a: tuple, b: tuple) -> float:
     return both / joint if joint > 0 else 0.0
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a`` and of ``b`` (boxes) that overlap by ``least`` or more, and by how much. A pair's left and upper edges are no
+    further apart than that allows: by the share 1 - ``least`` of the width and height of the box that begins first."""
+    if least > 0 and len(a) * len(b) > FEW:
+        by_left, wide = np.argsort(a[:, 0], kind="stable"), b[:, 2] - b[:, 0]
+        left = a[by_left, 0]
+        lo = np.searchsorted(left, b[:, 0] - (1 - least) * np.minimum((a[:, 2] - a[:, 0]).max(), wide / least) - 1e-6)
+        n = np.maximum(np.searchsorted(left, b[:, 0] + (1 - least) * wide + 1e-6, "right") - lo, 0)
+        k = np.repeat(np.arange(len(b)), n)
+        t = by_left[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)]
+        above, high = a[:, 1][t] - b[:, 1][k], ((1 - least) * (b[:, 3] - b[:, 1]) + 1e-6)[k]
+        close = (above <= high) & (above * least >= -high)
+        t, k = t[close], k[close]
+    else:
+        t, k = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+    x, y = a[t], b[k]
+    both = np.maximum(np.minimum(x[:, 2], y[:, 2]) - np.maximum(x[:, 0], y[:, 0]), 0) * np.maximum(np.minimum(x[:, 3], y[:, 3]) - np.maximum(x[:, 1], y[:, 1]), 0)
+    joint = (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]) + (y[:, 2] - y[:, 0]) * (y[:, 3] - y[:, 1]) - both
+    s = np.where(joint > 0, both / np.where(joint > 0, joint, 1), 0.0)
+    enough = s >= least
+    return t[enough], k[enough], s[enough]
+
+
 def greedy(tracks: dict, boxes: list[tuple], scores: list[float], least: float) -> dict[int, object]:
     """Which track each box goes to, of pairs that overlap by ``least`` or more: the largest overlap first, then the highest
-    score, then the places of track and box."""
-    pairs = [(-s, -score, box, k, n) for n, box in tracks.items() for k, (b, score) in enumerate(zip(boxes, scores, strict=True)) if (s := overlap(box, b)) >= least]
+    score, then the places of track and box.
+
+    Where there are many, pairs of a large overlap are settled first, and smaller ones are looked for only among what is left, so
+    that few pairs are looked at however full a frame is.
+    """
     of: dict[int, object] = {}
-    taken = set()
-    for *_, k, n in sorted(pairs, key=lambda p: p[:4]):
-        if k not in of and n not in taken:
-            of[k] = n
-            taken.add(n)
+    if not tracks or not boxes:
+        return of
+    names, a, b, score = list(tracks), np.array(list(tracks.values()), float), np.array(boxes, float), np.array(scores, float)
+    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
+    for low in [s for s in BANDS if s > least and len(a) * len(b) > FEW] + [least]:
+        rows, own = np.flatnonzero(free_a), np.flatnonzero(free_b)
+        if not len(rows) or not len(own):
+            break
+        t, k, s = near_pairs(a[rows], b[own], low)
+        t, k = rows[t], own[k]
+        order = np.lexsort((t, k, a[t, 3], a[t, 2], a[t, 1], a[t, 0], -score[k], -s))
+        for n, box in zip(t[order].tolist(), k[order].tolist(), strict=True):
+            if free_a[n] and free_b[box]:
+                of[box], free_a[n], free_b[box] = names[n], False, False
     return of
 
 

@@ -214,18 +214,25 @@ def followed_boxes(df: DataFrame, rule: Callable[[], Tracker], hits: int) -> Dat
 
     def run(batches):
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        names = ["camera_id", "start", "head", "event_id", "n", "boxes", "border"]
+        out: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
         for (camera, start, event), own in groupby(rows, key=lambda r: r[:3]):
-            state, out, first = rule(), [], None
+            state, first = rule(), None
             for now, frame in groupby(own, key=lambda r: r[4]):
                 frame = list(frame)  # columns: key and piece, event_id, sec, camera_id, confidence, box
                 boxes, scores = [r[7:11] for r in frame], [r[6] for r in frame]
                 found = state.frame(now, boxes, scores)
                 first = first or [[n, box, score] for (n, _), box, score in zip(found, boxes, scores, strict=True)]
                 out += [(camera, start, event, r[3], n, k, None) for r, (n, k) in zip(frame, found, strict=True)]
+                if len(out) >= 10000:
+                    yield batch()
+                    out = []
             border = json.dumps([first, [[n, t[0]] for n, t in state.tracks.items()]])
             out.append((camera, start, event, None, None, None, border))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["camera_id", "start", "head", "event_id", "n", "boxes", "border"])
+        if out:
+            yield batch()
 
     pieces_of = kept(ordered.mapInArrow(run, "camera_id string, start long, head long, event_id long, n long, boxes long, border string"))
     borders = pieces_of.where("border is not null").select("camera_id", "start", "head", "border").repartition("camera_id").sortWithinPartitions("camera_id", "start", "head")

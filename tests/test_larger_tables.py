@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.boxes import Overlapped, Survivors
 from framelake.functions.fusion import People
-from framelake.functions.stateful import overlap
+from framelake.functions.stateful import greedy, overlap
 from framelake.operators.arbitration import Arbiter
 from framelake.operators.correction import corrected, wn10_forgiven
 from framelake.operators.joins import around, fusion_candidates, matched
@@ -137,3 +137,20 @@ def test_a_choice_does_not_count_the_whole_window_again():
     for k in range(60000):
         step(rule, k, [f"P{k % 900}"])
     assert time.process_time() - start < 30
+
+
+def test_full_frames_do_not_meet_all_tracks():
+    rng = random.Random(4)
+    box = lambda i: (i * 37 % 1600, i * 53 % 800, i * 37 % 1600 + 40 + i * 17 % 280, i * 53 % 800 + 40 + i * 29 % 240)
+    for n, m in ((40, 30), (300, 200)):
+        tracks, boxes = {f"t{k}": box(rng.randrange(3000)) for k in range(n)}, [box(rng.randrange(3000)) for _ in range(m)]
+        scores = [rng.randrange(5) / 10 for _ in boxes]
+        for least in (0.01, 0.2, 0.45):
+            want: dict = {}
+            for *_, k, t in sorted((-s, -scores[k], b, k, j) for j, b in enumerate(tracks.values()) for k, c in enumerate(boxes) if (s := overlap(b, c)) >= least):
+                if k not in want and f"t{t}" not in want.values():
+                    want[k] = f"t{t}"
+            assert greedy(tracks, boxes, scores, least) == want
+    start = time.process_time()
+    assert len(greedy({k: box(rng.randrange(10**6)) for k in range(8000)}, [box(rng.randrange(10**6)) for _ in range(3000)], [0.5] * 3000, 0.2)) > 2900
+    assert time.process_time() - start < 8
