@@ -73,34 +73,38 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def assigned(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
     """Pairs of rows and columns with the least total cost, where a pair over ``most`` is worse than none; by shortest
-    augmenting paths over a square that has a place for being alone."""
+    augmenting paths. The fewer side looks for the other's, where each has a place for being alone, at ``most``."""
     n, m = cost.shape
     if not n or not m:
         return []
+    if n > m:
+        return sorted((i, j) for j, i in assigned(cost.T, most))
     size = n + m
-    full = np.full((size, size), 0.0)
-    full[:n, :m] = np.where(cost <= most, cost, 1e6)
-    full[:n, m:], full[n:, :m] = most / 2, most / 2
-    u, v, of = np.zeros(size + 1), np.zeros(size + 1), np.full(size + 1, -1)
-    for i in range(size):
-        of[size], at = i, size
-        least, way, used = np.full(size, np.inf), np.full(size, size), np.zeros(size + 1, bool)
-        while of[at] >= 0:
+    full = np.full((n, size), most, float)
+    full[:, :m] = np.where(cost <= most, cost, 1e6)
+    u, v, of = np.zeros(n), np.zeros(size + 1), np.full(size + 1, -1)
+    for i in range(n):
+        of[size], least, way, used = i, np.full(size, np.inf), np.full(size, size), np.zeros(size + 1, bool)
+        at = np.array([size])
+        while True:  # columns that are equally near are gone through together
             used[at] = True
-            row = of[at]
-            free = np.flatnonzero(~used[:size])
-            c = full[row, free] - u[row] - v[free]
+            rows, free = of[at], np.flatnonzero(~used[:size])
+            c = full[np.ix_(rows, free)] - u[rows, None] - v[free]
+            k = c.argmin(0)
+            c = c[k, np.arange(len(free))]
             better = c < least[free]
-            least[free[better]], way[free[better]] = c[better], at
-            to = free[np.argmin(least[free])]
-            delta = least[to]
+            least[free[better]], way[free[better]] = c[better], at[k[better]]
+            delta = least[free].min()
             u[of[used]] += delta
             v[used] -= delta
             least[free] -= delta
-            at = to
+            at = free[least[free] <= 1e-12]
+            if (of[at] < 0).any():
+                at = int(at[of[at] < 0][0])
+                break
         while at != size:
             of[at], at = of[way[at]], way[at]
-    return sorted((int(of[j]), j) for j in range(m) if 0 <= of[j] < n and cost[of[j], j] <= most)
+    return sorted((int(of[j]), j) for j in range(m) if of[j] >= 0 and cost[of[j], j] <= most)
 
 
 @dataclass

@@ -1,5 +1,6 @@
 """Small cases of what only larger tables showed."""
 
+import itertools
 import random
 import time
 from datetime import datetime
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.boxes import Overlapped, Survivors
 from framelake.functions.fusion import People
+from framelake.functions.kalman import assigned
 from framelake.functions.stateful import greedy, overlap
 from framelake.operators.arbitration import Arbiter
 from framelake.operators.correction import corrected, wn10_forgiven
@@ -154,3 +156,15 @@ def test_full_frames_do_not_meet_all_tracks():
     start = time.process_time()
     assert len(greedy({k: box(rng.randrange(10**6)) for k in range(8000)}, [box(rng.randrange(10**6)) for _ in range(3000)], [0.5] * 3000, 0.2)) > 2900
     assert time.process_time() - start < 8
+
+
+def test_least_cost_by_all_ways_and_of_many_equal_boxes():
+    g = np.random.default_rng(1)
+    total = lambda c, pairs: sum(c[i, j] - 0.7 for i, j in pairs)
+    for _ in range(200):
+        c = np.where(g.random((n := int(g.integers(1, 5)), m := int(g.integers(1, 5)))) < 0.3, np.inf, g.integers(0, 10, (n, m)) / 10)
+        ways = [[(i, j) for i, j in enumerate(p) if j < m and c[i, j] <= 0.7] for p in itertools.permutations(range(m + n), n)]
+        assert abs(total(c, assigned(c, 0.7)) - min(total(c, w) for w in ways)) < 1e-9
+    start = time.process_time()
+    c = np.repeat(np.repeat(g.random((60, 60)), 8, 0), 5, 1)
+    assert len(assigned(c, 0.9)) == 300 and time.process_time() - start < 10
