@@ -5,7 +5,7 @@ Every step is a column or a join over texts. The beam keeps six texts of each de
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framelake.functions import correction as C
@@ -89,6 +89,11 @@ def corrected(df: DataFrame) -> DataFrame:
     return own.join(t, ["raw", "_sure", "_below"]).drop("_sure", "_below").withColumn("adjusted", adjusted)
 
 
+def latest(n: int) -> WindowSpec:
+    """A track's last ``n`` readings up to each one; a missing time or number comes last, as in the SQL."""
+    return Window.partitionBy("camera_id", "track_id").orderBy(F.asc_nulls_last("sec"), F.asc_nulls_last("event_id")).rowsBetween(1 - n, 0)
+
+
 # The same rules in SQL, step by step.
 USED = ", ".join(f"'{p}'" for p in PROVINCES)
 RAW = """rd AS (SELECT event_id, camera_id, track_id, sec, confidence, CASE event_id % 7 WHEN 1 THEN replace(replace(replace(plate, 'M', 'rn'), 'D', 'cl'), 'H', 'll') WHEN 2 THEN '1' || translate(plate, '58', 'SB')
@@ -198,8 +203,7 @@ def sf11_sf12_sf13_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def wn10_forgiven(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An invalid reading takes the plate of three in five of the track's last five, if one of those was valid or two agree."""
-    w = Window.partitionBy("camera_id", "track_id").orderBy("sec", "event_id").rowsBetween(-4, 0)
-    d = corrected(readings(spark, sf_dir).where("track_id >= 0")).withColumn("last", F.collect_list(F.struct("plate", "valid")).over(w))
+    d = corrected(readings(spark, sf_dir).where("track_id >= 0")).withColumn("last", F.collect_list(F.struct("plate", "valid")).over(latest(5)))
     counts = F.transform(F.array_distinct("last.plate"), lambda p: F.struct((-F.size(F.filter("last", lambda q: q["plate"] == p))).alias("k"), p.alias("p")))
     d = d.withColumn("top", F.array_min(counts)).withColumn("n", F.size("last"))
     most = -F.col("top.k")
@@ -220,9 +224,8 @@ P = "p AS (SELECT *, regexp_replace(upper(plate), '[^A-Z0-9]', '', 'g') AS plain
 )
 def sf21_sf22_lengthened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings under eight characters become the most frequent longer one, of the track's last ten, that they are a part of."""
-    w = Window.partitionBy("camera_id", "track_id").orderBy("sec", "event_id").rowsBetween(-9, 0)
     d = detections(spark, sf_dir).where("class_name <> 'person' and track_id >= 0").withColumn("plain", basic("plate"))
-    d = d.withColumn("last", F.collect_list("plain").over(w))
+    d = d.withColumn("last", F.collect_list("plain").over(latest(10)))
     p = F.col("plain")
     d = d.withColumn("longer", F.filter("last", lambda q: (F.length(q) - F.length(p)).between(1, 2) & (F.startswith(q, p) | C.reduced(p, q))))
     counts = F.transform(F.array_distinct("longer"), lambda q: F.struct((-F.size(F.filter("longer", lambda o: o == q))).alias("k"), q.alias("p")))

@@ -3,10 +3,12 @@
 import itertools
 import random
 import time
-from datetime import datetime
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions.boxes import Overlapped, Survivors
@@ -19,6 +21,7 @@ from framelake.operators.joins import around, fusion_candidates, matched
 from framelake.operators.limits import Limiter
 from framelake.operators.pixels import greys, inked, otsu
 from framelake.operators.quality import ag25_context
+from framelake.queries import ORACLE_SQL, QUERIES
 from framelake.sources.tables import detections
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +45,17 @@ def test_forgiven_readings_have_the_second_cut(spark, tmp_path):
     assert [tuple(r) for r in wn10_forgiven(spark, str(tmp_path)).collect()] == [(148297, "11E20663", True)]
 
 
+@pytest.mark.parametrize("name", ["wn10_forgiven", "sf21_sf22_lengthened"])
+def test_readings_without_a_time_come_last_in_their_track(spark, tmp_path, name):
+    rng, start = random.Random(6), datetime(2024, 1, 1)
+    rows = [(k, None if k % 9 == 0 else start + timedelta(seconds=rng.randrange(3000)), rng.randrange(60), "click", rng.random() * 560, "{}") for k in range(6000)]
+    e = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(db.execute(ORACLE_SQL[name]).fetchall())
+
+
 def test_people_of_a_crowded_window_by_a_plain_loop():
     rng = random.Random(3)
     box = lambda: (x := float(rng.randrange(1600)), y := float(rng.randrange(800)), x + rng.randrange(40, 320), y + rng.randrange(40, 280))
